@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import windows
 from ..sources import adapters as A
@@ -38,3 +39,86 @@ def q_status_rates(spark, sf):
 @register("status_distribution")
 def q_status_distribution(spark, sf):
     return windows.status_distribution(A.transactions(spark, sf), window=1, unit="HOUR")
+
+
+# --- series, rates, auth codes, profiling (phase 3) ------------------------------
+from ..operators import quality, series  # noqa: E402
+
+
+@register("history_window")
+def q_history_window(spark, sf):
+    return series.history_window(A.transactions(spark, sf), window=60, unit="HOUR")
+
+
+@register("recent_records")
+def q_recent_records(spark, sf):
+    tx = A.transactions(spark, sf).withColumn("ingested_at", F.col("ts"))
+    return windows.recent(tx, limit=10, order=("ingested_at", "status")).select(
+        "ts", "status", "cnt", "ingested_at")
+
+
+@register("profile")
+def q_profile(spark, sf):
+    return series.profile(A.transactions(spark, sf))
+
+
+@register("describe_rates")
+def q_describe_rates(spark, sf):
+    return series.describe(series.rate_series(A.transactions(spark, sf)),
+                           ["total", "approval_rate", "error_rate"])
+
+
+@register("volume_per_minute")
+def q_volume_per_minute(spark, sf):
+    return series.volume_per_stamp(A.transactions(spark, sf))
+
+
+@register("volume_by_status")
+def q_volume_by_status(spark, sf):
+    return series.volume_by_status(A.transactions(spark, sf))
+
+
+@register("rate_series")
+def q_rate_series(spark, sf):
+    return series.rate_series(A.transactions(spark, sf))
+
+
+@register("auth_rates")
+def q_auth_rates(spark, sf):
+    return series.auth_rates(A.auth_codes(spark, sf))
+
+
+@register("top_codes")
+def q_top_codes(spark, sf):
+    return series.top_codes(A.auth_codes(spark, sf), n=10)
+
+
+@register("top_error_series")
+def q_top_error_series(spark, sf):
+    return series.top_code_series(A.auth_codes(spark, sf), n=5)
+
+
+@register("quality_report")
+def q_quality_report(spark, sf):
+    tx = quality.quality_summary(A.transactions(spark, sf), "transactions", ["ts"])
+    au = quality.quality_summary(A.auth_codes(spark, sf), "auth_codes", ["ts", "auth_code"],
+                                 category="auth_code")
+    return tx.unionByName(au)
+
+
+@register("reconcile")
+def q_reconcile(spark, sf):
+    tx = (A.transactions(spark, sf).filter(F.col("status").isin("approved", "denied"))
+          .withColumnRenamed("cnt", "total"))
+    au = A.auth_codes(spark, sf).withColumnRenamed("cnt", "total")
+    return quality.reconcile(tx, au)
+
+
+@register("missing_slots")
+def q_missing_slots(spark, sf):
+    return quality.missing_stamps(A.transactions(spark, sf, unit="MINUTE"), unit="MINUTE")
+
+
+@register("validate_records")
+def q_validate_records(spark, sf):
+    return quality.validate(A.raw_records(spark, sf))

@@ -66,3 +66,104 @@ WHERE ts >= (SELECT max(ts) FROM tx) - INTERVAL 24 HOUR GROUP BY ts, status"""
 SQL["status_distribution"] = with_(TX) + """
 SELECT status, CAST(SUM(cnt) AS BIGINT) AS total, CAST(SUM(SUM(cnt)) OVER () AS BIGINT) AS grand_total
 FROM tx WHERE ts >= (SELECT max(ts) FROM tx) - INTERVAL 1 HOUR GROUP BY status"""
+
+SQL["history_window"] = with_(TX) + """
+SELECT ts,
+  CAST(SUM(CASE WHEN status = 'denied' THEN cnt ELSE 0 END) AS BIGINT) AS denied,
+  CAST(SUM(CASE WHEN status = 'failed' THEN cnt ELSE 0 END) AS BIGINT) AS failed,
+  CAST(SUM(CASE WHEN status = 'reversed' THEN cnt ELSE 0 END) AS BIGINT) AS reversed,
+  CAST(SUM(CASE WHEN status = 'backend_reversed' THEN cnt ELSE 0 END) AS BIGINT) AS backend_reversed,
+  CAST(SUM(CASE WHEN status = 'approved' THEN cnt ELSE 0 END) AS BIGINT) AS approved
+FROM tx WHERE ts >= (SELECT max(ts) FROM tx) - INTERVAL 60 HOUR GROUP BY ts"""
+
+SQL["recent_records"] = with_(TX) + """
+SELECT ts, status, cnt, ts AS ingested_at FROM tx ORDER BY ts DESC, status DESC LIMIT 10"""
+
+SQL["profile"] = with_(TX) + """
+SELECT COUNT(*) AS n_rows, CAST(SUM(cnt) AS BIGINT) AS total_cnt, MIN(ts) AS min_ts, MAX(ts) AS max_ts,
+       COUNT(DISTINCT ts) AS n_stamps, COUNT(DISTINCT status) AS n_statuses FROM tx"""
+
+SQL["describe_rates"] = with_(TX, WIDE, """long AS (
+  SELECT 'total' AS metric, CAST(total AS DOUBLE) AS v FROM rates
+  UNION ALL SELECT 'approval_rate', approval_rate FROM rates
+  UNION ALL SELECT 'error_rate', error_rate FROM rates)""") + """
+SELECT metric, COUNT(v) AS n, AVG(v) AS mean, STDDEV_SAMP(v) AS std, MIN(v) AS min,
+       quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75,
+       MAX(v) AS max
+FROM long GROUP BY metric"""
+
+SQL["volume_per_minute"] = with_(TX) + "SELECT ts, CAST(SUM(cnt) AS BIGINT) AS total FROM tx GROUP BY ts"
+
+SQL["volume_by_status"] = with_(TX) + "SELECT status, CAST(SUM(cnt) AS BIGINT) AS total FROM tx GROUP BY status"
+
+SQL["rate_series"] = with_(TX, WIDE) + "SELECT * FROM rates"
+
+AUTH_CODE = """totals AS (SELECT auth_code, CAST(SUM(cnt) AS BIGINT) AS total FROM auth GROUP BY auth_code),
+code AS (SELECT COALESCE(
+    (SELECT MAX(auth_code) FROM totals WHERE auth_code = '00'),
+    (SELECT MAX(auth_code) FROM totals WHERE auth_code = '0'),
+    (SELECT auth_code FROM totals ORDER BY total DESC, auth_code DESC LIMIT 1)) AS c)"""
+
+SQL["auth_rates"] = with_(AUTH, AUTH_CODE) + """
+SELECT ts, CAST(SUM(CASE WHEN auth_code = (SELECT c FROM code) THEN cnt ELSE 0 END) AS BIGINT) AS approved_cnt,
+       CAST(SUM(cnt) AS BIGINT) AS auth_total,
+       CASE WHEN SUM(cnt) <> 0 THEN CAST(SUM(CASE WHEN auth_code = (SELECT c FROM code) THEN cnt ELSE 0 END) AS DOUBLE)
+            / CAST(SUM(cnt) AS DOUBLE) END AS auth_approval_rate,
+       (SELECT c FROM code) AS approval_code
+FROM auth GROUP BY ts"""
+
+SQL["top_codes"] = with_(AUTH) + """
+SELECT auth_code, CAST(SUM(cnt) AS BIGINT) AS total FROM auth GROUP BY auth_code
+ORDER BY total DESC, auth_code LIMIT 10"""
+
+SQL["top_error_series"] = with_(AUTH, """top5 AS (
+  SELECT auth_code FROM auth WHERE auth_code <> '00' GROUP BY auth_code
+  ORDER BY SUM(cnt) DESC, auth_code LIMIT 5),
+hit AS (SELECT * FROM auth WHERE auth_code IN (SELECT auth_code FROM top5)),
+counts AS (SELECT ts, auth_code, SUM(cnt) AS cnt FROM hit GROUP BY ts, auth_code),
+grid AS (SELECT DISTINCT h.ts, t.auth_code FROM hit h, top5 t)""") + """
+SELECT g.ts, g.auth_code, CAST(COALESCE(c.cnt, 0) AS BIGINT) AS cnt
+FROM grid g LEFT JOIN counts c ON g.ts = c.ts AND g.auth_code = c.auth_code"""
+
+
+def _quality(name, src, key, cat, cols):
+    nulls = " + ".join(f"SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in cols)
+    return f"""SELECT '{name}' AS dataset, COUNT(*) AS n_rows, CAST({nulls} AS BIGINT) AS null_cells,
+  (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM {src} GROUP BY {key})) AS dup_rows,
+  CAST(COALESCE(SUM(CASE WHEN cnt < 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS negative_values,
+  COUNT(DISTINCT {cat}) AS n_distinct, MIN(ts) AS min_ts, MAX(ts) AS max_ts FROM {src}"""
+
+
+SQL["quality_report"] = with_(TX, AUTH) + _quality("transactions", "tx", "ts", "status", ["ts", "status", "cnt"]) \
+    + "\nUNION ALL\n" + _quality("auth_codes", "auth", "ts, auth_code", "auth_code", ["ts", "auth_code", "cnt"])
+
+SQL["reconcile"] = with_(TX, AUTH, """l AS (SELECT ts, CAST(SUM(cnt) AS BIGINT) AS l_total FROM tx
+             WHERE status IN ('approved', 'denied') GROUP BY ts),
+r AS (SELECT ts, CAST(SUM(cnt) AS BIGINT) AS r_total FROM auth GROUP BY ts),
+j AS (SELECT COALESCE(l.ts, r.ts) AS ts, l_total, r_total FROM l FULL OUTER JOIN r ON l.ts = r.ts)""") + """
+SELECT COUNT(l_total) AS n_left, COUNT(r_total) AS n_right,
+       CAST(SUM(CASE WHEN l_total IS NOT DISTINCT FROM r_total THEN 0 ELSE 1 END) AS BIGINT) AS n_mismatch,
+       MIN(CASE WHEN l_total IS DISTINCT FROM r_total THEN ts END) AS first_mismatch,
+       CAST(SUM(l_total) AS BIGINT) AS left_total, CAST(SUM(r_total) AS BIGINT) AS right_total
+FROM j"""
+
+SQL["missing_slots"] = """
+WITH m AS (SELECT DISTINCT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS ts FROM events),
+b AS (SELECT MIN(ts) AS lo, MAX(ts) AS hi FROM m),
+g AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 MINUTE)) AS ts FROM b)
+SELECT g.ts FROM g ANTI JOIN m ON g.ts = m.ts"""
+
+SQL["validate_records"] = """
+WITH r AS (
+  SELECT event_id AS record_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS ts,
+         CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'view' THEN 'denied'
+              WHEN 'error' THEN 'failed' WHEN 'click' THEN 'reversed' ELSE 'refunded' END AS status,
+         CAST(floor(value) AS BIGINT) - 1 AS cnt
+  FROM events),
+v AS (
+  SELECT *, CASE WHEN ts IS NULL THEN 'missing timestamp' WHEN status IS NULL THEN 'missing status'
+                 WHEN cnt IS NULL THEN 'missing count' WHEN cnt < 0 THEN 'negative count'
+                 WHEN status NOT IN ('denied', 'failed', 'reversed', 'backend_reversed', 'approved')
+                 THEN 'unmonitored status' END AS reject_reason
+  FROM r)
+SELECT *, reject_reason IS NULL AS is_valid FROM v"""
