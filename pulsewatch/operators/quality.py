@@ -34,22 +34,26 @@ def quality_summary(df: DataFrame, name: str, key: Sequence[str], value: str = "
                     "n_distinct", "min_ts", "max_ts"))
 
 
+def stamp_grid(df: DataFrame, col: str, step: int, chunk_steps: int = 4096) -> DataFrame:
+    """Every multiple of ``step`` seconds from min(col) to max(col) (BIGINT
+    epoch seconds), generated in parallel: the bounds row expands to chunk
+    starts, the chunks are spread over the cluster, and each chunk expands its
+    own stamps, so no single task builds the whole grid."""
+    chunk = step * chunk_steps
+    bounds = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    starts = bounds.select("_lo", "_hi", F.explode(F.sequence(
+        F.col("_lo"), F.col("_hi"), F.lit(chunk).cast("bigint"))).alias("_c"))
+    starts = starts.repartition("_c")
+    return starts.select(F.explode(F.sequence(
+        F.col("_c"), F.least(F.col("_c") + F.lit(chunk - step), F.col("_hi")),
+        F.lit(step).cast("bigint"))).alias(col))
+
+
 def expected_stamps(df: DataFrame, unit: str = "MINUTE", ts: str = "ts") -> DataFrame:
-    """Every stamp between the first and last one, generated in parallel.
-
-    Days come from one tiny row, are spread over the cluster, and each day
-    expands its own stamps, so no single task builds the whole grid.
-    """
-    step = unit_seconds(unit)
-    bounds = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    days = bounds.select("lo", "hi", F.explode(F.sequence(
-        F.date_trunc("day", "lo").cast("timestamp_ntz"), F.col("hi"),
-        F.expr("INTERVAL 1 DAY"))).alias("day"))
-    days = days.repartition("day")
-    last_in_day = F.col("day") + F.expr(f"INTERVAL {86400 - step} SECONDS")
-    return days.select(F.explode(F.sequence(
-        F.greatest("day", "lo"), F.least(last_in_day, F.col("hi")),
-        F.expr(f"INTERVAL {step} SECONDS"))).alias(ts))
+    """Every stamp between the first and last one (see :func:`stamp_grid`)."""
+    secs = df.select(F.unix_seconds(F.col(ts).cast("timestamp")).alias("_s"))
+    grid = stamp_grid(secs, "_s", unit_seconds(unit))
+    return grid.select(F.timestamp_seconds("_s").cast("timestamp_ntz").alias(ts))
 
 
 def missing_stamps(df: DataFrame, unit: str = "MINUTE", ts: str = "ts") -> DataFrame:

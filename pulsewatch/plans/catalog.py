@@ -122,3 +122,119 @@ def q_missing_slots(spark, sf):
 @register("validate_records")
 def q_validate_records(spark, sf):
     return quality.validate(A.raw_records(spark, sf))
+
+
+# --- rolling detectors, divergence, outages, timeline (phases 4-5) ------------
+from ..config import RollingParams  # noqa: E402
+from ..operators import outages, rolling, timeline  # noqa: E402
+
+ROLL_COLS = ("rolling_mean", "rolling_std", "z_score", "is_anomaly", "is_spike", "is_drop")
+
+
+def r9(df: DataFrame, cols) -> DataFrame:
+    """Round order-dependent floating results (window/global double sums) to 9 dp."""
+    for c in cols:
+        df = df.withColumn(c, F.round(c, 9))
+    return df
+
+
+def _rates(spark, sf):
+    return series.rate_series(A.transactions(spark, sf))
+
+
+@register("rolling_volume")
+def q_rolling_volume(spark, sf):
+    r = rolling.rolling_zscore(_rates(spark, sf), "total", params=RollingParams(z_threshold=3.0))
+    return r.select("ts", F.col("total").alias("value"), *ROLL_COLS)
+
+
+@register("rolling_approval")
+def q_rolling_approval(spark, sf):
+    r = rolling.rolling_zscore(_rates(spark, sf), "approval_rate", dropna=True,
+                               params=RollingParams(z_threshold=2.5))
+    return r9(r.select("ts", F.col("approval_rate").alias("value"), *ROLL_COLS),
+              ["rolling_mean", "rolling_std", "z_score"])
+
+
+@register("rolling_error")
+def q_rolling_error(spark, sf):
+    r = rolling.rolling_zscore(_rates(spark, sf), "error_rate", dropna=True,
+                               params=RollingParams(z_threshold=2.5))
+    r = r.withColumn("direction", rolling.direction())
+    return r9(r.select("ts", F.col("error_rate").alias("value"), *ROLL_COLS, "direction"),
+              ["rolling_mean", "rolling_std", "z_score"])
+
+
+@register("rolling_bands")
+def q_rolling_bands(spark, sf):
+    r = rolling.rolling_zscore(_rates(spark, sf), "total", params=RollingParams(z_threshold=3.0))
+    r = rolling.bands(r, 3.0).withColumn("direction", rolling.direction())
+    return r.select("ts", F.col("total").alias("value"), "rolling_mean", "band_lower", "band_upper",
+                    "is_anomaly", "direction")
+
+
+@register("rolling_keyed")
+def q_rolling_keyed(spark, sf):
+    r = rolling.rolling_zscore(A.transactions(spark, sf), "cnt", keys=["status"],
+                               params=RollingParams(z_threshold=3.0))
+    return r.select("status", "ts", F.col("cnt").alias("value"), *ROLL_COLS)
+
+
+@register("rolling_daily")
+def q_rolling_daily(spark, sf):
+    d = series.rate_series(A.transactions_daily(spark, sf))
+    r = rolling.rolling_zscore(d, "total", params=RollingParams(z_threshold=3.0))
+    return r.select("ts", F.col("total").alias("value"), *ROLL_COLS)
+
+
+@register("cross_signal")
+def q_cross_signal(spark, sf):
+    d = rolling.divergence(_rates(spark, sf), series.auth_rates(A.auth_codes(spark, sf)))
+    return r9(d, ["threshold"])
+
+
+@register("outage_periods")
+def q_outage_periods(spark, sf):
+    vol = series.volume_per_stamp(A.transactions(spark, sf))
+    return outages.outage_periods(vol, unit="HOUR")
+
+
+def _signals(spark, sf):
+    return timeline.signal_frame(_rates(spark, sf), series.auth_rates(A.auth_codes(spark, sf)))
+
+
+@register("anomaly_timeline")
+def q_anomaly_timeline(spark, sf):
+    return r9(timeline.anomaly_timeline(_signals(spark, sf)), ["approval_zscore", "error_zscore"])
+
+
+@register("timeline_5min")
+def q_timeline_5min(spark, sf):
+    return timeline.resample_max(timeline.anomaly_timeline(_signals(spark, sf)), 5, unit="HOUR")
+
+
+@register("severity_distribution")
+def q_severity_distribution(spark, sf):
+    return timeline.severity_distribution(timeline.anomaly_timeline(_signals(spark, sf)))
+
+
+@register("flag_counts")
+def q_flag_counts(spark, sf):
+    t = timeline.anomaly_timeline(_signals(spark, sf))
+    return t.agg(
+        F.count(F.lit(1)).alias("n_stamps"),
+        *[F.sum(F.col(c).cast("bigint")).alias(c) for c in
+          ("volume_anomaly", "approval_anomaly", "error_anomaly", "cross_signal_divergent", "near_zero")],
+        F.sum((F.col("total_score") > 0).cast("bigint")).alias("anomalous"),
+    ).withColumn("anomalous_pct", F.lit(100.0) * F.col("anomalous").cast("double") / F.col("n_stamps").cast("double"))
+
+
+@register("rule_book")
+def q_rule_book(spark, sf):
+    return timeline.rule_book(_signals(spark, sf), unit="HOUR")
+
+
+@register("recommended_thresholds")
+def q_recommended_thresholds(spark, sf):
+    t = timeline.recommended_thresholds(_signals(spark, sf))
+    return r9(t, ["apr_mean", "apr_std", "apr_critical", "err_mean", "err_std", "divergence_threshold"])

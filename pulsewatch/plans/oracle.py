@@ -167,3 +167,181 @@ v AS (
                  THEN 'unmonitored status' END AS reject_reason
   FROM r)
 SELECT *, reject_reason IS NULL AS is_valid FROM v"""
+
+
+def rolling_exact(src: str, value: str, order: str = "ts", part: str = "", window: int = 60,
+                  min_periods: int = 30) -> str:
+    """Exact integer rolling stats: n, s1, s2 -> mean, floored std."""
+    pb = f"PARTITION BY {part} " if part else ""
+    return f"""SELECT *, CASE WHEN n >= {min_periods} THEN CAST(s1 AS DOUBLE) / CAST(n AS DOUBLE) END AS rolling_mean,
+       CASE WHEN n >= {min_periods} AND n >= 2 THEN greatest(sqrt(CAST(CAST(n AS HUGEINT) * s2 - CAST(s1 AS HUGEINT) * s1 AS DOUBLE)
+            / (CAST(n AS DOUBLE) * CAST(n - 1 AS DOUBLE))), 1.0) END AS rolling_std
+FROM (SELECT *, COUNT({value}) OVER w AS n, SUM({value}) OVER w AS s1,
+             SUM(CAST({value} AS HUGEINT) * CAST({value} AS HUGEINT)) OVER w AS s2
+      FROM {src} WINDOW w AS ({pb}ORDER BY {order} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW))"""
+
+
+def rolling_float(src: str, value: str, window: int = 60, min_periods: int = 30) -> str:
+    return f"""SELECT *, CASE WHEN n >= {min_periods} THEN a END AS rolling_mean,
+       CASE WHEN n >= {min_periods} AND sd IS NOT NULL THEN greatest(sd, 1.0) END AS rolling_std
+FROM (SELECT *, COUNT({value}) OVER w AS n, AVG({value}) OVER w AS a, STDDEV_SAMP({value}) OVER w AS sd
+      FROM {src} WHERE {value} IS NOT NULL
+      WINDOW w AS (ORDER BY ts ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW))"""
+
+
+def zflags(t: float) -> str:
+    return f"""COALESCE(abs(z_score) > {t}, false) AS is_anomaly, COALESCE(z_score > {t}, false) AS is_spike,
+       COALESCE(z_score < -{t}, false) AS is_drop"""
+
+
+SQL["rolling_volume"] = with_(TX, WIDE, f"r AS ({rolling_exact('rates', 'total')})",
+                              "z AS (SELECT *, (CAST(total AS DOUBLE) - rolling_mean) / rolling_std AS z_score FROM r)") + f"""
+SELECT ts, total AS value, rolling_mean, rolling_std, z_score, {zflags(3.0)} FROM z"""
+
+for _k, _v in (("rolling_approval", "approval_rate"), ("rolling_error", "error_rate")):
+    _dir = (", CASE WHEN z_score > 0 THEN 'SPIKE' WHEN z_score < 0 THEN 'DROP' END AS direction"
+            if _k == "rolling_error" else "")
+    SQL[_k] = with_(TX, WIDE, f"r AS ({rolling_float('rates', _v)})",
+                    f"z AS (SELECT *, ({_v} - rolling_mean) / rolling_std AS z_score FROM r)") + f"""
+SELECT ts, {_v} AS value, ROUND(rolling_mean, 9) AS rolling_mean, ROUND(rolling_std, 9) AS rolling_std,
+       ROUND(z_score, 9) AS z_score, {zflags(2.5)}{_dir} FROM z"""
+
+SQL["rolling_bands"] = with_(TX, WIDE, f"r AS ({rolling_exact('rates', 'total')})",
+                             "z AS (SELECT *, (CAST(total AS DOUBLE) - rolling_mean) / rolling_std AS z_score FROM r)") + """
+SELECT ts, total AS value, rolling_mean,
+       CASE WHEN rolling_mean - 3.0 * rolling_std IS NOT NULL THEN greatest(rolling_mean - 3.0 * rolling_std, 0.0) END AS band_lower,
+       rolling_mean + 3.0 * rolling_std AS band_upper,
+       COALESCE(abs(z_score) > 3.0, false) AS is_anomaly,
+       CASE WHEN z_score > 0 THEN 'SPIKE' WHEN z_score < 0 THEN 'DROP' END AS direction
+FROM z"""
+
+SQL["rolling_keyed"] = with_(TX, f"r AS ({rolling_exact('tx', 'cnt', part='status')})",
+                             "z AS (SELECT *, (CAST(cnt AS DOUBLE) - rolling_mean) / rolling_std AS z_score FROM r)") + f"""
+SELECT status, ts, cnt AS value, rolling_mean, rolling_std, z_score, {zflags(3.0)} FROM z"""
+
+SQL["rolling_daily"] = with_(TXD, "d AS (SELECT ts, CAST(SUM(cnt) AS BIGINT) AS total FROM txd GROUP BY ts)",
+                             f"r AS ({rolling_exact('d', 'total')})",
+                             "z AS (SELECT *, (CAST(total AS DOUBLE) - rolling_mean) / rolling_std AS z_score FROM r)") + f"""
+SELECT ts, total AS value, rolling_mean, rolling_std, z_score, {zflags(3.0)} FROM z"""
+
+AUTH_RATE = """ar AS (
+  SELECT ts, CASE WHEN SUM(cnt) <> 0 THEN CAST(SUM(CASE WHEN auth_code = (SELECT c FROM code) THEN cnt ELSE 0 END) AS DOUBLE)
+                  / CAST(SUM(cnt) AS DOUBLE) END AS auth_approval_rate
+  FROM auth GROUP BY ts)"""
+
+SQL["cross_signal"] = with_(TX, WIDE, AUTH, AUTH_CODE, AUTH_RATE, """d AS (
+  SELECT r.ts, r.approval_rate AS status_approval_rate, a.auth_approval_rate,
+         abs(r.approval_rate - a.auth_approval_rate) AS divergence
+  FROM rates r JOIN ar a ON r.ts = a.ts
+  WHERE r.approval_rate IS NOT NULL AND a.auth_approval_rate IS NOT NULL),
+t AS (SELECT AVG(divergence) + 3.0 * STDDEV_SAMP(divergence) AS th FROM d)""") + """
+SELECT ts, status_approval_rate, auth_approval_rate, divergence, ROUND((SELECT th FROM t), 9) AS threshold,
+       COALESCE(divergence > (SELECT th FROM t), false) AS is_divergent FROM d"""
+
+SQL["outage_periods"] = with_(TX, """v AS (SELECT ts, CAST(SUM(cnt) AS BIGINT) AS total FROM tx GROUP BY ts),
+o AS (SELECT ts FROM v WHERE total <= 5),
+g AS (SELECT ts, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL
+                        OR ts - lag(ts) OVER (ORDER BY ts) > INTERVAL 2 HOUR THEN 1 ELSE 0 END AS st FROM o),
+i AS (SELECT ts, SUM(st) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pid FROM g),
+p AS (SELECT pid, MIN(ts) AS start_ts, MAX(ts) AS end_ts, COUNT(*) AS outage_stamps FROM i GROUP BY pid)""") + """
+SELECT start_ts, end_ts, CAST(date_diff('hour', start_ts, end_ts) + 1 AS BIGINT) AS duration, outage_stamps,
+       (SELECT AVG(total) FROM v WHERE v.ts BETWEEN p.start_ts AND p.end_ts) AS avg_volume,
+       CASE WHEN date_diff('hour', start_ts, end_ts) + 1 >= 5 THEN 'CRITICAL'
+            WHEN date_diff('hour', start_ts, end_ts) + 1 >= 2 THEN 'WARNING' ELSE 'INFO' END AS severity
+FROM p"""
+
+# Signal frame: rates + auth rate, three rolling z-scores, divergence and flags.
+SIG = [TX, WIDE, AUTH, AUTH_CODE, AUTH_RATE,
+       "b AS (SELECT r.*, a.auth_approval_rate FROM rates r LEFT JOIN ar a ON r.ts = a.ts)",
+       f"vs AS ({rolling_exact('b', 'total')})",
+       f"aps AS ({rolling_float('b', 'approval_rate')})",
+       f"ers AS ({rolling_float('b', 'error_rate')})",
+       """z AS (
+  SELECT b.*, (CAST(b.total AS DOUBLE) - vs.rolling_mean) / vs.rolling_std AS volume_zscore,
+         (b.approval_rate - aps.rolling_mean) / aps.rolling_std AS approval_zscore,
+         (b.error_rate - ers.rolling_mean) / ers.rolling_std AS error_zscore,
+         abs(b.approval_rate - b.auth_approval_rate) AS divergence
+  FROM b JOIN vs ON b.ts = vs.ts LEFT JOIN aps ON b.ts = aps.ts LEFT JOIN ers ON b.ts = ers.ts)""",
+       "th AS (SELECT AVG(divergence) + 3.0 * STDDEV_SAMP(divergence) AS t FROM z WHERE divergence IS NOT NULL)",
+       """sig AS (
+  SELECT z.*, (SELECT t FROM th) AS divergence_threshold,
+         CAST(COALESCE(abs(volume_zscore) > 3.0, false) AS INTEGER) AS volume_anomaly,
+         CAST(COALESCE(abs(approval_zscore) > 2.5, false) AS INTEGER) AS approval_anomaly,
+         CAST(COALESCE(abs(error_zscore) > 2.5, false) AS INTEGER) AS error_anomaly,
+         CAST(COALESCE(divergence > (SELECT t FROM th), false) AS INTEGER) AS cross_signal_divergent,
+         CAST(COALESCE(total <= 5, false) AS INTEGER) AS near_zero
+  FROM z)""",
+       """tl AS (
+  SELECT *, CASE WHEN near_zero = 1 THEN 'CRITICAL' WHEN total_score >= 3 THEN 'CRITICAL'
+                 WHEN total_score >= 2 THEN 'WARNING' WHEN total_score >= 1 THEN 'INFO' ELSE 'NORMAL' END AS severity,
+            concat_ws(', ', CASE WHEN volume_anomaly = 1 THEN 'VOL' END, CASE WHEN approval_anomaly = 1 THEN 'APR' END,
+                      CASE WHEN error_anomaly = 1 THEN 'ERR' END, CASE WHEN cross_signal_divergent = 1 THEN 'XSIG' END,
+                      CASE WHEN near_zero = 1 THEN 'OUTAGE' END) AS triggers
+  FROM (SELECT *, CAST(volume_anomaly + approval_anomaly + error_anomaly + cross_signal_divergent + 2 * near_zero AS INTEGER)
+                  AS total_score FROM sig))"""]
+
+SQL["anomaly_timeline"] = with_(*SIG) + """
+SELECT ts, volume_zscore, volume_anomaly, ROUND(approval_zscore, 9) AS approval_zscore, approval_anomaly,
+       ROUND(error_zscore, 9) AS error_zscore, error_anomaly, cross_signal_divergent, near_zero, total_score,
+       severity, triggers FROM tl"""
+
+SQL["timeline_5min"] = with_(*SIG, """o AS (SELECT date_diff('second', TIMESTAMP '1970-01-01', date_trunc('day', MIN(ts))) AS origin FROM tl),
+bk AS (SELECT origin + CAST(floor(CAST(date_diff('second', TIMESTAMP '1970-01-01', ts) - origin AS DOUBLE) / 18000) AS BIGINT) * 18000 AS bb,
+              total_score FROM tl, o),
+ag AS (SELECT bb, MAX(total_score) AS m FROM bk GROUP BY bb),
+g AS (SELECT unnest(generate_series(MIN(bb), MAX(bb), 18000)) AS bb FROM ag)""") + """
+SELECT make_timestamp(g.bb * 1000000) AS bucket_start, CAST(COALESCE(ag.m, 0) AS INTEGER) AS max_score
+FROM g LEFT JOIN ag ON g.bb = ag.bb"""
+
+SQL["severity_distribution"] = with_(*SIG, """sv AS (SELECT * FROM (VALUES ('CRITICAL'), ('WARNING'), ('INFO'), ('NORMAL')) v(severity)),
+c AS (SELECT severity, COUNT(*) AS cnt FROM tl GROUP BY severity),
+n AS (SELECT COUNT(*) AS n FROM tl)""") + """
+SELECT sv.severity, CAST(COALESCE(c.cnt, 0) AS BIGINT) AS cnt,
+       100.0::DOUBLE * (CAST(COALESCE(c.cnt, 0) AS DOUBLE) / CAST((SELECT n FROM n) AS DOUBLE)) AS pct
+FROM sv LEFT JOIN c ON sv.severity = c.severity"""
+
+SQL["flag_counts"] = with_(*SIG) + """
+SELECT COUNT(*) AS n_stamps, CAST(SUM(volume_anomaly) AS BIGINT) AS volume_anomaly,
+       CAST(SUM(approval_anomaly) AS BIGINT) AS approval_anomaly, CAST(SUM(error_anomaly) AS BIGINT) AS error_anomaly,
+       CAST(SUM(cross_signal_divergent) AS BIGINT) AS cross_signal_divergent, CAST(SUM(near_zero) AS BIGINT) AS near_zero,
+       CAST(SUM(CASE WHEN total_score > 0 THEN 1 ELSE 0 END) AS BIGINT) AS anomalous,
+       100.0::DOUBLE * CAST(SUM(CASE WHEN total_score > 0 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS anomalous_pct
+FROM tl"""
+
+SQL["rule_book"] = with_(*SIG, """lr AS (
+  SELECT *, CASE WHEN NOT (total < 5) OR lag(ts) OVER o IS NULL OR lag(ts) OVER o <> ts - INTERVAL 1 HOUR
+                      OR NOT COALESCE(lag(total < 5) OVER o, false) THEN 1 ELSE 0 END AS brk
+  FROM sig WINDOW o AS (ORDER BY ts)),
+lr2 AS (SELECT *, SUM(brk) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM lr),
+lr3 AS (SELECT *, CAST(CASE WHEN total < 5 THEN row_number() OVER (PARTITION BY run ORDER BY ts) ELSE 0 END AS BIGINT)
+                  AS low_run_length FROM lr2),
+fl AS (SELECT (SELECT greatest(0.0, AVG(approval_rate) - 3.0 * STDDEV_SAMP(approval_rate)) FROM sig) AS f),
+r AS (
+  SELECT ts, low_run_length, low_run_length >= 5 AS volume_outage,
+         COALESCE(approval_rate < (SELECT f FROM fl), false) AS approval_floor,
+         COALESCE(abs(volume_zscore) > 3.0, false) AS volume_z,
+         COALESCE(approval_zscore < -2.5, false) AS approval_drop,
+         COALESCE(error_zscore > 2.5, false) AS error_rise,
+         COALESCE(divergence > divergence_threshold, false) AS divergence
+  FROM lr3)""") + """
+SELECT *, CASE WHEN volume_outage OR approval_floor THEN 'CRITICAL'
+               WHEN volume_z OR approval_drop OR error_rise OR divergence THEN 'WARNING' ELSE 'NORMAL' END AS severity,
+       concat_ws(', ', CASE WHEN volume_outage THEN 'volume_outage' END, CASE WHEN approval_floor THEN 'approval_floor' END,
+                 CASE WHEN volume_z THEN 'volume_z' END, CASE WHEN approval_drop THEN 'approval_drop' END,
+                 CASE WHEN error_rise THEN 'error_rise' END, CASE WHEN divergence THEN 'divergence' END) AS rules
+FROM r"""
+
+SQL["recommended_thresholds"] = with_(*SIG, """g AS (
+  SELECT CAST(SUM(total) AS DOUBLE) / CAST(COUNT(total) AS DOUBLE) AS vol_mean,
+         sqrt(CAST(CAST(COUNT(total) AS HUGEINT) * SUM(CAST(total AS HUGEINT) * CAST(total AS HUGEINT))
+                   - CAST(SUM(total) AS HUGEINT) * SUM(total) AS DOUBLE)
+              / (CAST(COUNT(total) AS DOUBLE) * CAST(COUNT(total) - 1 AS DOUBLE))) AS vol_std,
+         AVG(approval_rate) AS apr_mean, STDDEV_SAMP(approval_rate) AS apr_std,
+         AVG(error_rate) AS err_mean, STDDEV_SAMP(error_rate) AS err_std,
+         AVG(divergence) + 3.0 * STDDEV_SAMP(divergence) AS divergence_threshold
+  FROM sig)""") + """
+SELECT vol_mean, vol_std, greatest(0.0, vol_mean - 3.0 * vol_std) AS vol_lower, vol_mean + 3.0 * vol_std AS vol_upper,
+       ROUND(apr_mean, 9) AS apr_mean, ROUND(apr_std, 9) AS apr_std,
+       ROUND(greatest(0.0, apr_mean - 3.0 * apr_std), 9) AS apr_critical,
+       ROUND(err_mean, 9) AS err_mean, ROUND(err_std, 9) AS err_std, ROUND(divergence_threshold, 9) AS divergence_threshold
+FROM g"""
