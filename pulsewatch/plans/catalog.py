@@ -238,3 +238,77 @@ def q_rule_book(spark, sf):
 def q_recommended_thresholds(spark, sf):
     t = timeline.recommended_thresholds(_signals(spark, sf))
     return r9(t, ["apr_mean", "apr_std", "apr_critical", "err_mean", "err_std", "divergence_threshold"])
+
+
+# --- checkout family (phase 6) ------------------------------------------------------
+from ..operators import checkout  # noqa: E402
+
+CHECKOUT_KEYS = ("snapshot", "day")
+SNAPSHOTS = ("click", "error", "purchase", "signup", "view")
+BASE_COLS = ("snapshot", "day", "time", "hour_of_day", "today", "yesterday", "same_day_last_week",
+             "avg_last_week", "avg_last_month")
+L4_COLS = ("expected", "estimated_std", "z_score", "is_zscore_anomaly", "is_low_traffic", "abs_deviation",
+           "is_volume_anomaly", "is_outage", "historical_max", "is_spike", "actual_change", "expected_change",
+           "change_deviation", "change_std", "change_z_score", "is_slope_anomaly", "anomaly_score",
+           "severity", "is_anomalous")
+L3_COLS = ("expected", "estimated_std", "z_score", "is_zscore_anomaly", "is_low_traffic", "abs_deviation",
+           "pct_deviation", "is_volume_anomaly", "is_outage", "historical_max", "is_spike", "anomaly_score",
+           "severity", "is_anomalous")
+
+
+def _detected(spark, sf, layers=4):
+    return checkout.detect_checkout(A.checkout_data(spark, sf), keys=CHECKOUT_KEYS,
+                                    hour="hour_of_day", layers=layers)
+
+
+@register("checkout_baselines")
+def q_checkout_baselines(spark, sf):
+    return A.checkout_data(spark, sf)
+
+
+@register("checkout_4layer")
+def q_checkout_4layer(spark, sf):
+    return _detected(spark, sf).select(*BASE_COLS, *L4_COLS)
+
+
+@register("checkout_3layer")
+def q_checkout_3layer(spark, sf):
+    return _detected(spark, sf, layers=3).select(*BASE_COLS, *L3_COLS)
+
+
+@register("checkout_naive")
+def q_checkout_naive(spark, sf):
+    return checkout.naive_baseline(A.checkout_data(spark, sf)).select(
+        "snapshot", "day", "time", "today", "avg_last_week", "avg_last_month",
+        "pct_deviation_week", "is_naive_anomaly", "naive_severity")
+
+
+@register("checkout_bounds")
+def q_checkout_bounds(spark, sf):
+    return checkout.alert_bounds(_detected(spark, sf)).select(
+        "snapshot", "day", "time", "traffic_level", "expected_1dp", "lower_bound", "upper_bound")
+
+
+@register("checkout_bands")
+def q_checkout_bands(spark, sf):
+    return checkout.confidence_bands(_detected(spark, sf)).select(
+        "snapshot", "day", "hour_of_day", "today", "expected", "band1_lower", "band1_upper",
+        "band2_lower", "band2_upper")
+
+
+@register("checkout_ratio")
+def q_checkout_ratio(spark, sf):
+    return checkout.ratio_matrix(A.checkout_data(spark, sf), SNAPSHOTS)
+
+
+@register("checkout_totals")
+def q_checkout_totals(spark, sf):
+    return r9(checkout.day_totals(A.checkout_data(spark, sf)),
+              ["total_avg_week", "total_avg_month", "pct_vs_week", "pct_vs_month"])
+
+
+@register("checkout_reasons")
+def q_checkout_reasons(spark, sf):
+    return (checkout.reasons(_detected(spark, sf))
+            .select("snapshot", "day", "time", "severity", "anomaly_score", "reasons")
+            .orderBy(F.desc("anomaly_score"), "snapshot", "day", "time"))

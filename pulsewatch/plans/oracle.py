@@ -345,3 +345,148 @@ SELECT vol_mean, vol_std, greatest(0.0, vol_mean - 3.0 * vol_std) AS vol_lower,
        ROUND(greatest(0.0, apr_mean - 3.0 * apr_std), 9) AS apr_critical,
        ROUND(err_mean, 9) AS err_mean, ROUND(err_std, 9) AS err_std, ROUND(divergence_threshold, 9) AS divergence_threshold
 FROM g"""
+
+# --- checkout family ----------------------------------------------------------------
+CHECKOUT = [
+    """ev AS (SELECT event_type AS snapshot, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hts,
+                CAST(SUM(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY 1, 2)""",
+    "bnd AS (SELECT CAST(date_trunc('day', MIN(hts)) AS TIMESTAMP) AS lo, MAX(hts) AS hi FROM ev)",
+    """grid AS (SELECT s.snapshot, unnest(generate_series(b.lo, b.hi, INTERVAL 1 HOUR)) AS hts
+             FROM (SELECT DISTINCT snapshot FROM ev) s, bnd b)""",
+    """dense AS (SELECT g.snapshot, CAST(date_trunc('day', g.hts) AS TIMESTAMP) AS day, CAST(hour(g.hts) AS INTEGER) AS hour_of_day,
+                      CAST(COALESCE(e.v, 0) AS BIGINT) AS today
+              FROM grid g LEFT JOIN ev e ON g.snapshot = e.snapshot AND g.hts = e.hts)""",
+    """cb AS (SELECT snapshot, day, lpad(CAST(hour_of_day AS VARCHAR), 2, '0') || 'h' AS time, hour_of_day, today,
+                   lag(today, 1) OVER (PARTITION BY snapshot, hour_of_day ORDER BY day) AS yesterday,
+                   lag(today, 7) OVER (PARTITION BY snapshot, hour_of_day ORDER BY day) AS same_day_last_week,
+                   AVG(today) OVER (PARTITION BY snapshot, hour_of_day ORDER BY day
+                                    ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS avg_last_week,
+                   AVG(today) OVER (PARTITION BY snapshot, hour_of_day ORDER BY day
+                                    ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS avg_last_month,
+                   row_number() OVER (PARTITION BY snapshot, hour_of_day ORDER BY day) AS i
+            FROM dense)""",
+    "checkout AS (SELECT snapshot, day, time, hour_of_day, today, yesterday, same_day_last_week, avg_last_week, avg_last_month FROM cb WHERE i > 7)",
+]
+
+
+def _rowstd(a, b, c, d):
+    m = f"(((({a}) + ({b})) + ({c})) + ({d})) / 4.0"
+    t = [f"((({x}) - {m}) * (({x}) - {m}))" for x in (a, b, c, d)]
+    return f"sqrt(((({t[0]} + {t[1]}) + {t[2]}) + {t[3]}) / 3.0)"
+
+
+_Y, _S, _W, _M = ("CAST(yesterday AS DOUBLE)", "CAST(same_day_last_week AS DOUBLE)",
+                  "CAST(avg_last_week AS DOUBLE)", "CAST(avg_last_month AS DOUBLE)")
+_PW = "PARTITION BY snapshot, day ORDER BY hour_of_day"
+
+LAYERS = CHECKOUT + [
+    f"""l1 AS (SELECT *, 0.30::DOUBLE * avg_last_week + 0.25::DOUBLE * avg_last_month
+                    + 0.25::DOUBLE * same_day_last_week + 0.20::DOUBLE * yesterday AS expected,
+                    {_rowstd(_Y, _S, _W, _M)} AS std_raw FROM checkout)""",
+    "l2 AS (SELECT *, greatest(std_raw, 1.0, 0.3::DOUBLE * expected) AS estimated_std FROM l1)",
+    """l3 AS (SELECT *, (CAST(today AS DOUBLE) - expected) / estimated_std AS z_score,
+                  abs(CAST(today AS DOUBLE) - expected) AS abs_deviation,
+                  abs(CASE WHEN expected <> 0 THEN (CAST(today AS DOUBLE) - expected) / expected END) AS pct_deviation,
+                  greatest(CAST(yesterday AS DOUBLE), CAST(same_day_last_week AS DOUBLE), avg_last_week, avg_last_month) AS historical_max
+           FROM l2)""",
+    """l4 AS (SELECT *, COALESCE(abs(z_score) > 2.0, false) AS is_zscore_anomaly,
+                  COALESCE(avg_last_month < 5.0, false) AS is_low_traffic,
+                  COALESCE(CASE WHEN avg_last_month < 5.0 THEN abs_deviation > 10.0 AND abs(z_score) > 2.0
+                                ELSE pct_deviation > 1.0 AND abs(z_score) > 1.6 END, false) AS is_volume_anomaly,
+                  COALESCE(today = 0 AND expected >= 5.0, false) AS is_outage,
+                  COALESCE(CAST(today AS DOUBLE) > 3.0 * historical_max AND CAST(today AS DOUBLE) > 10.0, false) AS is_spike
+           FROM l3)""",
+    f"""l5 AS (SELECT *, CAST(today AS DOUBLE) - lag(CAST(today AS DOUBLE)) OVER ({_PW}) AS actual_change,
+                  expected - lag(expected) OVER ({_PW}) AS expected_change,
+                  {_Y} - lag({_Y}) OVER ({_PW}) AS dy, {_S} - lag({_S}) OVER ({_PW}) AS ds,
+                  {_W} - lag({_W}) OVER ({_PW}) AS dw, {_M} - lag({_M}) OVER ({_PW}) AS dm
+           FROM l4)""",
+    f"""l6 AS (SELECT *, actual_change - expected_change AS change_deviation,
+                  CASE WHEN {_rowstd('dy', 'ds', 'dw', 'dm')} IS NOT NULL
+                       THEN greatest({_rowstd('dy', 'ds', 'dw', 'dm')}, 3.0) END AS change_std FROM l5)""",
+    """l7 AS (SELECT *, change_deviation / change_std AS change_z_score,
+                  COALESCE(change_deviation / change_std < -2.0 AND actual_change < -10.0, false) AS is_slope_anomaly
+           FROM l6)""",
+    """det AS (SELECT *, CAST(CAST(is_zscore_anomaly AS INTEGER) + CAST(is_volume_anomaly AS INTEGER)
+                          + 2 * CAST(is_outage AS INTEGER) + 2 * CAST(is_spike AS INTEGER)
+                          + CAST(is_slope_anomaly AS INTEGER) AS INTEGER) AS anomaly_score,
+                      CAST(CAST(is_zscore_anomaly AS INTEGER) + CAST(is_volume_anomaly AS INTEGER)
+                          + 2 * CAST(is_outage AS INTEGER) + 2 * CAST(is_spike AS INTEGER) AS INTEGER) AS score3
+           FROM l7)""",
+]
+
+_BASE = "snapshot, day, time, hour_of_day, today, yesterday, same_day_last_week, avg_last_week, avg_last_month"
+
+
+def _sev(score):
+    return (f"CASE WHEN is_outage THEN 'CRITICAL' WHEN is_spike THEN 'WARNING' WHEN {score} >= 2 THEN 'WARNING' "
+            f"WHEN {score} = 1 THEN 'INFO' ELSE 'NORMAL' END")
+
+
+SQL["checkout_baselines"] = with_(*CHECKOUT) + "SELECT * FROM checkout"
+
+SQL["checkout_4layer"] = with_(*LAYERS) + f"""
+SELECT {_BASE}, expected, estimated_std, z_score, is_zscore_anomaly, is_low_traffic, abs_deviation,
+       is_volume_anomaly, is_outage, historical_max, is_spike, actual_change, expected_change, change_deviation,
+       change_std, change_z_score, is_slope_anomaly, anomaly_score, {_sev('anomaly_score')} AS severity,
+       anomaly_score > 0 AS is_anomalous
+FROM det"""
+
+SQL["checkout_3layer"] = with_(*LAYERS) + f"""
+SELECT {_BASE}, expected, estimated_std, z_score, is_zscore_anomaly, is_low_traffic, abs_deviation, pct_deviation,
+       is_volume_anomaly, is_outage, historical_max, is_spike, score3 AS anomaly_score,
+       {_sev('score3')} AS severity, score3 > 0 AS is_anomalous
+FROM det"""
+
+SQL["checkout_naive"] = with_(*CHECKOUT) + """
+SELECT snapshot, day, time, today, avg_last_week, avg_last_month,
+       CASE WHEN avg_last_week <> 0 THEN (CAST(today AS DOUBLE) - avg_last_week) / avg_last_week END * 100.0::DOUBLE AS pct_deviation_week,
+       COALESCE(avg_last_week <> 0 AND abs((CAST(today AS DOUBLE) - avg_last_week) / avg_last_week) > 0.5, false) AS is_naive_anomaly,
+       CASE WHEN avg_last_week = 0 THEN 'UNKNOWN'
+            WHEN abs((CAST(today AS DOUBLE) - avg_last_week) / avg_last_week) > 1.0 THEN 'CRITICAL'
+            WHEN abs((CAST(today AS DOUBLE) - avg_last_week) / avg_last_week) > 0.5 THEN 'WARNING'
+            ELSE 'NORMAL' END AS naive_severity
+FROM checkout"""
+
+
+def _r1(x):
+    return f"CAST(floor(({x}) * 10.0 + 0.5) AS DOUBLE) / 10.0"
+
+
+SQL["checkout_bounds"] = with_(*LAYERS) + f"""
+SELECT snapshot, day, time, CASE WHEN is_low_traffic THEN 'LOW' ELSE 'HIGH' END AS traffic_level,
+       {_r1('expected')} AS expected_1dp, {_r1('greatest(0.0, expected - 2.0 * estimated_std)')} AS lower_bound,
+       {_r1('expected + 2.0 * estimated_std')} AS upper_bound
+FROM det"""
+
+SQL["checkout_bands"] = with_(*LAYERS) + """
+SELECT snapshot, day, hour_of_day, today, expected, greatest(0.0, expected - estimated_std) AS band1_lower,
+       expected + estimated_std AS band1_upper, greatest(0.0, expected - 2.0 * estimated_std) AS band2_lower,
+       expected + 2.0 * estimated_std AS band2_upper
+FROM det"""
+
+SQL["checkout_ratio"] = with_(*CHECKOUT, """r AS (SELECT day, hour_of_day, snapshot,
+       CASE WHEN avg_last_week <> 0 THEN CAST(today AS DOUBLE) / avg_last_week END AS ratio FROM checkout)""") + """
+SELECT day, hour_of_day,
+       MAX(CASE WHEN snapshot = 'click' THEN ratio END) AS click, MAX(CASE WHEN snapshot = 'error' THEN ratio END) AS error,
+       MAX(CASE WHEN snapshot = 'purchase' THEN ratio END) AS purchase, MAX(CASE WHEN snapshot = 'signup' THEN ratio END) AS signup,
+       MAX(CASE WHEN snapshot = 'view' THEN ratio END) AS view
+FROM r GROUP BY day, hour_of_day"""
+
+SQL["checkout_totals"] = with_(*CHECKOUT, """g AS (SELECT snapshot, day, CAST(SUM(today) AS BIGINT) AS total_today,
+       SUM(avg_last_week) AS total_avg_week, SUM(avg_last_month) AS total_avg_month FROM checkout GROUP BY snapshot, day)""") + """
+SELECT snapshot, day, total_today, ROUND(total_avg_week, 9) AS total_avg_week, ROUND(total_avg_month, 9) AS total_avg_month,
+       ROUND((CASE WHEN total_avg_week <> 0 THEN CAST(total_today AS DOUBLE) / total_avg_week END - 1.0) * 100.0, 9) AS pct_vs_week,
+       ROUND((CASE WHEN total_avg_month <> 0 THEN CAST(total_today AS DOUBLE) / total_avg_month END - 1.0) * 100.0, 9) AS pct_vs_month
+FROM g"""
+
+SQL["checkout_reasons"] = with_(*LAYERS) + """
+SELECT snapshot, day, time, """ + _sev("anomaly_score") + """ AS severity, anomaly_score,
+       concat_ws('; ',
+         CASE WHEN is_outage THEN 'OUTAGE: Volume dropped to zero while significant traffic expected' END,
+         CASE WHEN is_spike THEN 'SPIKE: Today (' || CAST(today AS VARCHAR) || ') > 3x historical max ('
+                                 || printf('%.0f', CAST(floor(historical_max + 0.5) AS DOUBLE)) || ')' END,
+         CASE WHEN is_zscore_anomaly THEN 'STATISTICAL: ' || printf('%+.2f', CAST(floor(z_score * 100.0 + 0.5) AS DOUBLE) / 100.0)
+                                 || 'σ ' || CASE WHEN z_score > 0 THEN 'above' ELSE 'below' END || ' expected range' END,
+         CASE WHEN is_volume_anomaly THEN 'VOLUME: Significant deviation given traffic level' END) AS reasons
+FROM det WHERE anomaly_score > 0"""

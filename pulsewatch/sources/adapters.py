@@ -89,3 +89,12 @@ def raw_records(spark: SparkSession, sf_dir: str, unit: str = "MINUTE") -> DataF
         status.alias("status"),
         (F.floor("value").cast("bigint") - 1).alias("cnt"),
     )
+
+
+def checkout_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly checkout snapshots: one series per event type, measure =
+    sum(floor(value)) per hour, with the day/week/month baselines."""
+    from ..operators.checkout import build_baselines
+    ev = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("snapshot"), "ts", F.floor("value").cast("bigint").alias("value"))
+    return build_baselines(ev)
