@@ -312,3 +312,44 @@ def q_checkout_reasons(spark, sf):
     return (checkout.reasons(_detected(spark, sf))
             .select("snapshot", "day", "time", "severity", "anomaly_score", "reasons")
             .orderBy(F.desc("anomaly_score"), "snapshot", "day", "time"))
+
+
+# --- policy detector, report, evaluation (phase 7) -----------------------------------
+from ..config import MONITORED_STATUSES, PolicyParams  # noqa: E402
+from ..operators import policy  # noqa: E402
+
+DETAIL_COLS = ("eval_ts", "status", "current_value", "baseline_mean", "baseline_std", "z_score", "z_raw",
+               "is_anomalous", "contribution", "n_history", "overall_severity", "max_z_score", "recommendation")
+
+
+@register("policy_detect")
+def q_policy_detect(spark, sf):
+    return policy.policy_detect(A.transactions(spark, sf), PolicyParams(), unit="HOUR").select(*DETAIL_COLS)
+
+
+@register("policy_backtest")
+def q_policy_backtest(spark, sf):
+    return policy.policy_backtest(A.transactions(spark, sf), PolicyParams(), unit="HOUR").select(*DETAIL_COLS)
+
+
+@register("analyze_report")
+def q_analyze_report(spark, sf):
+    return policy.analyze(A.transactions(spark, sf), window=60, unit="HOUR").select(
+        "eval_ts", "status", "severity", "z_score", "current_value", "baseline_mean", "baseline_std",
+        "is_anomalous", F.col("contribution").alias("message"), "overall_severity", "max_z_score",
+        "recommendation", "window", "detection_method")
+
+
+@register("current_status")
+def q_current_status(spark, sf):
+    cs = policy.current_status(A.transactions(spark, sf), PolicyParams(), unit="HOUR")
+    text = F.concat_ws(", ", *[F.concat(F.lit(f"{s}="), F.format_string("%.2f", F.col("statuses")[s]))
+                               for s in MONITORED_STATUSES])
+    return cs.select("eval_ts", "overall_severity", "max_z_score", text.alias("statuses_text"))
+
+
+@register("evaluate_counts")
+def q_evaluate_counts(spark, sf):
+    tx = A.transactions(spark, sf)
+    obs = windows.trailing(tx, 24, "HOUR").withColumnRenamed("ts", "obs_ts")
+    return policy.evaluate_counts(obs, tx, PolicyParams(), unit="HOUR")

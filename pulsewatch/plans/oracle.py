@@ -490,3 +490,106 @@ SELECT snapshot, day, time, """ + _sev("anomaly_score") + """ AS severity, anoma
                                  || 'σ ' || CASE WHEN z_score > 0 THEN 'above' ELSE 'below' END || ' expected range' END,
          CASE WHEN is_volume_anomaly THEN 'VOLUME: Significant deviation given traffic level' END) AS reasons
 FROM det WHERE anomaly_score > 0"""
+
+# --- policy detector ------------------------------------------------------------------
+_ST = ("denied", "failed", "reversed", "backend_reversed", "approved")
+_ORD = "CASE status " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(_ST)) + " END"
+
+
+def _wide_cols(src_status="status", src_cnt="cnt"):
+    return ", ".join(f"SUM(CASE WHEN {src_status} = '{s}' THEN {src_cnt} ELSE 0 END) AS {s}" for s in _ST)
+
+
+def _fmt1(x):
+    return f"printf('%.1f', CAST(floor(({x}) * 10.0 + 0.5) AS DOUBLE) / 10.0)"
+
+
+def _policy_tail(group: str, where_enough: str = "n_history >= 30") -> list[str]:
+    """From lg(eval_ts, n_history, status, cur, s1, s2) to scored details."""
+    return [
+        """sc AS (SELECT *, CASE WHEN n_history > 0 THEN CAST(s1 AS DOUBLE) / CAST(n_history AS DOUBLE) ELSE 0.0 END AS mean,
+                  COALESCE(CASE WHEN n_history >= 2 THEN sqrt(CAST(CAST(n_history AS HUGEINT) * s2 - CAST(s1 AS HUGEINT) * s1 AS DOUBLE)
+                           / (CAST(n_history AS DOUBLE) * CAST(n_history - 1 AS DOUBLE))) END, 0.0) AS std FROM lg)""",
+        "zz AS (SELECT *, (CAST(cur AS DOUBLE) - mean) / greatest(std, 1.0) AS zraw FROM sc)",
+        f"""ov AS (SELECT {group}, MAX(ROUND(zraw, 2)) + 0.0 AS mz,
+                  MAX(CASE WHEN ROUND(zraw, 2) > 4.0 THEN 2 WHEN ROUND(zraw, 2) > 2.5 THEN 1 ELSE 0 END) AS r,
+                  string_agg(CASE WHEN zraw > 2.5 THEN status END, ', ' ORDER BY {_ORD}) AS names
+           FROM zz GROUP BY {group})""",
+        f"""det AS (SELECT zz.eval_ts, zz.status, CAST(zz.cur AS BIGINT) AS current_value, ROUND(zz.mean, 2) AS baseline_mean,
+                   ROUND(zz.std, 2) AS baseline_std, ROUND(zz.zraw, 2) + 0.0 AS z_score, zz.zraw AS z_raw,
+                   zz.zraw > 2.5 AS is_anomalous,
+                   CASE WHEN zz.zraw > 2.5 THEN zz.status || ' count ' || CAST(CAST(zz.cur AS BIGINT) AS VARCHAR) || ' is '
+                        || {_fmt1('zz.zraw')} || 'σ above baseline (mean=' || {_fmt1('zz.mean')} || ', std='
+                        || {_fmt1('zz.std')} || ')' ELSE '' END AS contribution,
+                   zz.n_history,
+                   CASE WHEN ov.r = 2 THEN 'CRITICAL' WHEN ov.r = 1 THEN 'WARNING' ELSE 'NORMAL' END AS overall_severity,
+                   ov.mz AS max_z_score,
+                   CASE WHEN ov.r = 2 THEN 'ALERT: Critical anomaly detected in ' || ov.names
+                             || '. Immediate investigation recommended. Check payment gateway status and system health.'
+                        WHEN ov.r = 1 THEN 'WARNING: Elevated anomaly in ' || ov.names
+                             || '. Monitor closely. Consider pre-emptive investigation if trend continues.'
+                        ELSE 'All transaction statuses within normal parameters.' END AS recommendation
+           FROM zz JOIN ov USING ({group}) WHERE zz.{where_enough})""",
+    ]
+
+
+_LG_SNAPSHOT = [
+    "a AS (SELECT max(ts) AS eval_ts FROM tx)",
+    "h AS (SELECT * FROM tx WHERE ts >= (SELECT eval_ts FROM a) - INTERVAL 60 HOUR)",
+    f"wd AS (SELECT ts, {_wide_cols()} FROM h GROUP BY ts)",
+    "lg0 AS (" + " UNION ALL ".join(f"SELECT ts, '{s}' AS status, {s} AS v FROM wd" for s in _ST) + ")",
+    """lg AS (SELECT (SELECT eval_ts FROM a) AS eval_ts, (SELECT COUNT(*) FROM wd) AS n_history, status,
+                 SUM(CASE WHEN ts >= (SELECT eval_ts FROM a) - INTERVAL 1 HOUR THEN v ELSE 0 END) AS cur,
+                 SUM(v) AS s1, SUM(CAST(v AS HUGEINT) * CAST(v AS HUGEINT)) AS s2 FROM lg0 GROUP BY status)""",
+]
+
+SQL["policy_detect"] = with_(TX, *_LG_SNAPSHOT, *_policy_tail("eval_ts")) + "SELECT * FROM det"
+
+_wh = "(ORDER BY ts RANGE BETWEEN INTERVAL 60 HOUR PRECEDING AND CURRENT ROW)"
+_wc = "(ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"
+SQL["policy_backtest"] = with_(
+    TX, f"wd AS (SELECT ts, {_wide_cols()} FROM tx GROUP BY ts)",
+    "fr AS (SELECT ts AS eval_ts, COUNT(*) OVER " + _wh + " AS n_history, " + ", ".join(
+        f"SUM({s}) OVER {_wc} AS {s}__cur, SUM({s}) OVER {_wh} AS {s}__s1, "
+        f"SUM(CAST({s} AS HUGEINT) * CAST({s} AS HUGEINT)) OVER {_wh} AS {s}__s2" for s in _ST) + " FROM wd)",
+    "lg AS (" + " UNION ALL ".join(
+        f"SELECT eval_ts, n_history, '{s}' AS status, {s}__cur AS cur, {s}__s1 AS s1, {s}__s2 AS s2 FROM fr"
+        for s in _ST) + ")",
+    *_policy_tail("eval_ts")) + "SELECT * FROM det"
+
+SQL["analyze_report"] = with_(TX, *_LG_SNAPSHOT, *_policy_tail("eval_ts")) + """
+SELECT eval_ts, status, CASE WHEN abs(z_score) > 4.0 THEN 'CRITICAL' WHEN abs(z_score) > 2.5 THEN 'WARNING' ELSE 'NORMAL' END AS severity,
+       z_score, current_value, baseline_mean, baseline_std, is_anomalous, contribution AS message, overall_severity,
+       max_z_score, recommendation, 60 AS window, 'policy_zscore' AS detection_method
+FROM det"""
+
+SQL["current_status"] = with_(TX, *_LG_SNAPSHOT, *_policy_tail("eval_ts", "n_history >= 0")) + """
+SELECT eval_ts,
+       CASE WHEN MAX(n_history) >= 30 THEN MAX(overall_severity) ELSE 'NORMAL' END AS overall_severity,
+       CASE WHEN MAX(n_history) >= 30 THEN MAX(max_z_score) ELSE 0.0 END AS max_z_score,
+       CASE WHEN MAX(n_history) >= 30 THEN string_agg(status || '=' || printf('%.2f', z_score), ', ' ORDER BY """ + _ORD + """) END AS statuses_text
+FROM det GROUP BY eval_ts"""
+
+SQL["evaluate_counts"] = with_(TX, *_LG_SNAPSHOT, """base AS (
+  SELECT status, n_history AS n, CASE WHEN n_history > 0 THEN CAST(s1 AS DOUBLE) / CAST(n_history AS DOUBLE) ELSE 0.0 END AS mean,
+         COALESCE(CASE WHEN n_history >= 2 THEN sqrt(CAST(CAST(n_history AS HUGEINT) * s2 - CAST(s1 AS HUGEINT) * s1 AS DOUBLE)
+                  / (CAST(n_history AS DOUBLE) * CAST(n_history - 1 AS DOUBLE))) END, 0.0) AS std FROM lg)""",
+    """obs AS (SELECT ts AS obs_ts, status, cnt FROM tx WHERE ts >= (SELECT max(ts) FROM tx) - INTERVAL 24 HOUR)""",
+    """j AS (SELECT o.*, COALESCE(b.n, 0) AS n, COALESCE(b.mean, 0.0) AS mean, COALESCE(b.std, 0.0) AS std,
+                 (CAST(o.cnt AS DOUBLE) - COALESCE(b.mean, 0.0)) / greatest(COALESCE(b.std, 0.0), 1.0) AS z,
+                 o.status IN ('denied', 'failed', 'reversed', 'backend_reversed') AND o.cnt > 0 AS prob
+          FROM obs o LEFT JOIN base b ON o.status = b.status)""") + f"""
+SELECT obs_ts, status, cnt,
+       CASE WHEN n < 30 AND prob THEN 'CRITICAL' WHEN n < 30 THEN 'NORMAL' WHEN z > 4.0 THEN 'CRITICAL'
+            WHEN z > 2.5 THEN 'WARNING' ELSE 'NORMAL' END AS severity,
+       CASE WHEN n < 30 AND prob THEN 10.0 WHEN n < 30 THEN 0.0 ELSE ROUND(z, 2) + 0.0 END AS z_score,
+       CASE WHEN n < 30 THEN 0.0 ELSE ROUND(mean, 2) END AS baseline_mean,
+       CASE WHEN n < 30 THEN 0.0 ELSE ROUND(std, 2) END AS baseline_std,
+       CASE WHEN n < 30 THEN prob ELSE z > 2.5 END AS is_anomalous,
+       CASE WHEN n < 30 AND prob THEN status || ' count ' || CAST(cnt AS VARCHAR)
+                 || ' detected with no historical baseline (problem status should be rare/zero)'
+            WHEN n < 30 THEN 'Insufficient history (' || CAST(n AS VARCHAR) || ' < 30) for reliable evaluation.'
+            WHEN z > 2.5 THEN status || ' count ' || CAST(cnt AS VARCHAR) || ' is ' || {_fmt1('z')}
+                 || 'σ above baseline (mean=' || {_fmt1('mean')} || ', std=' || {_fmt1('std')} || ')'
+            ELSE '' END AS message
+FROM j"""
