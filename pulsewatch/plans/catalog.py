@@ -353,3 +353,29 @@ def q_evaluate_counts(spark, sf):
     tx = A.transactions(spark, sf)
     obs = windows.trailing(tx, 24, "HOUR").withColumnRenamed("ts", "obs_ts")
     return policy.evaluate_counts(obs, tx, PolicyParams(), unit="HOUR")
+
+
+# --- alerts and cooldown (phase 8) -----------------------------------------------------
+from ..operators import alerts  # noqa: E402
+
+COOLDOWN = 5 * 3600  # five stamps of the hourly series, as 300 s is five per-minute stamps
+
+
+def _alerts(spark, sf):
+    bt = policy.policy_backtest(A.transactions(spark, sf), PolicyParams(), unit="HOUR")
+    return alerts.dispatch(bt, cooldown_seconds=COOLDOWN)
+
+
+@register("alert_dispatch")
+def q_alert_dispatch(spark, sf):
+    return _alerts(spark, sf)
+
+
+@register("alert_counts")
+def q_alert_counts(spark, sf):
+    return alerts.alert_counts(_alerts(spark, sf))
+
+
+@register("alert_outbox")
+def q_alert_outbox(spark, sf):
+    return alerts.outbox(_alerts(spark, sf))

@@ -593,3 +593,31 @@ SELECT obs_ts, status, cnt,
                  || 'σ above baseline (mean=' || {_fmt1('mean')} || ', std=' || {_fmt1('std')} || ')'
             ELSE '' END AS message
 FROM j"""
+
+# --- alerts: recursive walk of the cooldown chain ---------------------------------------
+_BT = SQL["policy_backtest"][:SQL["policy_backtest"].rindex("SELECT * FROM det")]
+ALERTS = _BT.rstrip() + """,
+cands AS (SELECT *, CASE WHEN abs(z_score) > 4.0 THEN 'CRITICAL' WHEN abs(z_score) > 2.5 THEN 'WARNING' END AS severity,
+                 date_diff('second', TIMESTAMP '1970-01-01', eval_ts) AS t
+          FROM det WHERE overall_severity <> 'NORMAL' AND is_anomalous AND abs(z_score) > 2.5),
+nx AS (SELECT a.status, a.severity, a.t, MIN(b.t) AS nxt FROM cands a
+       LEFT JOIN cands b ON a.status = b.status AND a.severity = b.severity AND b.t >= a.t + 18000
+       GROUP BY a.status, a.severity, a.t),
+chain AS (SELECT * FROM (WITH RECURSIVE ch(status, severity, t) AS (
+            SELECT status, severity, MIN(t) FROM cands GROUP BY status, severity
+            UNION ALL
+            SELECT n.status, n.severity, n.nxt FROM ch JOIN nx n
+              ON ch.status = n.status AND ch.severity = n.severity AND ch.t = n.t WHERE n.nxt IS NOT NULL)
+          SELECT * FROM ch)),
+fired AS (SELECT c.status, c.severity, c.current_value, c.baseline_mean, c.baseline_std, c.z_score,
+                 c.max_z_score AS score, c.eval_ts AS alert_ts
+          FROM cands c SEMI JOIN chain h ON c.status = h.status AND c.severity = h.severity AND c.t = h.t)
+"""
+
+SQL["alert_dispatch"] = ALERTS + "SELECT * FROM fired"
+SQL["alert_counts"] = ALERTS + "SELECT status, severity, COUNT(*) AS alerts FROM fired GROUP BY status, severity"
+SQL["alert_outbox"] = ALERTS + """SELECT status, alert_ts,
+  to_json(struct_pack(alert := true, status := status, severity := severity, current_value := current_value,
+          baseline_mean := baseline_mean, baseline_std := baseline_std, z_score := z_score, score := score,
+          "timestamp" := strftime(alert_ts, '%Y-%m-%dT%H:%M:%S'), service := 'monitoring-api'))::VARCHAR AS payload
+FROM fired WHERE severity = 'CRITICAL'"""
