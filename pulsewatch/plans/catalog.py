@@ -379,3 +379,69 @@ def q_alert_counts(spark, sf):
 @register("alert_outbox")
 def q_alert_outbox(spark, sf):
     return alerts.outbox(_alerts(spark, sf))
+
+
+# --- messages, streaming, metrics, logs (phases 9-10) -----------------------------------
+from ..operators import metrics  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import messages  # noqa: E402
+from ..streaming import monitor  # noqa: E402
+
+
+@register("batch_messages")
+def q_batch_messages(spark, sf):
+    return messages.encode_batches(A.transactions(spark, sf, unit="MINUTE"))
+
+
+@register("decode_batches")
+def q_decode_batches(spark, sf):
+    enc = messages.encode_batches(A.transactions(spark, sf, unit="MINUTE")).withColumnRenamed("message", "value")
+    good, _ = messages.decode_batches(enc)
+    return good.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "cnt")
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    base = scratch_path(spark, "stream-ingest")
+    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src")
+    q = monitor.ingest(spark, f"{base}/src", f"{base}/out", f"{base}/dead", f"{base}/ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "cnt")
+
+
+@register("stream_minutes")
+def q_stream_minutes(spark, sf):
+    base = scratch_path(spark, "stream-minutes")
+    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src")
+    monitor.run_windowed_counts(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("ingest_counters")
+def q_ingest_counters(spark, sf):
+    return metrics.ingest_counters(A.transactions(spark, sf, unit="MINUTE"))
+
+
+@register("duration_histogram")
+def q_duration_histogram(spark, sf):
+    r = A.requests(spark, sf).withColumnRenamed("path", "operation")
+    return metrics.duration_histogram(r, "duration", labels=["operation"])
+
+
+@register("request_counts")
+def q_request_counts(spark, sf):
+    return metrics.request_counts(A.requests(spark, sf))
+
+
+@register("log_parse")
+def q_log_parse(spark, sf):
+    return metrics.parse_logs(A.log_lines(spark, sf))
+
+
+@register("parse_headers")
+def q_parse_headers(spark, sf):
+    h = A.order_headers(spark, sf).select("o_orderkey", messages.headers_to_map("headers").alias("m"))
+    tp = messages.parse_traceparent(F.col("m")["traceparent"])
+    return h.select("o_orderkey", F.size("m").alias("n_headers"), F.col("m")["source"].alias("source"),
+                    tp.alias("t")).select("o_orderkey", "n_headers", "source", "t.*")

@@ -621,3 +621,65 @@ SQL["alert_outbox"] = ALERTS + """SELECT status, alert_ts,
           baseline_mean := baseline_mean, baseline_std := baseline_std, z_score := z_score, score := score,
           "timestamp" := strftime(alert_ts, '%Y-%m-%dT%H:%M:%S'), service := 'monitoring-api'))::VARCHAR AS payload
 FROM fired WHERE severity = 'CRITICAL'"""
+
+# --- messages, streaming, metrics, logs ------------------------------------------------
+TXM = f"""txm AS (
+  SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS ts, {STATUS_CASE} AS status, COUNT(*) AS cnt
+  FROM events GROUP BY 1, 2)"""
+
+SQL["batch_messages"] = with_(TXM) + """
+SELECT ts, to_json(struct_pack(records := list(struct_pack("timestamp" := strftime(ts, '%Y-%m-%dT%H:%M:%S'),
+                                                           status := status, "count" := cnt) ORDER BY status, cnt)))::VARCHAR AS message
+FROM txm GROUP BY ts"""
+
+SQL["decode_batches"] = with_(TXM) + "SELECT ts, status, cnt FROM txm"
+SQL["stream_ingest"] = SQL["decode_batches"]
+
+SQL["stream_minutes"] = with_(TX) + """
+SELECT ts, """ + ", ".join(f"CAST(SUM(CASE WHEN status = '{s}' THEN cnt ELSE 0 END) AS BIGINT) AS {s}"
+                          for s in ("denied", "failed", "reversed", "backend_reversed", "approved")) + """,
+       CAST(SUM(cnt) AS BIGINT) AS total
+FROM tx WHERE ts < (SELECT max(ts) FROM tx) GROUP BY ts"""
+
+SQL["ingest_counters"] = with_(TXM, """per AS (SELECT ts, status, COUNT(*) AS r, SUM(cnt) AS c FROM txm GROUP BY ts, status)""") + """
+SELECT status, CAST(SUM(r) AS BIGINT) AS records_consumed, CAST(SUM(c) AS BIGINT) AS cumulative_count,
+       CAST(arg_max(c, ts) AS BIGINT) AS last_batch_count, MAX(ts) AS last_batch
+FROM per GROUP BY status"""
+
+_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
+REQ = """req AS (
+  SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method,
+         '/events/' || event_type AS path,
+         CASE WHEN value < 1 THEN 500 WHEN value < 5 THEN 404 ELSE 200 END AS status,
+         value / 1000.0 AS duration
+  FROM events)"""
+
+SQL["duration_histogram"] = with_(REQ, "g AS (SELECT path AS operation, " + ", ".join(
+    f"CAST(SUM(CASE WHEN duration <= {b!r} THEN 1 ELSE 0 END) AS BIGINT) AS b{i}" for i, b in enumerate(_BUCKETS))
+    + ", SUM(duration) AS sum, COUNT(duration) AS count FROM req GROUP BY path)") + "\n" + "\nUNION ALL\n".join(
+    [f"SELECT operation, '{b:g}' AS le, b{i} AS bucket_count, sum, count FROM g" for i, b in enumerate(_BUCKETS)]
+    + ["SELECT operation, '+Inf' AS le, count AS bucket_count, sum, count FROM g"])
+
+SQL["request_counts"] = with_(REQ) + """
+SELECT method, path, status, COUNT(*) AS requests FROM req
+WHERE path NOT IN ('/metrics', '/health') GROUP BY method, path, status"""
+
+SQL["log_parse"] = """
+SELECT make_timestamp(CAST(CAST(conv_id * 60 + turn AS DOUBLE) * 1000000.0 AS BIGINT)) AS ts,
+       CASE WHEN role = 'user' THEN 'INFO' WHEN role = 'assistant' THEN 'DEBUG' ELSE 'WARNING' END AS level,
+       'chat.' || role AS logger, text AS message,
+       lpad(lower(hex(conv_id)), 32, '0') AS trace_id, lpad(lower(hex(turn)), 16, '0') AS span_id
+FROM conversations"""
+
+SQL["parse_headers"] = """
+WITH h AS (
+  SELECT o_orderkey, o_orderpriority AS source,
+         '00-' || lpad(lower(hex(o_orderkey)), 32, '0') || '-' || lpad(lower(hex(o_custkey)), 16, '0') || '-'
+         || CASE WHEN o_orderstatus = 'P' THEN '1' ELSE '01' END AS tp
+  FROM orders),
+p AS (SELECT *, regexp_matches(tp, '^[0-9a-f]{2}-[0-9a-f]{32}-[0-9a-f]{16}-[0-9a-f]{2}$') AS ok FROM h)
+SELECT o_orderkey, 2 AS n_headers, source,
+       CASE WHEN ok THEN split_part(tp, '-', 1) END AS version, CASE WHEN ok THEN split_part(tp, '-', 2) END AS trace_id,
+       CASE WHEN ok THEN split_part(tp, '-', 3) END AS span_id, CASE WHEN ok THEN split_part(tp, '-', 4) END AS flags,
+       ok AS valid
+FROM p"""

@@ -98,3 +98,46 @@ def checkout_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("snapshot"), "ts", F.floor("value").cast("bigint").alias("value"))
     return build_baselines(ev)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP request records derived from events: method by event type,
+    path ``/events/<type>``, status code by value band."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.when(F.col("event_type").isin("purchase", "signup"), "POST").otherwise("GET").alias("method"),
+        F.concat(F.lit("/events/"), F.col("event_type")).alias("path"),
+        F.when(F.col("value") < 1, 500).when(F.col("value") < 5, 404).otherwise(200).alias("status"),
+        (F.col("value") / 1000.0).alias("duration"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON log lines built from conversation turns (whole texts); even
+    conversations carry ``otelTraceID``/``otelSpanID``, odd ones the dotted
+    ``otel.trace_id``/``otel.span_id`` spelling."""
+    c = table(spark, sf_dir, "conversations")
+    tid = F.lpad(F.lower(F.hex("conv_id")), 32, "0")
+    sid = F.lpad(F.lower(F.hex("turn")), 16, "0")
+    even = F.col("conv_id") % 2 == 0
+    rec = F.struct(
+        (F.col("conv_id") * 60 + F.col("turn")).cast("double").alias("timestamp"),
+        F.when(F.col("role") == "user", "INFO").when(F.col("role") == "assistant", "DEBUG")
+        .otherwise("WARNING").alias("level"),
+        F.concat(F.lit("chat."), F.col("role")).alias("logger"),
+        F.col("text").alias("message"),
+        F.when(even, tid).alias("otelTraceID"), F.when(even, sid).alias("otelSpanID"),
+        F.when(~even, tid).alias("otel.trace_id"), F.when(~even, sid).alias("otel.span_id"))
+    return c.select(F.to_json(rec).alias("value"))
+
+
+def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message headers per order: a traceparent (flags '1' -- malformed --
+    for status P), the priority as ``source``, and a NULL-valued entry."""
+    o = table(spark, sf_dir, "orders")
+    flags = F.when(F.col("o_orderstatus") == "P", "1").otherwise("01")
+    tp = F.concat(F.lit("00-"), F.lpad(F.lower(F.hex("o_orderkey")), 32, "0"), F.lit("-"),
+                  F.lpad(F.lower(F.hex("o_custkey")), 16, "0"), F.lit("-"), flags)
+    h = F.array(F.struct(F.lit("traceparent").alias("key"), F.encode(tp, "UTF-8").alias("value")),
+                F.struct(F.lit("source").alias("key"), F.encode(F.col("o_orderpriority"), "UTF-8").alias("value")),
+                F.struct(F.lit("empty").alias("key"), F.lit(None).cast("binary").alias("value")))
+    return o.select("o_orderkey", h.alias("headers"))
