@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MONITORED_STATUSES, PROBLEM_STATUSES, PolicyParams, check_range, unit_seconds
-from ..functions.columns import exact_std, fmt1, sum_sq
+from ..functions.columns import exact_std, fmt1, round_half_up, sum_sq
 from .series import wide
 from .windows import trailing
 
@@ -45,7 +45,7 @@ def _score(frame: DataFrame, p: PolicyParams, statuses: Sequence[str]) -> DataFr
         z = (F.col(f"{s}__cur").cast("double") - F.col(f"{s}__mean")) / F.greatest(F.col(f"{s}__std"), F.lit(p.min_std))
         frame = (frame.withColumn(f"{s}__mean", mean).withColumn(f"{s}__std", std)
                  .withColumn(f"{s}__zraw", z)
-                 .withColumn(f"{s}__z", F.round(F.col(f"{s}__zraw"), 2))
+                 .withColumn(f"{s}__z", round_half_up(F.col(f"{s}__zraw"), 2))
                  .withColumn(f"{s}__anom", F.col(f"{s}__zraw") > F.lit(p.z_score_threshold)))
     enough = F.col("n_history") >= F.lit(p.min_history)
     max_z = F.greatest(*[F.col(f"{s}__z") for s in statuses])
@@ -62,7 +62,7 @@ def _score(frame: DataFrame, p: PolicyParams, statuses: Sequence[str]) -> DataFr
             F.lit(". Monitor closely. Consider pre-emptive investigation if trend continues.")))
         .otherwise(F.lit("All transaction statuses within normal parameters.")))
     return (frame.withColumn("sufficient_history", enough)
-            .withColumn("max_z_score", F.when(enough, F.round(max_z, 2)).otherwise(F.lit(0.0)))
+            .withColumn("max_z_score", F.when(enough, round_half_up(max_z, 2)).otherwise(F.lit(0.0)))
             .withColumn("overall_severity", sev)
             .withColumn("recommendation", rec))
 
@@ -76,8 +76,8 @@ def _details(frame: DataFrame, keys: Sequence[str], statuses: Sequence[str],
         fmt1(F.col(f"{s}__std")), F.lit(")"))).otherwise(F.lit(""))
     items = F.array(*[F.struct(
         F.lit(s).alias("status"), F.col(f"{s}__cur").cast("bigint").alias("current_value"),
-        F.round(F.col(f"{s}__mean"), 2).alias("baseline_mean"),
-        F.round(F.col(f"{s}__std"), 2).alias("baseline_std"),
+        round_half_up(F.col(f"{s}__mean"), 2).alias("baseline_mean"),
+        round_half_up(F.col(f"{s}__std"), 2).alias("baseline_std"),
         F.col(f"{s}__z").alias("z_score"), F.col(f"{s}__zraw").alias("z_raw"),
         F.col(f"{s}__anom").alias("is_anomalous"), msg(s).alias("contribution")) for s in statuses])
     return (frame.filter(F.col("sufficient_history"))
@@ -201,9 +201,9 @@ def evaluate_counts(observations: DataFrame, history: DataFrame, params: PolicyP
     return o.select(
         *[c for c in observations.columns],
         sev.alias("severity"),
-        F.when(short & prob, F.lit(10.0)).when(short, F.lit(0.0)).otherwise(F.round("_z", 2)).alias("z_score"),
-        F.when(short, F.lit(0.0)).otherwise(F.round("mean", 2)).alias("baseline_mean"),
-        F.when(short, F.lit(0.0)).otherwise(F.round("std", 2)).alias("baseline_std"),
+        F.when(short & prob, F.lit(10.0)).when(short, F.lit(0.0)).otherwise(round_half_up("_z", 2)).alias("z_score"),
+        F.when(short, F.lit(0.0)).otherwise(round_half_up("mean", 2)).alias("baseline_mean"),
+        F.when(short, F.lit(0.0)).otherwise(round_half_up("std", 2)).alias("baseline_std"),
         anom.alias("is_anomalous"), msg.alias("message"))
 
 

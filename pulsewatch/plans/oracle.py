@@ -504,6 +504,10 @@ def _fmt1(x):
     return f"printf('%.1f', CAST(floor(({x}) * 10.0 + 0.5) AS DOUBLE) / 10.0)"
 
 
+def _r2(x):
+    return f"(CAST(floor(({x}) * 100.0 + 0.5) AS DOUBLE) / 100.0)"
+
+
 def _policy_tail(group: str, where_enough: str = "n_history >= 30") -> list[str]:
     """From lg(eval_ts, n_history, status, cur, s1, s2) to scored details."""
     return [
@@ -511,12 +515,12 @@ def _policy_tail(group: str, where_enough: str = "n_history >= 30") -> list[str]
                   COALESCE(CASE WHEN n_history >= 2 THEN sqrt(CAST(CAST(n_history AS HUGEINT) * s2 - CAST(s1 AS HUGEINT) * s1 AS DOUBLE)
                            / (CAST(n_history AS DOUBLE) * CAST(n_history - 1 AS DOUBLE))) END, 0.0) AS std FROM lg)""",
         "zz AS (SELECT *, (CAST(cur AS DOUBLE) - mean) / greatest(std, 1.0) AS zraw FROM sc)",
-        f"""ov AS (SELECT {group}, MAX(ROUND(zraw, 2)) + 0.0 AS mz,
-                  MAX(CASE WHEN ROUND(zraw, 2) > 4.0 THEN 2 WHEN ROUND(zraw, 2) > 2.5 THEN 1 ELSE 0 END) AS r,
+        f"""ov AS (SELECT {group}, MAX({_r2("zraw")}) + 0.0 AS mz,
+                  MAX(CASE WHEN {_r2("zraw")} > 4.0 THEN 2 WHEN {_r2("zraw")} > 2.5 THEN 1 ELSE 0 END) AS r,
                   string_agg(CASE WHEN zraw > 2.5 THEN status END, ', ' ORDER BY {_ORD}) AS names
            FROM zz GROUP BY {group})""",
-        f"""det AS (SELECT zz.eval_ts, zz.status, CAST(zz.cur AS BIGINT) AS current_value, ROUND(zz.mean, 2) AS baseline_mean,
-                   ROUND(zz.std, 2) AS baseline_std, ROUND(zz.zraw, 2) + 0.0 AS z_score, zz.zraw AS z_raw,
+        f"""det AS (SELECT zz.eval_ts, zz.status, CAST(zz.cur AS BIGINT) AS current_value, {_r2("zz.mean")} AS baseline_mean,
+                   {_r2("zz.std")} AS baseline_std, {_r2("zz.zraw")} + 0.0 AS z_score, zz.zraw AS z_raw,
                    zz.zraw > 2.5 AS is_anomalous,
                    CASE WHEN zz.zraw > 2.5 THEN zz.status || ' count ' || CAST(CAST(zz.cur AS BIGINT) AS VARCHAR) || ' is '
                         || {_fmt1('zz.zraw')} || 'σ above baseline (mean=' || {_fmt1('zz.mean')} || ', std='
@@ -582,9 +586,9 @@ SQL["evaluate_counts"] = with_(TX, *_LG_SNAPSHOT, """base AS (
 SELECT obs_ts, status, cnt,
        CASE WHEN n < 30 AND prob THEN 'CRITICAL' WHEN n < 30 THEN 'NORMAL' WHEN z > 4.0 THEN 'CRITICAL'
             WHEN z > 2.5 THEN 'WARNING' ELSE 'NORMAL' END AS severity,
-       CASE WHEN n < 30 AND prob THEN 10.0 WHEN n < 30 THEN 0.0 ELSE ROUND(z, 2) + 0.0 END AS z_score,
-       CASE WHEN n < 30 THEN 0.0 ELSE ROUND(mean, 2) END AS baseline_mean,
-       CASE WHEN n < 30 THEN 0.0 ELSE ROUND(std, 2) END AS baseline_std,
+       CASE WHEN n < 30 AND prob THEN 10.0 WHEN n < 30 THEN 0.0 ELSE {_r2("z")} + 0.0 END AS z_score,
+       CASE WHEN n < 30 THEN 0.0 ELSE {_r2("mean")} END AS baseline_mean,
+       CASE WHEN n < 30 THEN 0.0 ELSE {_r2("std")} END AS baseline_std,
        CASE WHEN n < 30 THEN prob ELSE z > 2.5 END AS is_anomalous,
        CASE WHEN n < 30 AND prob THEN status || ' count ' || CAST(cnt AS VARCHAR)
                  || ' detected with no historical baseline (problem status should be rare/zero)'
