@@ -113,6 +113,8 @@ def cooldown_stream(candidates: DataFrame, cooldown_seconds: int = 300) -> DataF
     ``candidates``: streaming rows (status, severity, alert_ts TIMESTAMP,
     z_score).  Per key and micro-batch the rows are sorted by time and folded
     against the stored last-fired time; only that one number is kept as state.
+    Across micro-batches the rows must arrive in time order (a live alert
+    stream does); a row older than the stored last-fired time is suppressed.
     """
     def fold(key, pdfs: Iterator[pd.DataFrame], state):
         last = state.get[0] if state.exists else None
