@@ -445,3 +445,22 @@ def q_parse_headers(spark, sf):
     tp = messages.parse_traceparent(F.col("m")["traceparent"])
     return h.select("o_orderkey", F.size("m").alias("n_headers"), F.col("m")["source"].alias("source"),
                     tp.alias("t")).select("o_orderkey", "n_headers", "source", "t.*")
+
+
+@register("stream_outages")
+def q_stream_outages(spark, sf):
+    base = scratch_path(spark, "stream-outages")
+    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src")
+    src = monitor.read_messages(spark, f"{base}/src")
+    monitor.run_to_parquet(monitor.outage_sessions(src), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_baseline")
+def q_stream_baseline(spark, sf):
+    base = scratch_path(spark, "stream-baseline")
+    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src")
+    src = monitor.read_messages(spark, f"{base}/src")
+    monitor.run_to_parquet(monitor.hopping_baseline(src), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return r9(out, [c for c in out.columns if c.endswith("_mean") or c.endswith("_std")])

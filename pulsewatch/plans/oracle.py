@@ -687,3 +687,20 @@ SELECT o_orderkey, 2 AS n_headers, source,
        CASE WHEN ok THEN split_part(tp, '-', 3) END AS span_id, CASE WHEN ok THEN split_part(tp, '-', 4) END AS flags,
        ok AS valid
 FROM p"""
+
+# Streams: rows the final watermark (= latest record stamp) has released.
+WM = "wm AS (SELECT MAX(CAST(date_trunc('minute', ts) AS TIMESTAMP)) AS wm FROM events)"
+
+SQL["stream_outages"] = SQL["outage_periods"].replace("WITH ", "WITH " + WM + ",\n", 1).replace(
+    "SELECT start_ts, end_ts, CAST(date_diff('hour', start_ts, end_ts) + 1 AS BIGINT) AS duration, outage_stamps,\n"
+    "       (SELECT AVG(total) FROM v WHERE v.ts BETWEEN p.start_ts AND p.end_ts) AS avg_volume,",
+    "SELECT start_ts, end_ts, CAST(date_diff('hour', start_ts, end_ts) + 1 AS BIGINT) AS duration, outage_stamps,"
+).replace("FROM p", "FROM p WHERE end_ts + INTERVAL 3 HOUR - INTERVAL 1 MICROSECOND <= (SELECT wm FROM wm)")
+
+SQL["stream_baseline"] = with_(TX, WM, f"u AS (SELECT ts, {_wide_cols()} FROM tx WHERE ts + INTERVAL 1 HOUR <= (SELECT wm FROM wm) GROUP BY ts)",
+    "g AS (SELECT unnest(generate_series((SELECT MIN(ts) FROM u), (SELECT wm FROM wm) - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS t)") + """
+SELECT g.t AS ts, COUNT(*) AS n_history, """ + ", ".join(
+    f"ROUND(AVG({s}), 9) AS {s}_mean, ROUND(STDDEV_SAMP({s}), 9) AS {s}_std" for s in _ST) + """
+FROM g JOIN u ON u.ts BETWEEN g.t - INTERVAL 60 HOUR AND g.t
+WHERE date_trunc('hour', g.t) + INTERVAL 1 HOUR <= (SELECT wm FROM wm)
+GROUP BY g.t"""

@@ -134,3 +134,57 @@ def cooldown_stream(candidates: DataFrame, cooldown_seconds: int = 300) -> DataF
 
     return candidates.groupBy("status", "severity").applyInPandasWithState(
         fold, COOLDOWN_OUT, COOLDOWN_STATE, "append", "NoTimeout")
+
+
+# --- chained stateful queries: outage sessions, hopping baseline -----------------------
+
+def outage_sessions(stream: DataFrame, unit: str = "1 hour", unit_seconds: int = 3600,
+                    zero_threshold: int = 5, max_gap: int = 2, delay: str = "0 seconds",
+                    critical_units: int = 5, warning_units: int = 2) -> DataFrame:
+    """Near-zero periods on a stream: per-unit totals (window aggregate) ->
+    stamps with total <= threshold -> session windows with gap ``max_gap``
+    units over the window times.  A session is emitted once the watermark
+    passes it, so the last open period appears only after later data."""
+    good, _ = decode_batches(stream)
+    totals = (good.withWatermark("ts", delay).groupBy(F.window("ts", unit))
+              .agg(F.sum("cnt").alias("total")))
+    low = (totals.filter(F.col("total") <= zero_threshold)
+           .select(F.window_time("window").alias("wt"), F.col("window.start").alias("start"),
+                   F.lit("all").alias("series")))
+    gap = f"{max_gap * unit_seconds} seconds"
+    per = (low.groupBy("series", F.session_window("wt", gap))
+           .agg(F.min("start").alias("start_ts"), F.max("start").alias("end_ts"),
+                F.count(F.lit(1)).alias("outage_stamps")))
+    dur = ((F.unix_seconds("end_ts") - F.unix_seconds("start_ts")) / F.lit(unit_seconds)).cast("bigint") + 1
+    return per.select(F.col("start_ts").cast("timestamp_ntz").alias("start_ts"),
+                      F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), dur.alias("duration"),
+                      "outage_stamps",
+                      F.when(dur >= critical_units, "CRITICAL").when(dur >= warning_units, "WARNING")
+                      .otherwise("INFO").alias("severity"))
+
+
+def hopping_baseline(stream: DataFrame, unit: str = "1 hour", history_units: int = 60,
+                     delay: str = "0 seconds", statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
+    """Rolling baseline on a stream (row frames are not allowed on streams):
+    per-unit wide counts, then a sliding window of ``history_units + 1`` units
+    (inclusive bound) sliding by one unit, with per-status mean and sample std
+    over the unit rows inside it.  ``ts`` is the window's last stamp, so a row
+    covers ``[ts - history_units, ts]`` like the batch backtest; windows at the
+    start of the stream hold fewer stamps (``n_history`` says how many)."""
+    good, _ = decode_batches(stream)
+    aggs = [F.sum(F.when(F.col("status") == s, F.col("cnt")).otherwise(F.lit(0))).alias(s) for s in statuses]
+    per_unit = good.withWatermark("ts", delay).groupBy(F.window("ts", unit)).agg(*aggs)
+    span = f"{history_units + 1} {unit.split()[1]}s"
+    hop = per_unit.select(F.window_time("window").alias("wt"), *statuses)
+    out_aggs = [F.count(F.lit(1)).alias("n_history")]
+    for s in statuses:
+        out_aggs += [F.avg(s).alias(f"{s}_mean"), F.stddev_samp(s).alias(f"{s}_std")]
+    step = F.expr(f"INTERVAL 1 {unit.split()[1].upper()}")
+    return (hop.groupBy(F.window("wt", span, unit)).agg(*out_aggs)
+            .select((F.col("window.end") - step).cast("timestamp_ntz").alias("ts"), "n_history",
+                    *[c for s in statuses for c in (f"{s}_mean", f"{s}_std")]))
+
+
+def run_to_parquet(df: DataFrame, out: str, checkpoint: str):
+    return (df.writeStream.outputMode("append").format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
