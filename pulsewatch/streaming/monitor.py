@@ -51,6 +51,11 @@ def ingest(spark: SparkSession, src: str, out: str, dead: str, checkpoint: str,
          .withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
         bad.write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
+        # Running metrics: per-batch records and counts by status (the gauge is
+        # the latest batch, the counters are sums over the batch folders).
+        (good.groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.sum("cnt").alias("cnt"))
+         .withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").parquet(f"{out}_counters/batch_id={batch_id}"))
 
     w = read_messages(spark, src).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -63,3 +63,28 @@ def test_cooldown_state_stream_equals_batch(spark):
     batch = alerts.cooldown_filter(df.withColumnRenamed("alert_ts", "eval_ts"), cooldown_seconds=300)
     exp = {(r.status, r.eval_ts) for r in batch.collect()}
     assert got == exp and len(got) > 0
+
+
+def test_alert_check_stream_matches_batch_detector(spark):
+    from pulsewatch.config import PolicyParams
+    from pulsewatch.operators import policy
+
+    b = _base()
+    tx = A.transactions(spark, SMOKE, unit="HOUR")
+    monitor.write_messages(tx, f"{b}/src")
+    monitor.alert_check(spark, f"{b}/src", f"{b}/table", f"{b}/alerts", f"{b}/ck",
+                        params=PolicyParams(), unit="HOUR").awaitTermination()
+    got = spark.read.parquet(f"{b}/alerts").drop("batch_id")
+    exp = policy.policy_detect(tx, PolicyParams(), unit="HOUR")
+    cols = ["status", "current_value", "z_score", "overall_severity"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, exp.select(*cols).collect()))
+
+
+def test_ingest_counters_per_batch(spark):
+    b = _base()
+    tx = A.transactions(spark, SMOKE, unit="MINUTE")
+    monitor.write_messages(tx, f"{b}/src")
+    monitor.ingest(spark, f"{b}/src", f"{b}/out", f"{b}/dead", f"{b}/ck").awaitTermination()
+    c = spark.read.parquet(f"{b}/out_counters").groupBy("status").agg(F.sum("cnt").alias("c")).collect()
+    exp = {r.status: r.c for r in tx.groupBy("status").agg(F.sum("cnt").alias("c")).collect()}
+    assert {r.status: r.c for r in c} == exp
