@@ -117,21 +117,44 @@ def policy_detect(df: DataFrame, params: PolicyParams = PolicyParams(), unit: st
 
 
 def policy_backtest(df: DataFrame, params: PolicyParams = PolicyParams(), unit: str = "MINUTE",
-                    keys: Sequence[str] = (), statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
+                    keys: Sequence[str] = (), statuses: Sequence[str] = MONITORED_STATUSES,
+                    chunk_units: int | None = None) -> DataFrame:
     """The detector evaluated at every stamp: time-range frames over the
-    zero-filled wide series (``[t - history, t]`` and ``[t - current, t]``)."""
+    zero-filled wide series (``[t - history, t]`` and ``[t - current, t]``).
+
+    The frames are split exactly into time chunks of ``chunk_units`` so that
+    one long series is spread over many tasks: each row is copied into the
+    later chunks whose rows can reach back to it (at most ``history`` away),
+    windows run per (keys, chunk), and only the rows in their own chunk are
+    kept.  Default: chunked without keys (max(1440, 24 x history) units per
+    chunk, i.e. under 5 % copied rows), unchunked with keys (keys already
+    spread the work).  ``chunk_units=0`` disables it.
+    """
     p = params
     step = unit_seconds(unit)
+    hist_s = p.history_window * step
     w0 = wide(df, statuses=statuses, keys=keys, with_total=False).withColumn(
         "_s", F.unix_seconds(F.col("ts").cast("timestamp")))
-    base = Window.partitionBy(*keys).orderBy("_s")
-    wh = base.rangeBetween(-p.history_window * step, 0)
+    if chunk_units is None:
+        chunk_units = 0 if keys else max(1440, 24 * p.history_window)
+    part = list(keys)
+    if chunk_units:
+        span = chunk_units * step
+        home = F.floor(F.col("_s") / F.lit(span))
+        reach = F.floor((F.col("_s") + F.lit(max(hist_s, p.current_window * step))) / F.lit(span))
+        w0 = (w0.withColumn("_home", home)
+              .withColumn("_chunk", F.explode(F.sequence(F.col("_home"), reach))))
+        part.append("_chunk")
+    base = Window.partitionBy(*part).orderBy("_s")
+    wh = base.rangeBetween(-hist_s, 0)
     wc = base.rangeBetween(-p.current_window * step, 0)
     frame = w0.withColumn("n_history", F.count(F.lit(1)).over(wh))
     for s in statuses:
         frame = (frame.withColumn(f"{s}__cur", F.sum(s).over(wc))
                  .withColumn(f"{s}__s1", F.sum(s).over(wh))
                  .withColumn(f"{s}__s2", F.sum(sum_sq(s)).over(wh)))
+    if chunk_units:
+        frame = frame.filter(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home")
     frame = _score(frame.withColumnRenamed("ts", "eval_ts"), p, statuses)
     return _details(frame, keys, statuses, extra=("eval_ts",))
 

@@ -134,3 +134,12 @@ def test_rolling_min_periods_and_floor(spark):
     r = rolling.rolling_zscore(df, "total", params=RollingParams(min_periods=30)).orderBy("ts").collect()
     assert r[28].rolling_mean is None and r[29].rolling_mean == 10.0 and r[29].rolling_std == 1.0
     assert not any(x.is_anomaly for x in r)
+
+
+def test_chunked_backtest_equals_unchunked(spark):
+    from pulsewatch.sources import adapters as A
+    tx = A.transactions(spark, "/root/testdata/sf0.001", unit="HOUR")
+    cols = ["eval_ts", "status", "current_value", "z_raw", "n_history", "overall_severity"]
+    a = policy.policy_backtest(tx, unit="HOUR", chunk_units=0).select(*cols)
+    b = policy.policy_backtest(tx, unit="HOUR", chunk_units=24).select(*cols)
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
