@@ -77,8 +77,8 @@ def cooldown_filter(cands: DataFrame, keys: Sequence[str] = ("status", "severity
     spark = cands.sparkSession
     ensure_checkpoint_dir(spark)
     keys = list(keys)
-    nodes = cands.select(*keys, _secs(ts).alias("t")).distinct()
-    nodes = nodes.checkpoint()
+    cands = cands.checkpoint()  # the candidates are read again by the final semi-join
+    nodes = cands.select(*keys, _secs(ts).alias("t")).distinct().checkpoint()
     longest = nodes.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
     rounds = max(1, math.ceil(math.log2(longest + 1)))
     jumps = [successor(nodes, keys, cooldown_seconds).checkpoint()]

@@ -91,6 +91,8 @@ def divergence(status_rates: DataFrame, auth_rates: DataFrame, sigmas: float = 3
          .join(auth_rates.select(*keys, ts, "auth_approval_rate"), [*keys, ts], "inner")
          .na.drop(subset=["status_approval_rate", "auth_approval_rate"])
          .withColumn("divergence", F.abs(F.col("status_approval_rate") - F.col("auth_approval_rate"))))
+    # One row per stamp, read by the threshold and by the flags: write it once.
+    j = j.checkpoint()
     if keys:
         th = j.groupBy(*keys).agg(
             (F.avg("divergence") + F.lit(sigmas) * F.stddev_samp("divergence")).alias("threshold"))

@@ -21,13 +21,26 @@ from .quality import stamp_grid
 from .rolling import rolling_stats
 
 
+def signal_base(rates: DataFrame, auth: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """The per-stamp inputs of the timeline (status series with rates and the
+    auth approval rate), written once with a reliable checkpoint.
+
+    It is one row per stamp, tiny next to the raw tables, and the detectors,
+    thresholds and flags all read it: the raw tables are scanned once per
+    source instead of once per consumer (the scalar thresholds would
+    otherwise re-derive the series from the raw scans)."""
+    return rates.join(auth.select(*keys, ts, "auth_approval_rate"), [*keys, ts], "left").checkpoint()
+
+
 def signal_frame(rates: DataFrame, auth: DataFrame | None, ts: str = "ts",
                  keys: Sequence[str] = (), p: TimelineParams = TimelineParams()) -> DataFrame:
-    """Per stamp: total, rates, rolling z of each signal, divergence and flags."""
+    """Per stamp: total, rates, rolling z of each signal, divergence and flags.
+    ``auth=None`` when ``rates`` already carries ``auth_approval_rate``
+    (see :func:`signal_base`)."""
     df = rates
     if auth is not None:
         df = df.join(auth.select(*keys, ts, "auth_approval_rate"), [*keys, ts], "left")
-    else:
+    elif "auth_approval_rate" not in df.columns:
         df = df.withColumn("auth_approval_rate", F.lit(None).cast("double"))
     cols = {}
     for name, value, prm, exact, skip in (

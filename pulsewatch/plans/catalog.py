@@ -200,7 +200,8 @@ def q_outage_periods(spark, sf):
 
 
 def _signals(spark, sf):
-    return timeline.signal_frame(_rates(spark, sf), series.auth_rates(A.auth_codes(spark, sf)))
+    base = timeline.signal_base(_rates(spark, sf), series.auth_rates(A.auth_codes(spark, sf)))
+    return timeline.signal_frame(base, None)
 
 
 @register("anomaly_timeline")
