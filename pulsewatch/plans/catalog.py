@@ -465,3 +465,10 @@ def q_stream_baseline(spark, sf):
     monitor.run_to_parquet(monitor.hopping_baseline(src), f"{base}/out", f"{base}/ckpt").awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     return r9(out, [c for c in out.columns if c.endswith("_mean") or c.endswith("_std")])
+
+
+@register("rolling_keyed_supplier")
+def q_rolling_keyed_supplier(spark, sf):
+    r = rolling.rolling_zscore(A.supplier_weekly(spark, sf), "cnt", keys=["s_nationkey"],
+                               params=RollingParams(z_threshold=3.0))
+    return r.select("s_nationkey", "ts", F.col("cnt").alias("value"), *ROLL_COLS)

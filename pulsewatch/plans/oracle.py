@@ -704,3 +704,10 @@ SELECT g.t AS ts, COUNT(*) AS n_history, """ + ", ".join(
 FROM g JOIN u ON u.ts BETWEEN g.t - INTERVAL 60 HOUR AND g.t
 WHERE date_trunc('hour', g.t) + INTERVAL 1 HOUR <= (SELECT wm FROM wm)
 GROUP BY g.t"""
+
+SQL["rolling_keyed_supplier"] = with_(
+    """sw AS (SELECT s.s_nationkey, CAST(date_trunc('week', l.l_shipdate) AS TIMESTAMP) AS ts, COUNT(*) AS cnt
+            FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2)""",
+    f"r AS ({rolling_exact('sw', 'cnt', part='s_nationkey')})",
+    "z AS (SELECT *, (CAST(cnt AS DOUBLE) - rolling_mean) / rolling_std AS z_score FROM r)") + f"""
+SELECT s_nationkey, ts, cnt AS value, rolling_mean, rolling_std, z_score, {zflags(3.0)} FROM z"""

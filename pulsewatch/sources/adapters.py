@@ -141,3 +141,12 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.struct(F.lit("source").alias("key"), F.encode(F.col("o_orderpriority"), "UTF-8").alias("value")),
                 F.struct(F.lit("empty").alias("key"), F.lit(None).cast("binary").alias("value")))
     return o.select("o_orderkey", h.alias("headers"))
+
+
+def supplier_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed series: line items shipped per supplier nation and week."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate")
+    su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return (li.join(su, li.l_suppkey == su.s_suppkey)
+            .groupBy("s_nationkey", truncate("l_shipdate", "WEEK").alias("ts"))
+            .agg(F.count(F.lit(1)).alias("cnt")))
