@@ -7,12 +7,14 @@ match the SQL twin in :mod:`pulsewatch.plans.oracle`.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..session import ensure_checkpoint_dir
 from ..sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +22,16 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query.  The stored callable first pins the session time zone
+    to UTC (stamps are wall-clock NTZ values; epoch arithmetic must not shift
+    them) and makes sure a checkpoint folder is configured."""
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         return fn
     return deco
 
