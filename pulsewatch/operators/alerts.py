@@ -79,7 +79,12 @@ def cooldown_filter(cands: DataFrame, keys: Sequence[str] = ("status", "severity
     keys = list(keys)
     cands = cands.checkpoint()  # the candidates are read again by the final semi-join
     nodes = cands.select(*keys, _secs(ts).alias("t")).distinct().checkpoint()
-    longest = nodes.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
+    # Rounds = log2 of the longest possible chain: a key's fired alerts are at
+    # least ``cooldown`` apart, so a chain is bounded by both its candidate
+    # count and its time span / cooldown + 1.  (One scalar to the driver.)
+    per_key = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                       ((F.max("t") - F.min("t")) / F.lit(cooldown_seconds)).alias("span"))
+    longest = per_key.agg(F.max(F.least(F.col("n"), F.floor("span") + 1))).collect()[0][0] or 0
     rounds = max(1, math.ceil(math.log2(longest + 1)))
     jumps = [successor(nodes, keys, cooldown_seconds).checkpoint()]
     for _ in range(rounds - 1):
