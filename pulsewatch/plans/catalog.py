@@ -482,3 +482,18 @@ def q_rolling_keyed_supplier(spark, sf):
     r = rolling.rolling_zscore(A.supplier_weekly(spark, sf), "cnt", keys=["s_nationkey"],
                                params=RollingParams(z_threshold=3.0))
     return r.select("s_nationkey", "ts", F.col("cnt").alias("value"), *ROLL_COLS)
+
+
+@register("event_heads")
+def q_event_heads(spark, sf):
+    """The event reports: first 20 error-rate spikes and first 30
+    CRITICAL/WARNING timeline rows, by time (the limits are the report)."""
+    err = rolling.rolling_zscore(_rates(spark, sf), "error_rate", dropna=True, params=RollingParams(z_threshold=2.5))
+    spikes = (err.filter(F.col("is_spike")).orderBy("ts").limit(20)
+              .select(F.lit("error_spike").alias("report"), "ts", F.lit(None).cast("string").alias("severity"),
+                      F.round("z_score", 9).alias("score")))
+    tl = timeline.anomaly_timeline(_signals(spark, sf))
+    crit = (tl.filter(F.col("severity").isin("CRITICAL", "WARNING")).orderBy("ts").limit(30)
+            .select(F.lit("critical_warning").alias("report"), "ts", "severity",
+                    F.col("total_score").cast("double").alias("score")))
+    return spikes.unionByName(crit)

@@ -711,3 +711,11 @@ SQL["rolling_keyed_supplier"] = with_(
     f"r AS ({rolling_exact('sw', 'cnt', part='s_nationkey')})",
     "z AS (SELECT *, (CAST(cnt AS DOUBLE) - rolling_mean) / rolling_std AS z_score FROM r)") + f"""
 SELECT s_nationkey, ts, cnt AS value, rolling_mean, rolling_std, z_score, {zflags(3.0)} FROM z"""
+
+SQL["event_heads"] = with_(*SIG, f"r AS ({rolling_float('rates', 'error_rate')})",
+                           "ez AS (SELECT ts, (error_rate - rolling_mean) / rolling_std AS z FROM r)") + """
+(SELECT 'error_spike' AS report, ts, CAST(NULL AS VARCHAR) AS severity, ROUND(z, 9) AS score
+ FROM ez WHERE z > 2.5 ORDER BY ts LIMIT 20)
+UNION ALL
+(SELECT 'critical_warning' AS report, ts, severity, CAST(total_score AS DOUBLE) AS score
+ FROM tl WHERE severity IN ('CRITICAL', 'WARNING') ORDER BY ts LIMIT 30)"""

@@ -63,20 +63,26 @@ def ingest(spark: SparkSession, src: str, out: str, dead: str, checkpoint: str,
 
 
 def windowed_counts(stream: DataFrame, unit: str = "1 hour", delay: str = "0 seconds",
-                    statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
+                    statuses: Sequence[str] = MONITORED_STATUSES, dedupe: bool = False) -> DataFrame:
     """Per-unit tumbling counts by status (wide) with a watermark: a window
-    is emitted once the watermark passes its end (append mode)."""
+    is emitted once the watermark passes its end (append mode).
+
+    ``dedupe=True`` drops repeated (ts, status) records that arrive within the
+    watermark delay (an at-least-once producer replaying a message)."""
     good, _ = decode_batches(stream)
+    good = good.withWatermark("ts", delay)
+    if dedupe:
+        good = good.dropDuplicatesWithinWatermark(["ts", "status"])
     aggs = [F.sum(F.when(F.col("status") == s, F.col("cnt")).otherwise(F.lit(0))).cast("bigint").alias(s)
             for s in statuses]
-    return (good.withWatermark("ts", delay).groupBy(F.window("ts", unit))
+    return (good.groupBy(F.window("ts", unit))
             .agg(*aggs, F.sum("cnt").cast("bigint").alias("total"))
             .select(F.col("window.start").cast("timestamp_ntz").alias("ts"), *statuses, "total"))
 
 
 def run_windowed_counts(spark: SparkSession, src: str, out: str, checkpoint: str,
-                        unit: str = "1 hour", delay: str = "0 seconds"):
-    q = (windowed_counts(read_messages(spark, src), unit, delay).writeStream.outputMode("append")
+                        unit: str = "1 hour", delay: str = "0 seconds", dedupe: bool = False):
+    q = (windowed_counts(read_messages(spark, src), unit, delay, dedupe=dedupe).writeStream.outputMode("append")
          .format("parquet").option("path", out).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     return q
