@@ -51,19 +51,63 @@ def rolling_stats(value: str, order: str, keys: Sequence[str], p: RollingParams,
     return {"rolling_mean": r_mean, "rolling_std": r_std}
 
 
+def row_frame_chunks(df: DataFrame, ts: str, keys: Sequence[str], window: int,
+                     chunk_seconds: int) -> DataFrame:
+    """Split each series into time chunks for an exact trailing row frame.
+
+    Adds ``_chunk`` (the window partition) and ``_copy``.  Every row stays in
+    its own chunk; in addition the ``window - 1`` rows that precede a chunk's
+    first row are copied into it (they may come from several earlier, sparse
+    chunks).  Which rows to copy follows from a per-chunk count table (one row
+    per chunk): a tail row is copied into a later chunk while fewer than
+    ``window - 1`` rows lie between them.  Windows over (keys, _chunk) then see
+    exactly the rows the unsplit frame would; drop ``_copy`` rows afterwards.
+    """
+    k = window - 1
+    home = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(chunk_seconds))
+    base = df.withColumn("_home", home)
+    ranked = base.withColumn("_rd", F.row_number().over(
+        Window.partitionBy(*keys, "_home").orderBy(F.desc(ts))))
+    wc = Window.partitionBy(*keys).orderBy("_home")
+    chunks = (base.groupBy(*keys, "_home").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_cum", F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("_next", F.collect_list(F.struct(
+                  F.col("_home").alias("target"), (F.col("_cum") - F.col("_n")).alias("start")))
+                  .over(wc.rowsBetween(1, k)))
+              .select(*keys, "_home", "_cum", "_next"))
+    own = ranked.withColumn("_chunk", F.col("_home")).withColumn("_copy", F.lit(False))
+    if k <= 0:
+        return own.drop("_home", "_rd")
+    tails = ranked.filter(F.col("_rd") <= k).join(chunks, [*keys, "_home"])
+    between = F.col("_t.start") - F.col("_cum") + F.col("_rd") - 1
+    copies = (tails.withColumn("_t", F.explode("_next")).filter(between < k)
+              .withColumn("_chunk", F.col("_t.target")).withColumn("_copy", F.lit(True))
+              .drop("_t", "_next", "_cum"))
+    return own.unionByName(copies).drop("_home", "_rd")
+
+
 def rolling_zscore(df: DataFrame, value: str, ts: str = "ts", keys: Sequence[str] = (),
                    params: RollingParams = RollingParams(), exact: bool | None = None,
-                   dropna: bool = False) -> DataFrame:
+                   dropna: bool = False, chunk_seconds: int | None = None) -> DataFrame:
     """Add rolling_mean, rolling_std, z_score, is_anomaly, is_spike, is_drop.
 
     ``dropna=True`` removes rows whose value is NULL before the frame is
     formed (rate series), otherwise NULL rows occupy frame positions.
+    ``chunk_seconds`` splits each series into time chunks (see
+    :func:`row_frame_chunks`) so one long series spreads over many tasks;
+    the result is identical.
     """
     if exact is None:
         exact = dict(df.dtypes)[value] in ("bigint", "int", "smallint", "tinyint")
     src = df.filter(F.col(value).isNotNull()) if dropna else df
-    st = rolling_stats(value, ts, keys, params, exact)
+    part = list(keys)
+    if chunk_seconds:
+        src = row_frame_chunks(src, ts, keys, params.window, chunk_seconds)
+        part.append("_chunk")
+    st = rolling_stats(value, ts, part, params, exact)
     out = src.withColumn("rolling_mean", st["rolling_mean"]).withColumn("rolling_std", st["rolling_std"])
+    if chunk_seconds:
+        out = out.filter(~F.col("_copy")).drop("_chunk", "_copy")
     z = (F.col(value) - F.col("rolling_mean")) / F.col("rolling_std")
     t = F.lit(float(params.z_threshold))
     return (out.withColumn("z_score", z)

@@ -152,16 +152,21 @@ def _rates(spark, sf):
     return series.rate_series(A.transactions(spark, sf))
 
 
+WEEK = 7 * 86400  # row-frame chunks of the hourly series: one long series over many tasks
+YEAR = 365 * 86400  # ... of the daily series
+
+
 @register("rolling_volume")
 def q_rolling_volume(spark, sf):
-    r = rolling.rolling_zscore(_rates(spark, sf), "total", params=RollingParams(z_threshold=3.0))
+    r = rolling.rolling_zscore(_rates(spark, sf), "total", params=RollingParams(z_threshold=3.0),
+                               chunk_seconds=WEEK)
     return r.select("ts", F.col("total").alias("value"), *ROLL_COLS)
 
 
 @register("rolling_approval")
 def q_rolling_approval(spark, sf):
     r = rolling.rolling_zscore(_rates(spark, sf), "approval_rate", dropna=True,
-                               params=RollingParams(z_threshold=2.5))
+                               params=RollingParams(z_threshold=2.5), chunk_seconds=WEEK)
     return r9(r.select("ts", F.col("approval_rate").alias("value"), *ROLL_COLS),
               ["rolling_mean", "rolling_std", "z_score"])
 
@@ -169,7 +174,7 @@ def q_rolling_approval(spark, sf):
 @register("rolling_error")
 def q_rolling_error(spark, sf):
     r = rolling.rolling_zscore(_rates(spark, sf), "error_rate", dropna=True,
-                               params=RollingParams(z_threshold=2.5))
+                               params=RollingParams(z_threshold=2.5), chunk_seconds=WEEK)
     r = r.withColumn("direction", rolling.direction())
     return r9(r.select("ts", F.col("error_rate").alias("value"), *ROLL_COLS, "direction"),
               ["rolling_mean", "rolling_std", "z_score"])
@@ -177,7 +182,8 @@ def q_rolling_error(spark, sf):
 
 @register("rolling_bands")
 def q_rolling_bands(spark, sf):
-    r = rolling.rolling_zscore(_rates(spark, sf), "total", params=RollingParams(z_threshold=3.0))
+    r = rolling.rolling_zscore(_rates(spark, sf), "total", params=RollingParams(z_threshold=3.0),
+                               chunk_seconds=WEEK)
     r = rolling.bands(r, 3.0).withColumn("direction", rolling.direction())
     return r.select("ts", F.col("total").alias("value"), "rolling_mean", "band_lower", "band_upper",
                     "is_anomaly", "direction")
@@ -193,7 +199,7 @@ def q_rolling_keyed(spark, sf):
 @register("rolling_daily")
 def q_rolling_daily(spark, sf):
     d = series.rate_series(A.transactions_daily(spark, sf))
-    r = rolling.rolling_zscore(d, "total", params=RollingParams(z_threshold=3.0))
+    r = rolling.rolling_zscore(d, "total", params=RollingParams(z_threshold=3.0), chunk_seconds=YEAR)
     return r.select("ts", F.col("total").alias("value"), *ROLL_COLS)
 
 
