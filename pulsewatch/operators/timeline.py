@@ -136,7 +136,7 @@ def rule_book(signals: DataFrame, unit: str = "MINUTE", keys: Sequence[str] = ()
     run_id = F.sum(breaks.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     df = signals.withColumn("_run", run_id)
     wr = Window.partitionBy(*keys, "_run").orderBy(ts)
-    df = df.withColumn("low_run_length", F.when(low, F.row_number().over(wr)).otherwise(F.lit(0)))
+    df = df.withColumn("low_run_length", F.when(low, F.row_number().over(wr)).otherwise(F.lit(0)).cast("bigint"))
     if keys:
         wk = Window.partitionBy(*keys)
         floor_ = F.greatest(F.lit(0.0), F.avg("approval_rate").over(wk)
