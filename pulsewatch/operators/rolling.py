@@ -52,7 +52,7 @@ def rolling_stats(value: str, order: str, keys: Sequence[str], p: RollingParams,
 
 
 def row_frame_chunks(df: DataFrame, ts: str, keys: Sequence[str], window: int,
-                     chunk_seconds: int) -> DataFrame:
+                     chunk_seconds: int, sequences: Sequence[Column | None] = (None,)) -> DataFrame:
     """Split each series into time chunks for an exact trailing row frame.
 
     Adds ``_chunk`` (the window partition) and ``_copy``.  Every row stays in
@@ -62,28 +62,39 @@ def row_frame_chunks(df: DataFrame, ts: str, keys: Sequence[str], window: int,
     per chunk): a tail row is copied into a later chunk while fewer than
     ``window - 1`` rows lie between them.  Windows over (keys, _chunk) then see
     exactly the rows the unsplit frame would; drop ``_copy`` rows afterwards.
+
+    ``sequences`` lists the row subsets that form frames (``None`` = all rows,
+    or a predicate such as ``value IS NOT NULL`` for a frame over non-null
+    rows); the copies cover each of them.  Extra copies are always older than
+    the rows a frame needs, so they never enter a frame.
     """
     k = window - 1
     home = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(chunk_seconds))
     base = df.withColumn("_home", home)
-    ranked = base.withColumn("_rd", F.row_number().over(
-        Window.partitionBy(*keys, "_home").orderBy(F.desc(ts))))
-    wc = Window.partitionBy(*keys).orderBy("_home")
-    chunks = (base.groupBy(*keys, "_home").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_cum", F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("_next", F.collect_list(F.struct(
-                  F.col("_home").alias("target"), (F.col("_cum") - F.col("_n")).alias("start")))
-                  .over(wc.rowsBetween(1, k)))
-              .select(*keys, "_home", "_cum", "_next"))
-    own = ranked.withColumn("_chunk", F.col("_home")).withColumn("_copy", F.lit(False))
+    own = base.withColumn("_chunk", F.col("_home")).withColumn("_copy", F.lit(False)).drop("_home")
     if k <= 0:
-        return own.drop("_home", "_rd")
-    tails = ranked.filter(F.col("_rd") <= k).join(chunks, [*keys, "_home"])
-    between = F.col("_t.start") - F.col("_cum") + F.col("_rd") - 1
-    copies = (tails.withColumn("_t", F.explode("_next")).filter(between < k)
-              .withColumn("_chunk", F.col("_t.target")).withColumn("_copy", F.lit(True))
-              .drop("_t", "_next", "_cum"))
-    return own.unionByName(copies).drop("_home", "_rd")
+        return own
+    wc = Window.partitionBy(*keys).orderBy("_home")
+    copies = None
+    for seq in sequences:
+        sub = base if seq is None else base.filter(seq)
+        ranked = sub.withColumn("_rd", F.row_number().over(
+            Window.partitionBy(*keys, "_home").orderBy(F.desc(ts))))
+        chunks = (sub.groupBy(*keys, "_home").agg(F.count(F.lit(1)).alias("_n"))
+                  .withColumn("_cum", F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
+                  .withColumn("_next", F.collect_list(F.struct(
+                      F.col("_home").alias("target"), (F.col("_cum") - F.col("_n")).alias("start")))
+                      .over(wc.rowsBetween(1, k)))
+                  .select(*keys, "_home", "_cum", "_next"))
+        tails = ranked.filter(F.col("_rd") <= k).join(chunks, [*keys, "_home"])
+        between = F.col("_t.start") - F.col("_cum") + F.col("_rd") - 1
+        c = (tails.withColumn("_t", F.explode("_next")).filter(between < k)
+             .withColumn("_chunk", F.col("_t.target")).withColumn("_copy", F.lit(True))
+             .drop("_t", "_next", "_cum", "_rd", "_home"))
+        copies = c if copies is None else copies.unionByName(c)
+    if len(sequences) > 1:
+        copies = copies.dropDuplicates([*keys, ts, "_chunk"])
+    return own.unionByName(copies)
 
 
 def rolling_zscore(df: DataFrame, value: str, ts: str = "ts", keys: Sequence[str] = (),

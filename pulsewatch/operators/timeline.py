@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import SEVERITIES, TimelineParams, unit_seconds
 from ..functions.columns import as_int, exact_std, flag, flag_list, safe_div
 from .quality import stamp_grid
-from .rolling import rolling_stats
+from .rolling import rolling_stats, row_frame_chunks
 
 
 def signal_base(rates: DataFrame, auth: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
@@ -33,25 +33,36 @@ def signal_base(rates: DataFrame, auth: DataFrame, ts: str = "ts", keys: Sequenc
 
 
 def signal_frame(rates: DataFrame, auth: DataFrame | None, ts: str = "ts",
-                 keys: Sequence[str] = (), p: TimelineParams = TimelineParams()) -> DataFrame:
+                 keys: Sequence[str] = (), p: TimelineParams = TimelineParams(),
+                 chunk_seconds: int | None = None) -> DataFrame:
     """Per stamp: total, rates, rolling z of each signal, divergence and flags.
     ``auth=None`` when ``rates`` already carries ``auth_approval_rate``
-    (see :func:`signal_base`)."""
+    (see :func:`signal_base`).  ``chunk_seconds`` splits a long series into
+    exact time chunks for the three row frames (see
+    :func:`pulsewatch.operators.rolling.row_frame_chunks`)."""
     df = rates
     if auth is not None:
         df = df.join(auth.select(*keys, ts, "auth_approval_rate"), [*keys, ts], "left")
     elif "auth_approval_rate" not in df.columns:
         df = df.withColumn("auth_approval_rate", F.lit(None).cast("double"))
+    part = list(keys)
+    if chunk_seconds:
+        df = row_frame_chunks(df, ts, keys, max(p.volume.window, p.rate.window), chunk_seconds,
+                              sequences=[None, F.col("approval_rate").isNotNull(),
+                                         F.col("error_rate").isNotNull()])
+        part.append("_chunk")
     cols = {}
     for name, value, prm, exact, skip in (
             ("volume", "total", p.volume, True, False),
             ("approval", "approval_rate", p.rate, False, True),
             ("error", "error_rate", p.rate, False, True)):
-        st = rolling_stats(value, ts, keys, prm, exact, skip_nulls_as_rows=skip)
+        st = rolling_stats(value, ts, part, prm, exact, skip_nulls_as_rows=skip)
         z = (F.col(value) - st["rolling_mean"]) / st["rolling_std"]
         cols[f"{name}_zscore"] = z
     for c, e in cols.items():
         df = df.withColumn(c, e)
+    if chunk_seconds:
+        df = df.filter(~F.col("_copy")).drop("_chunk", "_copy")
     div = F.abs(F.col("approval_rate") - F.col("auth_approval_rate"))
     df = df.withColumn("divergence", div)
     both = F.col("divergence").isNotNull()

@@ -217,7 +217,7 @@ def q_outage_periods(spark, sf):
 
 def _signals(spark, sf):
     base = timeline.signal_base(_rates(spark, sf), series.auth_rates(A.auth_codes(spark, sf)))
-    return timeline.signal_frame(base, None)
+    return timeline.signal_frame(base, None, chunk_seconds=WEEK)
 
 
 @register("anomaly_timeline")

@@ -63,3 +63,19 @@ def test_chunked_row_frame_equals_unchunked(spark):
     c = rolling.rolling_zscore(keyed, "cnt", keys=["status"]).select("status", *COLS)
     d = rolling.rolling_zscore(keyed, "cnt", keys=["status"], chunk_seconds=86400).select("status", *COLS)
     assert _same(c, d)
+
+
+def test_chunked_signal_frame_equals_unchunked(spark):
+    from pulsewatch.operators import timeline
+    tx = A.transactions(spark, SMOKE, unit="HOUR")
+    # zero-total stamps make the rate series differ from the volume series
+    zeros = tx.select("ts").distinct().limit(40).select(
+        (F.col("ts") - F.expr("INTERVAL 30 MINUTES")).alias("ts"), F.lit("approved").alias("status"),
+        F.lit(0).cast("bigint").alias("cnt"))
+    rates = series.rate_series(tx.unionByName(zeros))
+    auth = series.auth_rates(A.auth_codes(spark, SMOKE))
+    cols = ["ts", "volume_zscore", "approval_zscore", "error_zscore", "cross_signal_divergent"]
+    a = timeline.signal_frame(rates, auth).select(*cols)
+    for secs in (86400, 5 * 86400):
+        b = timeline.signal_frame(rates, auth, chunk_seconds=secs).select(*cols)
+        assert _same(a, b)
