@@ -67,29 +67,6 @@ def fmt1(c) -> Column:
     return F.format_string("%.1f", round_half_up(c, 1))
 
 
-def severity_ladder(z, critical: float, warning: float, info: float | None = None,
-                    use_abs: bool = False) -> Column:
-    """CASE ladder on a score: strict ``>`` at each bound."""
-    v = F.abs(col(z)) if use_abs else col(z)
-    out = F.when(v > F.lit(critical), "CRITICAL").when(v > F.lit(warning), "WARNING")
-    if info is not None:
-        out = out.when(v > F.lit(info), "INFO")
-    return out.otherwise("NORMAL")
-
-
-def severity_rank(sev) -> Column:
-    """CRITICAL=3, WARNING=2, INFO=1, NORMAL/other=0, for max() across rows."""
-    s = col(sev)
-    return (F.when(s == "CRITICAL", 3).when(s == "WARNING", 2)
-            .when(s == "INFO", 1).otherwise(0))
-
-
-def severity_of_rank(rank) -> Column:
-    r = col(rank)
-    return (F.when(r == 3, "CRITICAL").when(r == 2, "WARNING")
-            .when(r == 1, "INFO").otherwise("NORMAL"))
-
-
 def flag_list(pairs: Iterable[tuple[Column, str]], sep: str = ", ") -> Column:
     """Comma-joined labels of the true flags, in the given order."""
     items = [F.when(cond, F.lit(label)) for cond, label in pairs]

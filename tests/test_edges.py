@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from pulsewatch.config import OutageParams, PolicyParams, RollingParams
 from pulsewatch.operators import alerts, checkout, outages, policy, rolling, series

@@ -44,3 +44,25 @@ def test_alert_log_levels(spark):
     assert log["CRITICAL"].startswith("ALERT: denied transactions anomaly — count=20, z_score=4.50")
     assert log["WARNING"].startswith("ELEVATED: failed transactions above normal")
     assert alerts.outbox(a).count() == 1
+
+
+def test_auth_csv_keeps_codes_as_text(spark):
+    path = tempfile.mkdtemp(prefix="pw-auth-", dir="/tmp") + "/auth"
+    spark.createDataFrame([("2025-07-12 14:00:00", "00", 5), ("2025-07-12 14:00:00", "05", 1)],
+                          "timestamp string, auth_code string, count bigint") \
+        .coalesce(1).write.option("header", True).csv(path)
+    back = files.read_auth_csv(spark, path)
+    assert sorted(r.auth_code for r in back.collect()) == ["00", "05"]
+    assert dict(back.dtypes) == {"ts": "timestamp_ntz", "auth_code": "string", "cnt": "bigint"}
+
+
+def test_header_map_round_trip(spark):
+    from pulsewatch.sources import messages
+    df = spark.createDataFrame([({"traceparent": "00-" + "a" * 32 + "-" + "b" * 16 + "-01", "k": "v"},)],
+                               "carrier map<string,string>")
+    back = df.select(messages.map_to_headers("carrier").alias("headers")).select(
+        messages.headers_to_map("headers").alias("m"))
+    m = back.collect()[0].m
+    assert m["k"] == "v" and m["traceparent"].endswith("-01")
+    tp = back.select(messages.parse_traceparent(F.col("m")["traceparent"]).alias("t")).collect()[0].t
+    assert tp.valid and tp.trace_id == "a" * 32 and tp.span_id == "b" * 16

@@ -1,7 +1,6 @@
 """Streams equal their batch twins; keyed cooldown state equals the fold."""
 
 import datetime as dt
-import os
 import tempfile
 
 from pyspark.sql import functions as F
