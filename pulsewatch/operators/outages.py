@@ -32,7 +32,11 @@ def outage_periods(volume: DataFrame, unit: str = "MINUTE", keys: Sequence[str]
     w = Window.partitionBy(*keys).orderBy("_s")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # "first outage stamp at or after this row" as a running min in descending
+    # order: Spark computes running frames incrementally, whereas a
+    # current-row-to-unbounded-following frame is recomputed for every row.
+    after = (Window.partitionBy(*keys).orderBy(F.desc("_s"))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out_s = F.when(F.col("_out"), F.col("_s"))
     prev_out = F.max(out_s).over(before)
     starts = F.col("_out") & (prev_out.isNull() | (F.col("_s") - prev_out > F.lit(gap)))
