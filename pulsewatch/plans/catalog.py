@@ -212,7 +212,7 @@ def q_cross_signal(spark, sf):
 @register("outage_periods")
 def q_outage_periods(spark, sf):
     vol = series.volume_per_stamp(A.transactions(spark, sf))
-    return outages.outage_periods(vol, unit="HOUR")
+    return outages.outage_periods(vol, unit="HOUR", chunk_units=7 * 24)
 
 
 def _signals(spark, sf):

@@ -79,3 +79,15 @@ def test_chunked_signal_frame_equals_unchunked(spark):
     for secs in (86400, 5 * 86400):
         b = timeline.signal_frame(rates, auth, chunk_seconds=secs).select(*cols)
         assert _same(a, b)
+
+
+def test_chunked_outages_equal_unchunked(spark):
+    # sf0.001 hourly totals are mostly near zero: long periods cross chunk edges
+    vol = series.volume_per_stamp(A.transactions(spark, SMOKE, unit="HOUR"))
+    a = outages.outage_periods(vol, unit="HOUR")
+    assert a.count() > 10
+    for units in (5, 24, 24 * 9):
+        assert _same(a, outages.outage_periods(vol, unit="HOUR", chunk_units=units))
+    two = vol.withColumn("k", F.lit(1)).unionByName(vol.withColumn("k", F.lit(2)).withColumn("total", F.col("total") + 1))
+    assert _same(outages.outage_periods(two, unit="HOUR", keys=["k"]),
+                 outages.outage_periods(two, unit="HOUR", keys=["k"], chunk_units=24))
