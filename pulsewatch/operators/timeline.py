@@ -73,13 +73,16 @@ def signal_frame(rates: DataFrame, auth: DataFrame | None, ts: str = "ts",
     else:
         thr = df.filter(both).agg(
             F.avg("divergence") + F.lit(p.divergence_sigmas) * F.stddev_samp("divergence")).scalar()
+    # One row per stamp, read several times by the timeline consumers (scores,
+    # run lengths, thresholds, resampling): written once.
     return (df.withColumn("divergence_threshold", thr)
             .withColumn("volume_anomaly", as_int(F.abs(F.col("volume_zscore")) > p.volume.z_threshold))
             .withColumn("approval_anomaly", as_int(F.abs(F.col("approval_zscore")) > p.rate.z_threshold))
             .withColumn("error_anomaly", as_int(F.abs(F.col("error_zscore")) > p.rate.z_threshold))
             .withColumn("cross_signal_divergent",
                         as_int(F.col("divergence") > F.col("divergence_threshold")))
-            .withColumn("near_zero", as_int(F.col("total") <= p.outage.zero_threshold)))
+            .withColumn("near_zero", as_int(F.col("total") <= p.outage.zero_threshold))
+            .checkpoint())
 
 
 def classify(score, near_zero):
@@ -128,26 +131,71 @@ def resample_max(timeline: DataFrame, bucket_units: int = 5, unit: str = "MINUTE
                     F.coalesce("max_score", F.lit(0)).cast("int").alias("max_score")))
 
 
+def low_run_lengths(df: DataFrame, unit: str, keys: Sequence[str] = (), ts: str = "ts",
+                    low_volume: int = 5, chunk_units: int | None = None) -> DataFrame:
+    """``low_run_length``: how many consecutive stamps (one unit apart) up to
+    and including this one have ``total < low_volume`` (0 when not low).
+
+    Computed from row indices: length = index - index of the last break + 1.
+    With ``chunk_units`` one long series is split into time chunks: the
+    previous row, the index offset and the last break before a chunk come
+    from chunk-level tables (one row per chunk), so the result is exact.
+    """
+    step = unit_seconds(unit)
+    low = F.col("total") < F.lit(low_volume)
+    base = df.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp"))).withColumn("_low", low)
+    part = list(keys)
+    if chunk_units:
+        base = base.withColumn("_home", F.floor(F.col("_s") / F.lit(chunk_units * step)))
+        part.append("_home")
+    w = Window.partitionBy(*part).orderBy("_s")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    li = F.row_number().over(w)
+    prev_s, prev_low = F.lag("_s").over(w), F.lag("_low").over(w)
+    if chunk_units:
+        wk = Window.partitionBy(*keys).orderBy("_home")
+        chunks = (base.groupBy(*keys, "_home").agg(
+            F.count(F.lit(1)).alias("_n"), F.max("_s").alias("_last_s"),
+            F.max_by("_low", "_s").alias("_last_low"))
+            .withColumn("_prev_s", F.lag("_last_s").over(wk))
+            .withColumn("_prev_low", F.lag("_last_low").over(wk))
+            .withColumn("_off", F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                           F.lit(0)))
+            .select(*keys, "_home", "_prev_s", "_prev_low", "_off"))
+        base = base.join(chunks, [*keys, "_home"])
+        first = li == 1
+        prev_s = F.when(first, F.col("_prev_s")).otherwise(prev_s)
+        prev_low = F.when(first, F.col("_prev_low")).otherwise(prev_low)
+        idx = li + F.col("_off")
+    else:
+        idx = li
+    brk = (~F.col("_low") | prev_s.isNull() | (F.col("_s") - prev_s != F.lit(step))
+           | ~F.coalesce(prev_low, F.lit(False)))
+    m = base.withColumn("_idx", idx).withColumn("_brk", brk)
+    last_brk = F.max(F.when(F.col("_brk"), F.col("_idx"))).over(upto)
+    m = m.withColumn("_last_brk", last_brk)
+    if chunk_units:
+        wk = Window.partitionBy(*keys).orderBy("_home")
+        carry = (m.groupBy(*keys, "_home").agg(F.max(F.when(F.col("_brk"), F.col("_idx"))).alias("_cb"))
+                 .withColumn("_carry_brk", F.max("_cb").over(wk.rowsBetween(Window.unboundedPreceding, -1)))
+                 .select(*keys, "_home", "_carry_brk"))
+        m = (m.join(carry, [*keys, "_home"])
+             .withColumn("_last_brk", F.coalesce(F.col("_last_brk"), F.col("_carry_brk"))))
+    length = F.when(F.col("_low"), F.col("_idx") - F.col("_last_brk") + 1).otherwise(F.lit(0)).cast("bigint")
+    return m.withColumn("low_run_length", length).drop(
+        "_s", "_low", "_home", "_prev_s", "_prev_low", "_off", "_idx", "_brk", "_last_brk", "_carry_brk")
+
+
 def rule_book(signals: DataFrame, unit: str = "MINUTE", keys: Sequence[str] = (), ts: str = "ts",
               low_volume: int = 5, low_run: int = 5, volume_z: float = 3.0, rate_z: float = 2.5,
-              sigmas: float = 3.0) -> DataFrame:
+              sigmas: float = 3.0, chunk_units: int | None = None) -> DataFrame:
     """The written alerting policy applied per stamp.
 
     CRITICAL: volume < ``low_volume`` for ``low_run`` consecutive stamps, or
     approval rate below max(0, mean - 3 std).  WARNING: abs(volume z) > 3,
     approval z < -2.5, error z > 2.5, or divergence above its threshold.
     """
-    step = unit_seconds(unit)
-    sec = F.unix_seconds(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(ts)
-    low = F.col("total") < F.lit(low_volume)
-    prev_s = F.lag(sec).over(w)
-    prev_low = F.lag(low).over(w)
-    breaks = ~low | prev_s.isNull() | (sec - prev_s != F.lit(step)) | ~F.coalesce(prev_low, F.lit(False))
-    run_id = F.sum(breaks.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = signals.withColumn("_run", run_id)
-    wr = Window.partitionBy(*keys, "_run").orderBy(ts)
-    df = df.withColumn("low_run_length", F.when(low, F.row_number().over(wr)).otherwise(F.lit(0)).cast("bigint"))
+    df = low_run_lengths(signals, unit, keys, ts, low_volume, chunk_units)
     if keys:
         wk = Window.partitionBy(*keys)
         floor_ = F.greatest(F.lit(0.0), F.avg("approval_rate").over(wk)

@@ -154,27 +154,43 @@ def _rates(spark, sf):
 
 WEEK = 7 * 86400  # row-frame chunks of the hourly series: one long series over many tasks
 YEAR = 365 * 86400  # ... of the daily series
+# Chunk a single series only when it is long: below this many stamps one task
+# is cheaper than the copies and chunk tables (results are identical either way).
+AUTO_CHUNK_ROWS = 200_000
+
+
+def _series(df: DataFrame) -> DataFrame:
+    """Write the aggregated per-stamp series once (it is tiny next to the raw
+    tables and is read by the detector and by the chunking decision)."""
+    return df.checkpoint()
+
+
+def _chunk(series_df: DataFrame, size):
+    return size if series_df.count() > AUTO_CHUNK_ROWS else None
 
 
 @register("rolling_volume")
 def q_rolling_volume(spark, sf):
-    r = rolling.rolling_zscore(_rates(spark, sf), "total", params=RollingParams(z_threshold=3.0),
-                               chunk_seconds=WEEK)
+    rates = _series(_rates(spark, sf))
+    r = rolling.rolling_zscore(rates, "total", params=RollingParams(z_threshold=3.0),
+                               chunk_seconds=_chunk(rates, WEEK))
     return r.select("ts", F.col("total").alias("value"), *ROLL_COLS)
 
 
 @register("rolling_approval")
 def q_rolling_approval(spark, sf):
-    r = rolling.rolling_zscore(_rates(spark, sf), "approval_rate", dropna=True,
-                               params=RollingParams(z_threshold=2.5), chunk_seconds=WEEK)
+    rates = _series(_rates(spark, sf))
+    r = rolling.rolling_zscore(rates, "approval_rate", dropna=True,
+                               params=RollingParams(z_threshold=2.5), chunk_seconds=_chunk(rates, WEEK))
     return r9(r.select("ts", F.col("approval_rate").alias("value"), *ROLL_COLS),
               ["rolling_mean", "rolling_std", "z_score"])
 
 
 @register("rolling_error")
 def q_rolling_error(spark, sf):
-    r = rolling.rolling_zscore(_rates(spark, sf), "error_rate", dropna=True,
-                               params=RollingParams(z_threshold=2.5), chunk_seconds=WEEK)
+    rates = _series(_rates(spark, sf))
+    r = rolling.rolling_zscore(rates, "error_rate", dropna=True,
+                               params=RollingParams(z_threshold=2.5), chunk_seconds=_chunk(rates, WEEK))
     r = r.withColumn("direction", rolling.direction())
     return r9(r.select("ts", F.col("error_rate").alias("value"), *ROLL_COLS, "direction"),
               ["rolling_mean", "rolling_std", "z_score"])
@@ -182,8 +198,9 @@ def q_rolling_error(spark, sf):
 
 @register("rolling_bands")
 def q_rolling_bands(spark, sf):
-    r = rolling.rolling_zscore(_rates(spark, sf), "total", params=RollingParams(z_threshold=3.0),
-                               chunk_seconds=WEEK)
+    rates = _series(_rates(spark, sf))
+    r = rolling.rolling_zscore(rates, "total", params=RollingParams(z_threshold=3.0),
+                               chunk_seconds=_chunk(rates, WEEK))
     r = rolling.bands(r, 3.0).withColumn("direction", rolling.direction())
     return r.select("ts", F.col("total").alias("value"), "rolling_mean", "band_lower", "band_upper",
                     "is_anomaly", "direction")
@@ -198,8 +215,8 @@ def q_rolling_keyed(spark, sf):
 
 @register("rolling_daily")
 def q_rolling_daily(spark, sf):
-    d = series.rate_series(A.transactions_daily(spark, sf))
-    r = rolling.rolling_zscore(d, "total", params=RollingParams(z_threshold=3.0), chunk_seconds=YEAR)
+    d = _series(series.rate_series(A.transactions_daily(spark, sf)))
+    r = rolling.rolling_zscore(d, "total", params=RollingParams(z_threshold=3.0), chunk_seconds=_chunk(d, YEAR))
     return r.select("ts", F.col("total").alias("value"), *ROLL_COLS)
 
 
@@ -211,13 +228,13 @@ def q_cross_signal(spark, sf):
 
 @register("outage_periods")
 def q_outage_periods(spark, sf):
-    vol = series.volume_per_stamp(A.transactions(spark, sf))
-    return outages.outage_periods(vol, unit="HOUR", chunk_units=7 * 24)
+    vol = _series(series.volume_per_stamp(A.transactions(spark, sf)))
+    return outages.outage_periods(vol, unit="HOUR", chunk_units=_chunk(vol, 7 * 24))
 
 
 def _signals(spark, sf):
     base = timeline.signal_base(_rates(spark, sf), series.auth_rates(A.auth_codes(spark, sf)))
-    return timeline.signal_frame(base, None, chunk_seconds=WEEK)
+    return timeline.signal_frame(base, None, chunk_seconds=_chunk(base, WEEK))
 
 
 @register("anomaly_timeline")
@@ -248,7 +265,8 @@ def q_flag_counts(spark, sf):
 
 @register("rule_book")
 def q_rule_book(spark, sf):
-    return timeline.rule_book(_signals(spark, sf), unit="HOUR")
+    sig = _signals(spark, sf)
+    return timeline.rule_book(sig, unit="HOUR", chunk_units=_chunk(sig, 7 * 24))
 
 
 @register("recommended_thresholds")

@@ -91,3 +91,13 @@ def test_chunked_outages_equal_unchunked(spark):
     two = vol.withColumn("k", F.lit(1)).unionByName(vol.withColumn("k", F.lit(2)).withColumn("total", F.col("total") + 1))
     assert _same(outages.outage_periods(two, unit="HOUR", keys=["k"]),
                  outages.outage_periods(two, unit="HOUR", keys=["k"], chunk_units=24))
+
+
+def test_chunked_low_runs_equal_unchunked(spark):
+    from pulsewatch.operators import timeline
+    vol = series.volume_per_stamp(A.transactions(spark, SMOKE, unit="HOUR"))
+    a = timeline.low_run_lengths(vol, "HOUR", low_volume=3).select("ts", "low_run_length")
+    assert a.filter(F.col("low_run_length") >= 3).count() > 0
+    for units in (2, 5, 24):
+        b = timeline.low_run_lengths(vol, "HOUR", low_volume=3, chunk_units=units).select("ts", "low_run_length")
+        assert _same(a, b)
