@@ -521,3 +521,14 @@ def q_event_heads(spark, sf):
             .select(F.lit("critical_warning").alias("report"), "ts", "severity",
                     F.col("total_score").cast("double").alias("score")))
     return spikes.unionByName(crit)
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf):
+    """The periodic alert check as a stream (foreachBatch): each micro-batch
+    is appended to the fact table and the detector runs on the table."""
+    base = scratch_path(spark, "stream-alerts")
+    monitor.write_messages(A.transactions(spark, sf), f"{base}/src")
+    monitor.alert_check(spark, f"{base}/src", f"{base}/table", f"{base}/alerts", f"{base}/ckpt",
+                        params=PolicyParams(), unit="HOUR").awaitTermination()
+    return spark.read.parquet(f"{base}/alerts").select(*DETAIL_COLS)

@@ -719,3 +719,7 @@ SQL["event_heads"] = with_(*SIG, f"r AS ({rolling_float('rates', 'error_rate')})
 UNION ALL
 (SELECT 'critical_warning' AS report, ts, severity, CAST(total_score AS DOUBLE) AS score
  FROM tl WHERE severity IN ('CRITICAL', 'WARNING') ORDER BY ts LIMIT 30)"""
+
+# One micro-batch holds every replayed message, so the stream's evaluation is
+# the batch detector at the latest stamp.
+SQL["stream_alerts"] = SQL["policy_detect"]
