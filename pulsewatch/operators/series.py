@@ -68,12 +68,20 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles (linear), max per metric."""
+def describe(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = (),
+             exact: bool = True, accuracy: int = 10000) -> DataFrame:
+    """count, mean, sample std, min, quartiles, max per metric.
+
+    ``exact=True``: exact quartiles with linear interpolation (the group's
+    distinct values are held in memory: right for per-stamp series).
+    ``exact=False``: ``percentile_approx`` sketches (bounded memory, for raw
+    high-cardinality columns); results then differ within ``1/accuracy`` rank.
+    """
     stacked = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics
     ])).alias("m")).select(*keys, "m.metric", "m.v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = F.percentile("v", probs) if exact else F.percentile_approx("v", probs, accuracy)
     return (stacked.groupBy(*keys, "metric").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"))

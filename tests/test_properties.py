@@ -101,3 +101,10 @@ def test_chunked_low_runs_equal_unchunked(spark):
     for units in (2, 5, 24):
         b = timeline.low_run_lengths(vol, "HOUR", low_volume=3, chunk_units=units).select("ts", "low_run_length")
         assert _same(a, b)
+
+
+def test_describe_approx_close_to_exact(spark):
+    rates = series.rate_series(A.transactions(spark, SMOKE, unit="HOUR"))
+    a = {r.metric: r for r in series.describe(rates, ["total"]).collect()}["total"]
+    b = {r.metric: r for r in series.describe(rates, ["total"], exact=False).collect()}["total"]
+    assert a.n == b.n and a.mean == b.mean and abs(a.p50 - b.p50) <= 1.0
