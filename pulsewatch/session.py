@@ -41,14 +41,21 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="pulsewatch-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    """Return the shared checkpoint folder.
+
+    Taken from ``spark.checkpoint.dir`` (session or context conf) or from a
+    folder already set on the context; only when none exists (local tests) is
+    a temporary folder set, on the context (the conf itself cannot be changed
+    at runtime).
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current is None:
+        if not path:
+            path = tempfile.mkdtemp(prefix="pulsewatch-ckpt-")
+        sc.setCheckpointDir(path)
+    return path or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
