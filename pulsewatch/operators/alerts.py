@@ -13,10 +13,11 @@ doubling instead of one task per key:
 1. ``successor``: for each candidate, the first candidate of the same key at
    or after ``t + cooldown`` (sorted windows per (key, time chunk), with a
    second small pass for answers that lie in a later chunk);
-2. jump tables ``J[k] = successor^(2^k)`` by self-joins, each checkpointed;
-3. the fired alerts are exactly the nodes reachable from each key's first
-   candidate: start from the first candidates and, for k from high to low,
-   add ``J[k]`` of every node found so far.
+2. the fired alerts are exactly the nodes reachable from each key's first
+   candidate.  One table per round holds ``J = successor^(2^k)`` and a
+   ``reached`` mark: each round marks the J-targets of reached nodes
+   (distances ``2^k .. 2^(k+1)-1``) and squares J by a self-join; the table
+   is checkpointed once per round.
 
 Rounds are ``log2`` of the longest chain; every step is a join, so a hot key
 is spread by the shuffle (and by AQE's skew-join split), never collected.
@@ -86,22 +87,26 @@ def cooldown_filter(cands: DataFrame, keys: Sequence[str] = ("status", "severity
                                        ((F.max("t") - F.min("t")) / F.lit(cooldown_seconds)).alias("span"))
     longest = per_key.agg(F.max(F.least(F.col("n"), F.floor("span") + 1))).collect()[0][0] or 0
     rounds = max(1, math.ceil(math.log2(longest + 1)))
-    jumps = [successor(nodes, keys, cooldown_seconds).checkpoint()]
-    for _ in range(rounds - 1):
-        j = jumps[-1]
-        a, b = j.alias("a"), j.alias("b")
+    # One table per round: (keys, t, nxt = successor^(2^k), reached).  Round k
+    # marks the targets of reached nodes (distances 2^k .. 2^(k+1)-1 from each
+    # key's first candidate) and squares the jump; one checkpoint per round.
+    first = nodes.groupBy(*keys).agg(F.min("t").alias("t")).withColumn("_first", F.lit(True))
+    table = (successor(nodes, keys, cooldown_seconds).join(first, [*keys, "t"], "left")
+             .select(*keys, "t", "nxt", F.coalesce("_first", F.lit(False)).alias("reached"))
+             .checkpoint())
+    for _ in range(rounds):
+        marks = (table.filter(F.col("reached") & F.col("nxt").isNotNull())
+                 .select(*keys, F.col("nxt").alias("t"), F.lit(True).alias("_hit")).distinct())
+        a, b = table.alias("a"), table.alias("b")
         cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.nxt") == F.col("b.t")]
-        nxt = (a.join(b, cond, "left")
-               .select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.t").alias("t"),
-                       F.col("b.nxt").alias("nxt")))
-        jumps.append(nxt.checkpoint())
-    reach = nodes.groupBy(*keys).agg(F.min("t").alias("t"))
-    for j in reversed(jumps):
-        step = (reach.join(j, [*keys, "t"]).filter(F.col("nxt").isNotNull())
-                .select(*keys, F.col("nxt").alias("t")))
-        reach = reach.unionByName(step).checkpoint()
-    return cands.withColumn("_t", _secs(ts)).join(
-        reach.withColumnRenamed("t", "_t"), [*keys, "_t"], "left_semi").drop("_t")
+        squared = a.join(b, cond, "left").select(
+            *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.t").alias("t"),
+            F.col("b.nxt").alias("nxt"), F.col("a.reached").alias("reached"))
+        table = (squared.join(marks, [*keys, "t"], "left")
+                 .select(*keys, "t", "nxt", (F.col("reached") | F.coalesce("_hit", F.lit(False))).alias("reached"))
+                 .checkpoint())
+    fired = table.filter("reached").select(*keys, F.col("t").alias("_t"))
+    return cands.withColumn("_t", _secs(ts)).join(fired, [*keys, "_t"], "left_semi").drop("_t")
 
 
 def dispatch(details: DataFrame, cooldown_seconds: int = 300, critical: float = 4.0,
