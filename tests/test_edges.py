@@ -142,3 +142,8 @@ def test_chunked_backtest_equals_unchunked(spark):
     a = policy.policy_backtest(tx, unit="HOUR", chunk_units=0).select(*cols)
     b = policy.policy_backtest(tx, unit="HOUR", chunk_units=24).select(*cols)
     assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_cooldown_with_no_candidates(spark):
+    empty = _cands(spark, [0]).limit(0)
+    assert alerts.cooldown_filter(empty, cooldown_seconds=300).count() == 0

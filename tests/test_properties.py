@@ -108,3 +108,10 @@ def test_describe_approx_close_to_exact(spark):
     a = {r.metric: r for r in series.describe(rates, ["total"]).collect()}["total"]
     b = {r.metric: r for r in series.describe(rates, ["total"], exact=False).collect()}["total"]
     assert a.n == b.n and a.mean == b.mean and abs(a.p50 - b.p50) <= 1.0
+
+
+def test_naive_rule_sql_view_equals_dataframe(spark):
+    from pulsewatch.operators import checkout
+    cd = A.checkout_data(spark, SMOKE)
+    cols = ["snapshot", "day", "time", "pct_deviation_week", "is_naive_anomaly", "naive_severity"]
+    assert _same(checkout.naive_baseline(cd).select(*cols), checkout.naive_baseline_sql(cd).select(*cols))
