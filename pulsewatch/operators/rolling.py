@@ -51,6 +51,48 @@ def rolling_stats(value: str, order: str, keys: Sequence[str], p: RollingParams,
     return {"rolling_mean": r_mean, "rolling_std": r_std}
 
 
+def with_rolling(df: DataFrame, value: str, order: str, keys: Sequence[str], p: RollingParams,
+                 exact: bool, skip_nulls_as_rows: bool = False, mean_col: str = "rolling_mean",
+                 std_col: str = "rolling_std") -> DataFrame:
+    """Add the trailing-row-frame mean and floored std of ``value``.
+
+    Integer series (``exact``) use running sums: the frame's count, sum and
+    sum of squares are the running totals minus the running totals ``window``
+    rows back.  The totals are exact integers (DECIMAL(38,0)), so the
+    difference is exact and the result equals the sliding frame bit for bit,
+    in O(1) per row instead of re-adding the whole frame for every row.
+    Doubles keep the sliding frame (a difference of float running sums would
+    cancel).
+    """
+    if not exact:
+        st = rolling_stats(value, order, keys, p, exact, skip_nulls_as_rows)
+        return df.withColumn(mean_col, st["rolling_mean"]).withColumn(std_col, st["rolling_std"])
+    part = list(keys) + ([F.col(value).isNull()] if skip_nulls_as_rows else [])
+    w = Window.partitionBy(*part).orderBy(order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = F.col(value)
+    d = "decimal(38,0)"
+    t = {"n": "_rn", "s1": "_rs1", "s2": "_rs2"}
+    df = (df.withColumn(t["n"], F.count(v).over(run))
+          .withColumn(t["s1"], F.sum(F.coalesce(v.cast(d), F.lit(0).cast(d))).over(run))
+          .withColumn(t["s2"], F.sum(F.coalesce(sum_sq(v), F.lit(0).cast(d))).over(run)))
+
+    def frame(c, zero):
+        return F.col(c) - F.coalesce(F.lag(c, p.window).over(w), zero)
+
+    df = (df.withColumn("_fn", frame(t["n"], F.lit(0).cast("bigint")))
+          .withColumn("_fs1", frame(t["s1"], F.lit(0).cast(d)))
+          .withColumn("_fs2", frame(t["s2"], F.lit(0).cast(d))))
+    n, s1, s2 = F.col("_fn"), F.col("_fs1"), F.col("_fs2")
+    ok = n >= F.lit(p.min_periods)
+    if skip_nulls_as_rows:
+        ok = ok & v.isNotNull()
+    std = exact_std(n, s1, s2)
+    return (df.withColumn(mean_col, F.when(ok, s1.cast("double") / n.cast("double")))
+            .withColumn(std_col, F.when(ok & std.isNotNull(), F.greatest(std, F.lit(float(p.min_std)))))
+            .drop(*t.values(), "_fn", "_fs1", "_fs2"))
+
+
 def row_frame_chunks(df: DataFrame, ts: str, keys: Sequence[str], window: int,
                      chunk_seconds: int, sequences: Sequence[Column | None] = (None,)) -> DataFrame:
     """Split each series into time chunks for an exact trailing row frame.
@@ -115,8 +157,7 @@ def rolling_zscore(df: DataFrame, value: str, ts: str = "ts", keys: Sequence[str
     if chunk_seconds:
         src = row_frame_chunks(src, ts, keys, params.window, chunk_seconds)
         part.append("_chunk")
-    st = rolling_stats(value, ts, part, params, exact)
-    out = src.withColumn("rolling_mean", st["rolling_mean"]).withColumn("rolling_std", st["rolling_std"])
+    out = with_rolling(src, value, ts, part, params, exact)
     if chunk_seconds:
         out = out.filter(~F.col("_copy")).drop("_chunk", "_copy")
     z = (F.col(value) - F.col("rolling_mean")) / F.col("rolling_std")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import SEVERITIES, TimelineParams, unit_seconds
 from ..functions.columns import as_int, exact_std, flag, flag_list, safe_div
 from .quality import stamp_grid
-from .rolling import rolling_stats, row_frame_chunks
+from .rolling import row_frame_chunks, with_rolling
 
 
 def signal_base(rates: DataFrame, auth: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
@@ -51,16 +51,14 @@ def signal_frame(rates: DataFrame, auth: DataFrame | None, ts: str = "ts",
                               sequences=[None, F.col("approval_rate").isNotNull(),
                                          F.col("error_rate").isNotNull()])
         part.append("_chunk")
-    cols = {}
     for name, value, prm, exact, skip in (
             ("volume", "total", p.volume, True, False),
             ("approval", "approval_rate", p.rate, False, True),
             ("error", "error_rate", p.rate, False, True)):
-        st = rolling_stats(value, ts, part, prm, exact, skip_nulls_as_rows=skip)
-        z = (F.col(value) - st["rolling_mean"]) / st["rolling_std"]
-        cols[f"{name}_zscore"] = z
-    for c, e in cols.items():
-        df = df.withColumn(c, e)
+        df = with_rolling(df, value, ts, part, prm, exact, skip_nulls_as_rows=skip,
+                          mean_col="_m", std_col="_sd")
+        df = (df.withColumn(f"{name}_zscore", (F.col(value) - F.col("_m")) / F.col("_sd"))
+              .drop("_m", "_sd"))
     if chunk_seconds:
         df = df.filter(~F.col("_copy")).drop("_chunk", "_copy")
     div = F.abs(F.col("approval_rate") - F.col("auth_approval_rate"))
