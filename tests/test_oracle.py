@@ -10,7 +10,7 @@ from tools.oracle_check import TABLES, rows
 
 from .conftest import SMOKE
 
-KEYS = sorted(E.queries())
+KEYS = sorted(E.catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(KEYS)
+    assert set(KEYS) <= set(E.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test data not present")
