@@ -60,3 +60,12 @@ def hash128(*cols: Column) -> tuple[Column, Column]:
 
 def crc32_mod(col: Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
+
+
+def matrix(column, dtype):
+    """A non-null Arrow list column of equal lengths as a 2-d numpy array."""
+    import pyarrow as pa
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)

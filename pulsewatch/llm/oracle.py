@@ -26,3 +26,37 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_FINITE = """embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""
+
+SQL["op1_near_vectors"] = f"""
+WITH RECURSIVE ok AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), low AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+), degree AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, least(v.vec_id, coalesce(low.b, v.vec_id)) AS component_id,
+       v.vec_id <= coalesce(low.b, v.vec_id) AS kept
+FROM embeddings v LEFT JOIN degree d ON d.a = v.vec_id LEFT JOIN low ON low.a = v.vec_id
+"""
+
+SQL["op8_top_k"] = f"""
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE {_FINITE}
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM ok q JOIN ok c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
