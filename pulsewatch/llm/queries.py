@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, simhash, topk, vectors
-from .common import table
+from . import html, licenses, lines, mixing, packing, simhash, topk, toxicity, vectors
+from .common import crc32_mod, saved, table
 from .oracle import SQL  # noqa: F401
 
 
@@ -20,6 +20,15 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "_mix")
+    return mixing.mix(saved(sized)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, F.pmod(rows["vec_id"], F.lit(50)) == 0, k=5)
@@ -44,10 +53,32 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled rows outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels.where(crc32_mod(labels["doc_id"], 5) != 0))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", F.coalesce(crc32_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
+    "op2_mixing": op2_mixing,
+    "op4_licenses": op4_licenses,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
-    "op8_top_k": op8_top_k,
     "op7_packing": op7_packing,
+    "op8_top_k": op8_top_k,
+    "op9_html": op9_html,
+    "op10_toxicity": op10_toxicity,
 }
