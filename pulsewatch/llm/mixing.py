@@ -191,9 +191,10 @@ def mix(rows: DataFrame, source: str = "source", weights: tuple[float, ...] = (3
         raise ValueError("share must lie in (0, most]")
     ship(rows.sparkSession)
     rows = rows.drop(*[c for c in ("source_size", "target", "taken", "draws") if c in rows.columns])
-    found = _sources(rows, source, list(weights), share, most, block_rows)
+    slim = saved(rows.select(source, "size", "_mix"))
+    found = _sources(slim, source, list(weights), share, most, block_rows)
     if any(s.rest for s in found):
-        _draw_rest(rows, found, source)
+        _draw_rest(slim, found, source)
     shards = max(1, ceil(sum(s.target for s in found) / shard_words))
     blocks = saved(_shards_of_blocks(rows, found, shards, seed))
     numbered = _figures(rows, found, source).withColumn("_at", _block()).withColumnRenamed("_s", "_number")

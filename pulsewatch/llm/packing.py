@@ -42,10 +42,10 @@ class Encoder:
 
     No token spans white space, so the ids of a text are those of its chunks in
     order; chunks and words seen before are looked up.  The memory is bounded:
-    it is emptied when it holds ``keep`` entries.
+    beyond ``keep`` entries it goes on with the shorter half, as short chunks recur.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
@@ -63,30 +63,41 @@ class Encoder:
             at = end
 
     def _learn(self, new: set[str]) -> None:
-        split, words = [], set()
+        split, unknown, words = [], set(), self.words
         for c in new:
             m = _SIMPLE.fullmatch(c)
             if m:
-                parts = (m[1], m[2].lower(), m[3])
-                split.append((c, parts))
-                words.update(parts)
+                before, word, after = m.groups()
+                word = word.lower()
             elif len(c) > 64 or "<|" in c:
                 self.chunks[c] = self.whole(c)
+                continue
             else:
-                split.append((c, (c,)))
-                words.add(c)
-        if unknown := [w for w in words if w not in self.words]:
-            self._encode_new(unknown)
-        for c, parts in split:
-            self.chunks[c] = b"".join([self.words[p] for p in parts])
+                before, word, after = "", c, ""
+            if word not in words:
+                unknown.add(word)
+            if before not in words:
+                unknown.add(before)
+            if after not in words:
+                unknown.add(after)
+            split.append((c, before, word, after))
+        if unknown:
+            self._encode_new(list(unknown))
+        for c, before, word, after in split:
+            self.chunks[c] = words[before] + words[word] + words[after]
+
+    def _shrink(self, known: dict[str, bytes]) -> dict[str, bytes]:
+        if len(known) <= self.keep:
+            return known
+        middle = int(np.median([len(k) for k in known]))
+        return {k: v for k, v in known.items() if len(k) < middle}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunked = [None if t and _ODD_SPACE.search(t) else (t or "").split() for t in texts]
-        if len(self.chunks) > self.keep or len(self.words) > self.keep:
-            self.chunks, self.words = {}, {"": b""}
+        self.chunks, self.words = self._shrink(self.chunks), self._shrink(self.words)
         new = set()
         for c in chunked:
             if c:

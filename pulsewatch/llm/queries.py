@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, licenses, lines, mixing, packing, simhash, topk, toxicity, vectors
+from . import html, licenses, lines, mixing, packing, pii, simhash, topk, toxicity, vectors
 from .common import crc32_mod, saved, table
 from .oracle import SQL  # noqa: F401
 
@@ -25,6 +25,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(saved(sized)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key="pulsewatch")
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
     "op4_licenses": op4_licenses,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,

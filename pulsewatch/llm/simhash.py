@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, ship
@@ -193,3 +193,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     member = named.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(member, fps["fp"] == member["_fp"]).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest doc_id, and
+    of rows that repeat it the first by a hash of the text.  Rows without an id
+    stay where their group has no other."""
+    found = near_duplicates(docs, text, doc_id, **options)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_kept"), F.col("fp").alias("_of")).distinct()
+    one = F.row_number().over(Window.partitionBy("_kept", "_of").orderBy(F.xxhash64(docs[text])))
+    return (docs.join(kept, docs[doc_id].cast("bigint").eqNullSafe(F.col("_kept"))).withColumn("_one", one)
+            .where("_one = 1").select(*docs.columns))
