@@ -67,6 +67,13 @@ class Subspaces:
         v = v / np.abs(v).max(axis=1, keepdims=True)  # no over- or underflow in the norm
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
+    def rotate(self, u: np.ndarray) -> np.ndarray:
+        """Row by row the same, whatever rows stand beside it."""
+        out = np.zeros((len(u), self.rotation.shape[1]))
+        for k in range(u.shape[1]):
+            out += u[:, k:k + 1] * self.rotation[k]
+        return out
+
     def lead(self, rotated: np.ndarray, b: int) -> np.ndarray:
         at = self.parts[b].start
         two = rotated[:, at:at + 2]
@@ -78,15 +85,13 @@ class Subspaces:
     def block_distances(self, z: np.ndarray) -> np.ndarray:
         """Squared length of each block of rotated differences; the same for a
         pair wherever it is computed, so that one block alone owns the pair."""
-        r = np.zeros_like(z)
-        for k in range(z.shape[1]):
-            r += z[:, k:k + 1] * self.rotation[k]
+        r = self.rotate(z)
         return np.stack([np.square(r[:, p]).cumsum(axis=1)[:, -1] for p in self.parts], axis=1)
 
 
 def _deal(space: Subspaces, v: np.ndarray, ids: np.ndarray, tiles: dict[tuple, int]):
     """(vector index, pair key, side) of every pair of tiles that a vector is in."""
-    rotated = space.unit(v) @ space.rotation
+    rotated = space.rotate(space.unit(v))
     spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
     for b in range(len(space.parts)):
         cell, lead, side = space.cells(rotated, b), space.lead(rotated, b), space.side[b]
@@ -106,6 +111,8 @@ def _deal(space: Subspaces, v: np.ndarray, ids: np.ndarray, tiles: dict[tuple, i
 def join_tiles(space: Subspaces, b: int, left: np.ndarray, right: np.ndarray | None, cosine: float):
     """Index pairs that link between two tiles (or within one) and that block b owns."""
     same = right is None
+    if not len(left) or not (same or len(right)):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     lu = space.unit(left)
     ru = lu if same else space.unit(right)
     ly, ry = (lu @ space.rotation).astype(np.float32), (ru @ space.rotation).astype(np.float32)
@@ -144,7 +151,7 @@ def class_links(classes: DataFrame, space: Subspaces, cosine: float, tile: int)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rotated = space.unit(matrix(batch.column("e"), np.float64)) @ space.rotation if batch.num_rows else None
+            rotated = space.rotate(space.unit(matrix(batch.column("e"), np.float64))) if batch.num_rows else None
             for b in range(len(space.parts) if batch.num_rows else 0):
                 at, n = np.unique(space.cells(rotated, b), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -174,12 +181,12 @@ def class_links(classes: DataFrame, space: Subspaces, cosine: float, tile: int)
         import ast
 
         from pulsewatch.llm import vectors as V
-        b = ast.literal_eval(t["pair"][0].as_py())[0][0]
+        left, right = ast.literal_eval(t["pair"][0].as_py())
         t = t.sort_by([("side", "ascending"), ("rep", "ascending")])
         n_left = int((t["side"].to_numpy() == 0).sum())
         v, rep, m = matrix(t["e"], np.float64), t["rep"].to_numpy(), t["m"].to_numpy()
-        i, j = V.join_tiles(space, b, v[:n_left], v[n_left:] if n_left < len(v) else None, cosine)
-        j = j + (n_left if n_left < len(v) else 0)
+        i, j = V.join_tiles(space, left[0], v[:n_left], None if left == right else v[n_left:], cosine)
+        j = j if left == right else j + n_left
         low = V.forest(len(v), i, j)
         links = np.bincount(i, weights=m[j], minlength=len(v)) + np.bincount(j, weights=m[i], minlength=len(v))
         has = np.flatnonzero(links)
