@@ -125,7 +125,7 @@ def screened(rows: list[tuple[str, str | None, int]], min_docs: int, screen: flo
 
 def fit_words(rows: list[tuple[str, str | None, int]], min_docs: int = 3, screen: float = 4.0, l1: float = 2e-4,
               fairness: float = 1.0, rounds: int = 400, prior: float = 0.01) -> Model:
-    """Proximal gradient on log loss + fairness * (score - twin's score)^2 + l1.
+    """Proximal gradient on log loss + fairness * (logit - twin's logit)^2 + l1.
 
     ``rows``: (words, words of the counterfactual twin or None, label 0/1),
     words joined by spaces.
@@ -151,38 +151,35 @@ def fit_words(rows: list[tuple[str, str | None, int]], min_docs: int = 3, screen
     curve = np.bincount(at, weights=mean_len[row_of], minlength=size) / (4 * n)
     if len(paired):
         both = np.bincount(at, minlength=size) + np.bincount(twin_at, minlength=size)
-        curve = curve + fairness * both * float(mean_len[paired].max()) / (4 * n)
+        curve = curve + fairness * both * 2 * float(mean_len[paired].max()) / n
     # Far fewer words move than texts hold: long steps, halved when the loss rises.
     step = 32.0 / np.maximum(curve, 1e-9)
     weights, bias = np.zeros(size), float(np.log(labels.mean() / (1 - labels.mean())))
 
     def forward(w, b):
         z = b + _sums(w[at], ends)
-        t = b + _sums(w[twin_at], twin_ends) if len(paired) else np.zeros(0)
-        p, q = 1 / (1 + np.exp(-np.clip(z, -60, 60))), 1 / (1 + np.exp(-np.clip(t, -60, 60)))
-        gap = p[paired] - q
+        gap = z[paired] - b - _sums(w[twin_at], twin_ends) if len(paired) else np.zeros(0)
         loss = float(np.mean(np.logaddexp(0, z) - labels * z) + fairness * np.square(gap).sum() / n + l1 * np.abs(w).sum())
-        return p, q, gap, loss
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60))), gap, loss
 
-    p, q, gap, loss = forward(weights, bias)
+    p, gap, loss = forward(weights, bias)
     for _ in range(rounds):
         d = (p - labels) / n
-        d[paired] += 2 * fairness * gap * p[paired] * (1 - p[paired]) / n
+        g0 = d.sum()
+        d[paired] += 2 * fairness * gap / n
         g = np.bincount(at, weights=d[row_of], minlength=size)
-        dt = -2 * fairness * gap * q * (1 - q) / n
         if len(paired):
-            g = g + np.bincount(twin_at, weights=dt[twin_of], minlength=size)
-        g0 = d.sum() + dt.sum()
+            g = g - np.bincount(twin_at, weights=(2 * fairness * gap / n)[twin_of], minlength=size)
         while True:
             moved = weights - step * g
             moved = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1)
             moved_bias = bias - min(4.0, float(step.min()) * 4) * g0 if size else bias
             new = forward(moved, moved_bias)
-            if new[3] <= loss + 1e-12 or step.max() < 1e-6:
+            if new[2] <= loss + 1e-12 or step.max() < 1e-6:
                 break
             step = step / 2
-        done = loss - new[3] < 1e-7
-        weights, bias, (p, q, gap, loss) = moved, moved_bias, new
+        done = loss - new[2] < 1e-7
+        weights, bias, (p, gap, loss) = moved, float(moved_bias), new
         step = step * 1.2
         if done:
             break
