@@ -7,25 +7,26 @@ CRITICAL, > warning -> WARNING, otherwise no alert); an alert for key
 less than ``cooldown`` seconds earlier (a WARNING -> CRITICAL escalation has
 another key and fires at once).
 
-The cooldown is a sequential fold, so it is computed exactly with pointer
-doubling instead of one task per key:
+The cooldown is a sequential fold, computed exactly without one task per key:
 
-1. ``successor``: for each candidate, the first candidate of the same key at
+1. a candidate at least ``cooldown`` after its predecessor always fires, so one
+   ``lag`` per (key, time chunk) cuts every key into bursts; of candidates with
+   one stamp only the first (by a hash of the row) can fire;
+2. ``successor``: for each candidate, the first candidate of the same key at
    or after ``t + cooldown`` (sorted windows per (key, time chunk), with a
    second small pass for answers that lie in a later chunk);
-2. the fired alerts are exactly the nodes reachable from each key's first
-   candidate.  One table per round holds ``J = successor^(2^k)`` and a
-   ``reached`` mark: each round marks the J-targets of reached nodes
-   (distances ``2^k .. 2^(k+1)-1``) and squares J by a self-join; the table
-   is checkpointed once per round.
-
-Rounds are ``log2`` of the longest chain; every step is a join, so a hot key
-is spread by the shuffle (and by AQE's skew-join split), never collected.
+3. the fired alerts are exactly the nodes reachable from the bursts' first
+   candidates.  One table per round holds ``J = successor^(2^k)`` and a
+   ``reached`` mark: each round marks the J-targets of reached nodes and squares
+   J by a self-join; rounds end when no mark is new, so they follow the log2 of
+   the longest burst.
+
+Times are in microseconds.  Every step is a join or a window per chunk, so a
+hot key is spread by the shuffle (and by AQE's skew-join split).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,11 +43,26 @@ def alert_candidates(details: DataFrame, critical: float = 4.0, warning: float =
             .filter(F.col("severity").isin("CRITICAL", "WARNING")))
 
 
-def _secs(ts: str) -> Column:
-    return F.unix_seconds(F.col(ts).cast("timestamp"))
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def successor(nodes: DataFrame, keys: Sequence[str], gap: int, chunk_gaps: int = 1024) -> DataFrame:
+CHUNK_GAPS = 1024
+
+
+def burst_starts(nodes: DataFrame, keys: Sequence[str], gap: int, chunk_gaps: int = CHUNK_GAPS) -> DataFrame:
+    """``(keys, t)`` of the nodes without another of their key less than ``gap`` before."""
+    n = nodes.withColumn("chunk", F.floor(F.col("t") / F.lit(gap * chunk_gaps)))
+    before = Window.partitionBy(*keys).orderBy("chunk")  # one row per chunk
+    carried = (n.groupBy(*keys, "chunk").agg(F.max("t").alias("last"))
+               .withColumn("carry", F.lag("last").over(before)).drop("last"))
+    within = n.withColumn("prev", F.lag("t").over(Window.partitionBy(*keys, "chunk").orderBy("t")))
+    prev = F.coalesce("prev", "carry")
+    return (within.join(carried, [*keys, "chunk"])
+            .filter(prev.isNull() | (F.col("t") - prev >= F.lit(gap))).select(*keys, "t"))
+
+
+def successor(nodes: DataFrame, keys: Sequence[str], gap: int, chunk_gaps: int = CHUNK_GAPS) -> DataFrame:
     """``(keys, t)`` -> ``(keys, t, nxt)``: nxt = min t' >= t + gap (same key)."""
     chunk = gap * chunk_gaps
     cand = nodes.select(*keys, F.col("t").alias("time"), F.lit(0).alias("kind"),
@@ -73,28 +89,21 @@ def successor(nodes: DataFrame, keys: Sequence[str], gap: int, chunk_gaps: int =
 
 
 def cooldown_filter(cands: DataFrame, keys: Sequence[str] = ("status", "severity"),
-                    ts: str = "eval_ts", cooldown_seconds: int = 300) -> DataFrame:
-    """Keep the candidates that fire under the per-key cooldown."""
-    spark = cands.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = list(keys)
-    cands = cands.checkpoint()  # the candidates are read again by the final semi-join
-    nodes = cands.select(*keys, _secs(ts).alias("t")).distinct().checkpoint()
-    # Rounds = log2 of the longest possible chain: a key's fired alerts are at
-    # least ``cooldown`` apart, so a chain is bounded by both its candidate
-    # count and its time span / cooldown + 1.  (One scalar to the driver.)
-    per_key = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                       ((F.max("t") - F.min("t")) / F.lit(cooldown_seconds)).alias("span"))
-    longest = per_key.agg(F.max(F.least(F.col("n"), F.floor("span") + 1))).collect()[0][0] or 0
-    rounds = max(1, math.ceil(math.log2(longest + 1)))
-    # One table per round: (keys, t, nxt = successor^(2^k), reached).  Round k
-    # marks the targets of reached nodes (distances 2^k .. 2^(k+1)-1 from each
-    # key's first candidate) and squares the jump; one checkpoint per round.
-    first = nodes.groupBy(*keys).agg(F.min("t").alias("t")).withColumn("_first", F.lit(True))
-    table = (successor(nodes, keys, cooldown_seconds).join(first, [*keys, "t"], "left")
-             .select(*keys, "t", "nxt", F.coalesce("_first", F.lit(False)).alias("reached"))
-             .checkpoint())
-    for _ in range(rounds):
+                    ts: str = "eval_ts", cooldown_seconds: float = 300) -> DataFrame:
+    """Keep the candidates that fire under the per-key cooldown (all of them
+    without one)."""
+    ensure_checkpoint_dir(cands.sparkSession)
+    keys, gap = list(keys), round(cooldown_seconds * 1_000_000)
+    if gap <= 0:
+        return cands
+    one = F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(F.xxhash64(*cands.columns)))
+    cands = cands.withColumn("_t", _micros(ts)).withColumn("_one", one).filter("_one = 1").drop("_one").checkpoint()
+    nodes = cands.select(*keys, F.col("_t").alias("t"))
+    first = burst_starts(nodes, keys, gap).withColumn("_first", F.lit(True))
+    table = (successor(nodes, keys, gap).join(first, [*keys, "t"], "left")
+             .select(*keys, "t", "nxt", F.coalesce("_first", F.lit(False)).alias("reached")).checkpoint())
+    reached = table.filter("reached").count()
+    while True:
         marks = (table.filter(F.col("reached") & F.col("nxt").isNotNull())
                  .select(*keys, F.col("nxt").alias("t"), F.lit(True).alias("_hit")).distinct())
         a, b = table.alias("a"), table.alias("b")
@@ -105,15 +114,21 @@ def cooldown_filter(cands: DataFrame, keys: Sequence[str] = ("status", "severity
         table = (squared.join(marks, [*keys, "t"], "left")
                  .select(*keys, "t", "nxt", (F.col("reached") | F.coalesce("_hit", F.lit(False))).alias("reached"))
                  .checkpoint())
+        now = table.filter("reached").count()
+        if now == reached:
+            break
+        reached = now
     fired = table.filter("reached").select(*keys, F.col("t").alias("_t"))
-    return cands.withColumn("_t", _secs(ts)).join(fired, [*keys, "_t"], "left_semi").drop("_t")
+    return cands.join(fired, [*keys, "_t"], "left_semi").select(*[c for c in cands.columns if c != "_t"])
 
 
-def dispatch(details: DataFrame, cooldown_seconds: int = 300, critical: float = 4.0,
-             warning: float = 2.5) -> DataFrame:
-    """Fired alerts: status, severity, current value, baseline, z, score, time."""
-    fired = cooldown_filter(alert_candidates(details, critical, warning), cooldown_seconds=cooldown_seconds)
-    return fired.select("status", "severity", "current_value", "baseline_mean", "baseline_std", "z_score",
+def dispatch(details: DataFrame, cooldown_seconds: float = 300, critical: float = 4.0,
+             warning: float = 2.5, keys: Sequence[str] = ()) -> DataFrame:
+    """Fired alerts: keys, status, severity, current value, baseline, z, score,
+    time.  Every series (``keys``) has a cooldown of its own."""
+    fired = cooldown_filter(alert_candidates(details, critical, warning), (*keys, "status", "severity"),
+                            cooldown_seconds=cooldown_seconds)
+    return fired.select(*keys, "status", "severity", "current_value", "baseline_mean", "baseline_std", "z_score",
                         F.col("max_z_score").alias("score"), F.col("eval_ts").alias("alert_ts"))
 
 
@@ -121,7 +136,7 @@ def alert_counts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("status", "severity").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-def outbox(alerts: DataFrame, service: str = "monitoring-api") -> DataFrame:
+def outbox(alerts: DataFrame, service: str = "monitor") -> DataFrame:
     """Notification payloads: CRITICAL alerts only, as JSON text."""
     payload = F.to_json(F.struct(
         F.lit(True).alias("alert"), F.col("status"), F.col("severity"), F.col("current_value"),

@@ -97,12 +97,13 @@ def code_totals(auth: DataFrame) -> DataFrame:
 
 
 def approval_code(auth: DataFrame):
-    """Scalar column: '00' if present, else '0', else the largest-volume code."""
+    """Scalar column: '00' if present, else '0', else the largest-volume code
+    (the smaller of equals)."""
     t = code_totals(auth)
     return t.agg(F.coalesce(
         F.max(F.when(F.col("auth_code") == APPROVAL_CODE, F.col("auth_code"))),
         F.max(F.when(F.col("auth_code") == "0", F.col("auth_code"))),
-        F.max_by("auth_code", F.struct("total", F.col("auth_code"))),
+        F.min_by("auth_code", F.struct(-F.col("total"), F.col("auth_code"))),
     )).scalar()
 
 
