@@ -56,11 +56,13 @@ LOG_SCHEMA = T.StructType([
 
 def parse_logs(lines: DataFrame, value: str = "value") -> DataFrame:
     """JSON log lines -> (ts, level, logger, message, trace_id, span_id).
-    Accepts both trace field spellings (``otelTraceID`` / ``otel.trace_id``);
-    lines that are not JSON objects are dropped."""
-    p = lines.select(F.from_json(F.col(value), LOG_SCHEMA).alias("j")).filter(F.col("j.level").isNotNull())
+    Accepts both trace field spellings (``otelTraceID`` / ``otel.trace_id``).
+    Every line is kept: one that isn't a JSON object has NULL fields and is its
+    own message."""
+    p = lines.select(F.col(value).alias("v"), F.from_json(F.col(value), LOG_SCHEMA).alias("j"))
+    is_object = F.coalesce(F.get_json_object("v", "$").rlike(r"^\s*\{"), F.lit(False))
     return p.select(
         F.timestamp_micros((F.col("j.timestamp") * 1e6).cast("bigint")).cast("timestamp_ntz").alias("ts"),
-        F.col("j.level").alias("level"), F.col("j.logger").alias("logger"), F.col("j.message").alias("message"),
+        F.col("j.level").alias("level"), F.col("j.logger").alias("logger"), F.when(is_object, F.col("j.message")).otherwise(F.col("v")).alias("message"),
         F.coalesce(F.col("j.otelTraceID"), F.col("j.`otel.trace_id`")).alias("trace_id"),
         F.coalesce(F.col("j.otelSpanID"), F.col("j.`otel.span_id`")).alias("span_id"))

@@ -96,17 +96,21 @@ def _cols_for(statuses, wide_src: DataFrame, cur_cond: Column) -> list[Column]:
 
 def policy_snapshot(df: DataFrame, params: PolicyParams = PolicyParams(), unit: str = "MINUTE",
                     keys: Sequence[str] = (), statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
-    """One row per key: the detector at the latest stamp (wide form)."""
+    """One row per key: the detector at the latest stamp (wide form).  Without
+    keys there is always a row: an empty table has no history and no stamp."""
     p = params
     step = unit_seconds(unit)
     hist = wide(trailing(df, p.history_window, unit, keys), statuses=statuses, keys=keys, with_total=False)
     if keys:
-        last = F.max("ts").over(Window.partitionBy(*keys))
-        hist = hist.withColumn("eval_ts", last)
+        hist = hist.withColumn("eval_ts", F.max("ts").over(Window.partitionBy(*keys)))
     else:
         hist = hist.withColumn("eval_ts", df.select(F.max("ts")).scalar())
     cur = F.col("ts") >= F.col("eval_ts") - F.expr(f"INTERVAL {p.current_window * step} SECONDS")
-    frame = hist.groupBy(*keys, "eval_ts").agg(*_cols_for(statuses, hist, cur))
+    aggs = _cols_for(statuses, hist, cur)
+    frame = hist.groupBy(*keys).agg(F.max("eval_ts").alias("eval_ts"), *aggs)
+    filled = [c for s in statuses for c in (f"{s}__cur", f"{s}__s1", f"{s}__s2")]
+    types = dict(frame.dtypes)
+    frame = frame.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(types[c])) for c in filled})
     return _score(frame, p, statuses)
 
 
@@ -126,26 +130,20 @@ def policy_backtest(df: DataFrame, params: PolicyParams = PolicyParams(), unit:
     one long series is spread over many tasks: each row is copied into the
     later chunks whose rows can reach back to it (at most ``history`` away),
     windows run per (keys, chunk), and only the rows in their own chunk are
-    kept.  Default: chunked without keys (max(1440, 24 x history) units per
-    chunk, i.e. under 5 % copied rows), unchunked with keys (keys already
-    spread the work).  ``chunk_units=0`` disables it.
+    kept.  Default: max(1440, 24 x history) units per chunk, i.e. under 5 %
+    copied rows, with keys and without.
     """
     p = params
     step = unit_seconds(unit)
     hist_s = p.history_window * step
     w0 = wide(df, statuses=statuses, keys=keys, with_total=False).withColumn(
         "_s", F.unix_seconds(F.col("ts").cast("timestamp")))
-    if chunk_units is None:
-        chunk_units = 0 if keys else max(1440, 24 * p.history_window)
-    part = list(keys)
-    if chunk_units:
-        span = chunk_units * step
-        home = F.floor(F.col("_s") / F.lit(span))
-        reach = F.floor((F.col("_s") + F.lit(max(hist_s, p.current_window * step))) / F.lit(span))
-        w0 = (w0.withColumn("_home", home)
-              .withColumn("_chunk", F.explode(F.sequence(F.col("_home"), reach))))
-        part.append("_chunk")
-    base = Window.partitionBy(*part).orderBy("_s")
+    span = (chunk_units or max(1440, 24 * p.history_window)) * step
+    home = F.floor(F.col("_s") / F.lit(span))
+    reach = F.floor((F.col("_s") + F.lit(max(hist_s, p.current_window * step))) / F.lit(span))
+    w0 = (w0.withColumn("_home", home)
+          .withColumn("_chunk", F.explode(F.sequence(F.col("_home"), reach))))
+    base = Window.partitionBy(*keys, "_chunk").orderBy("_s")
     wh = base.rangeBetween(-hist_s, 0)
     wc = base.rangeBetween(-p.current_window * step, 0)
     frame = w0.withColumn("n_history", F.count(F.lit(1)).over(wh))
@@ -153,8 +151,7 @@ def policy_backtest(df: DataFrame, params: PolicyParams = PolicyParams(), unit:
         frame = (frame.withColumn(f"{s}__cur", F.sum(s).over(wc))
                  .withColumn(f"{s}__s1", F.sum(s).over(wh))
                  .withColumn(f"{s}__s2", F.sum(sum_sq(s)).over(wh)))
-    if chunk_units:
-        frame = frame.filter(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home")
+    frame = frame.filter(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home")
     frame = _score(frame.withColumnRenamed("ts", "eval_ts"), p, statuses)
     return _details(frame, keys, statuses, extra=("eval_ts",))
 
@@ -165,14 +162,26 @@ def detail_severity(z: str = "z_score", critical: float = 4.0, warning: float =
     return F.when(a > critical, "CRITICAL").when(a > warning, "WARNING").otherwise("NORMAL")
 
 
+# Fixed text of the report without data.
+NO_DATA = "No transaction data available for analysis."
+
+
 def analyze(df: DataFrame, window: int = 60, unit: str = "MINUTE", params: PolicyParams = PolicyParams(),
             keys: Sequence[str] = ()) -> DataFrame:
-    """Analysis report: details + per-status severity + recommendation."""
+    """Analysis report: details + per-status severity + recommendation.  It
+    always answers: with no data, or a history that is too short, it is one row
+    with NORMAL and no status; without data the text says so."""
     check_range("window", window, 5, 1440)
     p = PolicyParams(**{**params.__dict__, "history_window": window})
-    d = policy_detect(df, p, unit, keys)
-    return (d.withColumn("severity", detail_severity("z_score", p.critical_threshold, p.z_score_threshold))
-            .withColumn("window", F.lit(window))
+    snap = policy_snapshot(df, p, unit, keys)
+    d = _details(snap, keys, MONITORED_STATUSES, extra=("eval_ts",))
+    full = (d.withColumn("severity", detail_severity("z_score", p.critical_threshold, p.z_score_threshold)))
+    short = snap.filter(~F.col("sufficient_history")).withColumn(
+        "recommendation", F.when(F.col("n_history") == 0, NO_DATA).otherwise(F.col("recommendation")))
+    answer = short.select(*[
+        F.col(c) if c in short.columns else
+        (F.lit("NORMAL") if c == "severity" else F.lit(None)).cast(full.schema[c].dataType).alias(c) for c in full.columns])
+    return (full.unionByName(answer).withColumn("window", F.lit(window))
             .withColumn("detection_method", F.lit("policy_zscore")))
 
 
@@ -190,7 +199,8 @@ def evaluate_counts(observations: DataFrame, history: DataFrame, params: PolicyP
                     problem: Sequence[str] = PROBLEM_STATUSES) -> DataFrame:
     """Evaluate a table of observations ``(obs_id, status, cnt)`` against the
     trailing baseline of ``history`` (one row per monitored status, so the
-    broadcast side has a fixed size bound)."""
+    broadcast side has a fixed size bound).  A status that isn't monitored is
+    rejected: severity INVALID, no score, and a message that names the status."""
     p = params
     hist = wide(trailing(history, p.history_window, unit), statuses=statuses, with_total=False)
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -205,15 +215,18 @@ def evaluate_counts(observations: DataFrame, history: DataFrame, params: PolicyP
     o = observations.join(F.broadcast(base), "status", "left")
     o = o.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("mean", F.coalesce("mean", F.lit(0.0))) \
          .withColumn("std", F.coalesce("std", F.lit(0.0)))
+    known = F.coalesce(F.col("status").isin(*statuses), F.lit(False))
     short = F.col("n") < p.min_history
     prob = F.col("status").isin(*problem) & (F.col("cnt") > 0)
     z = (F.col("cnt").cast("double") - F.col("mean")) / F.greatest(F.col("std"), F.lit(p.min_std))
     o = o.withColumn("_z", z)
-    sev = (F.when(short & prob, "CRITICAL").when(short, "NORMAL")
+    sev = (F.when(~known, "INVALID").when(short & prob, "CRITICAL").when(short, "NORMAL")
            .when(F.col("_z") > p.critical_threshold, "CRITICAL")
            .when(F.col("_z") > p.z_score_threshold, "WARNING").otherwise("NORMAL"))
-    anom = F.when(short, prob).otherwise(F.col("_z") > p.z_score_threshold)
-    msg = (F.when(short & prob, F.concat(F.col("status"), F.lit(" count "), F.col("cnt").cast("string"),
+    anom = F.when(~known, F.lit(False)).when(short, prob).otherwise(F.col("_z") > p.z_score_threshold)
+    msg = (F.when(~known, F.concat(F.lit("Status '"), F.coalesce("status", F.lit("")), F.lit(
+        f"' is not monitored. Valid statuses: {', '.join(statuses)}")))
+           .when(short & prob, F.concat(F.col("status"), F.lit(" count "), F.col("cnt").cast("string"),
                                          F.lit(" detected with no historical baseline (problem status should be rare/zero)")))
            .when(short, F.concat(F.lit("Insufficient history ("), F.col("n").cast("string"), F.lit(" < "),
                                  F.lit(str(p.min_history)), F.lit(") for reliable evaluation.")))
@@ -224,12 +237,21 @@ def evaluate_counts(observations: DataFrame, history: DataFrame, params: PolicyP
     return o.select(
         *[c for c in observations.columns],
         sev.alias("severity"),
-        F.when(short & prob, F.lit(10.0)).when(short, F.lit(0.0)).otherwise(round_half_up("_z", 2)).alias("z_score"),
+        F.when(~known, F.lit(0.0)).when(short & prob, F.lit(10.0)).when(short, F.lit(0.0)).otherwise(round_half_up("_z", 2)).alias("z_score"),
         F.when(short, F.lit(0.0)).otherwise(round_half_up("mean", 2)).alias("baseline_mean"),
         F.when(short, F.lit(0.0)).otherwise(round_half_up("std", 2)).alias("baseline_std"),
         anom.alias("is_anomalous"), msg.alias("message"))
 
 
+def append_anomalous(evaluated: DataFrame, path: str) -> DataFrame:
+    """Append the anomalous observations ``(ts, status, cnt)`` to the fact table
+    and return what was appended (the conditional insert)."""
+    from ..sources.files import append_transactions
+    rows = anomalous_observations(evaluated).select("ts", "status", "cnt").checkpoint()
+    append_transactions(rows, path)
+    return rows
+
+
 def anomalous_observations(evaluated: DataFrame) -> DataFrame:
     """Observations to append to the fact table: only the anomalous ones."""
     return evaluated.filter(F.col("is_anomalous"))

@@ -3,8 +3,9 @@
 The trailing window is anchored at the data's own latest stamp, not the wall
 clock, and both ends are inclusive: a 60-unit window spans 61 stamps and a
 1-unit window sums two stamps.  Without keys the anchor is an uncorrelated
-scalar subquery (evaluated once, and pushed into the scan as a runtime
-filter).  With keys each series is anchored at its own latest stamp through
+scalar subquery over the (aggregated) series; to bound the scan of a raw table
+as well, read it through ``sources.adapters.recent_transactions``, which gives
+the bound to the scan as a literal.  With keys each series is anchored at its own latest stamp through
 a per-key max joined back on the keys (the max table has one row per key).
 """
 

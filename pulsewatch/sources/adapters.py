@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import unit_seconds
+
 # --- Fixed mapping of the test tables onto payment statuses ------------------
 EVENT_STATUS = (
     ("purchase", "approved"),
@@ -54,11 +56,50 @@ def truncate(ts: Column | str, unit: str) -> Column:
 
 
 def transactions(spark: SparkSession, sf_dir: str, unit: str = "HOUR") -> DataFrame:
+    return _counted(table(spark, sf_dir, "events"), unit)
+
+
+def recent_transactions(spark: SparkSession, sf_dir: str, units: int, unit: str = "HOUR") -> DataFrame:
+    """``transactions`` over the trailing window (both ends inclusive), with the
+    bound as a literal on the stored column, so that the scan is given it: files
+    and row groups (and date partitions, where the table has them) outside are
+    not read.  The anchor is one value, the latest raw stamp."""
     ev = table(spark, sf_dir, "events")
+    latest = ev.agg(F.max("ts").alias("ts")).select(
+        (F.date_trunc(unit.lower(), "ts").cast(ev.schema["ts"].dataType)
+         - F.expr(f"INTERVAL {units * unit_seconds(unit)} SECONDS")).cast("string")).first()[0]
+    if latest is not None:
+        ev = ev.filter(F.col("ts") >= F.lit(latest).cast(ev.schema["ts"].dataType))
+    return _counted(ev, unit)
+
+
+def _counted(ev: DataFrame, unit: str) -> DataFrame:
     return (ev.select(truncate("ts", unit).alias("ts"), event_status().alias("status"))
             .groupBy("ts", "status").agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def shop_transactions(spark: SparkSession, sf_dir: str, shops: int = 4, unit: str = "HOUR") -> DataFrame:
+    """Several series: ``transactions`` per shop (a class of user ids)."""
+    ev = table(spark, sf_dir, "events")
+    return (ev.select((F.col("user_id") % shops).alias("shop"), truncate("ts", unit).alias("ts"), event_status().alias("status"))
+            .groupBy("shop", "ts", "status").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message per event, with faults by the last digits of the event id."""
+    ev = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 20
+    stamp = (F.when(k == 1, "garbage").when(k == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+             .when(k == 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).when(k == 4, F.lit(None))
+             .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")))
+    q = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    count = F.when(k == 5, '"many"').when(k == 6, "null").when(k == 7, "-3").otherwise(F.col("event_id").cast("string"))
+    status = F.when(k == 8, F.lit(None)).otherwise(event_status())
+    text = F.concat(F.lit('{"records":[{"timestamp":'), q(stamp), F.lit(',"status":'), q(status), F.lit(',"count":'), count,
+                    F.lit("}]}"))
+    return ev.select("event_id", F.when(k == 9, "not json").when(k == 10, "{}").otherwise(text).alias("value"))
+
+
 def transactions_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return (o.select(truncate("o_orderdate", "DAY").alias("ts"),
@@ -114,7 +155,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON log lines built from conversation turns (whole texts); even
     conversations carry ``otelTraceID``/``otelSpanID``, odd ones the dotted
-    ``otel.trace_id``/``otel.span_id`` spelling."""
+    ``otel.trace_id``/``otel.span_id`` spelling.  Every 13th conversation's lines
+    are plain text."""
     c = table(spark, sf_dir, "conversations")
     tid = F.lpad(F.lower(F.hex("conv_id")), 32, "0")
     sid = F.lpad(F.lower(F.hex("turn")), 16, "0")
@@ -127,7 +169,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("message"),
         F.when(even, tid).alias("otelTraceID"), F.when(even, sid).alias("otelSpanID"),
         F.when(~even, tid).alias("otel.trace_id"), F.when(~even, sid).alias("otel.span_id"))
-    return c.select(F.to_json(rec).alias("value"))
+    return c.select(F.when(F.col("conv_id") % 13 == 0, F.concat(F.lit("plain: "), F.coalesce("text", F.lit(""))))
+                    .otherwise(F.to_json(rec)).alias("value"))
 
 
 def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:

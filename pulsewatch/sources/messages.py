@@ -5,45 +5,67 @@ The same ``decode_batches`` runs on a batch DataFrame and on a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RECORD = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("status", T.StringType()),
-    T.StructField("count", T.LongType()),
+    T.StructField("count", T.StringType()),  # any JSON value; checked when decoded
 ])
 MESSAGE = T.StructType([T.StructField("records", T.ArrayType(RECORD))])
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
-def encode_batches(tx: DataFrame, ts: str = "ts") -> DataFrame:
-    """One message per stamp, records sorted by (status, count).
+# Stamps that producers write: with T or a space, with or without a fraction.
+STAMPS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm")
 
-    Records are first summed per (stamp, status) (map-side partial
-    aggregation), so each stamp's ``collect_list`` holds at most one entry per
-    status: a fixed size bound even when raw input has a hot stamp.
+
+def encode_batches(tx: DataFrame, ts: str = "ts", records_per_message: int = 10_000) -> DataFrame:
+    """Messages per stamp, records sorted by (status, count).
+
+    Every record is kept.  A stamp with more than ``records_per_message`` records
+    of one status and count becomes several messages, so that no message and no
+    task holds an unbounded list: ``n`` numbers them.
     """
-    agg = tx.groupBy(ts, "status").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    same = Window.partitionBy(ts, "status", "cnt").orderBy(F.lit(0))
+    n = F.floor((F.row_number().over(same) - 1) / records_per_message).cast("int")
     rec = F.struct(F.date_format(ts, ISO).alias("timestamp"), F.col("status"), F.col("cnt").alias("count"))
-    return (agg.groupBy(ts).agg(F.sort_array(F.collect_list(rec)).alias("records"))
+    return (tx.withColumn("n", n).groupBy(ts, "n").agg(F.sort_array(F.collect_list(rec)).alias("records"))
             .select(ts, F.to_json(F.struct("records")).alias("message")))
 
 
-def decode_batches(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+def parse_stamp(c: Column) -> Column:
+    """TIMESTAMP of an ISO stamp, NULL if it isn't one."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(c), " ", "T"), r"(Z|[+]00:?00)$", "")
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in STAMPS])
+
+
+def decode_batches(messages: DataFrame, value: str = "value",
+                   with_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """JSON text -> ``(records, dead_letter)``.
 
-    Undecodable text parses to a struct whose ``records`` is NULL (not a NULL
-    struct), so that is the dead-letter test.
+    Dead letters are ``(raw, reason)``: whole messages that aren't JSON with a
+    list of records (such text parses to a struct whose ``records`` is NULL), and
+    single records whose stamp doesn't parse, whose status is missing, or whose
+    count is missing, not a number or negative.  No message stops a query.
+    ``with_ids`` adds ``message_id`` (the source's column of that name, else a hash
+    of the text) and the record's ``place`` in its message.
     """
+    ids = F.col("message_id") if "message_id" in messages.columns else F.xxhash64(value)
     p = messages.withColumn("_m", F.from_json(F.col(value), MESSAGE))
-    bad = p.filter(F.col("_m.records").isNull()).select(F.col(value).alias("raw"))
-    good = (p.filter(F.col("_m.records").isNotNull())
-            .select(F.explode("_m.records").alias("r"))
-            .select(F.to_timestamp(F.regexp_replace("r.timestamp", " ", "T"), ISO).alias("ts"),
-                    F.col("r.status").alias("status"), F.col("r.count").alias("cnt")))
-    return good, bad
+    whole = p.filter(F.col("_m.records").isNull()).select(
+        F.col(value).alias("raw"), F.lit("no records").alias("reason"))
+    r = (p.filter(F.col("_m.records").isNotNull()).select(ids.alias("message_id"), F.posexplode("_m.records").alias("place", "r"))
+         .select("message_id", "place", parse_stamp(F.col("r.timestamp")).alias("ts"), F.col("r.status").alias("status"),
+                 F.expr("try_cast(r.count AS BIGINT)").alias("cnt"), F.to_json("r").alias("raw")))
+    reason = (F.when(F.col("ts").isNull(), "bad timestamp").when(F.col("status").isNull(), "no status")
+              .when(F.col("cnt").isNull(), "bad count").when(F.col("cnt") < 0, "negative count"))
+    r = r.withColumn("reason", reason)
+    bad = whole.unionByName(r.filter(F.col("reason").isNotNull()).select("raw", "reason"))
+    kept = ["ts", "status", "cnt"] + (["message_id", "place"] if with_ids else [])
+    return r.filter(F.col("reason").isNull()).select(*kept), bad
 
 
 # --- headers and trace context --------------------------------------------------
