@@ -36,19 +36,25 @@ def register(name: str):
     return deco
 
 
+def _recent(spark, sf, units, unit="HOUR"):
+    """The series over the last ``units`` (window * statuses rows), read by one
+    bounded scan and written once: the operators read it several times."""
+    return A.recent_transactions(spark, sf, units, unit).checkpoint()
+
+
 @register("status_summary")
 def q_status_summary(spark, sf):
-    return windows.status_summary(A.transactions(spark, sf), window=24, unit="HOUR")
+    return windows.status_summary(_recent(spark, sf, 24), window=24, unit="HOUR")
 
 
 @register("status_rates")
 def q_status_rates(spark, sf):
-    return windows.status_rates(A.transactions(spark, sf), window=24, unit="HOUR")
+    return windows.status_rates(_recent(spark, sf, 24), window=24, unit="HOUR")
 
 
 @register("status_distribution")
 def q_status_distribution(spark, sf):
-    return windows.status_distribution(A.transactions(spark, sf), window=1, unit="HOUR")
+    return windows.status_distribution(_recent(spark, sf, 1), window=1, unit="HOUR")
 
 
 # --- series, rates, auth codes, profiling (phase 3) ------------------------------
@@ -57,7 +63,7 @@ from ..operators import quality, series  # noqa: E402
 
 @register("history_window")
 def q_history_window(spark, sf):
-    return series.history_window(A.transactions(spark, sf), window=60, unit="HOUR")
+    return series.history_window(_recent(spark, sf, 60), window=60, unit="HOUR")
 
 
 @register("recent_records")
@@ -152,28 +158,23 @@ def _rates(spark, sf):
     return series.rate_series(A.transactions(spark, sf))
 
 
-WEEK = 7 * 86400  # row-frame chunks of the hourly series: one long series over many tasks
-YEAR = 365 * 86400  # ... of the daily series
-# Chunk a single series only when it is long: below this many stamps one task
-# is cheaper than the copies and chunk tables (results are identical either way).
-AUTO_CHUNK_ROWS = 200_000
+# Time chunks of the row frames: every series is split, whatever its length, so
+# that the plan is the same at every size.
+WEEK = 7 * 86400  # hourly series
+YEAR = 365 * 86400  # daily and weekly series
 
 
 def _series(df: DataFrame) -> DataFrame:
-    """Write the aggregated per-stamp series once (it is tiny next to the raw
-    tables and is read by the detector and by the chunking decision)."""
+    """Write the aggregated per-stamp series once: it is tiny next to the raw
+    tables, and the chunks, their copies and their counts all read it."""
     return df.checkpoint()
 
 
-def _chunk(series_df: DataFrame, size):
-    return size if series_df.count() > AUTO_CHUNK_ROWS else None
-
-
 @register("rolling_volume")
 def q_rolling_volume(spark, sf):
     rates = _series(_rates(spark, sf))
     r = rolling.rolling_zscore(rates, "total", params=RollingParams(z_threshold=3.0),
-                               chunk_seconds=_chunk(rates, WEEK))
+                               chunk_seconds=WEEK)
     return r.select("ts", F.col("total").alias("value"), *ROLL_COLS)
 
 
@@ -181,7 +182,7 @@ def q_rolling_volume(spark, sf):
 def q_rolling_approval(spark, sf):
     rates = _series(_rates(spark, sf))
     r = rolling.rolling_zscore(rates, "approval_rate", dropna=True,
-                               params=RollingParams(z_threshold=2.5), chunk_seconds=_chunk(rates, WEEK))
+                               params=RollingParams(z_threshold=2.5), chunk_seconds=WEEK)
     return r9(r.select("ts", F.col("approval_rate").alias("value"), *ROLL_COLS),
               ["rolling_mean", "rolling_std", "z_score"])
 
@@ -190,7 +191,7 @@ def q_rolling_approval(spark, sf):
 def q_rolling_error(spark, sf):
     rates = _series(_rates(spark, sf))
     r = rolling.rolling_zscore(rates, "error_rate", dropna=True,
-                               params=RollingParams(z_threshold=2.5), chunk_seconds=_chunk(rates, WEEK))
+                               params=RollingParams(z_threshold=2.5), chunk_seconds=WEEK)
     r = r.withColumn("direction", rolling.direction())
     return r9(r.select("ts", F.col("error_rate").alias("value"), *ROLL_COLS, "direction"),
               ["rolling_mean", "rolling_std", "z_score"])
@@ -200,7 +201,7 @@ def q_rolling_error(spark, sf):
 def q_rolling_bands(spark, sf):
     rates = _series(_rates(spark, sf))
     r = rolling.rolling_zscore(rates, "total", params=RollingParams(z_threshold=3.0),
-                               chunk_seconds=_chunk(rates, WEEK))
+                               chunk_seconds=WEEK)
     r = rolling.bands(r, 3.0).withColumn("direction", rolling.direction())
     return r.select("ts", F.col("total").alias("value"), "rolling_mean", "band_lower", "band_upper",
                     "is_anomaly", "direction")
@@ -208,15 +209,15 @@ def q_rolling_bands(spark, sf):
 
 @register("rolling_keyed")
 def q_rolling_keyed(spark, sf):
-    r = rolling.rolling_zscore(A.transactions(spark, sf), "cnt", keys=["status"],
-                               params=RollingParams(z_threshold=3.0))
+    r = rolling.rolling_zscore(_series(A.transactions(spark, sf)), "cnt", keys=["status"],
+                               params=RollingParams(z_threshold=3.0), chunk_seconds=WEEK)
     return r.select("status", "ts", F.col("cnt").alias("value"), *ROLL_COLS)
 
 
 @register("rolling_daily")
 def q_rolling_daily(spark, sf):
     d = _series(series.rate_series(A.transactions_daily(spark, sf)))
-    r = rolling.rolling_zscore(d, "total", params=RollingParams(z_threshold=3.0), chunk_seconds=_chunk(d, YEAR))
+    r = rolling.rolling_zscore(d, "total", params=RollingParams(z_threshold=3.0), chunk_seconds=YEAR)
     return r.select("ts", F.col("total").alias("value"), *ROLL_COLS)
 
 
@@ -229,12 +230,12 @@ def q_cross_signal(spark, sf):
 @register("outage_periods")
 def q_outage_periods(spark, sf):
     vol = _series(series.volume_per_stamp(A.transactions(spark, sf)))
-    return outages.outage_periods(vol, unit="HOUR", chunk_units=_chunk(vol, 7 * 24))
+    return outages.outage_periods(vol, unit="HOUR", chunk_units=7 * 24)
 
 
 def _signals(spark, sf):
     base = timeline.signal_base(_rates(spark, sf), series.auth_rates(A.auth_codes(spark, sf)))
-    return timeline.signal_frame(base, None, chunk_seconds=_chunk(base, WEEK))
+    return timeline.signal_frame(base, None, chunk_seconds=WEEK)
 
 
 @register("anomaly_timeline")
@@ -266,7 +267,7 @@ def q_flag_counts(spark, sf):
 @register("rule_book")
 def q_rule_book(spark, sf):
     sig = _signals(spark, sf)
-    return timeline.rule_book(sig, unit="HOUR", chunk_units=_chunk(sig, 7 * 24))
+    return timeline.rule_book(sig, unit="HOUR", chunk_units=7 * 24)
 
 
 @register("recommended_thresholds")
@@ -359,7 +360,7 @@ DETAIL_COLS = ("eval_ts", "status", "current_value", "baseline_mean", "baseline_
 
 @register("policy_detect")
 def q_policy_detect(spark, sf):
-    return policy.policy_detect(A.transactions(spark, sf), PolicyParams(), unit="HOUR").select(*DETAIL_COLS)
+    return policy.policy_detect(_recent(spark, sf, 60), PolicyParams(), unit="HOUR").select(*DETAIL_COLS)
 
 
 @register("policy_backtest")
@@ -369,7 +370,7 @@ def q_policy_backtest(spark, sf):
 
 @register("analyze_report")
 def q_analyze_report(spark, sf):
-    return policy.analyze(A.transactions(spark, sf), window=60, unit="HOUR").select(
+    return policy.analyze(_recent(spark, sf, 60), window=60, unit="HOUR").select(
         "eval_ts", "status", "severity", "z_score", "current_value", "baseline_mean", "baseline_std",
         "is_anomalous", F.col("contribution").alias("message"), "overall_severity", "max_z_score",
         "recommendation", "window", "detection_method")
@@ -377,7 +378,7 @@ def q_analyze_report(spark, sf):
 
 @register("current_status")
 def q_current_status(spark, sf):
-    cs = policy.current_status(A.transactions(spark, sf), PolicyParams(), unit="HOUR")
+    cs = policy.current_status(_recent(spark, sf, 60), PolicyParams(), unit="HOUR")
     text = F.concat_ws(", ", *[F.concat(F.lit(f"{s}="), F.format_string("%.2f", F.col("statuses")[s]))
                                for s in MONITORED_STATUSES])
     return cs.select("eval_ts", "overall_severity", "max_z_score", text.alias("statuses_text"))
@@ -385,7 +386,7 @@ def q_current_status(spark, sf):
 
 @register("evaluate_counts")
 def q_evaluate_counts(spark, sf):
-    tx = A.transactions(spark, sf)
+    tx = _recent(spark, sf, 60)
     obs = windows.trailing(tx, 24, "HOUR").withColumnRenamed("ts", "obs_ts")
     return policy.evaluate_counts(obs, tx, PolicyParams(), unit="HOUR")
 
@@ -448,7 +449,7 @@ def q_stream_ingest(spark, sf):
 @register("stream_minutes")
 def q_stream_minutes(spark, sf):
     base = scratch_path(spark, "stream-minutes")
-    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src")
+    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src", flush_seconds=2 * 3600)
     monitor.run_windowed_counts(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt").awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
@@ -485,7 +486,7 @@ def q_parse_headers(spark, sf):
 @register("stream_outages")
 def q_stream_outages(spark, sf):
     base = scratch_path(spark, "stream-outages")
-    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src")
+    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src", flush_seconds=5 * 3600)
     src = monitor.read_messages(spark, f"{base}/src")
     monitor.run_to_parquet(monitor.outage_sessions(src), f"{base}/out", f"{base}/ckpt").awaitTermination()
     return spark.read.parquet(f"{base}/out")
@@ -494,7 +495,8 @@ def q_stream_outages(spark, sf):
 @register("stream_baseline")
 def q_stream_baseline(spark, sf):
     base = scratch_path(spark, "stream-baseline")
-    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src")
+    # Late enough for the window that ends with the last hour, too early for the next.
+    monitor.write_messages(A.transactions(spark, sf), f"{base}/src", flush_seconds=3600 + 180)
     src = monitor.read_messages(spark, f"{base}/src")
     monitor.run_to_parquet(monitor.hopping_baseline(src), f"{base}/out", f"{base}/ckpt").awaitTermination()
     out = spark.read.parquet(f"{base}/out")
@@ -503,32 +505,285 @@ def q_stream_baseline(spark, sf):
 
 @register("rolling_keyed_supplier")
 def q_rolling_keyed_supplier(spark, sf):
-    r = rolling.rolling_zscore(A.supplier_weekly(spark, sf), "cnt", keys=["s_nationkey"],
-                               params=RollingParams(z_threshold=3.0))
+    r = rolling.rolling_zscore(_series(A.supplier_weekly(spark, sf)), "cnt", keys=["s_nationkey"],
+                               params=RollingParams(z_threshold=3.0), chunk_seconds=YEAR)
     return r.select("s_nationkey", "ts", F.col("cnt").alias("value"), *ROLL_COLS)
 
 
+ERROR_Z = 2.5
+
+
 @register("event_heads")
-def q_event_heads(spark, sf):
+def q_event_heads(spark, sf, spikes_shown=20, rows_shown=30):
     """The event reports: first 20 error-rate spikes and first 30
     CRITICAL/WARNING timeline rows, by time (the limits are the report)."""
-    err = rolling.rolling_zscore(_rates(spark, sf), "error_rate", dropna=True, params=RollingParams(z_threshold=2.5))
-    spikes = (err.filter(F.col("is_spike")).orderBy("ts").limit(20)
+    signals = _signals(spark, sf)
+    spikes = (signals.filter(F.col("error_zscore") > ERROR_Z).orderBy("ts").limit(spikes_shown)
               .select(F.lit("error_spike").alias("report"), "ts", F.lit(None).cast("string").alias("severity"),
-                      F.round("z_score", 9).alias("score")))
-    tl = timeline.anomaly_timeline(_signals(spark, sf))
-    crit = (tl.filter(F.col("severity").isin("CRITICAL", "WARNING")).orderBy("ts").limit(30)
+                      F.round("error_zscore", 9).alias("score")))
+    tl = timeline.anomaly_timeline(signals)
+    crit = (tl.filter(F.col("severity").isin("CRITICAL", "WARNING")).orderBy("ts").limit(rows_shown)
             .select(F.lit("critical_warning").alias("report"), "ts", "severity",
                     F.col("total_score").cast("double").alias("score")))
     return spikes.unionByName(crit)
 
 
+LAST_CHECKS = 4
+STREAM_PARAMS = PolicyParams(z_score_threshold=0.5, critical_threshold=1.5)  # low, so that alerts and cooldowns occur
+STREAM_COOLDOWN = 2 * 3600
+
+
+def _alert_stream(spark, sf) -> str:
+    """Replay of the series in LAST_CHECKS micro-batches: all stamps up to the
+    first check, then one stamp each."""
+    base = scratch_path(spark, "stream-alerts")
+    tx = A.transactions(spark, sf).checkpoint()
+    ends = [r.ts for r in tx.select("ts").distinct().orderBy(F.desc("ts")).limit(LAST_CHECKS).collect()][::-1]
+    part = F.lit(0)
+    for k, t in enumerate(ends[:-1]):
+        part = F.when(F.col("ts") > F.lit(t), k + 1).otherwise(part)
+    monitor.write_messages(tx, f"{base}/src", part=part)
+    monitor.alert_check(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", params=STREAM_PARAMS, unit="HOUR",
+                        cooldown_seconds=STREAM_COOLDOWN, max_files=1).awaitTermination()
+    return f"{base}/out"
+
+
 @register("stream_alerts")
 def q_stream_alerts(spark, sf):
-    """The periodic alert check as a stream (foreachBatch): each micro-batch
-    is appended to the fact table and the detector runs on the table."""
-    base = scratch_path(spark, "stream-alerts")
-    monitor.write_messages(A.transactions(spark, sf), f"{base}/src")
-    monitor.alert_check(spark, f"{base}/src", f"{base}/table", f"{base}/alerts", f"{base}/ckpt",
-                        params=PolicyParams(), unit="HOUR").awaitTermination()
-    return spark.read.parquet(f"{base}/alerts").select(*DETAIL_COLS)
+    """The details of every periodic check."""
+    return spark.read.parquet(f"{_alert_stream(spark, sf)}/details").select(*DETAIL_COLS)
+
+
+@register("stream_outbox")
+def q_stream_outbox(spark, sf):
+    """What the periodic checks sent: critical alerts past their cooldown."""
+    return spark.read.parquet(f"{_alert_stream(spark, sf)}/outbox").select("status", "alert_ts", "payload")
+
+
+@register("stream_gauges")
+def q_stream_gauges(spark, sf):
+    """Score gauges per status and overall, per check."""
+    return spark.read.parquet(f"{_alert_stream(spark, sf)}/gauges").select("eval_ts", "status", "score")
+
+
+@register("stream_cooldown")
+def q_stream_cooldown(spark, sf):
+    """The keyed cooldown state over a stream of alert candidates."""
+    base = scratch_path(spark, "stream-cooldown")
+    bt = policy.policy_backtest(A.transactions(spark, sf), PolicyParams(), unit="HOUR")
+    cands = alerts.alert_candidates(bt).select("status", "severity", F.col("eval_ts").cast("timestamp").alias("alert_ts"), "z_score")
+    cands.write.parquet(f"{base}/src")
+    monitor.run_to_parquet(monitor.cooldown_stream(spark.readStream.schema(cands.schema).parquet(f"{base}/src"), COOLDOWN),
+                           f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("status", "severity", F.col("alert_ts").cast("timestamp_ntz").alias("alert_ts"),
+                                                    "z_score")
+
+
+@register("stream_late")
+def q_stream_late(spark, sf):
+    """Windowed counts with late and repeated messages: every fifth stamp is sent
+    again, after all others and within the delay; nothing is counted twice."""
+    base = scratch_path(spark, "stream-late")
+    tx = A.transactions(spark, sf, unit="MINUTE").checkpoint()
+    late = F.unix_seconds(F.col("ts").cast("timestamp")) % 300 == 0
+    monitor.write_messages(tx.filter(~late), f"{base}/src")
+    again = messages.encode_batches(tx.filter(late)).select("message")
+    again.unionByName(again).write.mode("append").text(f"{base}/src")
+    beat = tx.agg((F.max("ts") + F.expr("INTERVAL 800 DAYS")).alias("ts")).select(
+        "ts", F.lit("heartbeat").alias("status"), F.lit(0).cast("bigint").alias("cnt"))
+    messages.encode_batches(beat).select("message").write.mode("append").text(f"{base}/src")
+    monitor.run_windowed_counts(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", delay="400 days",
+                                dedupe=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+# --- more of the same operators: other inputs, so that every rule fires ------------------
+from ..sources import files  # noqa: E402
+
+TIGHT = RollingParams(z_threshold=2.5, min_std=0.01)
+
+
+@register("rolling_approval_tight")
+def q_rolling_approval_tight(spark, sf):
+    r = rolling.rolling_zscore(_series(_rates(spark, sf)), "approval_rate", dropna=True, params=TIGHT, chunk_seconds=WEEK)
+    return r9(r.select("ts", F.col("approval_rate").alias("value"), *ROLL_COLS), ["rolling_mean", "rolling_std", "z_score"])
+
+
+@register("rolling_error_tight")
+def q_rolling_error_tight(spark, sf):
+    r = rolling.rolling_zscore(_series(_rates(spark, sf)), "error_rate", dropna=True, params=TIGHT, chunk_seconds=WEEK)
+    r = r.withColumn("direction", rolling.direction())
+    return r9(r.select("ts", F.col("error_rate").alias("value"), *ROLL_COLS, "direction"), ["rolling_mean", "rolling_std", "z_score"])
+
+
+@register("outage_minutes")
+def q_outage_minutes(spark, sf):
+    vol = _series(series.volume_per_stamp(A.transactions(spark, sf, unit="MINUTE")))
+    return outages.outage_periods(vol, unit="MINUTE", chunk_units=7 * 24 * 60)
+
+
+@register("quality_raw")
+def q_quality_raw(spark, sf):
+    """The quality report over records with nulls, negatives and duplicates."""
+    raw = A.raw_records(spark, sf)
+    faulty = raw.select(F.when(F.col("record_id") % 11 == 0, F.lit(None)).otherwise(F.col("ts")).alias("ts"), "status", "cnt")
+    return quality.quality_summary(faulty, "raw_records", ["ts", "status"])
+
+
+@register("reconcile_sources")
+def q_reconcile_sources(spark, sf):
+    """Two sources that differ: all approvals and denials against the hours whose
+    authorisation codes are below 5."""
+    tx = (A.transactions(spark, sf).filter(F.col("status").isin("approved", "denied")).withColumnRenamed("cnt", "total"))
+    au = A.auth_codes(spark, sf).filter(F.col("auth_code") < "05").withColumnRenamed("cnt", "total")
+    return quality.reconcile(tx, au)
+
+
+@register("checkout_flag_counts")
+def q_checkout_flag_counts(spark, sf):
+    return checkout.flag_counts(_detected(spark, sf))
+
+
+@register("checkout_severity")
+def q_checkout_severity(spark, sf):
+    return checkout.severity_counts(_detected(spark, sf))
+
+
+@register("checkout_labels")
+def q_checkout_labels(spark, sf):
+    return checkout.flag_labels(_detected(spark, sf)).filter("is_anomalous").select("snapshot", "day", "time", "labels")
+
+
+@register("checkout_rules")
+def q_checkout_rules(spark, sf):
+    return checkout.rule_book(_detected(spark, sf)).select("snapshot", "day", "time", "rule", "policy_severity")
+
+
+@register("missing_hours")
+def q_missing_hours(spark, sf):
+    """Hours without an event, per event type and day on which it has any."""
+    ev = A.table(spark, sf, "events").select(F.col("event_type").alias("snapshot"), A.truncate("ts", "DAY").alias("day"),
+                                             F.hour("ts").alias("hour_of_day"))
+    return checkout.missing_hours(ev)
+
+
+@register("checkout_low_traffic")
+def q_checkout_low_traffic(spark, sf):
+    """The detector over counts per ten events, where traffic is low."""
+    ev = A.table(spark, sf, "events").select(F.col("event_type").alias("snapshot"), "ts",
+                                             (F.col("event_id") % 10 == 0).cast("bigint").alias("value"))
+    det = checkout.detect_checkout(checkout.build_baselines(ev), keys=CHECKOUT_KEYS, hour="hour_of_day")
+    return det.select("snapshot", "day", "time", "today", "is_low_traffic", "is_volume_anomaly", "severity")
+
+
+@register("analyze_report_short")
+def q_analyze_report_short(spark, sf):
+    """The report when the history is too short: the first 20 hours."""
+    tx = A.transactions(spark, sf).checkpoint()
+    first = tx.filter(F.col("ts") < tx.select(F.min("ts") + F.expr("INTERVAL 20 HOURS")).scalar())
+    return policy.analyze(first, window=60, unit="HOUR").select("eval_ts", "status", "severity", "overall_severity", "max_z_score", "recommendation")
+
+
+@register("analyze_report_empty")
+def q_analyze_report_empty(spark, sf):
+    """The report when no record is of the series: only future stamps asked for."""
+    tx = A.transactions(spark, sf).filter("status = 'none'")
+    return policy.analyze(tx, window=60, unit="HOUR").select("status", "severity", "overall_severity", "max_z_score", "recommendation")
+
+
+@register("current_status_empty")
+def q_current_status_empty(spark, sf):
+    cs = policy.current_status(A.transactions(spark, sf).filter("status = 'none'"), PolicyParams(), unit="HOUR")
+    return cs.select("overall_severity", "max_z_score", F.coalesce(F.size("statuses"), F.lit(0)).alias("n_statuses"))
+
+
+@register("evaluate_unmonitored")
+def q_evaluate_unmonitored(spark, sf):
+    tx = _recent(spark, sf, 60)
+    obs = windows.trailing(tx, 24, "HOUR").select(F.col("ts").alias("obs_ts"), F.concat(F.lit("x_"), "status").alias("status"), "cnt")
+    return policy.evaluate_counts(obs, tx, PolicyParams(), unit="HOUR").select("obs_ts", "status", "cnt", "severity", "is_anomalous", "message")
+
+
+@register("alert_no_cooldown")
+def q_alert_no_cooldown(spark, sf):
+    bt = policy.policy_backtest(A.transactions(spark, sf), PolicyParams(), unit="HOUR")
+    return alerts.dispatch(bt, cooldown_seconds=0)
+
+
+@register("alert_dispatch_keyed")
+def q_alert_dispatch_keyed(spark, sf):
+    bt = policy.policy_backtest(A.shop_transactions(spark, sf), PolicyParams(), unit="HOUR", keys=["shop"])
+    return alerts.dispatch(bt, cooldown_seconds=COOLDOWN, keys=["shop"])
+
+
+@register("decode_bad_messages")
+def q_decode_bad_messages(spark, sf):
+    """Good records and dead letters with their reason, of messages with faults."""
+    good, bad = messages.decode_batches(A.faulty_messages(spark, sf).select("value"))
+    none = F.lit(None)
+    return (good.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "cnt", none.cast("string").alias("reason"))
+            .unionByName(bad.select(none.cast("timestamp_ntz").alias("ts"), none.cast("string").alias("status"),
+                                    none.cast("bigint").alias("cnt"), "reason")))
+
+
+@register("csv_transactions")
+def q_csv_transactions(spark, sf):
+    path = scratch_path(spark, "csv-transactions")
+    A.transactions(spark, sf).select(F.col("ts").alias("timestamp"), "status", F.col("cnt").alias("count")).write.option(
+        "header", True).csv(path)
+    return files.read_transactions_csv(spark, path)
+
+
+@register("csv_auth")
+def q_csv_auth(spark, sf):
+    path = scratch_path(spark, "csv-auth")
+    A.auth_codes(spark, sf).select(F.col("ts").alias("timestamp"), "auth_code", F.col("cnt").alias("count")).write.option(
+        "header", True).csv(path)
+    return files.read_auth_csv(spark, path)
+
+
+@register("csv_checkout")
+def q_csv_checkout(spark, sf):
+    """Checkout files of every snapshot, written per snapshot and scanned as one."""
+    path = scratch_path(spark, "csv-checkout")
+    rows = A.checkout_data(spark, sf).withColumn("snapshot", F.concat(F.lit("checkout_"), "snapshot"))
+    files.export_by_snapshot(rows.select("snapshot", "time", "today", "yesterday", "same_day_last_week", "avg_last_week",
+                                         "avg_last_month"), path)
+    back = files.read_checkout_csv(spark, f"{path}/*")
+    return back.groupBy("snapshot", "hour").agg(F.count(F.lit(1)).alias("n"), F.sum("today").cast("bigint").alias("today"),
+                                                F.sum("yesterday").cast("bigint").alias("yesterday"))
+
+
+@register("fact_append")
+def q_fact_append(spark, sf):
+    """Two appends and a reset in between: the table holds what came after."""
+    path = scratch_path(spark, "facts")
+    tx = A.transactions(spark, sf).checkpoint()
+    files.append_transactions(tx, path)
+    files.append_transactions(tx.filter("status = 'denied'"), path, reset=True)
+    files.append_transactions(tx.filter("status = 'failed'"), path)
+    return spark.read.parquet(path).select("ts", "status", "cnt")
+
+
+@register("anomalous_insert")
+def q_anomalous_insert(spark, sf):
+    """Observations of the last day that are anomalous, appended to the facts."""
+    tx = _recent(spark, sf, 60)
+    obs = windows.trailing(tx, 24, "HOUR").withColumn("cnt", F.col("cnt") * 3)
+    path = scratch_path(spark, "anomalous")
+    policy.append_anomalous(policy.evaluate_counts(obs, tx, PolicyParams(), unit="HOUR"), path)
+    return spark.read.parquet(path).select("ts", "status", "cnt")
+
+
+@register("checkout_naive_sql")
+def q_checkout_naive_sql(spark, sf):
+    return checkout.naive_baseline_sql(A.checkout_data(spark, sf)).select(
+        "snapshot", "day", "time", "today", "avg_last_week", "avg_last_month",
+        "pct_deviation_week", "is_naive_anomaly", "naive_severity")
+
+
+@register("status_values")
+def q_status_values(spark, sf):
+    """The distinct statuses and codes, as the profile lists them."""
+    st = A.transactions(spark, sf).select(F.lit("status").alias("kind"), F.col("status").alias("value"))
+    return st.unionByName(A.auth_codes(spark, sf).select(F.lit("auth_code").alias("kind"), F.col("auth_code").alias("value"))).distinct()

@@ -181,9 +181,9 @@ FROM (SELECT *, COUNT({value}) OVER w AS n, SUM({value}) OVER w AS s1,
       FROM {src} WINDOW w AS ({pb}ORDER BY {order} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW))"""
 
 
-def rolling_float(src: str, value: str, window: int = 60, min_periods: int = 30) -> str:
+def rolling_float(src: str, value: str, window: int = 60, min_periods: int = 30, min_std: float = 1.0) -> str:
     return f"""SELECT *, CASE WHEN n >= {min_periods} THEN a END AS rolling_mean,
-       CASE WHEN n >= {min_periods} AND sd IS NOT NULL THEN greatest(sd, 1.0) END AS rolling_std
+       CASE WHEN n >= {min_periods} AND sd IS NOT NULL THEN greatest(sd, {min_std}) END AS rolling_std
 FROM (SELECT *, COUNT({value}) OVER w AS n, AVG({value}) OVER w AS a, STDDEV_SAMP({value}) OVER w AS sd
       FROM {src} WHERE {value} IS NOT NULL
       WINDOW w AS (ORDER BY ts ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW))"""
@@ -198,10 +198,11 @@ SQL["rolling_volume"] = with_(TX, WIDE, f"r AS ({rolling_exact('rates', 'total')
                               "z AS (SELECT *, (CAST(total AS DOUBLE) - rolling_mean) / rolling_std AS z_score FROM r)") + f"""
 SELECT ts, total AS value, rolling_mean, rolling_std, z_score, {zflags(3.0)} FROM z"""
 
-for _k, _v in (("rolling_approval", "approval_rate"), ("rolling_error", "error_rate")):
+for _k, _v, _floor in (("rolling_approval", "approval_rate", 1.0), ("rolling_error", "error_rate", 1.0),
+                       ("rolling_approval_tight", "approval_rate", 0.01), ("rolling_error_tight", "error_rate", 0.01)):
     _dir = (", CASE WHEN z_score > 0 THEN 'SPIKE' WHEN z_score < 0 THEN 'DROP' END AS direction"
-            if _k == "rolling_error" else "")
-    SQL[_k] = with_(TX, WIDE, f"r AS ({rolling_float('rates', _v)})",
+            if _v == "error_rate" else "")
+    SQL[_k] = with_(TX, WIDE, f"r AS ({rolling_float('rates', _v, min_std=_floor)})",
                     f"z AS (SELECT *, ({_v} - rolling_mean) / rolling_std AS z_score FROM r)") + f"""
 SELECT ts, {_v} AS value, ROUND(rolling_mean, 9) AS rolling_mean, ROUND(rolling_std, 9) AS rolling_std,
        ROUND(z_score, 9) AS z_score, {zflags(2.5)}{_dir} FROM z"""
@@ -350,9 +351,8 @@ FROM g"""
 CHECKOUT = [
     """ev AS (SELECT event_type AS snapshot, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hts,
                 CAST(SUM(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY 1, 2)""",
-    "bnd AS (SELECT CAST(date_trunc('day', MIN(hts)) AS TIMESTAMP) AS lo, MAX(hts) AS hi FROM ev)",
-    """grid AS (SELECT s.snapshot, unnest(generate_series(b.lo, b.hi, INTERVAL 1 HOUR)) AS hts
-             FROM (SELECT DISTINCT snapshot FROM ev) s, bnd b)""",
+    "bnd AS (SELECT snapshot, CAST(date_trunc('day', MIN(hts)) AS TIMESTAMP) AS lo, MAX(hts) AS hi FROM ev GROUP BY snapshot)",
+    """grid AS (SELECT b.snapshot, unnest(generate_series(b.lo, b.hi, INTERVAL 1 HOUR)) AS hts FROM bnd b)""",
     """dense AS (SELECT g.snapshot, CAST(date_trunc('day', g.hts) AS TIMESTAMP) AS day, CAST(hour(g.hts) AS INTEGER) AS hour_of_day,
                       CAST(COALESCE(e.v, 0) AS BIGINT) AS today
               FROM grid g LEFT JOIN ev e ON g.snapshot = e.snapshot AND g.hts = e.hts)""",
@@ -508,7 +508,8 @@ def _r2(x):
     return f"(CAST(floor(({x}) * 100.0 + 0.5) AS DOUBLE) / 100.0)"
 
 
-def _policy_tail(group: str, where_enough: str = "n_history >= 30") -> list[str]:
+def _policy_tail(group: str, where_enough: str = "n_history >= 30", warn: float = 2.5, crit: float = 4.0,
+                 extra: str = "") -> list[str]:
     """From lg(eval_ts, n_history, status, cur, s1, s2) to scored details."""
     return [
         """sc AS (SELECT *, CASE WHEN n_history > 0 THEN CAST(s1 AS DOUBLE) / CAST(n_history AS DOUBLE) ELSE 0.0 END AS mean,
@@ -516,13 +517,13 @@ def _policy_tail(group: str, where_enough: str = "n_history >= 30") -> list[str]
                            / (CAST(n_history AS DOUBLE) * CAST(n_history - 1 AS DOUBLE))) END, 0.0) AS std FROM lg)""",
         "zz AS (SELECT *, (CAST(cur AS DOUBLE) - mean) / greatest(std, 1.0) AS zraw FROM sc)",
         f"""ov AS (SELECT {group}, MAX({_r2("zraw")}) + 0.0 AS mz,
-                  MAX(CASE WHEN {_r2("zraw")} > 4.0 THEN 2 WHEN {_r2("zraw")} > 2.5 THEN 1 ELSE 0 END) AS r,
-                  string_agg(CASE WHEN zraw > 2.5 THEN status END, ', ' ORDER BY {_ORD}) AS names
+                  MAX(CASE WHEN {_r2("zraw")} > {crit} THEN 2 WHEN {_r2("zraw")} > {warn} THEN 1 ELSE 0 END) AS r,
+                  string_agg(CASE WHEN zraw > {warn} THEN status END, ', ' ORDER BY {_ORD}) AS names
            FROM zz GROUP BY {group})""",
-        f"""det AS (SELECT zz.eval_ts, zz.status, CAST(zz.cur AS BIGINT) AS current_value, {_r2("zz.mean")} AS baseline_mean,
+        f"""det AS (SELECT {extra}zz.eval_ts, zz.status, CAST(zz.cur AS BIGINT) AS current_value, {_r2("zz.mean")} AS baseline_mean,
                    {_r2("zz.std")} AS baseline_std, {_r2("zz.zraw")} + 0.0 AS z_score, zz.zraw AS z_raw,
-                   zz.zraw > 2.5 AS is_anomalous,
-                   CASE WHEN zz.zraw > 2.5 THEN zz.status || ' count ' || CAST(CAST(zz.cur AS BIGINT) AS VARCHAR) || ' is '
+                   zz.zraw > {warn} AS is_anomalous,
+                   CASE WHEN zz.zraw > {warn} THEN zz.status || ' count ' || CAST(CAST(zz.cur AS BIGINT) AS VARCHAR) || ' is '
                         || {_fmt1('zz.zraw')} || 'σ above baseline (mean=' || {_fmt1('zz.mean')} || ', std='
                         || {_fmt1('zz.std')} || ')' ELSE '' END AS contribution,
                    zz.n_history,
@@ -623,7 +624,7 @@ SQL["alert_counts"] = ALERTS + "SELECT status, severity, COUNT(*) AS alerts FROM
 SQL["alert_outbox"] = ALERTS + """SELECT status, alert_ts,
   to_json(struct_pack(alert := true, status := status, severity := severity, current_value := current_value,
           baseline_mean := baseline_mean, baseline_std := baseline_std, z_score := z_score, score := score,
-          "timestamp" := strftime(alert_ts, '%Y-%m-%dT%H:%M:%S'), service := 'monitoring-api'))::VARCHAR AS payload
+          "timestamp" := strftime(alert_ts, '%Y-%m-%dT%H:%M:%S'), service := 'monitor'))::VARCHAR AS payload
 FROM fired WHERE severity = 'CRITICAL'"""
 
 # --- messages, streaming, metrics, logs ------------------------------------------------
@@ -643,7 +644,7 @@ SQL["stream_minutes"] = with_(TX) + """
 SELECT ts, """ + ", ".join(f"CAST(SUM(CASE WHEN status = '{s}' THEN cnt ELSE 0 END) AS BIGINT) AS {s}"
                           for s in ("denied", "failed", "reversed", "backend_reversed", "approved")) + """,
        CAST(SUM(cnt) AS BIGINT) AS total
-FROM tx WHERE ts < (SELECT max(ts) FROM tx) GROUP BY ts"""
+FROM tx GROUP BY ts"""
 
 SQL["ingest_counters"] = with_(TXM, """per AS (SELECT ts, status, COUNT(*) AS r, SUM(cnt) AS c FROM txm GROUP BY ts, status)""") + """
 SELECT status, CAST(SUM(r) AS BIGINT) AS records_consumed, CAST(SUM(c) AS BIGINT) AS cumulative_count,
@@ -669,11 +670,15 @@ SELECT method, path, status, COUNT(*) AS requests FROM req
 WHERE path NOT IN ('/metrics', '/health') GROUP BY method, path, status"""
 
 SQL["log_parse"] = """
+SELECT CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS level, CAST(NULL AS VARCHAR) AS logger,
+       'plain: ' || coalesce(text, '') AS message, CAST(NULL AS VARCHAR) AS trace_id, CAST(NULL AS VARCHAR) AS span_id
+FROM conversations WHERE conv_id % 13 = 0
+UNION ALL
 SELECT make_timestamp(CAST(CAST(conv_id * 60 + turn AS DOUBLE) * 1000000.0 AS BIGINT)) AS ts,
        CASE WHEN role = 'user' THEN 'INFO' WHEN role = 'assistant' THEN 'DEBUG' ELSE 'WARNING' END AS level,
        'chat.' || role AS logger, text AS message,
        lpad(lower(hex(conv_id)), 32, '0') AS trace_id, lpad(lower(hex(turn)), 16, '0') AS span_id
-FROM conversations"""
+FROM conversations WHERE conv_id % 13 <> 0"""
 
 SQL["parse_headers"] = """
 WITH h AS (
@@ -688,21 +693,17 @@ SELECT o_orderkey, 2 AS n_headers, source,
        ok AS valid
 FROM p"""
 
-# Streams: rows the final watermark (= latest record stamp) has released.
-WM = "wm AS (SELECT MAX(CAST(date_trunc('minute', ts) AS TIMESTAMP)) AS wm FROM events)"
+# Streams are flushed, so they hold every window and period.
+SQL["stream_outages"] = SQL["outage_periods"].replace(
+    "       (SELECT AVG(total) FROM v WHERE v.ts BETWEEN p.start_ts AND p.end_ts) AS avg_volume,\n", "")
 
-SQL["stream_outages"] = SQL["outage_periods"].replace("WITH ", "WITH " + WM + ",\n", 1).replace(
-    "SELECT start_ts, end_ts, CAST(date_diff('hour', start_ts, end_ts) + 1 AS BIGINT) AS duration, outage_stamps,\n"
-    "       (SELECT AVG(total) FROM v WHERE v.ts BETWEEN p.start_ts AND p.end_ts) AS avg_volume,",
-    "SELECT start_ts, end_ts, CAST(date_diff('hour', start_ts, end_ts) + 1 AS BIGINT) AS duration, outage_stamps,"
-).replace("FROM p", "FROM p WHERE end_ts + INTERVAL 3 HOUR - INTERVAL 1 MICROSECOND <= (SELECT wm FROM wm)")
+SQL["stream_late"] = SQL["stream_minutes"]
 
-SQL["stream_baseline"] = with_(TX, WM, f"u AS (SELECT ts, {_wide_cols()} FROM tx WHERE ts + INTERVAL 1 HOUR <= (SELECT wm FROM wm) GROUP BY ts)",
-    "g AS (SELECT unnest(generate_series((SELECT MIN(ts) FROM u), (SELECT wm FROM wm) - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS t)") + """
+SQL["stream_baseline"] = with_(TX, f"u AS (SELECT ts, {_wide_cols()} FROM tx GROUP BY ts)",
+    "g AS (SELECT unnest(generate_series((SELECT MIN(ts) FROM u), (SELECT MAX(ts) FROM u), INTERVAL 1 HOUR)) AS t)") + """
 SELECT g.t AS ts, COUNT(*) AS n_history, """ + ", ".join(
     f"ROUND(AVG({s}), 9) AS {s}_mean, ROUND(STDDEV_SAMP({s}), 9) AS {s}_std" for s in _ST) + """
 FROM g JOIN u ON u.ts BETWEEN g.t - INTERVAL 60 HOUR AND g.t
-WHERE date_trunc('hour', g.t) + INTERVAL 1 HOUR <= (SELECT wm FROM wm)
 GROUP BY g.t"""
 
 SQL["rolling_keyed_supplier"] = with_(
@@ -720,6 +721,136 @@ UNION ALL
 (SELECT 'critical_warning' AS report, ts, severity, CAST(total_score AS DOUBLE) AS score
  FROM tl WHERE severity IN ('CRITICAL', 'WARNING') ORDER BY ts LIMIT 30)"""
 
-# One micro-batch holds every replayed message, so the stream's evaluation is
-# the batch detector at the latest stamp.
-SQL["stream_alerts"] = SQL["policy_detect"]
+# The periodic checks: the backtest at the last stamps, with the checks' thresholds.
+_CHECKS = with_(
+    TX, f"wd AS (SELECT ts, {_wide_cols()} FROM tx GROUP BY ts)",
+    "fr AS (SELECT ts AS eval_ts, COUNT(*) OVER " + _wh + " AS n_history, " + ", ".join(
+        f"SUM({s}) OVER {_wc} AS {s}__cur, SUM({s}) OVER {_wh} AS {s}__s1, "
+        f"SUM(CAST({s} AS HUGEINT) * CAST({s} AS HUGEINT)) OVER {_wh} AS {s}__s2" for s in _ST) + " FROM wd)",
+    "lg AS (SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT eval_ts, n_history, '{s}' AS status, {s}__cur AS cur, {s}__s1 AS s1, {s}__s2 AS s2 FROM fr"
+        for s in _ST) + ") WHERE eval_ts IN (SELECT DISTINCT ts FROM tx ORDER BY ts DESC LIMIT 4))",
+    *_policy_tail("eval_ts", warn=0.5, crit=1.5))
+
+SQL["stream_alerts"] = _CHECKS + "SELECT * FROM det"
+SQL["stream_gauges"] = _CHECKS + """SELECT eval_ts, status, z_score AS score FROM det
+UNION ALL SELECT DISTINCT eval_ts, 'overall' AS status, max_z_score AS score FROM det"""
+_CHECK_ALERTS = _CHECKS.rstrip() + ALERTS[len(_BT.rstrip()):].replace("> 4.0", "> 1.5").replace("> 2.5", "> 0.5").replace(
+    "18000", "7200")
+SQL["stream_outbox"] = _CHECK_ALERTS + SQL["alert_outbox"][len(ALERTS):]
+SQL["stream_cooldown"] = ALERTS + "SELECT status, severity, alert_ts, z_score FROM fired"
+
+SQL["alert_no_cooldown"] = ALERTS + """SELECT status, severity, current_value, baseline_mean, baseline_std, z_score,
+  max_z_score AS score, eval_ts AS alert_ts FROM cands"""
+
+_SHOP_WH = _wh.replace("(ORDER", "(PARTITION BY shop ORDER")
+_SHOP_WC = _wc.replace("(ORDER", "(PARTITION BY shop ORDER")
+_SHOPS = with_(
+    f"""tx AS (SELECT user_id % 4 AS shop, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, {STATUS_CASE} AS status,
+            COUNT(*) AS cnt FROM events GROUP BY 1, 2, 3)""",
+    f"wd AS (SELECT shop, ts, {_wide_cols()} FROM tx GROUP BY shop, ts)",
+    "fr AS (SELECT shop, ts AS eval_ts, COUNT(*) OVER " + _SHOP_WH + " AS n_history, " + ", ".join(
+        f"SUM({s}) OVER {_SHOP_WC} AS {s}__cur, SUM({s}) OVER {_SHOP_WH} AS {s}__s1, "
+        f"SUM(CAST({s} AS HUGEINT) * CAST({s} AS HUGEINT)) OVER {_SHOP_WH} AS {s}__s2" for s in _ST) + " FROM wd)",
+    "lg AS (" + " UNION ALL ".join(
+        f"SELECT shop, eval_ts, n_history, '{s}' AS status, {s}__cur AS cur, {s}__s1 AS s1, {s}__s2 AS s2 FROM fr"
+        for s in _ST) + ")",
+    *_policy_tail("shop, eval_ts", extra="zz.shop, "))
+_SHOP_ALERTS = _SHOPS.rstrip() + ALERTS[len(_BT.rstrip()):]
+for _old, _new in (
+        ("SELECT a.status, a.severity, a.t, MIN", "SELECT a.shop, a.status, a.severity, a.t, MIN"),
+        ("ON a.status = b.status", "ON a.shop = b.shop AND a.status = b.status"),
+        ("GROUP BY a.status, a.severity, a.t", "GROUP BY a.shop, a.status, a.severity, a.t"),
+        ("ch(status, severity, t)", "ch(shop, status, severity, t)"),
+        ("SELECT status, severity, MIN(t) FROM cands GROUP BY status, severity",
+         "SELECT shop, status, severity, MIN(t) FROM cands GROUP BY shop, status, severity"),
+        ("SELECT n.status, n.severity, n.nxt", "SELECT n.shop, n.status, n.severity, n.nxt"),
+        ("ON ch.status = n.status", "ON ch.shop = n.shop AND ch.status = n.status"),
+        ("fired AS (SELECT c.status", "fired AS (SELECT c.shop, c.status"),
+        ("ON c.status = h.status", "ON c.shop = h.shop AND c.status = h.status")):
+    assert _old in _SHOP_ALERTS, _old
+    _SHOP_ALERTS = _SHOP_ALERTS.replace(_old, _new)
+SQL["alert_dispatch_keyed"] = _SHOP_ALERTS + "SELECT * FROM fired"
+
+SQL["outage_minutes"] = SQL["outage_periods"].replace("'hour'", "'minute'").replace("INTERVAL 2 HOUR", "INTERVAL 2 MINUTE")
+
+SQL["quality_raw"] = """WITH r AS (
+  SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(date_trunc('minute', ts) AS TIMESTAMP) END AS ts,
+         CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'view' THEN 'denied'
+              WHEN 'error' THEN 'failed' WHEN 'click' THEN 'reversed' ELSE 'refunded' END AS status,
+         CAST(floor(value) AS BIGINT) - 1 AS cnt
+  FROM events)
+""" + _quality("raw_records", "r", "ts, status", "status", ["ts", "status", "cnt"])
+
+SQL["reconcile_sources"] = SQL["reconcile"].replace("FROM auth GROUP BY ts", "FROM auth WHERE auth_code < '05' GROUP BY ts")
+
+_FLAG_SUMS = ", ".join(f"CAST(SUM(CAST({c} AS INTEGER)) AS BIGINT) AS {c}" for c in (
+    "is_outage", "is_spike", "is_zscore_anomaly", "is_volume_anomaly", "is_slope_anomaly"))
+SQL["checkout_flag_counts"] = with_(*LAYERS) + f"""
+SELECT snapshot, COUNT(*) AS n_hours, CAST(SUM(CASE WHEN anomaly_score > 0 THEN 1 ELSE 0 END) AS BIGINT) AS anomalous, {_FLAG_SUMS},
+       100.0 * (CAST(SUM(CASE WHEN anomaly_score > 0 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)) AS anomalous_pct
+FROM det GROUP BY snapshot"""
+SQL["checkout_severity"] = with_(*LAYERS) + f"""
+SELECT snapshot, {_sev('anomaly_score')} AS severity, COUNT(*) AS n_hours FROM det GROUP BY 1, 2"""
+SQL["checkout_labels"] = with_(*LAYERS) + """
+SELECT snapshot, day, time, concat_ws(', ', CASE WHEN is_outage THEN 'OUTAGE' END, CASE WHEN is_spike THEN 'SPIKE' END,
+       CASE WHEN is_zscore_anomaly THEN 'Z-SCORE' END, CASE WHEN is_volume_anomaly THEN 'VOLUME' END,
+       CASE WHEN is_slope_anomaly THEN 'SLOPE' END) AS labels
+FROM det WHERE anomaly_score > 0"""
+SQL["checkout_rules"] = with_(*LAYERS) + """
+SELECT snapshot, day, time,
+       CASE WHEN is_outage THEN 'outage' WHEN is_spike THEN 'spike'
+            WHEN is_zscore_anomaly AND is_volume_anomaly THEN 'confirmed_deviation'
+            WHEN is_zscore_anomaly THEN 'deviation' END AS rule,
+       CASE WHEN is_outage THEN 'CRITICAL' WHEN is_spike OR (is_zscore_anomaly AND is_volume_anomaly) THEN 'WARNING'
+            WHEN is_zscore_anomaly THEN 'INFO' ELSE 'NORMAL' END AS policy_severity
+FROM det"""
+SQL["checkout_low_traffic"] = with_(*LAYERS).replace(
+    "CAST(SUM(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v",
+    "CAST(SUM(CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS v") + f"""
+SELECT snapshot, day, time, today, is_low_traffic, is_volume_anomaly, {_sev('anomaly_score')} AS severity FROM det"""
+
+SQL["missing_hours"] = """
+WITH e AS (SELECT DISTINCT event_type AS snapshot, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day,
+                  CAST(hour(ts) AS INTEGER) AS hour_of_day FROM events),
+g AS (SELECT snapshot, day, CAST(unnest(generate_series(0, 23)) AS INTEGER) AS hour_of_day
+      FROM (SELECT DISTINCT snapshot, day FROM e))
+SELECT g.* FROM g ANTI JOIN e ON g.snapshot = e.snapshot AND g.day = e.day AND g.hour_of_day = e.hour_of_day"""
+
+SQL["analyze_report_short"] = with_(TX) + """
+SELECT MAX(ts) AS eval_ts, CAST(NULL AS VARCHAR) AS status, 'NORMAL' AS severity, 'NORMAL' AS overall_severity, 0.0::DOUBLE AS max_z_score,
+       'All transaction statuses within normal parameters.' AS recommendation
+FROM tx WHERE ts < (SELECT MIN(ts) FROM tx) + INTERVAL 20 HOUR"""
+SQL["analyze_report_empty"] = with_(TX) + """
+SELECT CAST(NULL AS VARCHAR) AS status, 'NORMAL' AS severity, 'NORMAL' AS overall_severity, 0.0::DOUBLE AS max_z_score,
+       'No transaction data available for analysis.' AS recommendation
+FROM tx WHERE status = 'none' HAVING COUNT(*) = 0"""
+SQL["current_status_empty"] = with_(TX) + """
+SELECT 'NORMAL' AS overall_severity, 0.0::DOUBLE AS max_z_score, 0 AS n_statuses FROM tx WHERE status = 'none' HAVING COUNT(*) = 0"""
+SQL["evaluate_unmonitored"] = with_(TX) + """
+SELECT ts AS obs_ts, 'x_' || status AS status, cnt, 'INVALID' AS severity, false AS is_anomalous,
+       'Status ' || chr(39) || 'x_' || status || chr(39) || ' is not monitored. Valid statuses: denied, failed, reversed, backend_reversed, approved' AS message
+FROM tx WHERE ts >= (SELECT max(ts) FROM tx) - INTERVAL 24 HOUR"""
+
+SQL["decode_bad_messages"] = f"""
+WITH e AS (SELECT event_id, event_id % 20 AS k, ts, {STATUS_CASE} AS status FROM events)
+SELECT CASE WHEN r THEN NULL WHEN k = 3 THEN ts ELSE CAST(date_trunc('second', ts) AS TIMESTAMP) END AS ts,
+       CASE WHEN NOT r THEN status END AS status, CASE WHEN NOT r THEN event_id END AS cnt,
+       CASE WHEN k IN (9, 10) THEN 'no records' WHEN k IN (1, 4) THEN 'bad timestamp' WHEN k = 8 THEN 'no status'
+            WHEN k IN (5, 6) THEN 'bad count' WHEN k = 7 THEN 'negative count' END AS reason
+FROM (SELECT *, k IN (1, 4, 5, 6, 7, 8, 9, 10) AS r FROM e)"""
+
+SQL["csv_transactions"] = with_(TX) + "SELECT ts, status, cnt FROM tx"
+SQL["csv_auth"] = with_(AUTH) + "SELECT ts, auth_code, cnt FROM auth"
+SQL["csv_checkout"] = with_(*CHECKOUT) + """
+SELECT 'checkout_' || snapshot AS snapshot, hour_of_day AS hour, COUNT(*) AS n, CAST(SUM(today) AS BIGINT) AS today,
+       CAST(SUM(yesterday) AS BIGINT) AS yesterday
+FROM checkout GROUP BY snapshot, hour_of_day"""
+SQL["fact_append"] = with_(TX) + "SELECT ts, status, cnt FROM tx WHERE status IN ('denied', 'failed')"
+SQL["checkout_naive_sql"] = SQL["checkout_naive"]
+SQL["status_values"] = with_(TX, AUTH) + """SELECT DISTINCT 'status' AS kind, status AS value FROM tx
+UNION ALL SELECT DISTINCT 'auth_code' AS kind, auth_code AS value FROM auth"""
+_EV = SQL["evaluate_counts"]
+SQL["anomalous_insert"] = _EV[:_EV.rindex("SELECT obs_ts")].replace(
+    "SELECT ts AS obs_ts, status, cnt FROM tx", "SELECT ts AS obs_ts, status, cnt * 3 AS cnt FROM tx") + """
+SELECT obs_ts AS ts, status, cnt FROM j WHERE CASE WHEN n < 30 THEN prob ELSE z > 2.5 END"""

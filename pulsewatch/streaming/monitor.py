@@ -15,18 +15,39 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import MONITORED_STATUSES, PolicyParams
+from ..config import MONITORED_STATUSES, PolicyParams, unit_seconds
 from ..sources.messages import decode_batches, encode_batches
 
 
-def write_messages(tx: DataFrame, path: str, files: int = 8) -> None:
-    """Replay source: messages written as text files in time order."""
-    (encode_batches(tx).repartitionByRange(files, "ts").sortWithinPartitions("ts")
-     .select("message").write.mode("overwrite").text(path))
+#: How long late records are waited for.
+DELAY = "2 minutes"
+
+
+def write_messages(tx: DataFrame, path: str, part: Column | None = None, flush_seconds: int | None = None) -> None:
+    """Replay source: messages written as text files in time order.
+
+    ``part``: number of the micro-batch of a row; the parts are written one after
+    the other, one file each, and read with ``max_files=1`` they are the
+    micro-batches.  ``flush_seconds``: a heartbeat (status ``heartbeat``, count 0)
+    so long after the latest stamp closes the replay: it moves the watermark past
+    all windows that hold records, and its own window stays open.
+    """
+    if part is None:
+        encode_batches(tx).repartitionByRange("ts").sortWithinPartitions("ts").select("message").write.mode("overwrite").text(path)
+    else:
+        parts = tx.withColumn("part", part).checkpoint()
+        numbers = [r.part for r in parts.select("part").distinct().orderBy("part").toLocalIterator()]
+        for k, n in enumerate(numbers):
+            (encode_batches(parts.filter(F.col("part") == n).drop("part")).coalesce(1).sortWithinPartitions("ts")
+             .select("message").write.mode("append" if k else "overwrite").text(path))
+    if flush_seconds is not None:
+        beat = tx.agg((F.max("ts") + F.expr(f"INTERVAL {flush_seconds} SECONDS")).alias("ts")).select(
+            "ts", F.lit("heartbeat").alias("status"), F.lit(0).cast("bigint").alias("cnt")).filter("ts is not null")
+        encode_batches(beat).select("message").write.mode("append").text(path)
 
 
 def read_messages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -39,6 +60,10 @@ def read_messages(spark: SparkSession, path: str, max_files: int | None = None)
     return r.load(path)
 
 
+def _start(writer, available_now: bool):
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+
+
 def ingest(spark: SparkSession, src: str, out: str, dead: str, checkpoint: str,
            available_now: bool = True):
     """Continuous ingest: decode each micro-batch, append records (with
@@ -46,6 +71,7 @@ def ingest(spark: SparkSession, src: str, out: str, dead: str, checkpoint: str,
     under its own ``batch_id`` folder in overwrite mode, so a replayed batch
     replaces its own output instead of duplicating it."""
     def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read three times
         good, bad = decode_batches(batch)
         (good.withColumn("ingested_at", F.current_timestamp().cast("timestamp_ntz"))
          .withColumn("batch_id", F.lit(batch_id))
@@ -56,23 +82,24 @@ def ingest(spark: SparkSession, src: str, out: str, dead: str, checkpoint: str,
         (good.groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.sum("cnt").alias("cnt"))
          .withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{out}_counters/batch_id={batch_id}"))
+        batch.unpersist()
 
-    w = read_messages(spark, src).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    return _start(read_messages(spark, src).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint),
+                  available_now)
 
 
-def windowed_counts(stream: DataFrame, unit: str = "1 hour", delay: str = "0 seconds",
+def windowed_counts(stream: DataFrame, unit: str = "1 hour", delay: str = DELAY,
                     statuses: Sequence[str] = MONITORED_STATUSES, dedupe: bool = False) -> DataFrame:
     """Per-unit tumbling counts by status (wide) with a watermark: a window
     is emitted once the watermark passes its end (append mode).
 
-    ``dedupe=True`` drops repeated (ts, status) records that arrive within the
-    watermark delay (an at-least-once producer replaying a message)."""
-    good, _ = decode_batches(stream)
+    ``dedupe=True`` drops messages that come again within the watermark delay (an
+    at-least-once producer): a record is known by its message and its place in it,
+    so two genuine records of one stamp and status both count."""
+    good, _ = decode_batches(stream, with_ids=True)
     good = good.withWatermark("ts", delay)
     if dedupe:
-        good = good.dropDuplicatesWithinWatermark(["ts", "status"])
+        good = good.dropDuplicatesWithinWatermark(["message_id", "place"])
     aggs = [F.sum(F.when(F.col("status") == s, F.col("cnt")).otherwise(F.lit(0))).cast("bigint").alias(s)
             for s in statuses]
     return (good.groupBy(F.window("ts", unit))
@@ -81,32 +108,77 @@ def windowed_counts(stream: DataFrame, unit: str = "1 hour", delay: str = "0 sec
 
 
 def run_windowed_counts(spark: SparkSession, src: str, out: str, checkpoint: str,
-                        unit: str = "1 hour", delay: str = "0 seconds", dedupe: bool = False):
+                        unit: str = "1 hour", delay: str = DELAY, dedupe: bool = False):
     q = (windowed_counts(read_messages(spark, src), unit, delay, dedupe=dedupe).writeStream.outputMode("append")
          .format("parquet").option("path", out).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     return q
 
 
-def alert_check(spark: SparkSession, src: str, table: str, alerts_out: str, checkpoint: str,
-                params: PolicyParams = PolicyParams(), unit: str = "MINUTE",
-                available_now: bool = True):
-    """Periodic check: append the micro-batch to the fact table, re-read the
-    trailing window of the table, run the policy detector at its latest stamp
-    and write the evaluation (keyed by ``batch_id``)."""
+FACTS = "ts timestamp, status string, cnt bigint, batch_id bigint, date date"
+FIRED = ("status string, severity string, current_value bigint, baseline_mean double, baseline_std double, z_score double, "
+         "score double, alert_ts timestamp_ntz, batch_id bigint, date date")
+
+
+def alert_check(spark: SparkSession, src: str, base: str, checkpoint: str, params: PolicyParams = PolicyParams(),
+                unit: str = "MINUTE", cooldown_seconds: int = 300, max_files: int | None = None,
+                service: str = "monitor", available_now: bool = True):
+    """Periodic check.  Each micro-batch is appended to the fact table
+    (partitioned by date), the detector runs at the table's latest stamp over the
+    partitions of its history window, and what it finds is dispatched.
+
+    Tables under ``base``: facts, dead, details, alerts (fired), log, outbox and
+    gauges (score per status, and ``overall``).  The cooldown is carried across
+    batches by the fired alerts of the last ``cooldown_seconds``.  Every output is
+    keyed by ``batch_id`` and overwritten by a replayed batch, which sees only the
+    alerts of batches before it.
+    """
+    from ..operators.alerts import alert_candidates, alert_log, outbox
     from ..operators.policy import policy_detect
+    step = unit_seconds(unit)
 
-    def check(batch: DataFrame, batch_id: int) -> None:
-        good, _ = decode_batches(batch)
-        good.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-        fact = spark.read.parquet(table).select(F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "cnt")
-        det = policy_detect(fact, params, unit)
-        det.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{alerts_out}/batch_id={batch_id}")
+    def put(df: DataFrame, name: str, batch_id: int, by_date: str | None = None) -> None:
+        w = (df.withColumn("date", F.to_date(by_date)) if by_date else df).write.mode("overwrite")
+        (w.partitionBy("date") if by_date else w).parquet(f"{base}/{name}/batch_id={batch_id}")
 
-    w = read_messages(spark, src).writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    def since(name: str, schema: str, at: str) -> DataFrame:
+        """Rows of the date partitions from ``at`` on."""
+        return spark.read.schema(schema).parquet(f"{base}/{name}").filter(F.col("date") >= F.lit(at[:10]).cast("date"))
+
+    def check(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        good, bad = decode_batches(batch)
+        put(good, "facts", batch_id, by_date="ts")
+        put(bad, "dead", batch_id)
+        newest = good.agg(F.max("ts").cast("string")).first()[0]
+        batch.unpersist()
+        put(spark.createDataFrame([], FIRED).drop("batch_id", "date"), "alerts", batch_id, by_date="alert_ts")
+        if newest is None:
+            return
+        # The anchor may lie in an earlier batch, but then in these partitions.
+        anchor, first, recent = since("facts", FACTS, newest).agg(F.max("ts").alias("t")).select(*[
+            (F.col("t") - F.expr(f"INTERVAL {x} SECONDS")).cast("string")
+            for x in (0, params.history_window * step, cooldown_seconds)]).first()
+        facts = since("facts", FACTS, first).filter(F.col("ts") >= F.lit(first).cast("timestamp")).select(
+            F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "cnt")
+        details = policy_detect(facts, params, unit).persist()
+        put(details, "details", batch_id)
+        cands = alert_candidates(details, params.critical_threshold, params.z_score_threshold).withColumn("_at", F.col("eval_ts"))
+        before = since("alerts", FIRED, recent).filter(
+            (F.col("batch_id") < batch_id) & (F.col("alert_ts") > F.lit(recent).cast("timestamp_ntz")))
+        fired = (cands.join(before.select("status", "severity"), ["status", "severity"], "left_anti") if cooldown_seconds else cands)
+        fired = fired.select("status", "severity", "current_value", "baseline_mean", "baseline_std", "z_score",
+                             F.col("max_z_score").alias("score"), F.col("eval_ts").alias("alert_ts")).checkpoint()
+        put(fired, "alerts", batch_id, by_date="alert_ts")
+        put(alert_log(fired), "log", batch_id)
+        put(outbox(fired, service), "outbox", batch_id)
+        scores = details.select("eval_ts", "status", F.col("z_score").alias("score"))
+        overall = details.select("eval_ts", F.lit("overall").alias("status"), F.col("max_z_score").alias("score")).distinct()
+        put(scores.unionByName(overall), "gauges", batch_id)
+        details.unpersist()
+
+    return _start(read_messages(spark, src, max_files).writeStream.foreachBatch(check)
+                  .option("checkpointLocation", checkpoint), available_now)
 
 
 # --- keyed cooldown state ------------------------------------------------------------
@@ -135,8 +207,8 @@ def cooldown_stream(candidates: DataFrame, cooldown_seconds: int = 300) -> DataF
         pdf = pd.concat(frames).sort_values("alert_ts")
         keep = []
         for ts, z in zip(pdf["alert_ts"], pdf["z_score"]):
-            t = int(pd.Timestamp(ts).value // 1_000_000_000)
-            if last is None or t - last >= cooldown_seconds:
+            t = int(pd.Timestamp(ts).value // 1_000)  # microseconds
+            if last is None or t - last >= cooldown_seconds * 1_000_000:
                 last = t
                 keep.append((key[0], key[1], ts, z))
         state.update((last,))
@@ -150,7 +222,7 @@ def cooldown_stream(candidates: DataFrame, cooldown_seconds: int = 300) -> DataF
 # --- chained stateful queries: outage sessions, hopping baseline -----------------------
 
 def outage_sessions(stream: DataFrame, unit: str = "1 hour", unit_seconds: int = 3600,
-                    zero_threshold: int = 5, max_gap: int = 2, delay: str = "0 seconds",
+                    zero_threshold: int = 5, max_gap: int = 2, delay: str = DELAY,
                     critical_units: int = 5, warning_units: int = 2) -> DataFrame:
     """Near-zero periods on a stream: per-unit totals (window aggregate) ->
     stamps with total <= threshold -> session windows with gap ``max_gap``
@@ -175,7 +247,7 @@ def outage_sessions(stream: DataFrame, unit: str = "1 hour", unit_seconds: int =
 
 
 def hopping_baseline(stream: DataFrame, unit: str = "1 hour", history_units: int = 60,
-                     delay: str = "0 seconds", statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
+                     delay: str = DELAY, statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
     """Rolling baseline on a stream (row frames are not allowed on streams):
     per-unit wide counts, then a sliding window of ``history_units + 1`` units
     (inclusive bound) sliding by one unit, with per-status mean and sample std

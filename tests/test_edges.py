@@ -125,7 +125,7 @@ def test_malformed_message_goes_to_dead_letter(spark):
     msgs = spark.createDataFrame([('{"records":[{"timestamp":"2025-07-12T14:00:00","status":"approved","count":3}]}',),
                                   ("not json",)], "value string")
     good, bad = decode_batches(msgs)
-    assert good.count() == 1 and [r.raw for r in bad.collect()] == ["not json"]
+    assert good.count() == 1 and [(r.raw, r.reason) for r in bad.collect()] == [("not json", "no records")]
 
 
 def test_rolling_min_periods_and_floor(spark):
@@ -139,7 +139,7 @@ def test_chunked_backtest_equals_unchunked(spark):
     from pulsewatch.sources import adapters as A
     tx = A.transactions(spark, "/root/testdata/sf0.001", unit="HOUR")
     cols = ["eval_ts", "status", "current_value", "z_raw", "n_history", "overall_severity"]
-    a = policy.policy_backtest(tx, unit="HOUR", chunk_units=0).select(*cols)
+    a = policy.policy_backtest(tx, unit="HOUR", chunk_units=10 ** 9).select(*cols)
     b = policy.policy_backtest(tx, unit="HOUR", chunk_units=24).select(*cols)
     assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
@@ -147,3 +147,82 @@ def test_chunked_backtest_equals_unchunked(spark):
 def test_cooldown_with_no_candidates(spark):
     empty = _cands(spark, [0]).limit(0)
     assert alerts.cooldown_filter(empty, cooldown_seconds=300).count() == 0
+
+
+def test_no_cooldown_fires_all_and_sub_second_stamps_count(spark):
+    c = _cands(spark, [0, 0.6, 299.2, 300, 300.1])
+    assert alerts.cooldown_filter(c, cooldown_seconds=0).count() == 5
+    got = sorted((r.eval_ts - T0).total_seconds() for r in alerts.cooldown_filter(c, cooldown_seconds=300).collect())
+    assert got == [0, 300]
+
+
+def test_equal_stamps_fire_once(spark):
+    c = _cands(spark, [0, 0, 0]).unionByName(_cands(spark, [0], severity="CRITICAL"))
+    assert alerts.cooldown_filter(c, cooldown_seconds=300).count() == 2
+
+
+def test_every_series_has_its_own_cooldown(spark):
+    rows = [(m, "denied", minutes(i)) for i, m in enumerate(["m1", "m2"])]
+    d = spark.createDataFrame([(m, s, t, 9, 1.0, 1.0, 5.0, 5.0, "CRITICAL", True) for m, s, t in rows],
+                              "merchant string, status string, eval_ts timestamp_ntz, current_value bigint, baseline_mean double, "
+                              "baseline_std double, z_score double, max_z_score double, overall_severity string, is_anomalous boolean")
+    assert alerts.dispatch(d, 300).count() == 1
+    keyed = alerts.dispatch(d, 300, keys=["merchant"])
+    assert sorted(r.merchant for r in keyed.collect()) == ["m1", "m2"]
+
+
+def test_reports_always_answer(spark):
+    none = fact(spark, [])
+    r = policy.analyze(none).collect()
+    assert len(r) == 1 and r[0].recommendation == policy.NO_DATA and r[0].overall_severity == "NORMAL"
+    assert r[0].status is None and r[0].eval_ts is None
+    short = fact(spark, [(minutes(i), "approved", 100) for i in range(5)])
+    r = policy.analyze(short).collect()
+    assert len(r) == 1 and r[0].overall_severity == "NORMAL" and r[0].eval_ts == minutes(4)
+    cs = policy.current_status(none).collect()
+    assert len(cs) == 1 and cs[0].overall_severity == "NORMAL" and cs[0].max_z_score == 0.0 and cs[0].statuses is None
+
+
+def test_unmonitored_status_is_rejected(spark):
+    hist = fact(spark, [(minutes(i), "denied", 4) for i in range(60)])
+    obs = spark.createDataFrame([("refunded", 9), (None, 1)], "status string, cnt bigint")
+    for r in policy.evaluate_counts(obs, hist).collect():
+        assert r.severity == "INVALID" and not r.is_anomalous and "is not monitored" in r.message
+
+
+def test_faulty_records_go_to_dead_letter(spark):
+    m = '{"records":[{"timestamp":%s,"status":%s,"count":%s}]}'
+    msgs = [m % ('"garbage"', '"denied"', 1), m % ('"2025-07-12T14:00:00.250000"', '"denied"', 1),
+            m % ('"2025-07-12 14:00:00"', '"denied"', '"2"'), m % ('"2025-07-12T14:00:00"', '"denied"', '"two"'),
+            m % ('"2025-07-12T14:00:00"', "null", 1), m % ('"2025-07-12T14:00:00"', '"denied"', "null"),
+            m % ('"2025-07-12T14:00:00"', '"denied"', -1), "[]", "{}", "", None]
+    good, bad = decode_batches(spark.createDataFrame([(x,) for x in msgs], "value string"))
+    assert sorted(r.cnt for r in good.collect()) == [1, 2]
+    assert sorted(r.reason for r in bad.collect()) == sorted(
+        ["bad timestamp", "bad count", "no status", "bad count", "negative count"] + ["no records"] * 4)
+
+
+def test_messages_keep_every_record(spark):
+    from pulsewatch.sources.messages import encode_batches
+    df = fact(spark, [(minutes(0), "denied", 3)] * 5 + [(minutes(0), "approved", 1)])
+    good, _ = decode_batches(encode_batches(df, records_per_message=2).withColumnRenamed("message", "value"))
+    assert good.count() == 6 and encode_batches(df, records_per_message=2).count() == 3
+
+
+def test_logs_keep_every_line(spark):
+    from pulsewatch.operators.metrics import parse_logs
+    lines = ["plain text", '{"message": "no level"}', '{"level": "INFO", "message": "m", "timestamp": 1.5}', "[1]", ""]
+    got = {(r.level, r.message) for r in parse_logs(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert got == {(None, "plain text"), (None, "no level"), ("INFO", "m"), (None, "[1]"), (None, "")}
+
+
+def test_parameter_bounds(spark):
+    from pulsewatch.operators import windows
+    df = fact(spark, [(minutes(0), "denied", 3)])
+    for bad in (0, 1441, 1.5):
+        with pytest.raises(ValueError):
+            windows.status_summary(df, window=bad)
+    with pytest.raises(ValueError):
+        windows.recent(df, limit=101)
+    with pytest.raises(ValueError):
+        policy.analyze(df, window=4)

@@ -32,17 +32,3 @@ def test_query_matches_oracle(spark, duck, key):
     exp = duck.execute(E.oracle_sql()[key]).df()
     assert sorted(got.columns) == sorted(exp.columns)
     assert rows(got) == rows(exp)
-
-
-CHUNKED = ["rolling_volume", "rolling_approval", "rolling_daily", "outage_periods", "anomaly_timeline",
-           "rule_book", "severity_distribution"]
-
-
-@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test data not present")
-@pytest.mark.parametrize("key", CHUNKED)
-def test_chunked_path_matches_oracle(spark, duck, key, monkeypatch):
-    from pulsewatch.plans import catalog
-    monkeypatch.setattr(catalog, "AUTO_CHUNK_ROWS", 0)  # force the long-series path
-    got = E.queries()[key](spark, SMOKE).toPandas()
-    exp = duck.execute(E.oracle_sql()[key]).df()
-    assert rows(got) == rows(exp)

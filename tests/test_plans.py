@@ -7,10 +7,11 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from pulsewatch.sources import adapters as A
 
 from .conftest import SMOKE
 
-KEYS = sorted(k for k in E.queries() if not k.startswith("stream_"))
+KEYS = sorted(k for k in E.catalog.QUERIES if not k.startswith("stream_"))
 
 
 def plan_text(df) -> str:
@@ -28,8 +29,21 @@ def test_no_cross_products(spark, key):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test data not present")
-def test_scan_reads_only_used_columns(spark):
-    text = plan_text(E.queries()["status_summary"](spark, SMOKE))
-    schemas = set(re.findall(r"ReadSchema: (struct<[^>]*>)", text))
-    assert schemas and all(s in ("struct<ts:timestamp_ntz,event_type:string>", "struct<ts:timestamp_ntz>")
-                           for s in schemas), schemas
+def test_trailing_window_reaches_the_scan(spark):
+    """The bound of a trailing window is a filter of the scan, on the columns used."""
+    text = plan_text(A.recent_transactions(spark, SMOKE, 24, "HOUR"))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,", text)
+    assert set(re.findall(r"ReadSchema: (struct<[^>]*>)", text)) == {"struct<ts:timestamp_ntz,event_type:string>"}
+    assert text.count("Scan parquet") == 2  # one scan, named in the tree and in its details
+
+
+@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test data not present")
+@pytest.mark.parametrize("key", ["rolling_volume", "rolling_error", "rolling_bands", "rolling_daily", "rolling_keyed",
+                                 "rolling_keyed_supplier", "outage_periods", "anomaly_timeline", "rule_book"])
+def test_series_windows_are_split(spark, key):
+    """Windows over a series are partitioned by its chunks; those without such a
+    partition run over the table of chunks (one row each)."""
+    text = plan_text(E.queries()[key](spark, SMOKE))
+    windows = re.findall(r"Arguments: \[[^\n]*windowspecdefinition\(([^\n]*)", text)
+    for w in windows:
+        assert "_chunk" in w or "_home" in w, w
