@@ -90,58 +90,74 @@ class Subspaces:
 
 
 def _deal(space: Subspaces, v: np.ndarray, ids: np.ndarray, tiles: dict[tuple, int]):
-    """(vector index, pair key, side) of every pair of tiles that a vector is in."""
+    """(vector indices, pair key, side): the pairs of tiles that vectors are in."""
     rotated = space.rotate(space.unit(v))
-    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    spread = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
     for b in range(len(space.parts)):
         cell, lead, side = space.cells(rotated, b), space.lead(rotated, b), space.side[b]
+        homes, home = np.unique(cell, axis=0, return_inverse=True)
+        home = home.reshape(-1)
+        many = np.array([tiles[b, *h] for h in homes.tolist()], dtype=np.int64)
+        own = spread % many[home]
         for dx in (-1, 0, 1):
             for dy in (-1, 0, 1):
                 other = cell + (dx, dy)
                 gap = np.maximum(0, np.maximum(other * side - lead, lead - (other + 1) * side))
                 near = np.flatnonzero(np.square(gap).sum(axis=1) <= space.budget[b] * (1 + SLACK))
-                for i in near.tolist():
-                    here, there = (b, *cell[i].tolist()), (b, *other[i].tolist())
-                    own = (*here, int(spread[i] % np.uint64(tiles[here])))
+                near = near[np.lexsort((own[near], home[near]))]
+                cut = np.flatnonzero((np.diff(home[near]) != 0) | (np.diff(own[near]) != 0)) + 1
+                for rows in np.split(near, cut) if len(near) else ():
+                    h = homes[home[rows[0]]].tolist()
+                    mine, there = (b, *h, int(own[rows[0]])), (b, h[0] + dx, h[1] + dy)
                     for t in range(tiles.get(there, 0)):
                         o = (*there, t)
-                        yield i, (own, o) if own <= o else (o, own), 0 if own <= o else 1
+                        yield rows, (mine, o) if mine <= o else (o, mine), 0 if mine <= o else 1
 
 
 def join_tiles(space: Subspaces, b: int, left: np.ndarray, right: np.ndarray | None, cosine: float):
     """Index pairs that link between two tiles (or within one) and that block b owns."""
     same = right is None
+    none = np.zeros(0, dtype=np.int64)
     if not len(left) or not (same or len(right)):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    lu = space.unit(left)
-    ru = lu if same else space.unit(right)
-    ly, ry = (lu @ space.rotation).astype(np.float32), (ru @ space.rotation).astype(np.float32)
+        return none, none
+    turn = space.rotation.astype(np.float32)
+    ly = space.unit(left.astype(np.float32)) @ turn
+    ry = ly if same else space.unit(right.astype(np.float32)) @ turn
+    columns = {}
 
     def distances(rows: slice, block: int) -> np.ndarray:
-        x, y = ly[rows, space.parts[block]], ry[:, space.parts[block]]
-        return np.square(x).sum(1)[:, None] + np.square(y).sum(1)[None, :] - 2 * (x @ y.T)
+        """|x|^2 + |y|^2 - 2xy in one product of widened rows."""
+        if block not in columns:
+            y = ry[:, space.parts[block]]
+            columns[block] = np.concatenate([-2 * y, np.square(y).sum(1, keepdims=True), np.ones((len(y), 1), np.float32)], axis=1).T
+        x = ly[rows, space.parts[block]]
+        one = np.ones((len(x), 1), np.float32)
+        return np.concatenate([x, one, np.square(x).sum(1, keepdims=True)], axis=1) @ columns[block]
 
     found = [], []
-    step = max(1, (1 << 21) // max(1, len(ru)))
-    for at in range(0, len(lu), step):
+    step = max(1, (1 << 21) // max(1, len(ry)))
+    budget = np.array(space.budget)
+    for at in range(0, len(ly), step):
         rows = slice(at, at + step)
-        near = distances(rows, b) <= space.budget[b] + MARGIN
+        near = distances(rows, b) <= np.float32(budget[b] + MARGIN)
+        if not near.any():
+            continue
         if same:
-            near &= np.arange(at, at + len(near))[:, None] < np.arange(len(ru))[None, :]
+            near &= np.arange(at, at + len(near))[:, None] < np.arange(len(ry))[None, :]
         for e in range(b):
             if not near.any():
                 break
-            near &= distances(rows, e) >= space.budget[e] - MARGIN
+            near &= distances(rows, e) >= np.float32(budget[e] - MARGIN)
         i, j = np.nonzero(near)
         for s in range(0, len(i), 1 << 16):
             p, q = i[s:s + (1 << 16)] + at, j[s:s + (1 << 16)]
-            linked = np.einsum("pd,pd->p", lu[p], ru[q]) >= cosine
+            lu, ru = space.unit(left[p]), space.unit((left if same else right)[q])
+            linked = np.einsum("pd,pd->p", lu, ru) >= cosine
             p, q = p[linked], q[linked]
-            within = space.block_distances(lu[p] - ru[q]) <= np.array(space.budget)
+            within = space.block_distances(lu[linked] - ru[linked]) <= budget
             owned = within[:, b] & ~within[:, :b].any(axis=1)
             found[0].append(p[owned])
             found[1].append(q[owned])
-    none = np.zeros(0, dtype=np.int64)
     return np.concatenate([*found[0], none]), np.concatenate([*found[1], none])
 
 
@@ -166,15 +182,16 @@ def class_links(classes: DataFrame, space: Subspaces, cosine: float, tile: int)
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pulsewatch.llm import vectors as V
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 v, ids = matrix(part.column("e"), np.float64), part.column("rep").to_numpy()
                 dealt = list(V._deal(space, v, ids, tiles))
                 if dealt:
-                    take = pa.array([d[0] for d in dealt])
+                    take = pa.array(np.concatenate([d[0] for d in dealt]))
+                    n = [len(d[0]) for d in dealt]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([repr(d[1]) for d in dealt]), pa.array([d[2] for d in dealt], pa.int32()),
-                         part.column("rep").take(take), part.column("m").take(take), part.column("e").take(take)],
+                        [pa.array([repr(d[1]) for d in dealt]).take(pa.array(np.repeat(np.arange(len(n)), n))),
+                         pa.array(np.repeat([d[2] for d in dealt], n), pa.int32()), part.column("rep").take(take), part.column("m").take(take), part.column("e").take(take)],
                         names=["pair", "side", "rep", "m", "e"])
 
     def join(t: pa.Table) -> pa.Table:
@@ -199,7 +216,7 @@ def class_links(classes: DataFrame, space: Subspaces, cosine: float, tile: int)
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9,
-                    blocks: int = 4, tile: int = 4096, sample: int = 4096) -> DataFrame:
+                    blocks: int = 4, tile: int = 16384, sample: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     if not 0 < cosine <= 1:
         raise ValueError("cosine must lie in (0, 1]")
