@@ -351,7 +351,7 @@ def q_checkout_reasons(spark, sf):
 
 
 # --- policy detector, report, evaluation (phase 7) -----------------------------------
-from ..config import MONITORED_STATUSES, PolicyParams  # noqa: E402
+from ..config import INSERT_BUCKETS, MONITORED_STATUSES, PolicyParams  # noqa: E402
 from ..operators import policy  # noqa: E402
 
 DETAIL_COLS = ("eval_ts", "status", "current_value", "baseline_mean", "baseline_std", "z_score", "z_raw",
@@ -616,6 +616,20 @@ def q_rolling_error_tight(spark, sf):
     return r9(r.select("ts", F.col("error_rate").alias("value"), *ROLL_COLS, "direction"), ["rolling_mean", "rolling_std", "z_score"])
 
 
+@register("rule_book_tight")
+def q_rule_book_tight(spark, sf):
+    """The written policy with thresholds at which each of its rules fires."""
+    base = timeline.signal_base(_rates(spark, sf), series.auth_rates(A.auth_codes(spark, sf)))
+    sig = timeline.signal_frame(base, None, p=timeline.TimelineParams(rate=TIGHT), chunk_seconds=WEEK)
+    return timeline.rule_book(sig, unit="HOUR", low_volume=14, low_run=3, rate_z=1.5, sigmas=1.0, chunk_units=7 * 24)
+
+
+@register("insert_histogram")
+def q_insert_histogram(spark, sf):
+    r = A.requests(spark, sf).withColumnRenamed("path", "operation")
+    return metrics.duration_histogram(r, "duration", labels=["operation"], buckets=INSERT_BUCKETS)
+
+
 @register("outage_minutes")
 def q_outage_minutes(spark, sf):
     vol = _series(series.volume_per_stamp(A.transactions(spark, sf, unit="MINUTE")))
@@ -669,9 +683,10 @@ def q_missing_hours(spark, sf):
 
 @register("checkout_low_traffic")
 def q_checkout_low_traffic(spark, sf):
-    """The detector over counts per ten events, where traffic is low."""
+    """The detector where traffic is low: one of ten events counts, a few count 20."""
     ev = A.table(spark, sf, "events").select(F.col("event_type").alias("snapshot"), "ts",
-                                             (F.col("event_id") % 10 == 0).cast("bigint").alias("value"))
+                                             F.when(F.col("event_id") % 499 == 0, 20).when(F.col("event_id") % 10 == 0, 1)
+                                             .otherwise(0).cast("bigint").alias("value"))
     det = checkout.detect_checkout(checkout.build_baselines(ev), keys=CHECKOUT_KEYS, hour="hour_of_day")
     return det.select("snapshot", "day", "time", "today", "is_low_traffic", "is_volume_anomaly", "severity")
 

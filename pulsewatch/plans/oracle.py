@@ -807,7 +807,7 @@ SELECT snapshot, day, time,
 FROM det"""
 SQL["checkout_low_traffic"] = with_(*LAYERS).replace(
     "CAST(SUM(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v",
-    "CAST(SUM(CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS v") + f"""
+    "CAST(SUM(CASE WHEN event_id % 499 = 0 THEN 20 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS v") + f"""
 SELECT snapshot, day, time, today, is_low_traffic, is_volume_anomaly, {_sev('anomaly_score')} AS severity FROM det"""
 
 SQL["missing_hours"] = """
@@ -854,3 +854,13 @@ _EV = SQL["evaluate_counts"]
 SQL["anomalous_insert"] = _EV[:_EV.rindex("SELECT obs_ts")].replace(
     "SELECT ts AS obs_ts, status, cnt FROM tx", "SELECT ts AS obs_ts, status, cnt * 3 AS cnt FROM tx") + """
 SELECT obs_ts AS ts, status, cnt FROM j WHERE CASE WHEN n < 30 THEN prob ELSE z > 2.5 END"""
+
+SQL["rule_book_tight"] = SQL["rule_book"]
+for _old, _new in (("greatest(sd, 1.0)", "greatest(sd, 0.01)"), ("total < 5", "total < 14"), ("low_run_length >= 5", "low_run_length >= 3"),
+                   ("- 3.0 * STDDEV_SAMP(approval_rate)", "- 1.0 * STDDEV_SAMP(approval_rate)"),
+                   ("approval_zscore < -2.5", "approval_zscore < -1.5"), ("error_zscore > 2.5", "error_zscore > 1.5")):
+    assert _old in SQL["rule_book_tight"], _old
+    SQL["rule_book_tight"] = SQL["rule_book_tight"].replace(_old, _new)
+
+SQL["insert_histogram"] = "\n".join(x for x in SQL["duration_histogram"].split("\n")).replace(
+    "SELECT operation, '1' AS le, b8 AS bucket_count, sum, count FROM g\nUNION ALL\n", "")
