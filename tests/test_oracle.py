@@ -9,6 +9,7 @@ import __spark_entry__ as E
 from tools.oracle_check import TABLES, rows
 
 from .conftest import SMOKE
+from .test_plans import plan_text
 
 KEYS = sorted(E.catalog.QUERIES)
 
@@ -28,7 +29,10 @@ def test_every_query_has_an_oracle():
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test data not present")
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, duck, key):
-    got = E.queries()[key](spark, SMOKE).toPandas()
+    df = E.queries()[key](spark, SMOKE)
+    plan = plan_text(df)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = df.toPandas()
     exp = duck.execute(E.oracle_sql()[key]).df()
     assert sorted(got.columns) == sorted(exp.columns)
     assert rows(got) == rows(exp)

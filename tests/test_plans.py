@@ -1,5 +1,6 @@
-"""Physical-plan guards: no cartesian products or nested-loop joins in any
-registered query, and column pruning reaches the parquet scan."""
+"""Physical-plan guards: bounds and column pruning reach the parquet scan, and
+windows over series are split.  (That no registered query has a cartesian product
+or nested-loop join is checked where each is run, in test_oracle.py.)"""
 
 import os
 import re
@@ -11,8 +12,6 @@ from pulsewatch.sources import adapters as A
 
 from .conftest import SMOKE
 
-KEYS = sorted(k for k in E.catalog.QUERIES if not k.startswith("stream_"))
-
 
 def plan_text(df) -> str:
     jvm = df.sparkSession._jvm
@@ -20,14 +19,6 @@ def plan_text(df) -> str:
         df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test data not present")
-@pytest.mark.parametrize("key", KEYS)
-def test_no_cross_products(spark, key):
-    text = plan_text(E.queries()[key](spark, SMOKE))
-    assert "CartesianProduct" not in text
-    assert "BroadcastNestedLoopJoin" not in text
-
-
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test data not present")
 def test_trailing_window_reaches_the_scan(spark):
     """The bound of a trailing window is a filter of the scan, on the columns used."""
@@ -45,5 +36,6 @@ def test_series_windows_are_split(spark, key):
     partition run over the table of chunks (one row each)."""
     text = plan_text(E.queries()[key](spark, SMOKE))
     windows = re.findall(r"Arguments: \[[^\n]*windowspecdefinition\(([^\n]*)", text)
+    assert windows or key in ("anomaly_timeline", "rule_book")  # written before they are read again
     for w in windows:
         assert "_chunk" in w or "_home" in w, w
