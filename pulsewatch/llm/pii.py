@@ -41,8 +41,9 @@ IBAN = rf"{_EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}}
 SSN = rf"(?<![{_ALNUM}-])\d{{3}}-\d{{2}}-\d{{4}}(?![{_ALNUM}]|-\d)"
 DATE = rf"(?<![{_ALNUM}.-])(?:\d{{4}}([-/.])\d{{1,2}}\1\d{{1,2}}|\d{{1,2}}([-/.])\d{{1,2}}\2\d{{4}})(?![{_ALNUM}]|[.-]\d)"
 IP = rf"(?<![{_ALNUM}.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![{_ALNUM}]|\.\d)"
-PHONE = (rf"(?<![{_ALNUM}+])(?:\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?\d{{2,4}}){{2,4}}|"
-         rf"\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}([ .-])\d{{3}}\3\d{{4}}){_STOP}")
+# The form with an area code in brackets ends by itself; others may run on.
+PHONE = (rf"(?<![{_ALNUM}+])(?:(?:\+\d{{1,3}}[ .-]?)?\(\d{{3}}\)[ .-]?\d{{3}}[ .-]?\d{{4}}|\d{{3}}([ .-])\d{{3}}\3\d{{4}}|"
+         rf"\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?\d{{2,4}}){{2,4}}){_STOP}")
 CARD = rf"{_EDGE}(?:\d{{13,19}}|\d{{4}}([ -])\d{{4}}\4\d{{4}}\4\d{{1,7}}|\d{{4}}([ -])\d{{6}}\5\d{{5}}){_STOP}"
 SECRET = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})"
           r"(?<=(?i:token|secret|key|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_=-]++"

@@ -102,6 +102,15 @@ def test_links_across_documents_and_spelling(spark):
     assert got[5] == card("7536784127813050") + " " + card("4845168114407329")
 
 
+def test_values_side_by_side(spark):
+    given = "Des +1 (826) 555-4081 190.137.223.204 du (826) 555-4081 4845168114407329 +44 20 7946 0958, +33 1 23 45 67 89."
+    got = one(spark, given)[0]
+    phone = digits("8265554081", "phone")
+    shown = f"({phone[:3]}) {phone[3:6]}-{phone[6:]}"
+    assert got.count(shown) == 2 and "190.137" not in got and "0958" not in got and "67 89" not in got
+    assert card("4845168114407329") in got and got.startswith(f"Des +1 {shown} ") and got.endswith(".")
+
+
 def test_hard_rows(spark):
     texts = [(1, None), (2, ""), (3, "call +1 (017) 555-7713 " * 3000), (4, "x " * 100_000), (4, "x " * 100_000), (None, "1.2.3.4")]
     got = pii.pseudonymise(docs(spark, texts), KEY)
