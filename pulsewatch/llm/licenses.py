@@ -4,7 +4,9 @@ Known licences and license statements are brought to a canonical form (case,
 punctuation, copyright lines, equivalent spellings, white space) and digested;
 so is every whole text, every paragraph (run of lines without an empty one) and
 every line of the documents.  A hash join on the digests finds the texts that
-are a known licence whole.  The known table is a fixed list of a few dozen rows,
+are a known licence whole.  A text whose canonical form begins with a word that
+no known text begins with can't be equal to one, and that word is known from its
+first letters: such texts are told apart before the canonical form is made.  The known table is a fixed list of a few dozen rows,
 so it is broadcast whatever the size of the documents, and nothing else moves
 but the rows that match.
 
@@ -16,11 +18,16 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship
+
 # Spellings that licence texts use for the same word.
 EQUIVALENT = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing",
@@ -114,29 +121,57 @@ def known_texts() -> list[tuple[str, str]]:
     ]
 
 
-def canonical(text: Column) -> Column:
+_COPYRIGHT = re.compile(r"^[\W_]*?(?:copyright|\(c\)|©).*$", re.M)
+_JOINED = re.compile(r"(?<=\S)-\s*\n\s*(?=\S)|\bnon-(?=commercial)|\bsub-(?=licen)")
+_MARKS = re.compile(r"[\W_]+")
+_FIRST = re.compile(r"[^\W_]+")
+
+
+def canonical(text: str) -> str:
     """Lower case, no copyright lines, one spelling, single spaces between runs
-    of letters and digits; NULL if nothing is left."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$", " ")
-    t = F.regexp_replace(t, r"(?<=\S)-\s*\n\s*(?=\S)|\bnon-(?=commercial)|\bsub-(?=licen)", "")
-    t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
-    spelled = "|".join(sorted(EQUIVALENT, key=lambda w: (-len(w), w)))
-    pairs = F.create_map(*[F.lit(x) for kv in EQUIVALENT.items() for x in kv])
-    respelled = F.array_join(F.transform(F.split(t, " "), lambda w: F.coalesce(F.element_at(pairs, w), w)), " ")
-    t = F.when(t.rlike(rf"\b({spelled})\b"), respelled).otherwise(t)
-    return F.when(F.length(t) > 0, t)
+    of letters and digits."""
+    t = _JOINED.sub("", _COPYRIGHT.sub(" ", text.lower()))
+    return " ".join([EQUIVALENT.get(w, w) for w in _MARKS.sub(" ", t).split()])
+
+
+def digest(text: str) -> str | None:
+    c = canonical(text)
+    return hashlib.sha256(c.encode()).hexdigest() if c else None
+
+
+def beginnings(texts: Iterable[str]) -> frozenset[str]:
+    """Every first part of a spelling of a word that a text begins with."""
+    first = {c.split(" ")[0] for c in map(canonical, texts) if c}
+    first |= {w for w, same in EQUIVALENT.items() if same in first}
+    return frozenset(w[:n] for w in first for n in range(1, len(w) + 1))
+
+
+def may_be_known(text: str, begins: frozenset[str]) -> bool:
+    """False only if the canonical form begins like no known text."""
+    m = _FIRST.search(text)
+    if m and (m[0].lower() in ("copyright", "c") or "©" in text[:m.start()]):
+        m = _FIRST.search(_COPYRIGHT.sub(" ", text.lower()))  # what follows the copyright lines decides
+    return bool(m) and m[0].lower() in begins
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def units(text: str) -> Iterator[tuple[bool, str]]:
+    """(whether it is the entire text, text) of the text, its paragraphs and lines."""
+    yield True, text
+    lines = text.split("\n")
+    if len(lines) > 1:
+        yield from ((False, x) for x in lines)
+        paragraphs = re.split(r"\n[ \t\r]*\n\s*", text)
+        if len(paragraphs) > 1:
+            yield from ((False, x) for x in paragraphs)
 
 
-def known(spark: SparkSession, texts: Iterable[tuple[str, str]] | None = None) -> DataFrame:
+def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """(digest, licence) of the known list, one row a digest."""
-    rows = spark.createDataFrame(list(known_texts() if texts is None else texts), "licence string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence")).where(
-        "digest is not null")
+    rows = {}
+    for licence, text in sorted(texts, reverse=True):
+        if d := digest(text):
+            rows[d] = licence
+    return spark.createDataFrame(sorted(rows.items()), "digest string, licence string")
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -146,17 +181,25 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     ``texts``: (licence, text) pairs to know instead of the built-in list.
     """
-    t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    unit = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("x"))
-    lines, paragraphs = F.split(t, "\n"), F.split(t, r"\n[ \t\r]*\n\s*")
-    units = F.concat(
-        F.array(unit("text", t)),
-        F.when(F.size(paragraphs) > 1, F.transform(paragraphs, lambda x: unit("paragraph", x))).otherwise(F.array().cast(
-            "array<struct<kind:string,x:string>>")),
-        F.when(F.size(lines) > 1, F.transform(lines, lambda x: unit("line", x))).otherwise(F.array().cast(
-            "array<struct<kind:string,x:string>>")))
-    parts = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.explode(units).alias("u"))
-    found = parts.select("doc_id", "u.kind", digest(F.col("u.x")).alias("digest"))
+    ship(docs.sparkSession)
+    texts = list(known_texts() if texts is None else texts)
+    begins = beginnings([t for _, t in texts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pulsewatch.llm import licenses as L
+        for batch in batches:
+            ids, whole, digests = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for entire, x in L.units(t.as_py() or ""):
+                    if L.may_be_known(x, begins):
+                        ids.append(i)
+                        whole.append(entire)
+                        digests.append(L.digest(x))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(whole, pa.bool_()), pa.array(digests, pa.string())],
+                names=["doc_id", "whole", "digest"])
+
+    picked = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
+    found = picked.mapInArrow(run, "doc_id bigint, whole boolean, digest string")
     hits = found.join(F.broadcast(known(docs.sparkSession, texts)), "digest")
-    return hits.groupBy("doc_id", "licence").agg(
-        F.max(F.col("kind") == "text").alias("whole"), F.count(F.lit(1)).alias("n"))
+    return hits.groupBy("doc_id", "licence").agg(F.max("whole").alias("whole"), F.count(F.lit(1)).alias("n"))

@@ -48,6 +48,15 @@ def test_scan_matches_brute_force(spark):
     assert licenses.scan(empty_docs(spark)).count() == 0
 
 
+def test_texts_told_apart_early_are_not_known():
+    begins = licenses.beginnings([t for _, t in licenses.known_texts()])
+    for _, t in licenses.known_texts():
+        for x in (t, t.upper(), "(c) 2020 A\nCopyright B\n" + t, "© c\n\n ** " + t, "...\n" + t, t.replace("License", "Licence")):
+            assert licenses.may_be_known(x, begins) and licenses.digest(x) == licenses.digest(t), x
+    for x in ("", "...", "Thon the", "copyright only", "unlicensed", "(c) 2020"):
+        assert not licenses.may_be_known(x, begins)
+
+
 def test_own_list_of_texts(spark):
     got = licenses.scan(docs(spark, [(1, "Do What You Favour")]), texts=[("own", "do what you favor!"), ("none", "...")])
     assert list(map(tuple, got.collect())) == [(1, "own", True, 1)]
