@@ -694,8 +694,7 @@ SELECT o_orderkey, 2 AS n_headers, source,
 FROM p"""
 
 # Streams are flushed, so they hold every window and period.
-SQL["stream_outages"] = SQL["outage_periods"].replace(
-    "       (SELECT AVG(total) FROM v WHERE v.ts BETWEEN p.start_ts AND p.end_ts) AS avg_volume,\n", "")
+SQL["stream_outages"] = SQL["outage_periods"]
 
 SQL["stream_late"] = SQL["stream_minutes"]
 

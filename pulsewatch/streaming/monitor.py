@@ -224,24 +224,30 @@ def cooldown_stream(candidates: DataFrame, cooldown_seconds: int = 300) -> DataF
 def outage_sessions(stream: DataFrame, unit: str = "1 hour", unit_seconds: int = 3600,
                     zero_threshold: int = 5, max_gap: int = 2, delay: str = DELAY,
                     critical_units: int = 5, warning_units: int = 2) -> DataFrame:
-    """Near-zero periods on a stream: per-unit totals (window aggregate) ->
-    stamps with total <= threshold -> session windows with gap ``max_gap``
-    units over the window times.  A session is emitted once the watermark
-    passes it, so the last open period appears only after later data."""
+    """Near-zero periods on a stream, with their average volume: per-unit totals
+    (window aggregate) -> session windows over the window times.  A stamp with
+    total <= threshold keeps its session open for ``max_gap`` units, any other
+    for a second, so sessions are the periods with the stamps that they bridge (and
+    those just after, which the average leaves out).  A session holds one row per
+    unit of its length and is emitted once the watermark passes it."""
     good, _ = decode_batches(stream)
     totals = (good.withWatermark("ts", delay).groupBy(F.window("ts", unit))
               .agg(F.sum("cnt").alias("total")))
-    low = (totals.filter(F.col("total") <= zero_threshold)
-           .select(F.window_time("window").alias("wt"), F.col("window.start").alias("start"),
-                   F.lit("all").alias("series")))
-    gap = f"{max_gap * unit_seconds} seconds"
-    per = (low.groupBy("series", F.session_window("wt", gap))
-           .agg(F.min("start").alias("start_ts"), F.max("start").alias("end_ts"),
-                F.count(F.lit(1)).alias("outage_stamps")))
+    low = F.col("total") <= zero_threshold
+    rows = totals.select(F.window_time("window").alias("wt"), F.col("window.start").alias("start"), "total", low.alias("low"),
+                         F.lit("all").alias("series"))
+    gap = F.when(F.col("low"), f"{max_gap * unit_seconds + 1} seconds").otherwise("1 second")
+    start, end = F.min(F.when(F.col("low"), F.col("start"))), F.max(F.when(F.col("low"), F.col("start")))
+    per = (rows.groupBy("series", F.session_window("wt", gap))
+           .agg(start.alias("start_ts"), end.alias("end_ts"), F.sum(F.col("low").cast("bigint")).alias("outage_stamps"),
+                F.collect_list(F.struct("start", "total")).alias("held"))
+           .filter(F.col("start_ts").isNotNull()))
+    inside = F.filter("held", lambda h: (h["start"] >= F.col("start_ts")) & (h["start"] <= F.col("end_ts")))
+    volume = F.aggregate(inside, F.lit(0).cast("bigint"), lambda s, h: s + h["total"])
     dur = ((F.unix_seconds("end_ts") - F.unix_seconds("start_ts")) / F.lit(unit_seconds)).cast("bigint") + 1
     return per.select(F.col("start_ts").cast("timestamp_ntz").alias("start_ts"),
                       F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), dur.alias("duration"),
-                      "outage_stamps",
+                      "outage_stamps", (volume.cast("double") / F.size(inside)).alias("avg_volume"),
                       F.when(dur >= critical_units, "CRITICAL").when(dur >= warning_units, "WARNING")
                       .otherwise("INFO").alias("severity"))
 

@@ -134,3 +134,19 @@ def test_windowed_counts_drop_replayed_records(spark):
     joined = got.join(exp.select("ts", F.col("total").alias("t2")), "ts")
     assert joined.count() > 100
     assert joined.filter(F.col("total") != F.col("t2")).count() == 0
+
+
+def test_outage_sessions_bridge_like_the_batch_periods(spark):
+    from pulsewatch.operators import outages
+
+    b = _base()
+    totals = {0: 1, 1: 50, 2: 0, 3: 40, 4: 40, 5: 3, 9: 2, 10: 1, 11: 5, 12: 0, 13: 4, 14: 60}
+    rows = [(T0 + dt.timedelta(hours=h), "denied", n) for h, n in totals.items()]
+    tx = spark.createDataFrame(rows, "ts timestamp_ntz, status string, cnt bigint")
+    monitor.write_messages(tx, f"{b}/src", flush_seconds=5 * 3600)
+    src = monitor.read_messages(spark, f"{b}/src")
+    monitor.run_to_parquet(monitor.outage_sessions(src), f"{b}/out", f"{b}/ck").awaitTermination()
+    got = sorted(spark.read.parquet(f"{b}/out").collect(), key=lambda r: r.start_ts)
+    exp = outages.outage_periods(series.volume_per_stamp(tx), unit="HOUR").select(*spark.read.parquet(f"{b}/out").columns)
+    assert [tuple(r) for r in got] == [tuple(r) for r in sorted(exp.collect(), key=lambda r: r.start_ts)]
+    assert [(r.duration, r.severity) for r in got] == [(3, "WARNING"), (1, "INFO"), (5, "CRITICAL")]
