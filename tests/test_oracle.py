@@ -11,7 +11,8 @@ from tools.oracle_check import TABLES, rows
 from .conftest import SMOKE
 from .test_plans import plan_text
 
-KEYS = sorted(E.catalog.QUERIES)
+# Two more outputs of the stream that stream_alerts runs: see test_streaming.py and tools/oracle_check.py.
+KEYS = sorted(set(E.catalog.QUERIES) - {"stream_outbox", "stream_gauges"})
 
 
 @pytest.fixture(scope="module")
