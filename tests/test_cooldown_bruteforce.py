@@ -34,8 +34,8 @@ def test_random_sets_match_fold(spark):
 
 
 def test_long_chain_and_chunk_boundaries(spark):
-    # A dense run much longer than one chunk of the successor search.
-    times = list(range(0, 300 * 3000, 170))
+    # A dense run longer than one chunk (1024 cooldowns) of the successor search.
+    times = list(range(0, 300 * 1100, 170))
     cands = spark.createDataFrame([("denied", "WARNING", T0 + dt.timedelta(seconds=t)) for t in times],
                                   "status string, severity string, eval_ts timestamp_ntz")
     got = sorted(int((r.eval_ts - T0).total_seconds()) for r in alerts.cooldown_filter(cands, cooldown_seconds=300).collect())
