@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import saved, ship, written
 from .graph import components
 
 SEED = 42
@@ -59,8 +59,9 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp bigint) of every row."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3,
+                 also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp bigint) of every row, and the bigint columns ``also``."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,10 +69,13 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
         for batch in batches:
             fps = [of(t.as_py(), shingle) for t in batch.column(1)]
             signed = np.array(fps, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed), *batch.columns[2:]], names=names)
 
-    picked = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").cast("binary").alias("b"))
-    return picked.mapInArrow(run, "doc_id bigint, fp bigint")
+    also = also or {}
+    names = ["doc_id", "fp", *also]
+    picked = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").cast("binary").alias("b"),
+                         *[c.alias(n) for n, c in also.items()])
+    return picked.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def byte_groups(max_bits: int) -> list[tuple[int, ...]]:
@@ -181,27 +185,36 @@ def links(classes: DataFrame, max_bits: int = 3, tile: int = 2048) -> DataFrame:
     return cells.repartition(*cell).sortWithinPartitions(*cell, "t").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _members(fps: DataFrame, max_bits: int, tile: int) -> DataFrame:
+    """(_fp, low_doc, root) of every fingerprint of ``fps`` (doc_id, fp)."""
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("low_doc"))
+    roots = components(links(classes.select("fp"), max_bits, tile), "a", "b")
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select(
+        F.col("fp").alias("_fp"), "low_doc", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3,
                     max_bits: int = 3, tile: int = 2048) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) of every row."""
     fps = saved(fingerprints(docs, text, doc_id, shingle))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("low_doc"))
-    roots = components(links(classes.select("fp"), max_bits, tile), "a", "b")
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "low_doc", F.coalesce("root", "fp").alias("root"))
+    named = _members(fps, max_bits, tile)
     lowest = named.groupBy("root").agg(F.min("low_doc").alias("component_id"))
-    member = named.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id")
+    member = named.join(lowest, "root").select("_fp", "component_id")
     return fps.join(member, fps["fp"] == member["_fp"]).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3,
+             max_bits: int = 3, tile: int = 2048) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id, and
     of rows that repeat it the first by a hash of the text.  Rows without an id
     stay where their group has no other."""
-    found = near_duplicates(docs, text, doc_id, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept"), F.col("fp").alias("_of")).distinct()
-    one = F.row_number().over(Window.partitionBy("_kept", "_of").orderBy(F.xxhash64(docs[text])))
-    return (docs.join(kept, docs[doc_id].cast("bigint").eqNullSafe(F.col("_kept"))).withColumn("_one", one)
-            .where("_one = 1").select(*docs.columns))
+    # Rows are numbered and written: a row is known by its number whatever its
+    # id, and a number that is kept meets one row.
+    rows = written(docs.sparkSession, docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    fps = saved(fingerprints(rows, text, doc_id, shingle, {"h": F.xxhash64(rows[text]), "_row": rows["_row"]}))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "_row")
+    one = fps.groupBy("fp").agg(F.min(first).alias("one"))
+    found = one.join(_members(fps, max_bits, tile), F.col("fp") == F.col("_fp"))
+    kept = found.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one._row").alias("_kept"))
+    return rows.join(kept, rows["_row"] == kept["_kept"]).select(*docs.columns)

@@ -108,6 +108,18 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(kept) == sorted(groups)
 
 
+def test_rows_without_an_id_or_with_one_id_stay_by_their_group(spark):
+    r = random.Random(8)
+    t = [" ".join(str(r.random()) for _ in range(30)) for _ in range(7)]
+    texts = [(None, t[0]), (None, t[1]), (None, t[2]), (None, t[2]), (1, t[3]), (1, t[4]), (2, t[4]), (5, t[5]), (None, t[5]),
+             (6, t[6]), (6, t[6])]
+    kept = simhash.keep_one(docs(spark, texts))
+    assert kept.columns == docs(spark, texts).columns
+    want = [(None, t[0]), (None, t[1]), (None, t[2]), (1, t[3]), (1, t[4]), (5, t[5]), (6, t[6])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert simhash.keep_one(empty_docs(spark)).count() == 0
+
+
 def test_word_and_hash_contract():
     assert simhash.fingerprint(b"") == simhash.fingerprint(None) == 0
     assert simhash.fingerprint("A b".encode()) == xxhash.xxh64_intdigest(b"a b", 42)
