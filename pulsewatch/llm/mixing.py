@@ -3,17 +3,22 @@
 Every source gets a target number of words.  A source's rows lie in blocks by a
 keyed hash (``block_rows`` rows on average), so a block is a random part of its
 source and a source of any size spreads over many blocks.  A target is whole
-passes over the source plus a rest, which is a prefix of its blocks; in the last
-one rows are taken in hash order while they fit.
+passes over the source plus a rest.  For the rest the rows are walked by block
+and hash, and each that still fits is taken, until the rest is full or no row
+left is small enough.  The walk is made of stretches: in each, the rows up to what
+was missing at its start are taken whole up to the block that crosses it, and in
+that block one by one.  What is missing after a stretch is less than a row that
+was passed over, so there are few stretches.
 
 The drawn blocks go to output shards by a splitting tree: each node divides the
 block quotas of its shards between two halves by one multivariate hypergeometric
 draw, seeded by the node, so every leaf can be computed alone, from the root.
 A leaf holds, per source, a run of positions of the source's permuted blocks;
-runs of different shards are disjoint and cover every drawn block once.  Within
-a shard rows are shuffled by a keyed hash.
+runs of different shards are disjoint and cover every drawn block once.  Rows
+taken where less than a block was missing lie thin over many blocks; they ride
+with the drawn blocks in turn.  Within a shard rows are shuffled by a keyed hash.
 
-What the driver holds is one row of figures per source.
+What the driver holds is one row of figures and the stretches per source.
 
 Defined results: a NULL or empty text has size 0 and is never short of its
 target; a NULL source is a source that comes last; repeated rows are rows each,
@@ -24,7 +29,7 @@ those that the operator adds replace columns of the same name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import ceil, gcd
 
 import numpy as np
@@ -51,13 +56,18 @@ class Source:
     passes: int = 0
     rest: int = 0
     drawn: int = 0  # blocks of the pass that isn't whole
-    last: int = -1  # the one of them that is drawn in part
-    last_words: int = 0  # what is left for it
+    #: Stretches of the rest: (last block, most words of a row, left for the last block).
+    walk: list[tuple[int, int, int]] = field(default_factory=list)
 
     @property
     def draws(self) -> int:
         return self.passes * self.blocks + self.drawn
 
+    @property
+    def end(self) -> int:
+        """Last block of the walk."""
+        return min(self.walk[-1][0], self.blocks - 1) if self.walk else -1
+
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
     """Share of all words by weight; a source stops at ``most`` times its size
@@ -122,35 +132,84 @@ def _sources(rows: DataFrame, source: str, weights: list[float], share: float, m
 
 def _figures(rows: DataFrame, found: list[Source], source: str) -> DataFrame:
     """Rows with the figures of their source: _s, _blocks and the like."""
-    schema = (f"_name string, _s bigint, _blocks bigint, _passes bigint, _rest bigint, _last bigint, _last_words bigint, "
-              "source_size bigint, target double")
+    schema = ("_name string, _s bigint, _blocks bigint, _passes bigint, source_size bigint, target double, "
+              "_walk array<struct<hi: bigint, most: bigint, left: bigint>>")
     table = rows.sparkSession.createDataFrame(
-        [(s.name, s.number, s.blocks, s.passes, s.rest, s.last, s.last_words, s.size, s.target) for s in found], schema)
+        [(s.name, s.number, s.blocks, s.passes, s.size, s.target, s.walk) for s in found], schema)
     if len(found) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     return rows.join(table, rows[source].cast("string").eqNullSafe(F.col("_name"))).drop("_name")
 
 
-def _draw_rest(rows: DataFrame, found: list[Source], source: str) -> None:
-    """How many blocks of each source make up its rest, by two-level running sums."""
-    by = _figures(rows.select(source, "size", "_mix"), [s for s in found if s.rest], source).withColumn("_b", _block())
-    blocks = saved(by.groupBy("_s", "_rest", "_b").agg(F.sum("size").alias("w")).withColumn("_super", F.expr("_b div 1024")))
+def _fitting(size: np.ndarray, mix: np.ndarray, left: int) -> np.ndarray:
+    """Which rows are taken, one by one by hash, each that still fits."""
+    fits = np.zeros(len(size), dtype=bool)
+    for i in np.lexsort((size, mix)).tolist():
+        if size[i] <= left:
+            fits[i], left = True, left - size[i]
+    return fits
+
+
+def _stretch(by: DataFrame, missing: dict[int, tuple[int, int]]) -> dict[int, tuple[int | None, int, int]]:
+    """The next stretch of each source: (block that crosses what is missing or
+    none, left for it, left after it), by two-level running sums.  ``missing``:
+    (block walked last, words missing).  Sources without a fitting row are absent."""
+    state = by.sparkSession.createDataFrame([(s, *x) for s, x in missing.items()], "s1 bigint, _after bigint, _left bigint")
+    if len(missing) <= BROADCAST_SOURCES:
+        state = F.broadcast(state)
+    rest = by.join(state, F.col("_s") == F.col("s1")).where("_b > _after and size > 0 and size <= _left")
+    blocks = saved(rest.groupBy("_s", "_left", "_b").agg(F.sum("size").alias("w")).withColumn("_super", F.expr("_b div 1024")))
     before = Window.partitionBy("_s").orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
     supers = blocks.groupBy("_s", "_super").agg(F.sum("w").alias("w")).select(
         F.col("_s").alias("s2"), F.col("_super").alias("super2"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("before"))
     inner = Window.partitionBy("_s", "_super").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     at = (blocks.join(supers, (F.col("_s") == F.col("s2")) & (F.col("_super") == F.col("super2")))
-          .withColumn("until", F.col("before") + F.coalesce(F.sum("w").over(inner), F.lit(0))).where("until < _rest"))
-    last = at.groupBy("_s").agg(F.max_by(F.struct("_b", "until", "w", "_rest"), "_b").alias("x"))
-    for r in last.toLocalIterator():  # one row a source
-        s, x = found[r["_s"]], r["x"]
-        s.drawn = x["_b"] + 1
-        if x["until"] + x["w"] > x["_rest"]:
-            s.last, s.last_words = x["_b"], x["_rest"] - x["until"]
+          .withColumn("until", F.col("before") + F.coalesce(F.sum("w").over(inner), F.lit(0))))
+    first = at.groupBy("_s", "_left").agg(
+        F.min(F.when(F.col("until") + F.col("w") >= F.col("_left"), F.struct("_b", "until"))).alias("x"), F.sum("w").alias("w"))
+    found, crossed = {}, []
+    for r in first.toLocalIterator():  # one row a source
+        if r["x"] is None:
+            found[r["_s"]] = (None, 0, r["_left"] - r["w"])
+        else:
+            crossed.append((r["_s"], r["x"]["_b"], r["_left"] - r["x"]["until"]))
+    if not crossed:
+        return found
+    table = by.sparkSession.createDataFrame(crossed, "s1 bigint, b1 bigint, _left bigint")
+    if len(crossed) <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
+
+    def fill(t: pa.Table) -> pa.Table:
+        from pulsewatch.llm import mixing as M
+        size, left = t["size"].to_numpy(), t["_left"][0].as_py()
+        after = left - int(size[M._fitting(size, t["_mix"].to_numpy(), left)].sum())
+        return pa.table({"_s": t["_s"][:1], "_b": t["_b"][:1], "left": [left], "after": [after]})
+
+    inside = by.join(table, (F.col("_s") == F.col("s1")) & (F.col("_b") == F.col("b1"))).select("_s", "_b", "size", "_mix", "_left")
+    for r in inside.groupBy("_s").applyInArrow(fill, "_s bigint, _b bigint, left bigint, after bigint").toLocalIterator():
+        found[r["_s"]] = (r["_b"], r["left"], r["after"])
+    return found
+
+
+def _draw_rest(rows: DataFrame, found: list[Source], source: str) -> None:
+    """The stretches that make up the rest of each source, and its drawn blocks:
+    those up to the last stretch that began with at least a block missing."""
+    by = saved(_figures(rows.select(source, "size", "_mix"), [s for s in found if s.rest], source).select(
+        "_s", _block().alias("_b"), "size", "_mix"))
+    missing = {s.number: (-1, s.rest) for s in found if s.rest}
+    while missing:
+        met = _stretch(by, missing)
+        for number, (b, left, after) in met.items():
+            s, most = found[number], missing[number][1]
+            s.walk.append((s.blocks if b is None else b, most, left))
+            if len(s.walk) == 1 or most * s.blocks >= s.size:
+                s.drawn = s.end + 1
+        missing = {n: (b, after) for n, (b, _, after) in met.items() if b is not None and after}
 
 
 def _shards_of_blocks(rows: DataFrame, found: list[Source], shards: int, seed: int) -> DataFrame:
-    """(_s, _b, draws array<struct<epoch, shard>>) of every drawn block."""
+    """(_s, _b, draws array<struct<epoch, shard>>) of every drawn block and of
+    those whose rows ride with it."""
     quotas = np.array([s.draws for s in found], dtype=np.int64)
     live = np.flatnonzero(quotas)
     # Positions are visited in steps coprime with their number: a permutation.
@@ -160,7 +219,8 @@ def _shards_of_blocks(rows: DataFrame, found: list[Source], shards: int, seed: i
         while gcd(a, n) != 1:
             a += 1
         step.append(a)
-    steps, of_pass = np.array(step, dtype=np.int64), np.array([found[i].blocks for i in live], dtype=np.int64)
+    steps, of_pass, passes, drawn_blocks, ends = (np.array(x, dtype=np.int64).reshape(-1) for x in (
+        step, *zip(*[(s.blocks, s.passes, max(1, s.drawn), s.end) for s in (found[i] for i in live)]))) if step else (quotas,) * 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pulsewatch.llm import mixing as M
@@ -170,12 +230,15 @@ def _shards_of_blocks(rows: DataFrame, found: list[Source], shards: int, seed: i
                 which = np.repeat(np.arange(len(live)), n)
                 position = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[which]
                 drawn = position * steps[which] % quotas[live][which]
+                b, epoch = drawn % of_pass[which], drawn // of_pass[which]
+                to = np.where(epoch == passes[which], np.maximum(b, ends[which]), b)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(live[which]), pa.array(drawn % of_pass[which]), pa.array(drawn // of_pass[which]),
-                     pa.array(np.full(len(which), shard))], names=["_s", "_b", "epoch", "shard"])
+                    [pa.array(live[which]), pa.array(b), pa.array(to), pa.array(drawn_blocks[which]), pa.array(epoch),
+                     pa.array(np.full(len(which), shard))], names=["_s", "_b", "_to", "_by", "epoch", "shard"])
 
     spark = rows.sparkSession
-    leaves = spark.range(shards).mapInArrow(run, "_s bigint, _b bigint, epoch bigint, shard bigint")
+    leaves = spark.range(shards).mapInArrow(run, "_s bigint, _b bigint, _to bigint, _by bigint, epoch bigint, shard bigint")
+    leaves = leaves.select("_s", F.explode(F.expr("sequence(_b, _to, _by)")).alias("_b"), "epoch", "shard")
     return leaves.groupBy("_s", "_b").agg(F.collect_list(F.struct("epoch", "shard")).alias("draws"))
 
 
@@ -200,18 +263,19 @@ def mix(rows: DataFrame, source: str = "source", weights: tuple[float, ...] = (3
     numbered = _figures(rows, found, source).withColumn("_at", _block()).withColumnRenamed("_s", "_number")
     marked = numbered.join(blocks, (F.col("_number") == F.col("_s")) & (F.col("_at") == F.col("_b")), "left").drop("_s", "_b")
     marked = marked.withColumn("draws", F.coalesce("draws", F.array().cast(dict(blocks.dtypes)["draws"])))
-    whole = marked.where("_at != _last").withColumn("_fits", F.lit(True))
+    stretch = F.expr("filter(_walk, x -> x.hi >= _at)")  # the first of them is the block's own
+    marked = marked.withColumn("_in", F.get(stretch, F.lit(0))).withColumns(
+        {"_last": F.coalesce(F.col("_in.hi") == F.col("_at"), F.lit(False)), "_left": F.col("_in.left"),
+         "_most": F.col("_in.most")}).drop("_in", "_walk")
+    whole = marked.where("not _last").withColumn("_fits", F.coalesce(F.col("size") <= F.col("_most"), F.lit(False)))
     columns = marked.columns
 
     def fit(t: pa.Table) -> pa.Table:
-        size, order = t["size"].to_numpy(), np.lexsort((t["size"].to_numpy(), t["_mix"].to_numpy()))
-        left, fits = t["_last_words"][0].as_py(), np.zeros(len(t), dtype=bool)
-        for i in order.tolist():
-            if size[i] <= left:
-                fits[i], left = True, left - size[i]
+        from pulsewatch.llm import mixing as M
+        fits = M._fitting(t["size"].to_numpy(), t["_mix"].to_numpy(), t["_left"][0].as_py())
         return t.select(columns).append_column("_fits", pa.array(fits))
 
-    part = marked.where("_at = _last").groupBy("_number").applyInArrow(fit, whole.schema)
+    part = marked.where("_last").groupBy("_number", "_at").applyInArrow(fit, whole.schema)
     out = whole.unionByName(part).withColumn("draws", F.expr("if(_fits, draws, filter(draws, x -> x.epoch != _passes))"))
     out = out.withColumn("taken", (F.size("draws") * F.col("size")).cast("bigint"))
     return out.select(*rows.columns, "source_size", "target", "taken", "draws")

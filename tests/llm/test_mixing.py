@@ -79,6 +79,40 @@ def test_takings_come_near_targets(spark, block_rows, shard_words):
         (r.doc_id, r.taken, sorted(r.draws)) for r in rows)
 
 
+def brute_rest(rows, rest, blocks):
+    """Rows walked by block and hash, each taken that still fits."""
+    taken, left = Counter(), rest
+    for r in sorted(rows, key=lambda r: (((r["_mix"] % 2**64) >> 11) * 2.0**-53 * blocks // 1, r["_mix"], r["size"])):
+        if left and r["size"] <= left:
+            taken[r.doc_id], left = 1, left - r["size"]
+    return taken
+
+
+@pytest.mark.parametrize("giant", [900, 5000, 12_000])
+def test_a_very_long_document_leaves_no_source_short(spark, giant):
+    """One document of a source is longer than many of its blocks, or than its rest."""
+    n, per = 1500, 500
+    size = [giant if i % per == 7 else 3 + i * 7 % 40 for i in range(n)]
+    texts, sources = [(i, "w " * s) for i, s in enumerate(size)], [f"s{i // per}" for i in range(n)]
+    rows = {r.doc_id: r for r in mixing.with_sizes(docs(spark, texts, sources)).collect()}
+    out = mixed(spark, texts, sources, block_rows=4, shard_words=3000).collect()
+    assert sorted(r.doc_id for r in out) == list(range(n))
+    for s in set(sources):
+        mine = [r for r in out if r.source == s]
+        total, target = mine[0].source_size, mine[0].target
+        passes = int(target // total)
+        want = brute_rest([rows[r.doc_id] for r in mine], round(target - passes * total), -(-per // 4))
+        assert {r.doc_id: len(r.draws) - passes for r in mine} == {r.doc_id: want[r.doc_id] for r in mine}
+        unused = min((r["size"] for r in mine if len(r.draws) == passes), default=1)
+        assert target - unused < sum(r.taken for r in mine) <= target + 0.5, s
+        assert all(len({d.epoch for d in r.draws}) == len(r.draws) for r in mine)
+    by = Counter()
+    for r in out:
+        for d in r.draws:
+            by[d.shard] += r["size"] if r["size"] < giant else 0
+    assert len(by) == max(by) + 1 and max(by.values()) < 3 * sum(by.values()) / len(by)
+
+
 def test_drawn_rows_are_as_many_as_the_draws(spark):
     texts = hard_texts()
     out = mixed(spark, texts, [f"s{i % 3}" for i in range(len(texts))], block_rows=4, shard_words=300)
