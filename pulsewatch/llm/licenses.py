@@ -4,9 +4,10 @@ Known licences and license statements are brought to a canonical form (case,
 punctuation, copyright lines, equivalent spellings, white space) and digested;
 so is every whole text, every paragraph (run of lines without an empty one) and
 every line of the documents.  A hash join on the digests finds the texts that
-are a known licence whole.  A text whose canonical form begins with a word that
+are a known licence whole.  Short licences and file headers are listed as texts, long
+licences as digests of their usual forms.  A text whose canonical form begins with a word that
 no known text begins with can't be equal to one, and that word is known from its
-first letters: such texts are told apart before the canonical form is made.  The known table is a fixed list of a few dozen rows,
+first letters: such texts are told apart before the canonical form is made.  The known table is a fixed list of a few hundred rows,
 so it is broadcast whatever the size of the documents, and nothing else moves
 but the rows that match.
 
@@ -82,6 +83,59 @@ _BSD_AS_IS = (
     "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
 
 
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+    "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author "
+    "or authors of this software dedicate any and all copyright interest in the software to the public domain. We make "
+    "this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+    "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+    "software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+    "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE.")
+_APACHE_HEAD = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+    "with the License. You may obtain a copy of the License at")
+_APACHE_URL = " http://www.apache.org/licenses/LICENSE-2.0"
+_APACHE_AS_IS = (
+    " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+    "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for "
+    "the specific language governing permissions and limitations under the License.")
+_MPL_HEAD = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+    "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.")
+
+
+def headers() -> list[tuple[str, str]]:
+    """(licence id, text) of the usual file headers: whole, and the paragraph
+    that names the licence."""
+    out = [("Apache-2.0", _APACHE_HEAD + x) for x in ("", _APACHE_URL, _APACHE_URL + _APACHE_AS_IS)]
+    out += [("MPL-2.0", _MPL_HEAD), ("MPL-2.0", _MPL_HEAD.replace("http://", "http://www."))]
+    for licence, name, version in (("GPL-2.0", "GNU General Public License", 2), ("GPL-3.0", "GNU General Public License", 3),
+                                   ("LGPL-3.0", "GNU Lesser General Public License", 3),
+                                   ("AGPL-3.0", "GNU Affero General Public License", 3)):
+        by = " as published by the Free Software Foundation"
+        for what in ("program", "library", "software", "file"):
+            for terms in (f"{by}; either version {version} of the License, or (at your option) any later version.",
+                          f"{by}, either version {version} of the License, or any later version.",
+                          f"{by}; version {version} of the License.", f"{by}, version {version}.",
+                          f" version {version}{by}.", f", version {version},{by}."):
+                first = (f"This {what} is free software; you can redistribute it and/or modify it under the terms of the "
+                         f"{name}{terms}")
+                second = (f" This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+                          f"even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} "
+                          "for more details.")
+                third = f" You should have received a copy of the {name} along with this {what}"
+                post = "; if not, write to the Free Software Foundation, Inc., "
+                ends = ("", ". If not, see <https://www.gnu.org/licenses/>.", "; if not, see <https://www.gnu.org/licenses/>.",
+                        f"{post}51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+                        f"{post}59 Temple Place, Suite 330, Boston, MA 02111-1307 USA")
+                out += [(licence, first), (licence, first + second), *((licence, first + second + third + e) for e in ends)]
+    return out
+
+
 def statements() -> list[tuple[str, str]]:
     """(licence id, sentence) of the usual one-line statements."""
     names = {
@@ -117,10 +171,46 @@ def known_texts() -> list[tuple[str, str]]:
         ("ISC", _ISC.format(keep=", provided that the above copyright notice and this permission notice appear in all copies")),
         ("0BSD", _ISC.format(keep="")),
         ("BSD-2-Clause", _BSD_HEAD + _BSD_AS_IS), ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_AS_IS),
-        *statements(),
+        ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + " For more information, please refer to <https://unlicense.org/>"),
+        ("Unlicense", _UNLICENSE + " For more information, please refer to <http://unlicense.org>"),
+        *statements(), *headers(),
     ]
 
 
+# (licence id, first word, digest) of the forms() of long licences, made from the
+# files of Debian's /usr/share/common-licenses.
+DIGESTS = (
+    ("Apache-2.0", "apache", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Apache-2.0", "apache", "1d2490e65bade4b7cde700178105759a1eeb6ed401841c01b9ff35e40e55c5ad"),
+    ("Apache-2.0", "apache", "e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca"),
+    ("Apache-2.0", "apache", "594673f8fe0542761280c31fa6f0d1eca9f491e533af6c2c1fef40b1c4229b47"),
+    ("Apache-2.0", "apache", "36229a9956938571a99113d590fb0e618aa4a86f7ddbf0874bba96f83a26a8a5"),
+    ("Apache-2.0", "apache", "e80c728dad9283541363fd9f60e4c0527fadc838f92f45f514c14da7f0a481ad"),
+    ("GPL-2.0", "gnu", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-2.0", "gnu", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017"),
+    ("GPL-2.0", "gnu", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
+    ("GPL-2.0", "gnu", "b7f81dc9aaaa645304fde476859dc46db4e23b83ec1c50bd8462652ff46110c9"),
+    ("GPL-2.0", "gnu", "c928252f428993b646c70c671425ec87aab1bc5abf42e7a179685a96469bd918"),
+    ("GPL-2.0", "gnu", "19329ee16e4a9fb2e74ce40708e49f5c315b4f0ac4653c556ca42027ba79f9f5"),
+    ("GPL-3.0", "gnu", "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"),
+    ("GPL-3.0", "gnu", "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee"),
+    ("GPL-3.0", "gnu", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975"),
+    ("GPL-3.0", "gnu", "1aa302d1c51bbd44fb8e420c3e50c67ac439d124cb536c551aba9ffd330b6b7c"),
+    ("GPL-3.0", "gnu", "f4ef841ad817ef1f3aa483ee10cda8ce0398c1afa483f6ed9a3594bfd0ee9957"),
+    ("GPL-3.0", "gnu", "45c34eadc75c338cdb10211ee6f4d0ba1b99b4cbcb9721b0f7640ed84ece56e0"),
+    ("LGPL-3.0", "gnu", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("LGPL-3.0", "gnu", "1fdae0f4baa65e02972a2582f7faa32be3d5745ce89af111d72038a846b4daf7"),
+    ("LGPL-3.0", "gnu", "11a7eabf884f5575b70a6cff6628e05126a0a629a3b4fb202a995d21f65452b8"),
+    ("LGPL-3.0", "gnu", "e7cce711588b9c58321bb2fe0fe9e3dc7d914c04eea82fc58e4b8f2834c47f8a"),
+    ("MPL-2.0", "mozilla", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("MPL-2.0", "mozilla", "6c03c950a0e42983bd33cc0408b2ade216964d45345c9a9e88e15a163509fc0f"),
+    ("MPL-2.0", "mozilla", "958f21dc8dffc8ff8e2cd52fee0a8a694d6cbc45344ba2aa6e9802e632a8fc03"),
+    ("MPL-2.0", "mozilla", "a11b27981d78130ab3f14c870f52d4a72cfca4c91846b373aee7266074ddb9a2"),
+    ("CC0-1.0", "creative", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("CC0-1.0", "creative", "1651920f0c900f846b9305ee6da641be0057c3edded63157353e0d2d60a2cfa9"),
+)
+
+
 _COPYRIGHT = re.compile(r"^[\W_]*?(?:copyright|\(c\)|©).*$", re.M)
 _JOINED = re.compile(r"(?<=\S)-\s*\n\s*(?=\S)|\bnon-(?=commercial)|\bsub-(?=licen)")
 _MARKS = re.compile(r"[\W_]+")
@@ -139,6 +229,14 @@ def digest(text: str) -> str | None:
     return hashlib.sha256(c.encode()).hexdigest() if c else None
 
 
+def forms(text: str) -> list[str]:
+    """Usual forms of a long licence: with and without what follows its terms,
+    its paragraphs wrapped as they are or each in one line."""
+    out = [text, re.split(r"\n[ \t]*END OF TERMS AND CONDITIONS", text)[0]]
+    out.append(out[1] + "\nEND OF TERMS AND CONDITIONS\n")
+    return out + ["\n\n".join(" ".join(x.split()) for x in re.split(r"\n[ \t\r]*\n\s*", t)) for t in out]
+
+
 def beginnings(texts: Iterable[str]) -> frozenset[str]:
     """Every first part of a spelling of a word that a text begins with."""
     first = {c.split(" ")[0] for c in map(canonical, texts) if c}
@@ -165,9 +263,9 @@ def units(text: str) -> Iterator[tuple[bool, str]]:
             yield from ((False, x) for x in paragraphs)
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+def known(spark: SparkSession, texts: list[tuple[str, str]], digests: Iterable[tuple[str, str, str]] = ()) -> DataFrame:
     """(digest, licence) of the known list, one row a digest."""
-    rows = {}
+    rows = {d: licence for licence, _, d in digests}
     for licence, text in sorted(texts, reverse=True):
         if d := digest(text):
             rows[d] = licence
@@ -182,8 +280,9 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``texts``: (licence, text) pairs to know instead of the built-in list.
     """
     ship(docs.sparkSession)
+    digests = DIGESTS if texts is None else ()
     texts = list(known_texts() if texts is None else texts)
-    begins = beginnings([t for _, t in texts])
+    begins = beginnings([*(t for _, t in texts), *(first for _, first, _ in digests)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pulsewatch.llm import licenses as L
@@ -201,5 +300,5 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     picked = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     found = picked.mapInArrow(run, "doc_id bigint, whole boolean, digest string")
-    hits = found.join(F.broadcast(known(docs.sparkSession, texts)), "digest")
+    hits = found.join(F.broadcast(known(docs.sparkSession, texts, digests)), "digest")
     return hits.groupBy("doc_id", "licence").agg(F.max("whole").alias("whole"), F.count(F.lit(1)).alias("n"))

@@ -1,13 +1,18 @@
 """Operators 4 and 9."""
 
 import hashlib
+import os
 import re
 import unicodedata
 
+import pytest
+
 from pulsewatch.llm import html, licenses
 
 from .helpers import docs, empty_docs
 
+COMMON = "/usr/share/common-licenses"
+
 
 def brute_canonical(text):
     t = (text or "").lower()
@@ -48,6 +53,41 @@ def test_scan_matches_brute_force(spark):
     assert licenses.scan(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence files here")
+def test_long_licences_are_known_whole(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0",
+             "CC0-1.0": "CC0-1.0"}
+    texts, want = [], {}
+    for file, licence in names.items():
+        with open(f"{COMMON}/{file}") as f:
+            t = f.read()
+        for x in (t, "Copyright 2020 A\n\n" + t.upper(), *licenses.forms(t)):
+            want[len(texts)] = licence
+            texts.append((len(texts), x))
+    got = {r.doc_id: r.licence for r in licenses.scan(docs(spark, texts)).where("whole").collect()}
+    assert got == want
+
+
+def test_file_headers_are_known(spark):
+    gpl = ("/* f.c\n\n   This program is free software: you can redistribute it and/or modify\n   it under the terms of the GNU "
+           "General Public License as published by\n   the Free Software Foundation, either version 3 of the License, or\n"
+           "   (at your option) any later version.\n\n   This program is distributed */\n")
+    apache = ("# Copyright 2020 A\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this "
+              "file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n"
+              "#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, "
+              "software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS "
+              "OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n"
+              "# limitations under the License.\n\nimport os\n")
+    mpl = ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was "
+           "not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n\nint x;\n")
+    agpl = gpl.replace("General", "Affero General")
+    free = dict(t for t in licenses.known_texts() if t[0] == "Unlicense" and len(t[1]) > 500)["Unlicense"]
+    texts = list(enumerate([gpl, apache, mpl, agpl, free]))
+    got = {r.doc_id: r.licence for r in licenses.scan(docs(spark, texts)).collect()}
+    assert got == {0: "GPL-3.0", 1: "Apache-2.0", 2: "MPL-2.0", 3: "AGPL-3.0", 4: "Unlicense"}
+    assert sorted(map(tuple, licenses.scan(docs(spark, texts)).collect())) == brute_scan(texts)
+
+
 def test_texts_told_apart_early_are_not_known():
     begins = licenses.beginnings([t for _, t in licenses.known_texts()])
     for _, t in licenses.known_texts():
