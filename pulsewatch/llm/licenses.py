@@ -247,7 +247,7 @@ def beginnings(texts: Iterable[str]) -> frozenset[str]:
 def may_be_known(text: str, begins: frozenset[str]) -> bool:
     """False only if the canonical form begins like no known text."""
     m = _FIRST.search(text)
-    if m and (m[0].lower() in ("copyright", "c") or "©" in text[:m.start()]):
+    if m and ((w := m[0].lower()).startswith("copyright") or w == "c" or "©" in text[:m.start()]):
         m = _FIRST.search(_COPYRIGHT.sub(" ", text.lower()))  # what follows the copyright lines decides
     return bool(m) and m[0].lower() in begins
 

@@ -97,6 +97,20 @@ def test_texts_told_apart_early_are_not_known():
         assert not licenses.may_be_known(x, begins)
 
 
+def test_no_known_text_is_told_apart_below_any_copyright_line():
+    begins = licenses.beginnings([t for _, t in licenses.known_texts()])
+    known = {licenses.digest(t) for _, t in licenses.known_texts()}
+    marks = ["Copyright 2020 Acme", "Copyrights 2020 Acme", "Copyrighted by Acme", "COPYRIGHT2020", "copyrightholder: a", "(C)2020 A",
+             "( c ) A", "©2020", "C 2020", "Copy right A", "The copyright A", "_copyright_ A", "copyrıght A", "...", "é (c)"]
+    bodies = [t for _, t in licenses.known_texts()[:12]] + ["prose", ""]
+    for a in marks:
+        for b in ("", *marks):
+            for before in ("", " * ", "\n\n# ", "/*"):
+                for body in bodies:
+                    x = f"{before}{a}\n{before}{b}\n{body}"
+                    assert licenses.may_be_known(x, begins) or licenses.digest(x) not in known, x
+
+
 def test_own_list_of_texts(spark):
     got = licenses.scan(docs(spark, [(1, "Do What You Favour")]), texts=[("own", "do what you favor!"), ("none", "...")])
     assert list(map(tuple, got.collect())) == [(1, "own", True, 1)]
