@@ -10,14 +10,16 @@ itself alone.
   card   13-19 digits, alone or grouped: all but the last digit are permuted, and
          the last keeps its distance to the Luhn digit, so valid numbers map to
          valid and others (accounts) to others
-  iban   with a valid remainder of 97: digits permuted, check digits recomputed
+  iban   of the length of its country, or else of any, with a valid remainder of
+         97: digits permuted, check digits recomputed
   ssn    valid area, group and serial: permuted within the valid ones
   ip     four numbers up to 255: permuted within 2^32
   phone  10-15 digits with a plus sign or separators: the last ten permuted
   date   valid dates of 1900-01-01 to 2100-04-30, permuted within that range
   email  local part and domain by keyed digest
-  secret value after token, key, password and the like, or 32-64 hex digits:
-         keyed digest of the same length
+  secret value of any length after password and the like, of 16 characters or
+         more after token, secret or key, or 32-64 hex digits: keyed digest of the
+         same length, also where it looks like another kind but isn't valid
 
 Numbers keep their separators, dates their order and padding.  Spelling (case of
 an address or secret, separators of a number) doesn't break the link.
@@ -37,7 +39,17 @@ ROUNDS = 8
 _ALNUM = r"\p{L}\p{N}"
 _EDGE, _STOP = rf"(?<![{_ALNUM}])", rf"(?![{_ALNUM}])"
 EMAIL = rf"(?<![{_ALNUM}._%+-])[{_ALNUM}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{{2,}}"
-IBAN = rf"{_EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_STOP}"
+# Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+# A number ends where its country says; others may run on into a word.
+_OF_COUNTRY = "|".join(
+    rf"(?:{names.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, names in IBAN_LENGTHS.items())
+IBAN = rf"{_EDGE}(?:{_OF_COUNTRY}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?){_STOP}"
 SSN = rf"(?<![{_ALNUM}-])\d{{3}}-\d{{2}}-\d{{4}}(?![{_ALNUM}]|-\d)"
 DATE = rf"(?<![{_ALNUM}.-])(?:\d{{4}}([-/.])\d{{1,2}}\1\d{{1,2}}|\d{{1,2}}([-/.])\d{{1,2}}\2\d{{4}})(?![{_ALNUM}]|[.-]\d)"
 IP = rf"(?<![{_ALNUM}.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![{_ALNUM}]|\.\d)"
@@ -45,8 +57,13 @@ IP = rf"(?<![{_ALNUM}.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![{_ALNUM}]|\.\d)"
 PHONE = (rf"(?<![{_ALNUM}+])(?:(?:\+\d{{1,3}}[ .-]?)?\(\d{{3}}\)[ .-]?\d{{3}}[ .-]?\d{{4}}|\d{{3}}([ .-])\d{{3}}\3\d{{4}}|"
          rf"\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?\d{{2,4}}){{2,4}}){_STOP}")
 CARD = rf"{_EDGE}(?:\d{{13,19}}|\d{{4}}([ -])\d{{4}}\4\d{{4}}\4\d{{1,7}}|\d{{4}}([ -])\d{{6}}\5\d{{5}}){_STOP}"
-SECRET = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})"
-          r"(?<=(?i:token|secret|key|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_=-]++"
+# What stands before a secret; a password may be short, or quoted with spaces.
+_PASSWORD = r"(?:password|passphrase|passwd|pwd)"
+NAMED = rf"(?i:token|secret|key|{_PASSWORD})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
+_AFTER = rf"(?i:{_PASSWORD})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}"
+SECRET = (rf"(?<={_AFTER}\")[^\"\r\n]++(?=\")|(?<={_AFTER}')[^'\r\n]++(?=')"
+          rf"|(?<={_AFTER}[\"']?)[^\s\"'<>]*[^\s\"'<>.,;:)\]}}]"
+          rf"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{{16}})(?<={NAMED})[A-Za-z0-9+/_=-]++"
           rf"|{_EDGE}[0-9A-Fa-f]{{32,64}}{_STOP}")
 # Groups \1 to \5 are numbered through the union, in this order.
 ANY = "|".join([EMAIL, DATE, IP, SSN, PHONE, CARD, IBAN, SECRET])
@@ -201,6 +218,16 @@ def remainder97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
+    """Of the whole match, or else of the longest run of its groups that is valid:
+    what follows was a word."""
+    words = F.split(m, " ")
+    runs = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    new = F.filter(F.transform(runs, lambda x: F.concat(_whole_iban(x, key), F.substring(m, F.length(x) + 1, F.length(m)))),
+                   lambda x: x.isNotNull())
+    return F.get(new, F.lit(0))
+
+
+def _whole_iban(m: Column, key: str) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     bban, country = F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 2)
     valid = F.length(plain).between(15, 34) & (remainder97(F.concat(bban, country, F.substring(plain, 3, 2))) == 1)
@@ -236,8 +263,9 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(m == F.upper(m), F.upper(same)).otherwise(same)
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """struct(kind, out) of a matched value; out is NULL where it isn't valid."""
+def pseudonym(m: Column, key: str, named: Column) -> Column:
+    """struct(kind, out) of a matched value; out is NULL where it isn't valid.
+    ``named``: whether the name of a secret stands before it."""
     kind = F.lit("secret")
     for name, pattern in reversed(_KINDS):
         kind = F.when(m.rlike(pattern), F.lit(name)).otherwise(kind)
@@ -249,7 +277,11 @@ def pseudonym(m: Column, key: str) -> Column:
             out = F.when(k == name, f(m, key)).otherwise(out)
         return F.struct(k.alias("kind"), out.alias("out"))
 
-    return _let(kind, of)
+    def else_secret(x: Column) -> Column:
+        secret = x["out"].isNull() & (named | m.rlike("^[0-9A-Fa-f]{32,64}$"))
+        return F.when(secret, F.struct(F.lit("secret").alias("kind"), _secret(m, key).alias("out"))).otherwise(x)
+
+    return _let(_let(kind, of), else_secret)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -261,11 +293,17 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     # A value holds a digit or an address sign; other texts are left as they are.
     found = F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none)
     seen = base.withColumn("_found", found)
-    values = F.transform("_found", lambda m: _let(pseudonym(m, key), lambda p: F.struct(
-        F.when(p["out"].isNotNull(), p["kind"]).alias("kind"), F.coalesce(p["out"], m).alias("out"))))
-    seen = seen.withColumn("_values", values)
-    pieces = F.split(t, ANY, -1)
-    shown = F.array_join(F.flatten(F.zip_with(pieces, F.col("_values"), lambda p, v: F.array(
+    seen = seen.withColumn("_pieces", F.when(F.size("_found") > 0, F.split(t, ANY, -1)).otherwise(none))
+
+    def value(m: Column, before: Column) -> Column:
+        named = F.right(before, F.lit(40)).rlike(f"{NAMED}$")
+        return _let(pseudonym(m, key, named), lambda p: F.struct(
+            F.when(p["out"].isNotNull(), p["kind"]).alias("kind"), F.coalesce(p["out"], m).alias("out")))
+
+    # Each value with the piece before it; one more piece follows the last.
+    before = F.slice("_pieces", F.lit(1), F.size("_found"))
+    seen = seen.withColumn("_values", F.zip_with("_found", before, value))
+    shown = F.array_join(F.flatten(F.zip_with(F.col("_pieces"), F.col("_values"), lambda p, v: F.array(
         F.coalesce(p, F.lit("")), F.coalesce(v["out"], F.lit(""))))), "")
     kinds = F.filter(F.transform("_values", lambda v: v["kind"]), lambda k: k.isNotNull())
     out = seen.withColumn(text, F.when(F.size("_found") > 0, shown).otherwise(t))

@@ -85,6 +85,27 @@ def test_ibans_stay_valid(spark):
     assert [i for i, c in enumerate(out[0]) if c == " "] == [4, 9, 14, 19, 24]
 
 
+def test_ibans_before_a_word(spark):
+    numbers = ["BE68 5390 0754 7034", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "LU28 0019 4006 4475 0000",
+               "NO93 8601 1117 947", "DE89370400440532013000", "SE45 5000 0000 0583 9825 7466", "ZZ80 5390 0754 7034"]
+    alone = one(spark, *numbers)
+    assert all(a != n and a[:2] == n[:2] for a, n in zip(alone, numbers))
+    for word in ("EUR 50", "BIC: GENODEF1", "IBAN", "BANK CODE 12", "A 1"):
+        assert one(spark, *[f"to {n} {word}" for n in numbers]) == [f"to {a} {word}" for a in alone]
+
+
+def test_passwords_of_any_length(spark):
+    given = ["password: hunter2", "my PASSWD=x1.", 'pwd = "two words" then', "passphrase: p!#$%^&*", "{'password': 'abc', 'a': 1}",
+             "password: AB12CDEF", "password: 300.1.1.1", "key = AB12CDEF34567890GH", "AB12CDEF34567890AB12CDEF34567890 x"]
+    secret = ["hunter2", "x1", "two words", "p!#$%^&*", "abc", "AB12CDEF", "300.1.1.1", "AB12CDEF34567890GH",
+              "AB12CDEF34567890AB12CDEF34567890"]
+    for g, x, o in zip(given, secret, one(spark, *given)):
+        mac = hashlib.sha256("|".join((KEY, "secret", x.lower())).encode()).hexdigest()[:len(x)]
+        assert o == g.replace(x, mac.upper() if x == x.upper() else mac), g
+    assert one(spark, "password:\nUser name", "key: value", "no password here") == [
+        "password:\nUser name", "key: value", "no password here"]
+
+
 def test_what_is_not_valid_stays(spark):
     given = ["300.1.1.1", "2023-02-30", "000-12-3456", "DE89370400440532013001", "version 2.0. of 1.2", "a@b", "12 345 678",
              "Licensed under CC BY-NC 4.0.", "", "plain: text = yes"]
