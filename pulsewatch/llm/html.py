@@ -4,7 +4,10 @@ A page is cut into blocks at block-level tags.  Pass one decides each block
 from what it holds and where it stands: blocks in page furniture (menus,
 headers, footers, asides, forms, adverts, notices, comments: by tag, role, or
 words of class and id) and blocks dense in links are out; long blocks dense in
-stop words are in, shorter ones probably; short blocks stay ambiguous.  Pass two
+stop words are in, shorter ones probably; short blocks stay ambiguous.  Words of
+class and id don't count on an element that holds the article, or on a page
+without one most of the text.  Where a page's stop words are of none of the
+languages known here, the length of a block decides.  Pass two
 gives ambiguous blocks the label of their nearest decided neighbours in the
 same region.  Regions are the article (or main) element and the rest; where a
 page has an article, its stop-word thresholds are waived and the rest is out.
@@ -19,7 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,10 +61,11 @@ FURNITURE = frozenset(
     "reply respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
 FURNITURE_OUTSIDE = frozenset("alert bar copyright header legal links masthead meta search skip tags top".split())
 
-_RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|head|canvas|audio|video"
+_RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video"
 _MARKUP = re.compile(
     rf"""<!--.*?(?:-->|\Z)
     |<(?P<raw>{_RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)
+    |<title\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</title\s*>|(?=</head\b|<body\b)|\Z)
     |<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attr>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |</?[a-z][^<>]*(?:>|\Z)
     |<[!?][^>]*(?:>|\Z)""", re.S | re.I | re.X)
@@ -85,38 +89,70 @@ class Block:
 
 
 @dataclass
-class _Open:
-    """Elements that are open, with what they mean for the blocks inside."""
+class _Element:
+    """An element that is, or may be, furniture, or an article."""
 
-    names: list[str] = field(default_factory=list)
-    furniture: list[bool] = field(default_factory=list)
-    regions: list[str] = field(default_factory=list)
+    above: int
+    tag: str
+    sure: bool  # furniture by tag, role or style
+    named: bool  # by words of class or id
+    depth: int  # elements above that are furniture by such words
+    chars: int = 0
 
 
-def _furniture(tag: str, attr: str, in_article: bool) -> bool:
+def _furniture(tag: str, attr: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, by tag, role or style, and by words of
+    class or id."""
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True
+        return True, False
     if not attr or tag in ("html", "body", "main"):
-        return False
+        return False, False
+    named = False
     for name, value in _ATTR.findall(attr):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             parts = {p.lower() for p in _PART.findall(value)}
-            if parts & FURNITURE or (not in_article and tag != "article" and parts & FURNITURE_OUTSIDE):
-                return True
+            named |= bool(parts & FURNITURE or (not in_article and tag != "article" and parts & FURNITURE_OUTSIDE))
         elif name == "role" and value.lower() in FURNITURE_ROLES:
-            return True
+            return True, named
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, named
         elif (name == "hidden" and attr) or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-    return False
+            return True, named
+    return False, named
+
+
+def _out(found: list[Block], held: list[int], elements: list[_Element]) -> None:
+    """Which blocks are furniture: ``held`` has the innermost element of each."""
+    for b, k in zip(found, held):
+        elements[k].chars += len(b.text)
+    for e in elements[:0:-1]:
+        if not e.sure:
+            elements[e.above].chars += e.chars
+    sure, exempt, out = [False], set(), [False]
+    for e in elements[1:]:
+        sure.append(e.sure or sure[e.above])
+    mains = []
+    for tag in ("article", "main"):  # the one least inside such furniture, then with most text
+        mains = mains or [k for k, e in enumerate(elements) if e.tag == tag and e.chars and not sure[k]]
+    if mains:
+        k = min(mains, key=lambda k: (elements[k].depth, -elements[k].chars))
+        while k:
+            exempt.add(k)
+            k = elements[k].above
+    else:
+        exempt = {k for k, e in enumerate(elements) if 2 * e.chars > elements[0].chars}
+    for k, e in enumerate(elements[1:], 1):
+        out.append(out[e.above] or e.sure or (e.named and k not in exempt))
+    for b, k in zip(found, held):
+        b.furniture = out[k]
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     names: list[str] = []
-    state: list[tuple[bool, str]] = [(False, "page")]
+    elements, held = [_Element(0, "", False, False, 0)], []
+    state: list[tuple[int, str]] = [(0, "page")]  # innermost of the elements, region
     parts: list[str] = []
     links = anchors = breaks = 0
 
@@ -125,7 +161,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, *state[-1]))
+                out.append(Block(text, links, False, state[-1][1]))
+                held.append(state[-1][0])
         parts, links = [], 0
 
     at = 0
@@ -170,7 +207,12 @@ def blocks(page: str) -> list[Block]:
                     names.pop()
                     state.pop()
                 inside, region = state[-1]
-            bad = inside or _furniture(tag, m["attr"], region == "article")
+            bad, above = inside, elements[inside]
+            if not above.sure:
+                sure, named = _furniture(tag, m["attr"], region == "article")
+                if sure or named or tag in ("article", "main"):
+                    bad = len(elements)
+                    elements.append(_Element(inside, tag, sure, named, above.depth + above.named))
             if tag == "article" or (tag == "main" and region == "page"):
                 region = tag
             if tag == "a":
@@ -184,19 +226,36 @@ def blocks(page: str) -> list[Block]:
     if at < len(page):
         parts.append(page[at:])
     close()
+    _out(out, held, elements)
     return out
 
 
-def decide(b: Block) -> str:
+def _stops(text: str) -> tuple[int, int]:
+    w = _WORD.findall(text.lower())
+    return sum(x in STOP_WORDS for x in w), len(w)
+
+
+def language_known(found: list[Block]) -> bool:
+    """Whether the longer blocks hold the stop words of a language known here."""
+    counts = [_stops(b.text) for b in found
+              if not b.furniture and len(b.text) >= SHORT and b.link_chars <= LINKS_MOST * len(b.text)]
+    return sum(s for s, _ in counts) >= STOPS_LOW * sum(n for _, n in counts)
+
+
+def decide(b: Block, known: bool = True) -> str:
     """Pass one."""
-    if b.furniture or b.link_chars > LINKS_MOST * len(b.text) or "©" in b.text:
+    if b.furniture or b.link_chars > LINKS_MOST * len(b.text):
+        return BAD
+    if "©" in b.text and b.region != "article" and len(b.text) < LONG:
         return BAD
     if b.region != "page":
         return AMBIGUOUS if len(b.text) < SHORT else GOOD
     if len(b.text) < SHORT:
         return BAD if b.link_chars else AMBIGUOUS
-    w = _WORD.findall(b.text.lower())
-    density = sum(x in STOP_WORDS for x in w) / max(1, len(w))
+    if not known:
+        return GOOD if len(b.text) > LONG else NEAR
+    stops, words = _stops(b.text)
+    density = stops / max(1, words)
     if density >= STOPS_HIGH:
         return GOOD if len(b.text) > LONG else NEAR
     return NEAR if density >= STOPS_LOW else BAD
@@ -235,8 +294,9 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     for region in ("article", "main", "page"):
         part = [b for b in found if b.region == region]
+        known = region != "page" or language_known(part)
         for b in part:
-            b.label = decide(b)
+            b.label = decide(b, known)
         settle(part)
         kept = [b.text for b in part if b.label == GOOD]
         if kept:

@@ -140,6 +140,42 @@ def test_page_without_article_goes_by_block_rules():
     assert html.main_text(page) == "\n\n".join(["Title", p, "Short one.", p])
 
 
+def test_names_of_what_holds_the_article_do_not_count():
+    p = PROSE.strip()
+    inside = f"<article class='post category-social comments-open'><h1>Title</h1><p>{PROSE}</p><div class=share>x</div></article>"
+    after = f"<div id=comments><article class=comment><p>{PROSE * 9}</p></article></div>"
+    want = f"Title\n\n{p}"
+    assert html.main_text(inside) == html.main_text(inside + after) == want
+    assert html.main_text(f"<div id=page class='site has-sidebar'>{inside}{after}<div class=sidebar>{PROSE}</div></div>") == want
+    assert html.main_text(f"<div class=has-sidebar><div><p>{PROSE}</p></div><div class=ad>{PROSE}</div></div>") == p
+    assert html.main_text(f"<div class=has-sidebar><main><p>{PROSE}</p></main></div><div class=comments>{PROSE * 3}</div>") == p
+    assert html.main_text(f"<div style='display:none'>{inside}</div>") == html.main_text(f"<form>{inside}</form>") == ""
+
+
+def test_head_without_an_end():
+    p = PROSE.strip()
+    for head in ("<head><title>T</title><meta charset=utf-8><script>x()</script>", "<head><title>T", "<head><link rel=x><style>p{}</style>",
+                 "<title>T</title>", "<head><title>T</title></head>"):
+        assert html.main_text(f"<!DOCTYPE html><html>{head}<body><article><p>{PROSE}</p></article>") == p, head
+    assert html.main_text(f"<html><head><title>T</title><article><p>{PROSE}</p></article>") == p
+
+
+def test_copyright_sign_in_long_or_article_blocks():
+    p = PROSE.strip()
+    assert html.main_text(f"<article><p>{PROSE} Photo © A.</p><p>{PROSE}</p></article>") == f"{p} Photo © A.\n\n{p}"
+    assert html.main_text(f"<p>{PROSE * 2}© A</p><p>{PROSE * 2}</p><p>© 2020 Somebody and all that they have made here for us</p>"
+                          ) == f"{p} {p} © A\n\n{p} {p}"
+
+
+def test_language_without_known_stop_words():
+    polish = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są obdarzeni rozumem i sumieniem "
+              "i powinni postępować wobec innych w duchu braterstwa, niezależnie od jakichkolwiek różnic między nimi samymi.")
+    page = f"<ul><li><a href=/x>Jeden</a></li></ul><h1>Tytuł</h1><p>{polish}</p><p>Krótko.</p><p>{polish}</p><p><a href=y>{polish}</a></p>"
+    assert html.main_text(page) == f"Tytuł\n\n{polish}\n\nKrótko.\n\n{polish}"
+    listed = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi omikron pi rho sigma tau"
+    assert html.main_text(f"<p>{PROSE * 2}</p><p>{PROSE * 2}</p><p>{listed}</p>").count("Alpha") == 0
+
+
 def test_broken_pages():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p></p>") == ""
     assert html.main_text("<article><p>Cut off in a ta<b cla") == "Cut off in a ta"
