@@ -45,7 +45,7 @@ IDENTITY_GROUPS = (
 )
 _SWAP = {w: g[(i + 1) % len(g)] for g in IDENTITY_GROUPS for i, w in enumerate(g)}
 _SENTENCE = re.compile(r"[.!?\n]+")
-_PLAIN = {c: " " for c in range(0x250) if not chr(c).isalpha()}
+_LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 
 
@@ -53,8 +53,11 @@ def words(text: str | None) -> set[str]:
     """Distinct lower-case words: runs of letters."""
     chunks = set((text or "").lower().split())
     plain = set(filter(str.isalpha, chunks))
-    plain.update(" ".join(chunks - plain).translate(_PLAIN).split())
-    return plain
+    runs = set(_LETTERS.findall(" ".join(chunks - plain)))
+    letters = set(filter(str.isalpha, runs))
+    for run in runs - letters:  # the pattern takes signs such as ² and ½ for letters
+        letters.update("".join(c if c.isalpha() else " " for c in run).split())
+    return plain | letters
 
 
 def features(found: set[str]) -> set[str]:
@@ -189,7 +192,8 @@ def fit_words(rows: list[tuple[str, str | None, int]], min_docs: int = 3, screen
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
         max_rows: int = 6000, max_words: int = 2_000, prior: float = 0.01, **options) -> Model:
-    """Fit on the first ``max_rows`` labelled rows by a hash of the id.
+    """Fit on the first ``max_rows`` labelled ids by a hash of the id, one row of
+    each: that of the first text by its hash.
 
     ``max_words``: the training rows (not the scored ones) are texts of at most so
     many distinct words, which bounds what the driver holds.
@@ -213,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                 names=["w", "twin", "y"])
 
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = (picked.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_text", "_y")
+    one = F.min_by(F.struct("_text", "_y"), F.xxhash64("_text")).alias("x")
+    rows = (picked.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_id").agg(one).select("x._text", "x._y")
             .mapInArrow(prepared, "w string, twin string, y int").toLocalIterator())
     data = sorted((r.w, r.twin or "", r.twin is None, r.y) for r in rows)
     return fit_words([(w, None if alone else t, y) for w, t, alone, y in data],

@@ -81,3 +81,21 @@ def test_fit_score_and_reject_on_frames(spark):
         [i for i, s in got.items() if s < 0.5] + ([3] if got[3] < 0.5 else []))
     none = toxicity.fit(empty_docs(spark), labels.limit(0))
     assert toxicity.score(empty_docs(spark), none).count() == 0 and none.score("x") == pytest.approx(0.01)
+
+
+def test_words_end_at_every_sign():
+    given = "“Bad”—worse… ‘it’s’ （full）、wide！ naïve² ½cup x_y a1b ‚low‘ 𝒳 straße\u00adend"
+    want = {"bad", "worse", "it", "s", "full", "wide", "naïve", "cup", "x", "y", "a", "b", "low", "𝒳", "straße", "end"}
+    assert toxicity.words(given) == want
+    model = toxicity.fit_words([("bad", None, 1)] * 20 + [("good", None, 0)] * 20)
+    assert model.score("“bad”—") == model.score("bad")
+
+
+def test_one_row_of_a_labelled_id_is_fetched(spark, monkeypatch):
+    texts = [(1, f"word{'abcdefghij'[i % 10]}") for i in range(200)] + [(1, None), (2, "fine"), (3, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    fetched = []
+    monkeypatch.setattr(toxicity, "fit_words", lambda rows, **options: fetched.append(rows))
+    for given in (texts, texts[::-1]):
+        toxicity.fit(docs(spark, given), labels, max_rows=3)
+    assert len(fetched[0]) == 3 and fetched[0] == fetched[1]
