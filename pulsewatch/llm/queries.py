@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, licenses, lines, mixing, packing, pii, simhash, topk, toxicity, vectors
+from . import (
+    centroids, html, licenses, lines, mixing, packing, pii, quality, resample, simhash, topk, toxicity, vectors,
+)
 from .common import crc32_mod, saved, table
 from .oracle import SQL  # noqa: F401
 
@@ -76,6 +78,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_mixing": op2_mixing,
@@ -87,4 +101,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
+    "op11_quality": op11_quality,
+    "op12_centroids": op12_centroids,
+    "op13_resample": op13_resample,
 }
