@@ -421,7 +421,8 @@ def q_alert_outbox(spark, sf):
 from ..operators import metrics  # noqa: E402
 from ..session import scratch_path  # noqa: E402
 from ..sources import messages  # noqa: E402
-from ..streaming import monitor  # noqa: E402
+from ..operators import tracing  # noqa: E402
+from ..streaming import late, monitor, progress, state  # noqa: E402
 
 
 @register("batch_messages")
@@ -483,26 +484,104 @@ def q_parse_headers(spark, sf):
                     tp.alias("t")).select("o_orderkey", "n_headers", "source", "t.*")
 
 
+def _half(tx: DataFrame):
+    """Two micro-batches: the number of the half of the series that a row is in."""
+    lo, hi = tx.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()
+    return F.when(F.unix_seconds(F.col("ts").cast("timestamp")) > F.lit(((lo or 0) + (hi or 0)) // 2), 1).otherwise(0)
+
+
 @register("stream_outages")
 def q_stream_outages(spark, sf):
+    """Near-zero periods in two micro-batches; the latest row of each."""
     base = scratch_path(spark, "stream-outages")
-    monitor.write_messages(A.transactions(spark, sf, unit="MINUTE"), f"{base}/src", flush_seconds=5 * 3600)
-    src = monitor.read_messages(spark, f"{base}/src")
-    monitor.run_to_parquet(monitor.outage_sessions(src), f"{base}/out", f"{base}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    tx = A.transactions(spark, sf, unit="MINUTE").checkpoint()
+    run = lambda: monitor.run_to_parquet(state.outage_events(
+        messages.decode_batches(monitor.read_messages(spark, f"{base}/src"))[0]), f"{base}/out", f"{base}/ckpt")
+    monitor.replay(tx, f"{base}/src", _half(tx), run, flush_seconds=5 * 3600)
+    return state.current_periods(spark.read.parquet(f"{base}/out")).drop("state")
+
+
+def _keyed_stream(spark, path: str, tx: DataFrame, run) -> None:
+    """Two micro-batches of (shop, ts, status, cnt) rows, and a heartbeat in a shop of its own."""
+    half = tx.withColumn("part", _half(tx)).withColumn("ts", F.col("ts").cast("timestamp")).checkpoint()
+    for k in (0, 1):
+        half.filter(F.col("part") == k).drop("part").write.mode("append").parquet(path)
+        if k:
+            half.agg((F.max("ts") + F.expr("INTERVAL 5 HOURS")).alias("ts")).where("ts IS NOT NULL").select(
+                F.lit(-1).cast("bigint").alias("shop"), "ts", F.lit("heartbeat").alias("status"),
+                F.lit(0).cast("bigint").alias("cnt")).write.mode("append").parquet(path)
+        run(spark.readStream.schema("shop bigint, ts timestamp, status string, cnt bigint").parquet(path)).awaitTermination()
+
+
+@register("stream_outages_keyed")
+def q_stream_outages_keyed(spark, sf):
+    """Near-zero periods of each shop on a stream."""
+    base = scratch_path(spark, "stream-outages-keyed")
+    _keyed_stream(spark, f"{base}/src", A.shop_transactions(spark, sf, unit="MINUTE"), lambda src: monitor.run_to_parquet(
+        state.outage_events(src, keys=["shop"]), f"{base}/out", f"{base}/ckpt"))
+    return state.current_periods(spark.read.parquet(f"{base}/out"), ["shop"]).where("shop >= 0").drop("state")
 
 
 @register("stream_baseline")
 def q_stream_baseline(spark, sf):
     base = scratch_path(spark, "stream-baseline")
-    # Late enough for the window that ends with the last hour, too early for the next.
-    monitor.write_messages(A.transactions(spark, sf), f"{base}/src", flush_seconds=3600 + 180)
-    src = monitor.read_messages(spark, f"{base}/src")
-    monitor.run_to_parquet(monitor.hopping_baseline(src), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    tx = A.transactions(spark, sf).checkpoint()
+    run = lambda: monitor.run_to_parquet(state.rolling_baseline(
+        messages.decode_batches(monitor.read_messages(spark, f"{base}/src"))[0]), f"{base}/out", f"{base}/ckpt")
+    # Late enough for the last hour's window, too early for the heartbeat's.
+    monitor.replay(tx, f"{base}/src", _half(tx), run, flush_seconds=3600 + 180)
     out = spark.read.parquet(f"{base}/out")
     return r9(out, [c for c in out.columns if c.endswith("_mean") or c.endswith("_std")])
 
 
+@register("stream_baseline_keyed")
+def q_stream_baseline_keyed(spark, sf):
+    """The rolling baseline of each shop on a stream."""
+    base = scratch_path(spark, "stream-baseline-keyed")
+    _keyed_stream(spark, f"{base}/src", A.shop_transactions(spark, sf, unit="MINUTE"), lambda src: monitor.run_to_parquet(
+        state.rolling_baseline(src, keys=["shop"]), f"{base}/out", f"{base}/ckpt"))
+    out = spark.read.parquet(f"{base}/out").where("shop >= 0")
+    return r9(out, [c for c in out.columns if c.endswith("_mean") or c.endswith("_std")])
+
+
+TRACE_SECONDS = 400 * 86400
+
+
+@register("trace_links")
+def q_trace_links(spark, sf):
+    """Consumed records linked to what produced them, and orphans of both sides."""
+    p = tracing.with_trace(A.produced_records(spark, sf))
+    c = tracing.with_trace(A.consumed_records(spark, sf), prefix="producer_")
+    return tracing.link_traces(p, c, TRACE_SECONDS)
+
+
+@register("trace_summary")
+def q_trace_summary(spark, sf):
+    """Records per kind of link, with the latency histogram in days."""
+    days = [float(d * 86400) for d in (1, 7, 30, 90, 180, 365)]
+    return tracing.link_summary(q_trace_links(spark, sf), days)
+
+
+@register("stream_traces")
+def q_stream_traces(spark, sf):
+    """The same links from two streams in two micro-batches each."""
+    base = scratch_path(spark, "stream-traces")
+    sides = {"p": A.produced_records(spark, sf), "c": A.consumed_records(spark, sf)}
+    cut = F.lit("1998-06-01").cast("timestamp")
+    for k in (0, 1):
+        for name, rows in sides.items():
+            rows.where((F.col("ts") >= cut) == F.lit(bool(k))).withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(f"{base}/{name}")
+            if k:  # a heartbeat past every time bound, with the id of no order
+                rows.agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 900 DAYS")).alias("ts")).where("ts IS NOT NULL").select(
+                    *[F.lit(-1).cast("bigint").alias(n) for n in rows.columns if n == "consumer_id"], "ts",
+                    A.traceparent_header(F.lit(2_000_000_000 if name == "p" else 3_000_000_000).cast("bigint"), F.lit("01")).alias("headers")
+                ).write.mode("append").parquet(f"{base}/{name}")
+        src = {n: spark.readStream.schema(spark.read.parquet(f"{base}/{n}").schema).parquet(f"{base}/{n}") for n in sides}
+        links = tracing.link_stream(tracing.with_trace(src["p"]), tracing.with_trace(src["c"], prefix="producer_"), TRACE_SECONDS)
+        monitor.run_to_parquet(links, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @register("rolling_keyed_supplier")
 def q_rolling_keyed_supplier(spark, sf):
     r = rolling.rolling_zscore(_series(A.supplier_weekly(spark, sf)), "cnt", keys=["s_nationkey"],
@@ -542,9 +621,8 @@ def _alert_stream(spark, sf) -> str:
     part = F.lit(0)
     for k, t in enumerate(ends[:-1]):
         part = F.when(F.col("ts") > F.lit(t), k + 1).otherwise(part)
-    monitor.write_messages(tx, f"{base}/src", part=part)
-    monitor.alert_check(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", params=STREAM_PARAMS, unit="HOUR",
-                        cooldown_seconds=STREAM_COOLDOWN, max_files=1).awaitTermination()
+    monitor.replay(tx, f"{base}/src", part, lambda: monitor.alert_check(
+        spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", params=STREAM_PARAMS, unit="HOUR", cooldown_seconds=STREAM_COOLDOWN))
     return f"{base}/out"
 
 
@@ -557,38 +635,93 @@ def q_stream_alerts(spark, sf):
 @register("stream_outbox")
 def q_stream_outbox(spark, sf):
     """What the periodic checks sent: critical alerts past their cooldown."""
-    return spark.read.parquet(f"{_alert_stream(spark, sf)}/outbox").select("status", "alert_ts", "payload")
+    return monitor.read_output(spark, _alert_stream(spark, sf), "outbox").select("status", "alert_ts", "payload")
 
 
 @register("stream_gauges")
 def q_stream_gauges(spark, sf):
     """Score gauges per status and overall, per check."""
-    return spark.read.parquet(f"{_alert_stream(spark, sf)}/gauges").select("eval_ts", "status", "score")
+    return monitor.read_output(spark, _alert_stream(spark, sf), "gauges").select("eval_ts", "status", "score")
 
 
 @register("stream_cooldown")
 def q_stream_cooldown(spark, sf):
-    """The keyed cooldown state over a stream of alert candidates."""
+    """The keyed cooldown state over a stream of alert candidates that come in three
+    micro-batches out of order: a third of them a batch late, within the delay."""
     base = scratch_path(spark, "stream-cooldown")
     bt = policy.policy_backtest(A.transactions(spark, sf), PolicyParams(), unit="HOUR")
     cands = alerts.alert_candidates(bt).select("status", "severity", F.col("eval_ts").cast("timestamp").alias("alert_ts"), "z_score")
-    cands.write.parquet(f"{base}/src")
-    monitor.run_to_parquet(monitor.cooldown_stream(spark.readStream.schema(cands.schema).parquet(f"{base}/src"), COOLDOWN),
-                           f"{base}/out", f"{base}/ckpt").awaitTermination()
+    rows = cands.withColumn("ts", F.col("alert_ts").cast("timestamp_ntz")).checkpoint()
+    lag = (F.pmod(F.xxhash64("status", "severity", "alert_ts"), F.lit(3)) == 0).cast("int")
+    rows = rows.withColumn("part", _half(rows) + lag).drop("ts").checkpoint()
+    for k in (0, 1, 2):
+        rows.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{base}/src")
+        if k == 2:
+            rows.agg((F.max("alert_ts") + F.expr("INTERVAL 800 DAYS")).alias("alert_ts")).where("alert_ts IS NOT NULL").select(
+                F.lit("heartbeat").alias("status"), F.lit("NORMAL").alias("severity"), "alert_ts",
+                F.lit(0.0).alias("z_score")).write.mode("append").parquet(f"{base}/src")
+        src = spark.readStream.schema(cands.schema).parquet(f"{base}/src")
+        monitor.run_to_parquet(state.cooldown_stream(src, COOLDOWN, delay="400 days"), f"{base}/out", f"{base}/ckpt").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("status", "severity", F.col("alert_ts").cast("timestamp_ntz").alias("alert_ts"),
                                                     "z_score")
 
 
+ALLOWED_SECONDS = 3 * 86400
+
+
+@register("stream_corrections")
+def q_stream_corrections(spark, sf):
+    """Windowed counts with records behind the watermark: every fifth minute of the first
+    half comes with the second.  Up to three days late it corrects its closed window;
+    beyond that it is put aside and counted, not added."""
+    base = scratch_path(spark, "stream-corrections")
+    tx = A.transactions(spark, sf, unit="MINUTE").checkpoint()
+    held = F.unix_seconds(F.col("ts").cast("timestamp")) % 300 == 0
+    monitor.replay(tx, f"{base}/src", F.when(held, 1).otherwise(_half(tx)), lambda: late.late_counts(
+        spark, monitor.read_messages(spark, f"{base}/src"), f"{base}/out", f"{base}/ckpt", allowed_seconds=ALLOWED_SECONDS),
+        flush_seconds=2 * 3600)
+    out = late.current_windows(spark, f"{base}/out")
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    dropped = late.late_records(spark, f"{base}/out", "dropped").groupBy(hour.alias("ts")).agg(F.count(F.lit(1)).alias("dropped"))
+    return out.join(dropped, "ts", "full_outer").withColumn("dropped", F.coalesce("dropped", F.lit(0)))
+
+
+@register("stream_metrics")
+def q_stream_metrics(spark, sf):
+    """Counters of the running ingest, as observed batch by batch, and the micro-batches
+    that its duration histograms hold."""
+    base = scratch_path(spark, "stream-metrics")
+    tx = A.transactions(spark, sf, unit="MINUTE").checkpoint()
+    listener = progress.ProgressTable(spark, f"{base}/progress")
+    spark.streams.addListener(listener)
+
+    def run():
+        good, _ = messages.decode_batches(monitor.read_messages(spark, f"{base}/src"))
+        q = monitor.run_to_parquet(progress.observed(good), f"{base}/out", f"{base}/ckpt")
+        listener.wait(q)
+        return q
+
+    try:
+        monitor.replay(tx, f"{base}/src", _half(tx), run)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = progress.read_progress(spark, f"{base}/progress")
+    counters = progress.running_counters(rows).select("metric", "total")
+    filled = progress.running_durations(rows).where("le = '+Inf'").select(
+        F.concat("operation", F.lit("_batches")).alias("metric"), F.col("bucket_count").alias("total"))
+    return counters.unionByName(filled)
+
+
 @register("stream_late")
 def q_stream_late(spark, sf):
     """Windowed counts with late and repeated messages: every fifth stamp is sent
     again, after all others and within the delay; nothing is counted twice."""
     base = scratch_path(spark, "stream-late")
     tx = A.transactions(spark, sf, unit="MINUTE").checkpoint()
-    late = F.unix_seconds(F.col("ts").cast("timestamp")) % 300 == 0
-    monitor.write_messages(tx.filter(~late), f"{base}/src")
-    again = messages.encode_batches(tx.filter(late)).select("message")
-    again.unionByName(again).write.mode("append").text(f"{base}/src")
+    again = F.unix_seconds(F.col("ts").cast("timestamp")) % 300 == 0
+    monitor.write_messages(tx.filter(~again), f"{base}/src")
+    twice = messages.encode_batches(tx.filter(again)).select("message")
+    twice.unionByName(twice).write.mode("append").text(f"{base}/src")
     beat = tx.agg((F.max("ts") + F.expr("INTERVAL 800 DAYS")).alias("ts")).select(
         "ts", F.lit("heartbeat").alias("status"), F.lit(0).cast("bigint").alias("cnt"))
     messages.encode_batches(beat).select("message").write.mode("append").text(f"{base}/src")

@@ -705,6 +705,73 @@ SELECT g.t AS ts, COUNT(*) AS n_history, """ + ", ".join(
 FROM g JOIN u ON u.ts BETWEEN g.t - INTERVAL 60 HOUR AND g.t
 GROUP BY g.t"""
 
+_SHOP_TX = f"""tx AS (SELECT user_id % 4 AS shop, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, {STATUS_CASE} AS status,
+          COUNT(*) AS cnt FROM events GROUP BY 1, 2, 3)"""
+
+SQL["stream_outages_keyed"] = with_(_SHOP_TX, """v AS (SELECT shop, ts, CAST(SUM(cnt) AS BIGINT) AS total FROM tx GROUP BY shop, ts),
+o AS (SELECT shop, ts FROM v WHERE total <= 5),
+g AS (SELECT shop, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 2 HOUR THEN 1 ELSE 0 END AS st
+      FROM o WINDOW w AS (PARTITION BY shop ORDER BY ts)),
+i AS (SELECT shop, ts, SUM(st) OVER (PARTITION BY shop ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pid FROM g),
+p AS (SELECT shop, pid, MIN(ts) AS start_ts, MAX(ts) AS end_ts, COUNT(*) AS outage_stamps FROM i GROUP BY shop, pid)""") + """
+SELECT shop, start_ts, end_ts, CAST(date_diff('hour', start_ts, end_ts) + 1 AS BIGINT) AS duration, outage_stamps,
+       (SELECT AVG(total) FROM v WHERE v.shop = p.shop AND v.ts BETWEEN p.start_ts AND p.end_ts) AS avg_volume,
+       CASE WHEN date_diff('hour', start_ts, end_ts) + 1 >= 5 THEN 'CRITICAL'
+            WHEN date_diff('hour', start_ts, end_ts) + 1 >= 2 THEN 'WARNING' ELSE 'INFO' END AS severity
+FROM p"""
+
+SQL["stream_baseline_keyed"] = with_(_SHOP_TX, f"u AS (SELECT shop, ts, {_wide_cols()} FROM tx GROUP BY shop, ts)",
+    "g AS (SELECT shop, unnest(generate_series(MIN(ts), MAX(ts), INTERVAL 1 HOUR)) AS t FROM u GROUP BY shop)") + """
+SELECT g.shop, g.t AS ts, COUNT(*) AS n_history, """ + ", ".join(
+    f"ROUND(AVG({s}), 9) AS {s}_mean, ROUND(STDDEV_SAMP({s}), 9) AS {s}_std" for s in _ST) + """
+FROM g JOIN u ON u.shop = g.shop AND u.ts BETWEEN g.t - INTERVAL 60 HOUR AND g.t
+GROUP BY g.shop, g.t"""
+
+# Records behind the watermark that the first micro-batch leaves.
+SQL["stream_corrections"] = with_(TXM, """e AS (
+  SELECT *, CAST(epoch(ts) AS BIGINT) AS s FROM txm), half AS (SELECT (MIN(s) + MAX(s)) // 2 AS h FROM e),
+mark AS (SELECT MAX(s) - 120 AS m FROM e, half WHERE s % 300 <> 0 AND s <= h),
+k AS (SELECT e.*, s // 3600 * 3600 + 3600 <= m AND s % 300 = 0 AS late, s >= m - 259200 AS near FROM e, mark),
+w AS (SELECT *, date_trunc('hour', ts) AS hour, NOT late OR near AS wanted FROM k)""") + """
+SELECT CAST(hour AS TIMESTAMP) AS ts, """ + ", ".join(
+    f"CAST(SUM(CASE WHEN status = '{s}' THEN cnt ELSE 0 END) FILTER (wanted) AS BIGINT) AS {s}" for s in _ST) + """,
+  CAST(SUM(cnt) FILTER (wanted) AS BIGINT) AS total, NULLIF(COUNT(*) FILTER (wanted), 0) AS records,
+  CASE WHEN COUNT(*) FILTER (wanted) > 0 THEN COUNT(*) FILTER (wanted AND late) END AS late_records,
+  CASE WHEN COUNT(*) FILTER (wanted) > 0 THEN CAST(bool_or(wanted AND late) AS BIGINT) END AS corrections,
+  COUNT(*) FILTER (NOT wanted) AS dropped
+FROM w GROUP BY hour"""
+
+SQL["stream_metrics"] = with_(TXM) + """
+SELECT 'records' AS metric, COUNT(*) AS total FROM txm
+UNION ALL SELECT 'cnt', CAST(SUM(cnt) AS BIGINT) FROM txm
+UNION ALL SELECT s, CAST(SUM(CASE WHEN status = s THEN cnt ELSE 0 END) AS BIGINT)
+  FROM txm CROSS JOIN (VALUES """ + ", ".join(f"('{s}')" for s in _ST) + """) v(s) GROUP BY s
+UNION ALL SELECT 'consume_batches', 2 UNION ALL SELECT 'insert_batches', 2"""
+
+_TRACES = with_("""p AS (
+  SELECT lpad(lower(hex(o_orderkey + 1)), 32, '0') AS trace_id, lpad(lower(hex((o_orderkey + 1) * 2 + 1)), 16, '0') AS span_id,
+         o_orderdate AS produced_ts FROM orders),
+c0 AS (
+  SELECT l_orderkey + CASE WHEN l_returnflag = 'R' THEN 1000000000 ELSE 1 END AS k, l_tax < 0.08 AS ok,
+         l_orderkey * 8 + l_linenumber AS consumer_id, l_shipdate AS consumed_ts FROM lineitem),
+c AS (
+  SELECT CASE WHEN ok THEN lpad(lower(hex(k)), 32, '0') END AS trace_id, CASE WHEN ok THEN lpad(lower(hex(k * 2 + 1)), 16, '0') END AS span_id,
+         consumer_id, consumed_ts FROM c0),
+links AS (
+  SELECT coalesce(p.trace_id, c.trace_id) AS trace_id, coalesce(p.span_id, c.span_id) AS span_id, produced_ts, consumed_ts, consumer_id,
+         (epoch_us(consumed_ts) - epoch_us(produced_ts)) / 1000000.0 AS latency,
+         CASE WHEN produced_ts IS NULL THEN 'no producer' WHEN consumed_ts IS NULL THEN 'no consumer' ELSE 'linked' END AS link
+  FROM p FULL JOIN c ON p.trace_id = c.trace_id AND p.span_id = c.span_id
+       AND consumed_ts BETWEEN produced_ts AND produced_ts + INTERVAL 400 DAY)""")
+SQL["trace_links"] = SQL["stream_traces"] = _TRACES + "SELECT * FROM links"
+SQL["trace_summary"] = _TRACES.rstrip() + """,
+n AS (SELECT link, COUNT(*) AS records FROM links GROUP BY link),
+b AS (""" + "\nUNION ALL ".join(
+    f"SELECT 'linked' AS link, '{d * 86400:g}' AS le, COUNT(*) FILTER (latency <= {d * 86400}) AS bucket_count FROM links WHERE link = 'linked'"
+    for d in (1, 7, 30, 90, 180, 365)) + """
+UNION ALL SELECT 'linked', '+Inf', COUNT(*) FROM links WHERE link = 'linked')
+SELECT n.link, n.records, b.le, b.bucket_count FROM n LEFT JOIN b USING (link)"""
+
 SQL["rolling_keyed_supplier"] = with_(
     """sw AS (SELECT s.s_nationkey, CAST(date_trunc('week', l.l_shipdate) AS TIMESTAMP) AS ts, COUNT(*) AS cnt
             FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2)""",

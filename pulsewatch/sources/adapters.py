@@ -186,6 +186,30 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", h.alias("headers"))
 
 
+def traceparent_header(order: Column, flags: Column) -> Column:
+    """Header array with the traceparent of an order's produced record."""
+    tp = F.concat(F.lit("00-"), F.lpad(F.lower(F.hex(order)), 32, "0"), F.lit("-"),
+                  F.lpad(F.lower(F.hex(order * 2 + 1)), 16, "0"), F.lit("-"), flags)
+    return F.array(F.struct(F.lit("traceparent").alias("key"), F.encode(tp, "UTF-8").alias("value")))
+
+
+def produced_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One produced record per order: (ts, headers)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderdate").alias("ts"), traceparent_header(F.col("o_orderkey") + 1, F.lit("01")).alias("headers"))
+
+
+def consumed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One consumed record per line item: (consumer_id, ts, headers) with the
+    header of its order's record.  Line items with a tax of 8 % carry a malformed header,
+    returned ones that of an order that doesn't exist."""
+    li = table(spark, sf_dir, "lineitem")
+    order = F.col("l_orderkey") + F.when(F.col("l_returnflag") == "R", F.lit(1_000_000_000)).otherwise(1)
+    flags = F.when(F.col("l_tax") >= 0.08, "1").otherwise("01")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("consumer_id"), F.col("l_shipdate").alias("ts"),
+                     traceparent_header(order, flags).alias("headers"))
+
+
 def supplier_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed series: line items shipped per supplier nation and week.
 

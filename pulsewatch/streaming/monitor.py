@@ -1,5 +1,5 @@
 """Structured Streaming: ingest of JSON batch messages, per-unit windowed
-counts with a watermark, the periodic alert check, and keyed cooldown state.
+counts with a watermark, and the periodic alert check (keyed state: ``state``).
 
 Sources are any text stream of JSON messages (Kafka ``value`` cast to string
 in production; a folder of text files here, the Kafka connector not being on
@@ -12,44 +12,48 @@ duplicates rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import MONITORED_STATUSES, PolicyParams, unit_seconds
 from ..sources.messages import decode_batches, encode_batches
+from . import facts
+from .state import rocksdb
 
 
 #: How long late records are waited for.
 DELAY = "2 minutes"
 
 
-def write_messages(tx: DataFrame, path: str, part: Column | None = None, flush_seconds: int | None = None) -> None:
+def write_messages(tx: DataFrame, path: str, flush_seconds: int | None = None, append: bool = False) -> None:
     """Replay source: messages written as text files in time order.
 
-    ``part``: number of the micro-batch of a row; the parts are written one after
-    the other, one file each, and read with ``max_files=1`` they are the
-    micro-batches.  ``flush_seconds``: a heartbeat (status ``heartbeat``, count 0)
-    so long after the latest stamp closes the replay: it moves the watermark past
-    all windows that hold records, and its own window stays open.
+    ``flush_seconds``: a heartbeat (status ``heartbeat``, count 0) so long after the
+    latest stamp closes the replay: it moves the watermark past all windows that hold
+    records, and its own window stays open.
     """
-    if part is None:
-        encode_batches(tx).repartitionByRange("ts").sortWithinPartitions("ts").select("message").write.mode("overwrite").text(path)
-    else:
-        parts = tx.withColumn("part", part).checkpoint()
-        numbers = [r.part for r in parts.select("part").distinct().orderBy("part").toLocalIterator()]
-        for k, n in enumerate(numbers):
-            (encode_batches(parts.filter(F.col("part") == n).drop("part")).coalesce(1).sortWithinPartitions("ts")
-             .select("message").write.mode("append" if k else "overwrite").text(path))
+    (encode_batches(tx).repartitionByRange("ts").sortWithinPartitions("ts").select("message")
+     .write.mode("append" if append else "overwrite").text(path))
     if flush_seconds is not None:
         beat = tx.agg((F.max("ts") + F.expr(f"INTERVAL {flush_seconds} SECONDS")).alias("ts")).select(
             "ts", F.lit("heartbeat").alias("status"), F.lit(0).cast("bigint").alias("cnt")).filter("ts is not null")
         encode_batches(beat).select("message").write.mode("append").text(path)
 
 
+def replay(tx: DataFrame, path: str, part: Column, run: Callable, flush_seconds: int | None = None) -> None:
+    """Replay in micro-batches: the rows of each ``part`` (a number) are written, by as many
+    tasks as they need, and ``run()`` starts a query that takes what is new and ends."""
+    parts = tx.withColumn("part", part).checkpoint()
+    numbers = [r.part for r in parts.select("part").distinct().orderBy("part").collect()]
+    for k, n in enumerate(numbers):
+        write_messages(parts.filter(F.col("part") == n).drop("part"), path, append=k > 0,
+                       flush_seconds=flush_seconds if n == numbers[-1] else None)
+        run().awaitTermination()
+
+
 def read_messages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Text stream of messages.  Files are taken in modification-time order,
     not event-time order, so with a watermark keep ``max_files`` unset (or
@@ -115,165 +119,110 @@ def run_windowed_counts(spark: SparkSession, src: str, out: str, checkpoint: str
     return q
 
 
-FACTS = "ts timestamp, status string, cnt bigint, batch_id bigint, date date"
-FIRED = ("status string, severity string, current_value bigint, baseline_mean double, baseline_std double, z_score double, "
-         "score double, alert_ts timestamp_ntz, batch_id bigint, date date")
+FACTS = "ts timestamp, status string, cnt bigint"
+ALERT = ("status string, severity string, current_value bigint, baseline_mean double, baseline_std double, z_score double, "
+         "score double, alert_ts timestamp_ntz")
+OUTPUTS = {
+    "alerts": ALERT,
+    "log": "alert_ts timestamp_ntz, level string, message string",
+    "outbox": "status string, alert_ts timestamp_ntz, payload string",
+    "gauges": "eval_ts timestamp_ntz, status string, score double",
+    "dead": "raw string, reason string",
+}
+#: Fact folders of a day and alerts folders of a day before they are merged.
+MOST_FOLDERS = 64
+
+
+def read_facts(spark: SparkSession, base: str, first: dt.date, last: dt.date) -> DataFrame:
+    """The records of the days from ``first`` to ``last``."""
+    return facts.read(spark, f"{base}/facts", FACTS, facts.days(first, last))
+
+
+def read_output(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """All rows of an output of ``alert_check``; empty if no check wrote any."""
+    path = f"{base}/{name}/live" if name == "alerts" else f"{base}/{name}"
+    return facts.output(spark, path, f"{OUTPUTS[name]}, batch_id bigint")
 
 
 def alert_check(spark: SparkSession, src: str, base: str, checkpoint: str, params: PolicyParams = PolicyParams(),
                 unit: str = "MINUTE", cooldown_seconds: int = 300, max_files: int | None = None,
                 service: str = "monitor", available_now: bool = True):
-    """Periodic check.  Each micro-batch is appended to the fact table
-    (partitioned by date), the detector runs at the table's latest stamp over the
-    partitions of its history window, and what it finds is dispatched.
-
-    Tables under ``base``: facts, dead, details, alerts (fired), log, outbox and
-    gauges (score per status, and ``overall``).  The cooldown is carried across
-    batches by the fired alerts of the last ``cooldown_seconds``.  Every output is
-    keyed by ``batch_id`` and overwritten by a replayed batch, which sees only the
-    alerts of batches before it.
+    """Periodic check.  Each micro-batch is added to the fact table, the detector runs
+    at the table's latest stamp over its history window, and what it finds is dispatched.
+
+    Tables under ``base``: facts and alerts (fired; both by date first, see ``facts``),
+    details, dead, log, outbox and gauges (score per status, and ``overall``).  A check
+    lists and reads the days of its window only, and merges their folders as they
+    become many.  The cooldown is carried across batches by the fired alerts of the last
+    ``cooldown_seconds``.  Every output is keyed by ``batch_id`` and overwritten by a
+    replayed batch, which sees only the alerts of batches before it.
+
+    What a check finds is at most a row per monitored status: it comes to the driver
+    once and is written from there.
     """
     from ..operators.alerts import alert_candidates, alert_log, outbox
     from ..operators.policy import policy_detect
     step = unit_seconds(unit)
+    latest: dict[str, dt.datetime] = {}
 
-    def put(df: DataFrame, name: str, batch_id: int, by_date: str | None = None) -> None:
-        w = (df.withColumn("date", F.to_date(by_date)) if by_date else df).write.mode("overwrite")
-        (w.partitionBy("date") if by_date else w).parquet(f"{base}/{name}/batch_id={batch_id}")
+    def put(df: DataFrame, name: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
 
-    def since(name: str, schema: str, at: str) -> DataFrame:
-        """Rows of the date partitions from ``at`` on."""
-        return spark.read.schema(schema).parquet(f"{base}/{name}").filter(F.col("date") >= F.lit(at[:10]).cast("date"))
+    def anchor(newest: dt.datetime) -> dt.datetime:
+        """The latest stamp of the table: this batch's or an earlier one's, which is
+        looked up after a restart only."""
+        if "ts" not in latest:
+            day = facts.last_day(spark, f"{base}/facts")
+            latest["ts"] = read_facts(spark, base, day, day).agg(F.max("ts").cast("timestamp_ntz")).first()[0]
+        latest["ts"] = max(newest, latest["ts"])
+        return latest["ts"]
 
     def check(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         good, bad = decode_batches(batch)
-        put(good, "facts", batch_id, by_date="ts")
-        put(bad, "dead", batch_id)
-        newest = good.agg(F.max("ts").cast("string")).first()[0]
+        seen, faults = Observation(), Observation()
+        facts.put(good.observe(seen, F.max("ts").cast("timestamp_ntz").alias("newest")), f"{base}/facts", batch_id)
+        lost = bad.persist()
+        if lost.observe(faults, F.count(F.lit(1)).alias("n")).count():
+            put(lost, "dead", batch_id)
+        lost.unpersist()
         batch.unpersist()
-        put(spark.createDataFrame([], FIRED).drop("batch_id", "date"), "alerts", batch_id, by_date="alert_ts")
+        newest = seen.get["newest"]
         if newest is None:
             return
-        # The anchor may lie in an earlier batch, but then in these partitions.
-        anchor, first, recent = since("facts", FACTS, newest).agg(F.max("ts").alias("t")).select(*[
-            (F.col("t") - F.expr(f"INTERVAL {x} SECONDS")).cast("string")
-            for x in (0, params.history_window * step, cooldown_seconds)]).first()
-        facts = since("facts", FACTS, first).filter(F.col("ts") >= F.lit(first).cast("timestamp")).select(
-            F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "cnt")
-        details = policy_detect(facts, params, unit).persist()
+        at = anchor(newest)
+        first = at - dt.timedelta(seconds=params.history_window * step)
+        for day in facts.days(first.date(), at.date()):
+            facts.compact(spark, f"{base}/facts", FACTS, day, batch_id - 1, MOST_FOLDERS)
+            facts.compact(spark, f"{base}/alerts", ALERT, day, batch_id - 1, MOST_FOLDERS)
+        window = read_facts(spark, base, first.date(), at.date()).filter(F.col("ts").between(facts.at(first), facts.at(at)))
+        found = policy_detect(window.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "cnt"), params, unit)
+        details = spark.createDataFrame(found.collect(), found.schema)  # a row per monitored status
         put(details, "details", batch_id)
-        cands = alert_candidates(details, params.critical_threshold, params.z_score_threshold).withColumn("_at", F.col("eval_ts"))
-        before = since("alerts", FIRED, recent).filter(
-            (F.col("batch_id") < batch_id) & (F.col("alert_ts") > F.lit(recent).cast("timestamp_ntz")))
-        fired = (cands.join(before.select("status", "severity"), ["status", "severity"], "left_anti") if cooldown_seconds else cands)
-        fired = fired.select("status", "severity", "current_value", "baseline_mean", "baseline_std", "z_score",
-                             F.col("max_z_score").alias("score"), F.col("eval_ts").alias("alert_ts")).checkpoint()
-        put(fired, "alerts", batch_id, by_date="alert_ts")
-        put(alert_log(fired), "log", batch_id)
-        put(outbox(fired, service), "outbox", batch_id)
+        cands = alert_candidates(details, params.critical_threshold, params.z_score_threshold)
+        fired = cands.select("status", "severity", "current_value", "baseline_mean", "baseline_std", "z_score",
+                             F.col("max_z_score").alias("score"), F.col("eval_ts").alias("alert_ts"))
+        if cooldown_seconds:
+            recent = at - dt.timedelta(seconds=cooldown_seconds)
+            before = facts.read(spark, f"{base}/alerts", ALERT, facts.days(recent.date(), at.date())).filter(
+                (F.col("batch_id") < batch_id) & (F.col("alert_ts") > facts.at(recent).cast("timestamp_ntz")))
+            fired = fired.join(before.select("status", "severity"), ["status", "severity"], "left_anti")
+        rows = fired.collect()
+        if rows:
+            fired = spark.createDataFrame(rows, ALERT)
+            facts.put(fired, f"{base}/alerts", batch_id, ts="alert_ts")
+            put(alert_log(fired), "log", batch_id)
+            put(outbox(fired, service), "outbox", batch_id)
         scores = details.select("eval_ts", "status", F.col("z_score").alias("score"))
-        overall = details.select("eval_ts", F.lit("overall").alias("status"), F.col("max_z_score").alias("score")).distinct()
-        put(scores.unionByName(overall), "gauges", batch_id)
-        details.unpersist()
+        overall = details.limit(1).select("eval_ts", F.lit("overall").alias("status"), F.col("max_z_score").alias("score"))
+        put(scores.unionByName(overall).coalesce(1), "gauges", batch_id)
 
     return _start(read_messages(spark, src, max_files).writeStream.foreachBatch(check)
                   .option("checkpointLocation", checkpoint), available_now)
 
 
-# --- keyed cooldown state ------------------------------------------------------------
-
-COOLDOWN_OUT = T.StructType([
-    T.StructField("status", T.StringType()), T.StructField("severity", T.StringType()),
-    T.StructField("alert_ts", T.TimestampType()), T.StructField("z_score", T.DoubleType()),
-])
-COOLDOWN_STATE = T.StructType([T.StructField("last_fired", T.LongType())])
-
-
-def cooldown_stream(candidates: DataFrame, cooldown_seconds: int = 300) -> DataFrame:
-    """Streaming cooldown per (status, severity) with keyed state.
-
-    ``candidates``: streaming rows (status, severity, alert_ts TIMESTAMP,
-    z_score).  Per key and micro-batch the rows are sorted by time and folded
-    against the stored last-fired time; only that one number is kept as state.
-    Across micro-batches the rows must arrive in time order (a live alert
-    stream does); a row older than the stored last-fired time is suppressed.
-    """
-    def fold(key, pdfs: Iterator[pd.DataFrame], state):
-        last = state.get[0] if state.exists else None
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values("alert_ts")
-        keep = []
-        for ts, z in zip(pdf["alert_ts"], pdf["z_score"]):
-            t = int(pd.Timestamp(ts).value // 1_000)  # microseconds
-            if last is None or t - last >= cooldown_seconds * 1_000_000:
-                last = t
-                keep.append((key[0], key[1], ts, z))
-        state.update((last,))
-        if keep:
-            yield pd.DataFrame(keep, columns=["status", "severity", "alert_ts", "z_score"])
-
-    return candidates.groupBy("status", "severity").applyInPandasWithState(
-        fold, COOLDOWN_OUT, COOLDOWN_STATE, "append", "NoTimeout")
-
-
-# --- chained stateful queries: outage sessions, hopping baseline -----------------------
-
-def outage_sessions(stream: DataFrame, unit: str = "1 hour", unit_seconds: int = 3600,
-                    zero_threshold: int = 5, max_gap: int = 2, delay: str = DELAY,
-                    critical_units: int = 5, warning_units: int = 2) -> DataFrame:
-    """Near-zero periods on a stream, with their average volume: per-unit totals
-    (window aggregate) -> session windows over the window times.  A stamp with
-    total <= threshold keeps its session open for ``max_gap`` units, any other
-    for a second, so sessions are the periods with the stamps that they bridge (and
-    those just after, which the average leaves out).  A session holds one row per
-    unit of its length and is emitted once the watermark passes it."""
-    good, _ = decode_batches(stream)
-    totals = (good.withWatermark("ts", delay).groupBy(F.window("ts", unit))
-              .agg(F.sum("cnt").alias("total")))
-    low = F.col("total") <= zero_threshold
-    rows = totals.select(F.window_time("window").alias("wt"), F.col("window.start").alias("start"), "total", low.alias("low"),
-                         F.lit("all").alias("series"))
-    gap = F.when(F.col("low"), f"{max_gap * unit_seconds + 1} seconds").otherwise("1 second")
-    start, end = F.min(F.when(F.col("low"), F.col("start"))), F.max(F.when(F.col("low"), F.col("start")))
-    per = (rows.groupBy("series", F.session_window("wt", gap))
-           .agg(start.alias("start_ts"), end.alias("end_ts"), F.sum(F.col("low").cast("bigint")).alias("outage_stamps"),
-                F.collect_list(F.struct("start", "total")).alias("held"))
-           .filter(F.col("start_ts").isNotNull()))
-    inside = F.filter("held", lambda h: (h["start"] >= F.col("start_ts")) & (h["start"] <= F.col("end_ts")))
-    volume = F.aggregate(inside, F.lit(0).cast("bigint"), lambda s, h: s + h["total"])
-    dur = ((F.unix_seconds("end_ts") - F.unix_seconds("start_ts")) / F.lit(unit_seconds)).cast("bigint") + 1
-    return per.select(F.col("start_ts").cast("timestamp_ntz").alias("start_ts"),
-                      F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), dur.alias("duration"),
-                      "outage_stamps", (volume.cast("double") / F.size(inside)).alias("avg_volume"),
-                      F.when(dur >= critical_units, "CRITICAL").when(dur >= warning_units, "WARNING")
-                      .otherwise("INFO").alias("severity"))
-
-
-def hopping_baseline(stream: DataFrame, unit: str = "1 hour", history_units: int = 60,
-                     delay: str = DELAY, statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
-    """Rolling baseline on a stream (row frames are not allowed on streams):
-    per-unit wide counts, then a sliding window of ``history_units + 1`` units
-    (inclusive bound) sliding by one unit, with per-status mean and sample std
-    over the unit rows inside it.  ``ts`` is the window's last stamp, so a row
-    covers ``[ts - history_units, ts]`` like the batch backtest; windows at the
-    start of the stream hold fewer stamps (``n_history`` says how many)."""
-    good, _ = decode_batches(stream)
-    aggs = [F.sum(F.when(F.col("status") == s, F.col("cnt")).otherwise(F.lit(0))).alias(s) for s in statuses]
-    per_unit = good.withWatermark("ts", delay).groupBy(F.window("ts", unit)).agg(*aggs)
-    span = f"{history_units + 1} {unit.split()[1]}s"
-    hop = per_unit.select(F.window_time("window").alias("wt"), *statuses)
-    out_aggs = [F.count(F.lit(1)).alias("n_history")]
-    for s in statuses:
-        out_aggs += [F.avg(s).alias(f"{s}_mean"), F.stddev_samp(s).alias(f"{s}_std")]
-    step = F.expr(f"INTERVAL 1 {unit.split()[1].upper()}")
-    return (hop.groupBy(F.window("wt", span, unit)).agg(*out_aggs)
-            .select((F.col("window.end") - step).cast("timestamp_ntz").alias("ts"), "n_history",
-                    *[c for s in statuses for c in (f"{s}_mean", f"{s}_std")]))
-
-
 def run_to_parquet(df: DataFrame, out: str, checkpoint: str):
-    return (df.writeStream.outputMode("append").format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    """Start ``availableNow`` into a parquet sink; state in RocksDB."""
+    with rocksdb(df.sparkSession):
+        return (df.writeStream.outputMode("append").format("parquet").option("path", out)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
