@@ -36,54 +36,64 @@ def _stats(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
     return mean, std
 
 
+# The wide form repeats each rule per status; as SQL text one rule is one call.
+
+def _rounded(x: str, digits: int) -> str:
+    """SQL of ``round_half_up``."""
+    scale = f"{float(10 ** digits)!r}D"
+    return f"(CAST(floor({x} * {scale} + 0.5D) AS DOUBLE) / {scale})"
+
+
+def _text1(x: str) -> str:
+    """SQL of ``fmt1``."""
+    return f"format_string('%.1f', {_rounded(x, 1)})"
+
+
+def _moments(s: str) -> tuple[str, str]:
+    """SQL of ``_stats`` over a status's column group."""
+    n, s1, s2 = ("CAST(n_history AS DECIMAL(38,0))", f"CAST(`{s}__s1` AS DECIMAL(38,0))", f"CAST(`{s}__s2` AS DECIMAL(38,0))")
+    mean = f"CASE WHEN n_history > 0 THEN CAST(`{s}__s1` AS DOUBLE) / CAST(n_history AS DOUBLE) ELSE 0.0D END"
+    std = (f"coalesce(CASE WHEN n_history >= 2 THEN sqrt(CAST({n} * {s2} - {s1} * {s1} AS DOUBLE) "
+           "/ (CAST(n_history AS DOUBLE) * CAST(n_history - 1 AS DOUBLE))) END, 0.0D)")
+    return mean, std
+
+
 def _score(frame: DataFrame, p: PolicyParams, statuses: Sequence[str]) -> DataFrame:
     """From ``n_history`` and per-status ``{s}__cur/__s1/__s2`` columns add
     mean, std, z (raw and 2 dp), anomaly flag and message per status, then
     the overall severity, max z and the recommendation text."""
-    for s in statuses:
-        mean, std = _stats(F.col("n_history"), F.col(f"{s}__s1"), F.col(f"{s}__s2"))
-        z = (F.col(f"{s}__cur").cast("double") - F.col(f"{s}__mean")) / F.greatest(F.col(f"{s}__std"), F.lit(p.min_std))
-        frame = (frame.withColumn(f"{s}__mean", mean).withColumn(f"{s}__std", std)
-                 .withColumn(f"{s}__zraw", z)
-                 .withColumn(f"{s}__z", round_half_up(F.col(f"{s}__zraw"), 2))
-                 .withColumn(f"{s}__anom", F.col(f"{s}__zraw") > F.lit(p.z_score_threshold)))
-    enough = F.col("n_history") >= F.lit(p.min_history)
-    max_z = F.greatest(*[F.col(f"{s}__z") for s in statuses])
-    crit = F.greatest(*[F.col(f"{s}__z") > p.critical_threshold for s in statuses])
-    warn = F.greatest(*[F.col(f"{s}__z") > p.z_score_threshold for s in statuses])
-    sev = F.when(~enough, "NORMAL").when(crit, "CRITICAL").when(warn, "WARNING").otherwise("NORMAL")
-    names = F.array_compact(F.array(*[F.when(F.col(f"{s}__anom"), F.lit(s)) for s in statuses]))
-    joined = F.array_join(names, ", ")
-    rec = (F.when(F.col("overall_severity") == "CRITICAL", F.concat(
-        F.lit("ALERT: Critical anomaly detected in "), joined,
-        F.lit(". Immediate investigation recommended. Check payment gateway status and system health.")))
-        .when(F.col("overall_severity") == "WARNING", F.concat(
-            F.lit("WARNING: Elevated anomaly in "), joined,
-            F.lit(". Monitor closely. Consider pre-emptive investigation if trend continues.")))
-        .otherwise(F.lit("All transaction statuses within normal parameters.")))
-    return (frame.withColumn("sufficient_history", enough)
-            .withColumn("max_z_score", F.when(enough, round_half_up(max_z, 2)).otherwise(F.lit(0.0)))
-            .withColumn("overall_severity", sev)
-            .withColumn("recommendation", rec))
+    warn, crit = f"{float(p.z_score_threshold)!r}D", f"{float(p.critical_threshold)!r}D"
+    moments = [f"{sql} AS `{s}__{name}`" for s in statuses for name, sql in zip(("mean", "std"), _moments(s))]
+    raw = [f"(CAST(`{s}__cur` AS DOUBLE) - `{s}__mean`) / greatest(`{s}__std`, {float(p.min_std)!r}D) AS `{s}__zraw`" for s in statuses]
+    judged = [x for s in statuses for x in (_rounded(f"`{s}__zraw`", 2) + f" AS `{s}__z`", f"`{s}__zraw` > {warn} AS `{s}__anom`")]
+    frame = frame.selectExpr("*", *moments).selectExpr("*", *raw).selectExpr("*", *judged)
+    enough = f"n_history >= {int(p.min_history)}"
+    above = lambda t: "greatest(" + ", ".join(f"`{s}__z` > {t}" for s in statuses) + ")"
+    max_z = "greatest(" + ", ".join(f"`{s}__z`" for s in statuses) + ")"
+    names = "array_join(array_compact(array(" + ", ".join(f"CASE WHEN `{s}__anom` THEN '{s}' END" for s in statuses) + ")), ', ')"
+    return frame.selectExpr(
+        "*", f"{enough} AS sufficient_history", f"CASE WHEN {enough} THEN {_rounded(max_z, 2)} ELSE 0.0D END AS max_z_score",
+        f"CASE WHEN NOT ({enough}) THEN 'NORMAL' WHEN {above(crit)} THEN 'CRITICAL' WHEN {above(warn)} THEN 'WARNING' "
+        "ELSE 'NORMAL' END AS overall_severity",
+    ).selectExpr("*", f"""CASE overall_severity
+        WHEN 'CRITICAL' THEN concat('ALERT: Critical anomaly detected in ', {names},
+            '. Immediate investigation recommended. Check payment gateway status and system health.')
+        WHEN 'WARNING' THEN concat('WARNING: Elevated anomaly in ', {names},
+            '. Monitor closely. Consider pre-emptive investigation if trend continues.')
+        ELSE 'All transaction statuses within normal parameters.' END AS recommendation""")
 
 
 def _details(frame: DataFrame, keys: Sequence[str], statuses: Sequence[str],
              extra: Sequence[str] = ()) -> DataFrame:
     """Unpivot the per-status column groups into one row per status."""
-    msg = lambda s: F.when(F.col(f"{s}__anom"), F.concat(
-        F.lit(f"{s} count "), F.col(f"{s}__cur").cast("string"), F.lit(" is "), fmt1(F.col(f"{s}__zraw")),
-        F.lit("σ above baseline (mean="), fmt1(F.col(f"{s}__mean")), F.lit(", std="),
-        fmt1(F.col(f"{s}__std")), F.lit(")"))).otherwise(F.lit(""))
-    items = F.array(*[F.struct(
-        F.lit(s).alias("status"), F.col(f"{s}__cur").cast("bigint").alias("current_value"),
-        round_half_up(F.col(f"{s}__mean"), 2).alias("baseline_mean"),
-        round_half_up(F.col(f"{s}__std"), 2).alias("baseline_std"),
-        F.col(f"{s}__z").alias("z_score"), F.col(f"{s}__zraw").alias("z_raw"),
-        F.col(f"{s}__anom").alias("is_anomalous"), msg(s).alias("contribution")) for s in statuses])
-    return (frame.filter(F.col("sufficient_history"))
-            .select(*keys, *extra, "n_history", "overall_severity", "max_z_score", "recommendation",
-                    F.explode(items).alias("d"))
-            .select(*keys, *extra, "d.*", "n_history", "overall_severity", "max_z_score", "recommendation"))
+    items = ", ".join(f"""named_struct('status', '{s}', 'current_value', CAST(`{s}__cur` AS BIGINT),
+        'baseline_mean', {_rounded(f"`{s}__mean`", 2)}, 'baseline_std', {_rounded(f"`{s}__std`", 2)},
+        'z_score', `{s}__z`, 'z_raw', `{s}__zraw`, 'is_anomalous', `{s}__anom`,
+        'contribution', CASE WHEN `{s}__anom` THEN concat('{s} count ', CAST(`{s}__cur` AS STRING), ' is ', {_text1(f"`{s}__zraw`")},
+            'σ above baseline (mean=', {_text1(f"`{s}__mean`")}, ', std=', {_text1(f"`{s}__std`")}, ')') ELSE '' END)""" for s in statuses)
+    rest = ["n_history", "overall_severity", "max_z_score", "recommendation"]
+    return (frame.filter("sufficient_history").select(*keys, *extra, *rest, F.expr(f"explode(array({items}))").alias("d"))
+            .select(*keys, *extra, "d.*", *rest))
 
 
 def _cols_for(statuses, wide_src: DataFrame, cur_cond: Column) -> list[Column]:

@@ -124,9 +124,7 @@ ALERT = ("status string, severity string, current_value bigint, baseline_mean do
          "score double, alert_ts timestamp_ntz")
 OUTPUTS = {
     "alerts": ALERT,
-    "log": "alert_ts timestamp_ntz, level string, message string",
     "outbox": "status string, alert_ts timestamp_ntz, payload string",
-    "gauges": "eval_ts timestamp_ntz, status string, score double",
     "dead": "raw string, reason string",
 }
 #: Fact folders of a day and alerts folders of a day before they are merged.
@@ -140,6 +138,14 @@ def read_facts(spark: SparkSession, base: str, first: dt.date, last: dt.date) ->
 
 def read_output(spark: SparkSession, base: str, name: str) -> DataFrame:
     """All rows of an output of ``alert_check``; empty if no check wrote any."""
+    from ..operators.alerts import alert_log
+    if name == "log":
+        return alert_log(read_output(spark, base, "alerts"))
+    if name == "gauges":  # score per status and overall
+        details = facts.output(spark, f"{base}/details", "eval_ts timestamp_ntz, status string, z_score double, max_z_score double")
+        scores = details.select("eval_ts", "status", F.col("z_score").alias("score"))
+        overall = details.groupBy("eval_ts").agg(F.max("max_z_score").alias("score")).withColumn("status", F.lit("overall"))
+        return scores.unionByName(overall)
     path = f"{base}/{name}/live" if name == "alerts" else f"{base}/{name}"
     return facts.output(spark, path, f"{OUTPUTS[name]}, batch_id bigint")
 
@@ -151,7 +157,7 @@ def alert_check(spark: SparkSession, src: str, base: str, checkpoint: str, param
     at the table's latest stamp over its history window, and what it finds is dispatched.
 
     Tables under ``base``: facts and alerts (fired; both by date first, see ``facts``),
-    details, dead, log, outbox and gauges (score per status, and ``overall``).  A check
+    details, dead and outbox; ``read_output`` also derives the log and the gauges.  A check
     lists and reads the days of its window only, and merges their folders as they
     become many.  The cooldown is carried across batches by the fired alerts of the last
     ``cooldown_seconds``.  Every output is keyed by ``batch_id`` and overwritten by a
@@ -160,7 +166,7 @@ def alert_check(spark: SparkSession, src: str, base: str, checkpoint: str, param
     What a check finds is at most a row per monitored status: it comes to the driver
     once and is written from there.
     """
-    from ..operators.alerts import alert_candidates, alert_log, outbox
+    from ..operators.alerts import alert_candidates, outbox
     from ..operators.policy import policy_detect
     step = unit_seconds(unit)
     latest: dict[str, dt.datetime] = {}
@@ -211,11 +217,7 @@ def alert_check(spark: SparkSession, src: str, base: str, checkpoint: str, param
         if rows:
             fired = spark.createDataFrame(rows, ALERT)
             facts.put(fired, f"{base}/alerts", batch_id, ts="alert_ts")
-            put(alert_log(fired), "log", batch_id)
             put(outbox(fired, service), "outbox", batch_id)
-        scores = details.select("eval_ts", "status", F.col("z_score").alias("score"))
-        overall = details.limit(1).select("eval_ts", F.lit("overall").alias("status"), F.col("max_z_score").alias("score"))
-        put(scores.unionByName(overall).coalesce(1), "gauges", batch_id)
 
     return _start(read_messages(spark, src, max_files).writeStream.foreachBatch(check)
                   .option("checkpointLocation", checkpoint), available_now)
