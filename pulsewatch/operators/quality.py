@@ -56,10 +56,10 @@ def expected_stamps(df: DataFrame, unit: str = "MINUTE", ts: str = "ts") -> Data
     return grid.select(F.timestamp_seconds("_s").cast("timestamp_ntz").alias(ts))
 
 
-def missing_stamps(df: DataFrame, unit: str = "MINUTE", ts: str = "ts") -> DataFrame:
-    """Expected stamps absent from the data (anti-join)."""
-    present = df.select(ts).distinct()
-    return expected_stamps(df, unit, ts).join(present, ts, "left_anti")
+def missing_stamps(df: DataFrame, unit: str = "MINUTE", ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """Expected stamps absent from the data, of each series (see ``completeness``)."""
+    from . import completeness
+    return completeness.missing_stamps(df, unit, keys, ts)
 
 
 def validate(records: DataFrame, statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
@@ -73,15 +73,15 @@ def validate(records: DataFrame, statuses: Sequence[str] = MONITORED_STATUSES) -
         "is_valid", F.col("reject_reason").isNull())
 
 
-def reconcile(left: DataFrame, right: DataFrame, ts: str = "ts") -> DataFrame:
-    """Compare two per-stamp totals (``total`` columns): stamps on each side,
-    mismatching stamps (missing on one side counts), the first mismatch and
+def reconcile(left: DataFrame, right: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """Compare two per-stamp totals (``total`` columns) of each series: stamps on each
+    side, mismatching stamps (missing on one side counts), the first mismatch and
     both grand totals."""
-    l = left.groupBy(ts).agg(F.sum("total").cast("bigint").alias("l_total"))
-    r = right.groupBy(ts).agg(F.sum("total").cast("bigint").alias("r_total"))
-    j = l.join(r, ts, "full_outer")
+    l = left.groupBy(*keys, ts).agg(F.sum("total").cast("bigint").alias("l_total"))
+    r = right.groupBy(*keys, ts).agg(F.sum("total").cast("bigint").alias("r_total"))
+    j = l.join(r, [*keys, ts], "full_outer")
     bad = ~F.col("l_total").eqNullSafe(F.col("r_total"))
-    return j.agg(
+    return j.groupBy(*keys).agg(
         F.count("l_total").alias("n_left"), F.count("r_total").alias("n_right"),
         F.sum(bad.cast("bigint")).alias("n_mismatch"),
         F.min(F.when(bad, F.col(ts))).alias("first_mismatch"),

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import APPROVAL_CODE, ERROR_STATUSES, MONITORED_STATUSES, check_range
 from ..functions.columns import safe_div
+from .quantiles import describe_exact
 from .windows import trailing
 
 
@@ -56,9 +57,9 @@ def volume_by_status(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             .orderBy(*keys, F.desc("total"), "status"))
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows, volume, first/last stamp, distinct stamps and statuses in one pass."""
-    return df.agg(
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("cnt").cast("bigint").alias("total_cnt"),
         F.min("ts").alias("min_ts"),
@@ -68,67 +69,70 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = (),
-             exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max per metric.
-
-    ``exact=True``: exact quartiles with linear interpolation (the group's
-    distinct values are held in memory: right for per-stamp series).
-    ``exact=False``: ``percentile_approx`` sketches (bounded memory, for raw
-    high-cardinality columns); results then differ within ``1/accuracy`` rank.
-    """
-    stacked = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics
-    ])).alias("m")).select(*keys, "m.metric", "m.v")
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile("v", probs) if exact else F.percentile_approx("v", probs, accuracy)
-    return (stacked.groupBy(*keys, "metric").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"))
-        .select(*keys, "metric", "n", "mean", "std", "min",
-                F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                F.col("_q")[2].alias("p75"), "max"))
+def describe(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """count, mean, sample std, min, exact interpolated quartiles, max per metric; the values
+    of a metric stay spread (see ``quantiles``, also for sketches of raw columns)."""
+    return describe_exact(df, metrics, keys)
 
 
 # --- auth codes -----------------------------------------------------------------
 
-def code_totals(auth: DataFrame) -> DataFrame:
-    return auth.groupBy("auth_code").agg(F.sum("cnt").cast("bigint").alias("total"))
+def code_totals(auth: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return auth.groupBy(*keys, "auth_code").agg(F.sum("cnt").cast("bigint").alias("total"))
+
+
+def _approval_pick() -> Column:
+    return F.coalesce(
+        F.max(F.when(F.col("auth_code") == APPROVAL_CODE, F.col("auth_code"))),
+        F.max(F.when(F.col("auth_code") == "0", F.col("auth_code"))),
+        F.min_by("auth_code", F.struct(-F.col("total"), F.col("auth_code"))))
 
 
 def approval_code(auth: DataFrame):
     """Scalar column: '00' if present, else '0', else the largest-volume code
     (the smaller of equals)."""
-    t = code_totals(auth)
-    return t.agg(F.coalesce(
-        F.max(F.when(F.col("auth_code") == APPROVAL_CODE, F.col("auth_code"))),
-        F.max(F.when(F.col("auth_code") == "0", F.col("auth_code"))),
-        F.min_by("auth_code", F.struct(-F.col("total"), F.col("auth_code"))),
-    )).scalar()
+    return code_totals(auth).agg(_approval_pick()).scalar()
 
 
 def auth_rates(auth: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    code = approval_code(auth)
-    return (auth.groupBy(*keys, "ts").agg(
+    """Approval rate per (keys, stamp); with keys every series has an approval code of its own."""
+    if keys:
+        codes = code_totals(auth, keys).groupBy(*keys).agg(_approval_pick().alias("approval_code"))
+        auth, code = auth.join(codes, list(keys)), F.col("approval_code")
+    else:
+        code = approval_code(auth)
+    out = (auth.groupBy(*keys, "ts").agg(
         F.sum(F.when(F.col("auth_code") == code, F.col("cnt")).otherwise(0)).cast("bigint").alias("approved_cnt"),
-        F.sum("cnt").cast("bigint").alias("auth_total"))
-        .withColumn("auth_approval_rate", safe_div("approved_cnt", "auth_total"))
-        .withColumn("approval_code", code))
+        F.sum("cnt").cast("bigint").alias("auth_total"), *([F.first("approval_code").alias("approval_code")] if keys else []))
+        .withColumn("auth_approval_rate", safe_div("approved_cnt", "auth_total")))
+    return out if keys else out.withColumn("approval_code", code)
 
 
-def top_codes(auth: DataFrame, n: int = 10, exclude: Sequence[str] = ()) -> DataFrame:
-    """Top-n codes by volume (code as tie-break): TakeOrderedAndProject."""
+def top_codes(auth: DataFrame, n: int = 10, exclude: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """Top-n codes by volume (code as tie-break): TakeOrderedAndProject; with keys of each
+    series, over totals that have one row per (keys, code)."""
     a = auth.filter(~F.col("auth_code").isin(*exclude)) if exclude else auth
+    if keys:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("total"), "auth_code"))
+        return code_totals(a, keys).withColumn("place", place).where(F.col("place") <= n)
     return code_totals(a).orderBy(F.desc("total"), "auth_code").limit(n)
 
 
-def top_code_series(auth: DataFrame, n: int = 5, exclude: Sequence[str] = (APPROVAL_CODE,)) -> DataFrame:
+def top_code_series(auth: DataFrame, n: int = 5, exclude: Sequence[str] = (APPROVAL_CODE,), keys: Sequence[str] = ()) -> DataFrame:
     """Per-stamp counts of the top-n non-approval codes, zero-filled.
 
     The top-n list is an n-element scalar array (a proven size bound); each
     stamp that has any of those codes is expanded over it, then joined to the
     counts.  No cross join and nothing collected to the driver.
     """
+    if keys:
+        keys = list(keys)
+        top = top_codes(auth, n, exclude, keys).groupBy(*keys).agg(F.sort_array(F.collect_list("auth_code")).alias("top"))  # n codes
+        hit = auth.join(top, keys).filter(F.array_contains("top", F.col("auth_code")))
+        counts = hit.groupBy(*keys, "ts", "auth_code").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+        grid = hit.select(*keys, "ts", "top").distinct().select(*keys, "ts", F.explode("top").alias("auth_code"))
+        return (grid.join(counts, [*keys, "ts", "auth_code"], "left")
+                .select(*keys, "ts", "auth_code", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt")))
     top = top_codes(auth, n, exclude).agg(F.sort_array(F.collect_list("auth_code"))).scalar()
     hit = auth.filter(F.array_contains(top, F.col("auth_code")))
     counts = hit.groupBy("ts", "auth_code").agg(F.sum("cnt").cast("bigint").alias("cnt"))

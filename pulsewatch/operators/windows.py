@@ -74,9 +74,15 @@ def status_distribution(df: DataFrame, window: int = 1, unit: str = "MINUTE",
     return out.withColumn("grand_total", F.sum("total").over(Window.partitionBy(*keys)))
 
 
-def recent(df: DataFrame, limit: int = 10, order: Sequence[str] = ("ingested_at", "ingest_seq")) -> DataFrame:
-    """Latest ``limit`` records (a top-k: TakeOrderedAndProject, no full sort)."""
+def recent(df: DataFrame, limit: int = 10, order: Sequence[str] = ("ingested_at", "ingest_seq"),
+           keys: Sequence[str] = ()) -> DataFrame:
+    """Latest ``limit`` records (a top-k: TakeOrderedAndProject, no full sort).  With keys
+    of each series: every task keeps its ``limit`` latest of a key before the shuffle, so
+    a hot key sends ``limit`` rows a task."""
     check_range("limit", limit, 1, 100)
+    if keys:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+        return df.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
     return df.orderBy(*[F.desc(c) for c in order]).limit(limit)
 
 

@@ -58,7 +58,7 @@ def q_status_distribution(spark, sf):
 
 
 # --- series, rates, auth codes, profiling (phase 3) ------------------------------
-from ..operators import quality, series  # noqa: E402
+from ..operators import completeness, quality, quantiles, ranges, series  # noqa: E402
 
 
 @register("history_window")
@@ -135,6 +135,92 @@ def q_missing_slots(spark, sf):
     return quality.missing_stamps(A.transactions(spark, sf, unit="MINUTE"), unit="MINUTE")
 
 
+@register("missing_stamps_keyed")
+def q_missing_stamps_keyed(spark, sf):
+    """Minutes that each shop's series lacks."""
+    return quality.missing_stamps(A.shop_transactions(spark, sf, unit="MINUTE"), unit="MINUTE", keys=["shop"])
+
+
+@register("completeness_keyed")
+def q_completeness_keyed(spark, sf):
+    return completeness.completeness(A.shop_transactions(spark, sf, unit="MINUTE"), "MINUTE", ["shop"])
+
+
+@register("quality_frame")
+def q_quality_frame(spark, sf):
+    """One quality report of the shops' transactions and codes, with missing hours and reconciliation."""
+    tx = A.shop_transactions(spark, sf).checkpoint()
+    au = A.shop_auth_codes(spark, sf).checkpoint()
+    paid = tx.filter(F.col("status").isin("approved", "denied")).withColumnRenamed("cnt", "total")
+    return completeness.quality_frame(
+        [("transactions", tx, ["ts"], "status"), ("auth_codes", au, ["ts", "auth_code"], "auth_code")],
+        ("transactions - auth_codes", paid, au.withColumnRenamed("cnt", "total")), "HOUR", ["shop"])
+
+
+@register("reconcile_keyed")
+def q_reconcile_keyed(spark, sf):
+    tx = A.shop_transactions(spark, sf).filter(F.col("status").isin("approved", "denied")).withColumnRenamed("cnt", "total")
+    return quality.reconcile(tx, A.shop_auth_codes(spark, sf).withColumnRenamed("cnt", "total"), keys=["shop"])
+
+
+@register("recent_records_keyed")
+def q_recent_records_keyed(spark, sf):
+    return windows.recent(A.shop_transactions(spark, sf), limit=7, order=("ts", "status"), keys=["shop"])
+
+
+@register("top_codes_keyed")
+def q_top_codes_keyed(spark, sf):
+    return series.top_codes(A.shop_auth_codes(spark, sf), n=4, keys=["shop"])
+
+
+@register("top_error_series_keyed")
+def q_top_error_series_keyed(spark, sf):
+    return series.top_code_series(A.shop_auth_codes(spark, sf), n=3, exclude=("00", "0"), keys=["shop"])
+
+
+@register("auth_rates_keyed")
+def q_auth_rates_keyed(spark, sf):
+    return series.auth_rates(A.shop_auth_codes(spark, sf), keys=["shop"])
+
+
+@register("profile_keyed")
+def q_profile_keyed(spark, sf):
+    return series.profile(A.shop_transactions(spark, sf), keys=["shop"])
+
+
+@register("describe_keyed")
+def q_describe_keyed(spark, sf):
+    """Exact quartiles of each shop's series."""
+    return series.describe(series.rate_series(A.shop_transactions(spark, sf), keys=["shop"]), ["total", "error_rate"], keys=["shop"])
+
+
+@register("value_quantiles")
+def q_value_quantiles(spark, sf):
+    """Exact quantiles of a raw column: the event values of each type."""
+    q = quantiles.exact_quantiles(A.table(spark, sf, "events"), "value", (0.01, 0.25, 0.5, 0.75, 0.99), ["event_type"])
+    return q.select("event_type", "n", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((1, 25, 50, 75, 99))])
+
+
+@register("value_sketch")
+def q_value_sketch(spark, sf):
+    """Daily sketches of the event values, merged per type: their medians lie within the
+    sketch's error of the exact ranks."""
+    ev = A.table(spark, sf, "events").select("event_type", "value", F.to_date("ts").alias("day"))
+    merged = quantiles.merge_sketches(quantiles.sketch(ev, "value", ["event_type", "day"]), ["event_type"])
+    q = quantiles.sketch_quantiles(merged, (0.25, 0.5, 0.75), ["event_type"])
+    ranks = ev.join(q, "event_type").groupBy("event_type", "n").agg(*[
+        F.avg((F.col("value") < F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(3)])
+    near = lambda i, p: F.abs(F.col(f"r{i}") - p) <= 0.03
+    return ranks.select("event_type", "n", (near(0, 0.25) & near(1, 0.5) & near(2, 0.75)).alias("within"))
+
+
+@register("period_averages")
+def q_period_averages(spark, sf):
+    """Average daily volume between the order and the shipping of every line item."""
+    daily = series.volume_per_stamp(A.transactions_daily(spark, sf))
+    return ranges.range_averages(daily, A.shipping_periods(spark, sf), "DAY")
+
+
 @register("validate_records")
 def q_validate_records(spark, sf):
     return quality.validate(A.raw_records(spark, sf))

@@ -153,6 +153,93 @@ b AS (SELECT MIN(ts) AS lo, MAX(ts) AS hi FROM m),
 g AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 MINUTE)) AS ts FROM b)
 SELECT g.ts FROM g ANTI JOIN m ON g.ts = m.ts"""
 
+SHOP_TX = f"""tx AS (SELECT user_id % 4 AS shop, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, {STATUS_CASE} AS status,
+          COUNT(*) AS cnt FROM events GROUP BY 1, 2, 3)"""
+SHOP_AUTH = """auth AS (
+  SELECT user_id % 4 AS shop, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts,
+         CASE WHEN event_type = 'purchase' THEN CASE WHEN user_id % 4 = 3 THEN '0' ELSE '00' END
+              ELSE lpad(CAST(1 + CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) % 7 AS VARCHAR), 2, '0')
+         END AS auth_code, COUNT(*) AS cnt
+  FROM events WHERE event_type IN ('purchase', 'view') AND NOT (user_id % 4 = 2 AND event_type = 'purchase') GROUP BY 1, 2, 3)"""
+_SHOP_MINUTES = """
+WITH m AS (SELECT DISTINCT user_id % 4 AS shop, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS ts FROM events),
+b AS (SELECT shop, MIN(ts) AS lo, MAX(ts) AS hi, COUNT(*) AS n FROM m GROUP BY shop),
+g AS (SELECT shop, unnest(generate_series(lo, hi, INTERVAL 1 MINUTE)) AS ts FROM b)"""
+SQL["missing_stamps_keyed"] = _SHOP_MINUTES + "SELECT g.shop, g.ts FROM g ANTI JOIN m ON g.shop = m.shop AND g.ts = m.ts"
+SQL["completeness_keyed"] = _SHOP_MINUTES + """
+SELECT b.shop, COUNT(*) AS n_expected, any_value(n) AS n_present, COUNT(*) - any_value(n) AS n_missing,
+       any_value(lo) AS min_ts, any_value(hi) AS max_ts FROM b JOIN g USING (shop) GROUP BY b.shop"""
+
+_SHOP_RECONCILE = """l AS (SELECT shop, ts, SUM(cnt) AS l_total FROM tx WHERE status IN ('approved', 'denied') GROUP BY shop, ts),
+r AS (SELECT shop, ts, SUM(cnt) AS r_total FROM auth GROUP BY shop, ts),
+rec AS (SELECT shop, COUNT(l_total) AS n_left, COUNT(r_total) AS n_right,
+  CAST(SUM(CASE WHEN l_total IS NOT DISTINCT FROM r_total THEN 0 ELSE 1 END) AS BIGINT) AS n_mismatch,
+  MIN(CASE WHEN l_total IS DISTINCT FROM r_total THEN ts END) AS first_mismatch,
+  CAST(SUM(l_total) AS BIGINT) AS left_total, CAST(SUM(r_total) AS BIGINT) AS right_total
+  FROM l FULL JOIN r USING (shop, ts) GROUP BY shop)"""
+SQL["reconcile_keyed"] = with_(SHOP_TX, SHOP_AUTH, _SHOP_RECONCILE) + "SELECT * FROM rec"
+
+
+def _measured(name: str, src: str, key: str, category: str, cols: list[str]) -> str:
+    nulls = " + ".join(f"SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in cols)
+    one = f"""(SELECT shop, COUNT(*) AS n_rows, {nulls} AS nulls, SUM(CASE WHEN cnt < 0 THEN 1 ELSE 0 END) AS negative,
+      COUNT(DISTINCT {category}) AS categories, COUNT(*) - COUNT(DISTINCT {key}) AS again, COUNT(DISTINCT ts) AS stamps,
+      date_diff('hour', MIN(ts), MAX(ts)) + 1 - COUNT(DISTINCT ts) AS missing FROM {src} GROUP BY shop)"""
+    return "\nUNION ALL ".join(f"SELECT '{name}' AS dataset, shop, '{m}' AS measure, CAST({c} AS BIGINT) AS value FROM {one}" for m, c in (
+        ("rows", "n_rows"), ("null_cells", "nulls"), ("negative_values", "negative"), ("categories", "categories"),
+        ("repeated_rows", "again"), ("stamps", "stamps"), ("missing_stamps", "missing")))
+
+
+SQL["quality_frame"] = (with_(SHOP_TX, SHOP_AUTH, _SHOP_RECONCILE)
+    + _measured("transactions", "tx", "ts", "status", ["shop", "ts", "status", "cnt"]) + "\nUNION ALL "
+    + _measured("auth_codes", "auth", "(ts, auth_code)", "auth_code", ["shop", "ts", "auth_code", "cnt"]) + "".join(
+    f"\nUNION ALL SELECT 'transactions - auth_codes', shop, '{m}', {m} FROM rec"
+    for m in ("n_left", "n_right", "n_mismatch", "left_total", "right_total")))
+
+SQL["recent_records_keyed"] = with_(SHOP_TX) + """
+SELECT shop, ts, status, cnt FROM tx QUALIFY row_number() OVER (PARTITION BY shop ORDER BY ts DESC, status DESC) <= 7"""
+
+_SHOP_TOP = """top AS (SELECT shop, auth_code, CAST(SUM(cnt) AS BIGINT) AS total,
+  row_number() OVER (PARTITION BY shop ORDER BY SUM(cnt) DESC, auth_code)::INT AS place FROM auth {where} GROUP BY shop, auth_code
+  QUALIFY place <= {n})"""
+SQL["top_codes_keyed"] = with_(SHOP_AUTH, _SHOP_TOP.format(where="", n=4)) + "SELECT * FROM top"
+SQL["top_error_series_keyed"] = with_(SHOP_AUTH, _SHOP_TOP.format(where="WHERE auth_code NOT IN ('00', '0')", n=3),
+    "hit AS (SELECT auth.* FROM auth JOIN top USING (shop, auth_code))",
+    "grid AS (SELECT DISTINCT hit.shop, hit.ts, top.auth_code FROM hit JOIN top ON hit.shop = top.shop)") + """
+SELECT g.shop, g.ts, g.auth_code, CAST(COALESCE(hit.cnt, 0) AS BIGINT) AS cnt FROM grid g LEFT JOIN hit USING (shop, ts, auth_code)"""
+
+SQL["auth_rates_keyed"] = with_(SHOP_AUTH, """totals AS (SELECT shop, auth_code, SUM(cnt) AS total FROM auth GROUP BY shop, auth_code),
+code AS (SELECT shop, COALESCE(MAX(auth_code) FILTER (auth_code = '00'), MAX(auth_code) FILTER (auth_code = '0'),
+         arg_min(auth_code, (-total, auth_code))) AS c FROM totals GROUP BY shop)""") + """
+SELECT shop, ts, CAST(SUM(CASE WHEN auth_code = c THEN cnt ELSE 0 END) AS BIGINT) AS approved_cnt, CAST(SUM(cnt) AS BIGINT) AS auth_total,
+       CAST(SUM(CASE WHEN auth_code = c THEN cnt ELSE 0 END) AS DOUBLE) / CAST(SUM(cnt) AS DOUBLE) AS auth_approval_rate,
+       any_value(c) AS approval_code
+FROM auth JOIN code USING (shop) GROUP BY shop, ts"""
+
+SQL["profile_keyed"] = with_(SHOP_TX) + """
+SELECT shop, COUNT(*) AS n_rows, CAST(SUM(cnt) AS BIGINT) AS total_cnt, MIN(ts) AS min_ts, MAX(ts) AS max_ts,
+       COUNT(DISTINCT ts) AS n_stamps, COUNT(DISTINCT status) AS n_statuses FROM tx GROUP BY shop"""
+
+SQL["describe_keyed"] = with_(SHOP_TX, """w AS (SELECT shop, ts, SUM(cnt) AS total,
+  CAST(SUM(CASE WHEN status IN ('denied', 'failed') THEN cnt ELSE 0 END) AS DOUBLE) / CAST(SUM(cnt) AS DOUBLE) AS error_rate FROM tx GROUP BY shop, ts),
+long AS (SELECT shop, 'total' AS metric, CAST(total AS DOUBLE) AS v FROM w UNION ALL SELECT shop, 'error_rate', error_rate FROM w)""") + """
+SELECT shop, metric, COUNT(v) AS n, AVG(v) AS mean, STDDEV_SAMP(v) AS std, MIN(v) AS min, quantile_cont(v, 0.25) AS p25,
+       quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, MAX(v) AS max FROM long GROUP BY shop, metric"""
+
+SQL["value_quantiles"] = "SELECT event_type, COUNT(value) AS n, " + ", ".join(
+    f"quantile_cont(value, {p / 100}) AS q{p}" for p in (1, 25, 50, 75, 99)) + " FROM events WHERE value IS NOT NULL GROUP BY event_type"
+SQL["value_sketch"] = "SELECT event_type, COUNT(value) AS n, true AS within FROM events GROUP BY event_type"
+
+SQL["period_averages"] = with_(TXD, "d AS (SELECT ts, CAST(SUM(cnt) AS BIGINT) AS total FROM txd GROUP BY ts)", """p AS (
+  SELECT l_orderkey, l_linenumber, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS end_ts,
+         CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS start_ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+c AS (SELECT ts, SUM(total) OVER (ORDER BY ts) AS s, row_number() OVER (ORDER BY ts) AS k FROM d),
+e AS (SELECT p.*, hi.s AS s1, hi.k AS k1 FROM p ASOF LEFT JOIN c hi ON p.end_ts >= hi.ts),
+b AS (SELECT e.*, coalesce(lo.s, 0) AS s0, coalesce(lo.k, 0) AS k0 FROM e ASOF LEFT JOIN c lo ON e.start_ts > lo.ts)""") + """
+SELECT l_orderkey, l_linenumber, start_ts, end_ts, CASE WHEN k1 > k0 THEN k1 - k0 ELSE 0 END AS n_stamps,
+       CASE WHEN k1 > k0 THEN CAST(s1 - s0 AS BIGINT) END AS sum_volume,
+       CASE WHEN k1 > k0 THEN CAST(s1 - s0 AS DOUBLE) / (k1 - k0) END AS avg_volume FROM b"""
+
 SQL["validate_records"] = """
 WITH r AS (
   SELECT event_id AS record_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS ts,

@@ -119,6 +119,24 @@ def auth_codes(spark: SparkSession, sf_dir: str, unit: str = "HOUR") -> DataFram
             .groupBy("ts", "auth_code").agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def shop_auth_codes(spark: SparkSession, sf_dir: str, shops: int = 4, unit: str = "HOUR") -> DataFrame:
+    """Several series: ``auth_codes`` per shop.  The last shop's approvals have code '0',
+    the one before has no approvals."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "view")).withColumn("shop", F.col("user_id") % shops)
+    ev = ev.filter(~((F.col("shop") == shops - 2) & (F.col("event_type") == "purchase")))
+    code = F.when(F.col("event_type") == "purchase", F.when(F.col("shop") == shops - 1, "0").otherwise("00")).otherwise(
+        F.lpad((F.lit(1) + event_k() % 7).cast("string"), 2, "0"))
+    return (ev.select("shop", truncate("ts", unit).alias("ts"), code.alias("auth_code"))
+            .groupBy("shop", "ts", "auth_code").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def shipping_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A period per line item: from the day of its order to that of its shipping (which may lie before it)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", truncate("l_shipdate", "DAY").alias("end_ts"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", truncate("o_orderdate", "DAY").alias("start_ts"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey")
+
+
 def raw_records(spark: SparkSession, sf_dir: str, unit: str = "MINUTE") -> DataFrame:
     """One record per event: status from the event type with sign-ups as the
     unmonitored ``refunded``, count = floor(value) - 1 (negative below 1)."""
