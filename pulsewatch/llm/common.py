@@ -69,3 +69,17 @@ def matrix(column, dtype):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def slices(batch, column: int, size: int):
+    """Parts of a record batch whose strings in ``column`` take about ``size`` bytes
+    together; a longer string is a part by itself."""
+    import numpy as np
+    import pyarrow.compute as pc
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

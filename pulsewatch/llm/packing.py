@@ -17,14 +17,16 @@ packed once each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, slices
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
@@ -32,79 +34,110 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bi
 # A chunk without white space that the tokenizer surely splits into leading
 # marks, one word and trailing marks; anything else is encoded as it stands.
 _MARKS = r"[!-&(-/:;=>?@\[-`{-~]*"
-_SIMPLE = re.compile(rf"({_MARKS})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_MARKS})")
+_SIMPLE = rf"^(?P<before>{_MARKS})(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>{_MARKS})$"
 # Controls that str.split() takes for white space and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_WORD_END = "</w>"
+#: Texts are encoded in slices of about so many bytes.
+SLICE_BYTES = 1 << 22
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ``pool[start:start + size]`` one after the other."""
+    at = np.cumsum(size) - size
+    return pool[np.repeat(start - at, size) + np.arange(int(size.sum()))]
 
 
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
-    No token spans white space, so the ids of a text are those of its chunks in
-    order; chunks and words seen before are looked up.  The memory is bounded:
-    beyond ``keep`` entries it goes on with the shorter half, as short chunks recur.
+    No token spans white space, so the ids of a text are those of its chunks in order.
+    A slice of texts has its chunks counted in Arrow, each kind is cut into marks,
+    a word and marks, and the ids of the distinct parts are laid out by index.  Plain
+    words need no normalising and no pattern: they go to the vocabulary's merges alone.
+    Nothing is kept from one window of ``chunks`` chunks to the next.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, chunks: int = 1 << 20):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep = keep
-        self.words: dict[str, bytes] = {"": b""}
-        self.chunks: dict[str, bytes] = {}
-
-    def _encode_new(self, parts: list[str]) -> None:
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
+        self.chunks = chunks
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of letters, and how many each has: the last token of
+        a word, and no other, ends one."""
+        if not words:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        runs = self.plain.encode_batch_fast([" ".join(words[i:i + 256]) for i in range(0, len(words), 256)], add_special_tokens=False)
+        ids = np.concatenate([np.asarray(r.ids, dtype="<u4") for r in runs])
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _odd(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any parts without white space; an empty one has none."""
+        if not parts:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
         e = self.tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(e.ids, dtype="<u4")
-        owner = np.asarray(e.word_ids, dtype=np.int64)
-        ends = np.searchsorted(owner, np.arange(len(parts)), side="right").tolist()
-        raw, at = ids.tobytes(), 0
-        for part, end in zip(parts, ends):
-            self.words[part] = raw[4 * at:4 * end]
-            at = end
-
-    def _learn(self, new: set[str]) -> None:
-        split, unknown, words = [], set(), self.words
-        for c in new:
-            m = _SIMPLE.fullmatch(c)
-            if m:
-                before, word, after = m.groups()
-                word = word.lower()
-            elif len(c) > 64 or "<|" in c:
-                self.chunks[c] = self.whole(c)
-                continue
-            else:
-                before, word, after = "", c, ""
-            if word not in words:
-                unknown.add(word)
-            if before not in words:
-                unknown.add(before)
-            if after not in words:
-                unknown.add(after)
-            split.append((c, before, word, after))
-        if unknown:
-            self._encode_new(list(unknown))
-        for c, before, word, after in split:
-            self.chunks[c] = words[before] + words[word] + words[after]
-
-    def _shrink(self, known: dict[str, bytes]) -> dict[str, bytes]:
-        if len(known) <= self.keep:
-            return known
-        middle = int(np.median([len(k) for k in known]))
-        return {k: v for k, v in known.items() if len(k) < middle}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(e.ids, dtype="<u4"), np.bincount(np.asarray(e.word_ids, dtype=np.int64), minlength=len(parts))
+
+    def _window(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after the other, and how many each has."""
+        coded = pa.array(chunks, pa.string()).dictionary_encode()
+        kinds, empty = coded.dictionary, pa.scalar("")
+        m = pc.extract_regex(kinds, _SIMPLE)
+        simple = pc.is_valid(m)
+        # A very long odd chunk, or one with a special token's sign, is encoded apart.
+        apart = pc.and_(pc.invert(simple), pc.or_(pc.greater(pc.utf8_length(kinds), 64), pc.match_substring(kinds, "<|")))
+        alone = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        rest = pc.if_else(pc.or_(simple, apart), empty, kinds)
+        sides = [pc.fill_null(pc.struct_field(m, name), empty) for name in ("before", "after")]
+        word = pc.fill_null(pc.utf8_lower(pc.struct_field(m, "word")), empty)
+        n = len(kinds)
+        words = word.filter(simple).dictionary_encode()
+        odd = pa.concat_arrays([sides[0], rest, sides[1]]).dictionary_encode()
+        pools, sizes = zip(self._words(words.dictionary.to_pylist()), self._odd(odd.dictionary.to_pylist()))
+        extra = [self.whole(x) for x in kinds.take(pa.array(alone)).to_pylist()]
+        pool = np.concatenate([*pools, *extra])
+        size = np.concatenate([*sizes, [len(x) for x in extra], [0]]).astype(np.int64)
+        start = np.cumsum(size) - size
+        # Four parts a kind: marks, a word or what is encoded apart, any other chunk, marks.
+        part = np.full((n, 4), len(size) - 1)
+        first_odd = len(words.dictionary)
+        part[:, [0, 2, 3]] = first_odd + odd.indices.to_numpy().reshape(3, n).T
+        part[simple.to_numpy(zero_copy_only=False), 1] = words.indices.to_numpy()
+        part[alone, 1] = first_odd + len(odd.dictionary) + np.arange(len(alone))
+        pool = _gather(pool, start[part].reshape(-1), size[part].reshape(-1))
+        size = size[part].sum(axis=1)
+        each = coded.indices.to_numpy()
+        return _gather(pool, (np.cumsum(size) - size)[each], size[each]), size[each]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunked = [None if t and _ODD_SPACE.search(t) else (t or "").split() for t in texts]
-        self.chunks, self.words = self._shrink(self.chunks), self._shrink(self.words)
-        new = set()
-        for c in chunked:
-            if c:
-                new.update(c)
-        self._learn(new.difference(self.chunks))
-        known = self.chunks.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, chunked)]
+        flat = [c for cs in chunked if cs for c in cs]
+        ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(flat), self.chunks):
+            i, n = self._window(flat[at:at + self.chunks])
+            ids.append(i)
+            sizes.append(n)
+        raw = np.concatenate(ids).tobytes()
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) * 4
+        out, chunk = [], 0
+        for t, cs in zip(texts, chunked):
+            if cs is None:
+                out.append(self.whole(t).tobytes())
+            else:
+                out.append(raw[upto[chunk]:upto[chunk + len(cs)]])
+                chunk += len(cs)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -224,8 +257,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, SLICE_BYTES):
                 for i, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
                     held.append((i, ids + end))
                     tokens += len(ids) // 4 + 1

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import ship, slices, written
 from .html import STOP_WORDS
 
 SYMBOLS = "#*$%&|<>"
@@ -142,25 +142,18 @@ def measure(texts: list[str | None]) -> list[tuple]:
     return out
 
 
-def votes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", slice_chars: int = 1 << 22) -> DataFrame:
+def votes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", slice_bytes: int = 1 << 22) -> DataFrame:
     """COUNTS and votes of every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pulsewatch.llm import quality as Q
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and (end == at or held + len(texts[end] or "") <= slice_chars):
-                    held += len(texts[end] or "")
-                    end += 1
-                rows = list(zip(*Q.measure(texts[at:end])))
+            for part in slices(batch, 1, slice_bytes):
+                rows = list(zip(*Q.measure(part.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, end - at), *(pa.array(c, pa.int64()) for c in rows[:-1]), pa.array(rows[-1], pa.string())],
+                    [part.column(0), *(pa.array(c, pa.int64()) for c in rows[:-1]), pa.array(rows[-1], pa.string())],
                     names=["doc_id", *Q.COUNTS, "votes"])
-                at = end
 
     return docs.select(docs[doc_id].cast("bigint"), docs[text].cast("string")).mapInArrow(run, SCHEMA)
 

@@ -21,13 +21,27 @@ def whole():
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-def test_encoder_equals_the_tokenizer(whole):
-    enc = packing.Encoder(tokenizer_path(), keep=50)
+@pytest.mark.parametrize("chunks", [1, 37, 1 << 20])
+def test_encoder_equals_the_tokenizer(whole, chunks):
+    enc = packing.Encoder(tokenizer_path(), chunks=chunks)
     r = random.Random(5)
-    texts = ODD + ["".join(r.choice("aB é'.,!<|> \n\t9ß-中́") for _ in range(80)) for _ in range(300)]
-    for _ in range(2):  # also when everything is known, and after shrinking
-        for t, ids in zip(texts, enc.encode(texts)):
-            assert np.frombuffer(ids, "<u4").tolist() == whole(t)[:-1], t
+    texts = ODD + ["", None, "ünïcode WORDS: (straße) don't 's '' ÀÉ×÷ ß" * 9, "a" * 500, "<|endoftext|> x<|b"] + ["".join(r.choice("aB é'.,!<|> \n\t9ß-中́") for _ in range(80)) for _ in range(300)]
+    for t, ids in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole(t)[:-1], t
+    assert enc.encode([]) == [] and enc.encode([None, ""]) == [b"", b""]
+
+
+def test_memory_of_the_encoder_is_one_window(whole):
+    """Words met once leave nothing behind."""
+    import tracemalloc
+    enc, r = packing.Encoder(tokenizer_path()), random.Random(1)
+    texts = lambda: [" ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(400)) for _ in range(50)]
+    enc.encode(texts())
+    tracemalloc.start()
+    for _ in range(5):
+        enc.encode(texts())
+    assert tracemalloc.get_traced_memory()[0] < 1_000_000
+    tracemalloc.stop()
 
 
 @pytest.mark.parametrize("window,piece,block", [(4096, 1024, 1 << 19), (64, 16, 500), (32, 32, 1)])
