@@ -83,3 +83,17 @@ def slices(batch, column: int, size: int):
         end = max(at + 1, int(np.searchsorted(upto, before + size, side="right")))
         yield batch.slice(at, end - at)
         at = end
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker stays for
+    the stages to come, and what it holds idle they lack."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)

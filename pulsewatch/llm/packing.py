@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import ship, slices
+from .common import give_back, ship, slices
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
@@ -35,8 +34,8 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bi
 # marks, one word and trailing marks; anything else is encoded as it stands.
 _MARKS = r"[!-&(-/:;=>?@\[-`{-~]*"
 _SIMPLE = rf"^(?P<before>{_MARKS})(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>{_MARKS})$"
-# Controls that str.split() takes for white space and the tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Controls that splitting takes for white space and the tokenizer does not.
+_ODD_SPACE = "[\\x1c-\\x1f]"
 _WORD_END = "</w>"
 #: Texts are encoded in slices of about so many bytes.
 SLICE_BYTES = 1 << 22
@@ -89,9 +88,9 @@ class Encoder:
         e = self.tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
         return np.asarray(e.ids, dtype="<u4"), np.bincount(np.asarray(e.word_ids, dtype=np.int64), minlength=len(parts))
 
-    def _window(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _window(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks one after the other, and how many each has."""
-        coded = pa.array(chunks, pa.string()).dictionary_encode()
+        coded = chunks.dictionary_encode()
         kinds, empty = coded.dictionary, pa.scalar("")
         m = pc.extract_regex(kinds, _SIMPLE)
         simple = pc.is_valid(m)
@@ -118,25 +117,25 @@ class Encoder:
         pool = _gather(pool, start[part].reshape(-1), size[part].reshape(-1))
         size = size[part].sum(axis=1)
         each = coded.indices.to_numpy()
+        del part, kinds, rest, sides, word, odd, words, m
         return _gather(pool, (np.cumsum(size) - size)[each], size[each]), size[each]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunked = [None if t and _ODD_SPACE.search(t) else (t or "").split() for t in texts]
-        flat = [c for cs in chunked if cs for c in cs]
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text; a NULL has none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))  # may give empty chunks: they have no ids
+        flat, count = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
         ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
         for at in range(0, len(flat), self.chunks):
-            i, n = self._window(flat[at:at + self.chunks])
+            i, n = self._window(flat.slice(at, self.chunks))
             ids.append(i)
             sizes.append(n)
         raw = np.concatenate(ids).tobytes()
-        upto = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) * 4
-        out, chunk = [], 0
-        for t, cs in zip(texts, chunked):
-            if cs is None:
-                out.append(self.whole(t).tobytes())
-            else:
-                out.append(raw[upto[chunk]:upto[chunk + len(cs)]])
-                chunk += len(cs)
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[np.concatenate([[0], np.cumsum(count)])] * 4
+        out = [raw[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self.whole(texts[k].as_py()).tobytes()
         return out
 
 
@@ -258,13 +257,14 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
 
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
-                for i, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+                for i, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     held.append((i, ids + end))
                     tokens += len(ids) // 4 + 1
                     if tokens >= block_tokens:
                         yield out()
         if held:
             yield out()
+        give_back()
 
     picked = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     return picked.mapInArrow(run, SCHEMA)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, ship, written
+from .common import give_back, saved, ship, written
 from .graph import components
 
 SEED = 42
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
             fps = [of(t.as_py(), shingle) for t in batch.column(1)]
             signed = np.array(fps, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed), *batch.columns[2:]], names=names)
+        give_back()
 
     also = also or {}
     names = ["doc_id", "fp", *also]

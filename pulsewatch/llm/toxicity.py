@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import give_back, ship
 
 # Groups of identity terms that may stand for one another.
 IDENTITY_GROUPS = (
@@ -248,5 +248,6 @@ def reject(docs: DataFrame, model: Model, text: str = "text", at: float = 0.5) -
         for batch in batches:
             keep = [model.score(t.as_py()) < at for t in batch.column(where)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsewatch.llm import packing
@@ -26,16 +27,16 @@ def test_encoder_equals_the_tokenizer(whole, chunks):
     enc = packing.Encoder(tokenizer_path(), chunks=chunks)
     r = random.Random(5)
     texts = ODD + ["", None, "ünïcode WORDS: (straße) don't 's '' ÀÉ×÷ ß" * 9, "a" * 500, "<|endoftext|> x<|b"] + ["".join(r.choice("aB é'.,!<|> \n\t9ß-中́") for _ in range(80)) for _ in range(300)]
-    for t, ids in zip(texts, enc.encode(texts), strict=True):
+    for t, ids in zip(texts, enc.encode(pa.array(texts, pa.string())), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == whole(t)[:-1], t
-    assert enc.encode([]) == [] and enc.encode([None, ""]) == [b"", b""]
+    assert enc.encode(pa.array([], pa.string())) == [] and enc.encode(pa.array([None, ""], pa.string())) == [b"", b""]
 
 
 def test_memory_of_the_encoder_is_one_window(whole):
     """Words met once leave nothing behind."""
     import tracemalloc
     enc, r = packing.Encoder(tokenizer_path()), random.Random(1)
-    texts = lambda: [" ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(400)) for _ in range(50)]
+    texts = lambda: pa.array([" ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(400)) for _ in range(50)])
     enc.encode(texts())
     tracemalloc.start()
     for _ in range(5):
