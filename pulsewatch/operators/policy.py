@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..config import MONITORED_STATUSES, PROBLEM_STATUSES, PolicyParams, check_range, unit_seconds
 from ..functions.columns import exact_std, fmt1, round_half_up, sum_sq
 from .series import wide
-from .windows import trailing
+from .windows import latest_stamp, trailing
 
 
 def _stats(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
@@ -105,16 +105,18 @@ def _cols_for(statuses, wide_src: DataFrame, cur_cond: Column) -> list[Column]:
 
 
 def policy_snapshot(df: DataFrame, params: PolicyParams = PolicyParams(), unit: str = "MINUTE",
-                    keys: Sequence[str] = (), statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
+                    keys: Sequence[str] = (), statuses: Sequence[str] = MONITORED_STATUSES,
+                    newest: DataFrame | None = None) -> DataFrame:
     """One row per key: the detector at the latest stamp (wide form).  Without
     keys there is always a row: an empty table has no history and no stamp."""
     p = params
     step = unit_seconds(unit)
-    hist = wide(trailing(df, p.history_window, unit, keys), statuses=statuses, keys=keys, with_total=False)
+    latest = None if keys else latest_stamp(df)
+    hist = wide(trailing(df, p.history_window, unit, keys, latest=latest, newest=newest), statuses=statuses, keys=keys, with_total=False)
     if keys:
         hist = hist.withColumn("eval_ts", F.max("ts").over(Window.partitionBy(*keys)))
     else:
-        hist = hist.withColumn("eval_ts", df.select(F.max("ts")).scalar())
+        hist = hist.withColumn("eval_ts", F.lit(latest).cast(df.schema["ts"].dataType))
     cur = F.col("ts") >= F.col("eval_ts") - F.expr(f"INTERVAL {p.current_window * step} SECONDS")
     aggs = _cols_for(statuses, hist, cur)
     frame = hist.groupBy(*keys).agg(F.max("eval_ts").alias("eval_ts"), *aggs)
@@ -125,9 +127,10 @@ def policy_snapshot(df: DataFrame, params: PolicyParams = PolicyParams(), unit:
 
 
 def policy_detect(df: DataFrame, params: PolicyParams = PolicyParams(), unit: str = "MINUTE",
-                  keys: Sequence[str] = (), statuses: Sequence[str] = MONITORED_STATUSES) -> DataFrame:
+                  keys: Sequence[str] = (), statuses: Sequence[str] = MONITORED_STATUSES,
+                  newest: DataFrame | None = None) -> DataFrame:
     """Per-status details at the latest stamp (none when history is short)."""
-    return _details(policy_snapshot(df, params, unit, keys, statuses), keys, statuses, extra=("eval_ts",))
+    return _details(policy_snapshot(df, params, unit, keys, statuses, newest), keys, statuses, extra=("eval_ts",))
 
 
 def policy_backtest(df: DataFrame, params: PolicyParams = PolicyParams(), unit: str = "MINUTE",

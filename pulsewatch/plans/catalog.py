@@ -988,6 +988,31 @@ def q_csv_checkout(spark, sf):
                                                 F.sum("yesterday").cast("bigint").alias("yesterday"))
 
 
+def _facts(spark, sf, keys=()):
+    """The series (of the shops) as a fact table that the library appended to, and its path."""
+    path = f"{scratch_path(spark, 'facts')}/tx"
+    files.append_transactions(A.shop_transactions(spark, sf) if keys else A.transactions(spark, sf), path, keys=keys)
+    return spark.read.parquet(path), path
+
+
+@register("facts_status_summary")
+def q_facts_status_summary(spark, sf):
+    """The status summary over a fact table by date: the window's days are read."""
+    return windows.status_summary(_facts(spark, sf)[0], window=24, unit="HOUR")
+
+
+@register("facts_policy_detect")
+def q_facts_policy_detect(spark, sf):
+    return policy.policy_detect(_facts(spark, sf)[0], unit="HOUR").select(*DETAIL_COLS)
+
+
+@register("facts_status_summary_keyed")
+def q_facts_status_summary_keyed(spark, sf):
+    """Each shop's summary at its own latest stamp, which is kept beside the table."""
+    tx, path = _facts(spark, sf, ["shop"])
+    return windows.status_summary(tx, window=24, unit="HOUR", keys=["shop"], newest=files.newest_stamps(spark, path, ["shop"]))
+
+
 @register("fact_append")
 def q_fact_append(spark, sf):
     """Two appends and a reset in between: the table holds what came after."""

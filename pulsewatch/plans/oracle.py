@@ -240,6 +240,13 @@ SELECT l_orderkey, l_linenumber, start_ts, end_ts, CASE WHEN k1 > k0 THEN k1 - k
        CASE WHEN k1 > k0 THEN CAST(s1 - s0 AS BIGINT) END AS sum_volume,
        CASE WHEN k1 > k0 THEN CAST(s1 - s0 AS DOUBLE) / (k1 - k0) END AS avg_volume FROM b"""
 
+SQL["facts_status_summary_keyed"] = with_(SHOP_TX, "l AS (SELECT shop, MAX(ts) AS latest FROM tx GROUP BY shop)",
+    "w AS (SELECT tx.* FROM tx JOIN l USING (shop) WHERE ts >= latest - INTERVAL 24 HOUR)") + """
+SELECT shop, status, CAST(SUM(cnt) AS BIGINT) AS total, ROUND(AVG(cnt), 2) AS avg_cnt,
+       MAX(cnt) AS max_cnt, MIN(cnt) AS min_cnt, COUNT(*) AS data_points,
+       CAST(SUM(COUNT(*)) OVER (PARTITION BY shop) AS BIGINT) AS total_points
+FROM w GROUP BY shop, status"""
+
 SQL["validate_records"] = """
 WITH r AS (
   SELECT event_id AS record_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS ts,
@@ -1017,3 +1024,7 @@ for _old, _new in (("greatest(sd, 1.0)", "greatest(sd, 0.01)"), ("total < 5", "t
 
 SQL["insert_histogram"] = "\n".join(x for x in SQL["duration_histogram"].split("\n")).replace(
     "SELECT operation, '1' AS le, b8 AS bucket_count, sum, count FROM g\nUNION ALL\n", "")
+
+# The same results over a fact table that the library wrote.
+SQL["facts_status_summary"] = SQL["status_summary"]
+SQL["facts_policy_detect"] = SQL["policy_detect"]

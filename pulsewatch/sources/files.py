@@ -5,6 +5,8 @@ Every reader passes an explicit schema (no inference pass over the data)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,11 +52,16 @@ def read_auth_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("timestamp").alias("ts"), "auth_code", F.col("count").alias("cnt"))
 
 
-def append_transactions(df: DataFrame, path: str, reset: bool = False) -> int:
+def append_transactions(df: DataFrame, path: str, reset: bool = False, keys: Sequence[str] = ()) -> int:
     """Append records to the fact table stamped with ``ingested_at``,
     partitioned by date; ``reset=True`` replaces the table.  Returns the
     number of rows written, observed in the write itself (the input is computed
-    once)."""
+    once).  With ``keys`` the newest stamp of each series is written beside the table,
+    before its rows are: it may run ahead of them, never behind."""
+    if keys:
+        df = df.checkpoint()
+        (df.groupBy(*keys).agg(F.max("ts").alias("newest")).coalesce(1)
+         .write.mode("overwrite" if reset else "append").parquet(newest_path(path)))
     seen = Observation()
     out = (df.withColumn("ingested_at", F.current_timestamp().cast("timestamp_ntz"))
            .withColumn("date", F.to_date("ts")).observe(seen, F.count(F.lit(1)).alias("rows")))
@@ -62,6 +69,16 @@ def append_transactions(df: DataFrame, path: str, reset: bool = False) -> int:
     return seen.get["rows"]
 
 
+def newest_path(path: str) -> str:
+    return f"{path.rstrip('/')}_newest"
+
+
+def newest_stamps(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, newest): the latest stamp of each series of a fact table, without reading the
+    table; a row per key and append."""
+    return spark.read.parquet(newest_path(path)).groupBy(*keys).agg(F.max("newest").alias("newest"))
+
+
 def export_by_snapshot(df: DataFrame, path: str) -> None:
     """One CSV folder per snapshot (header on)."""
     df.write.mode("overwrite").option("header", True).partitionBy("snapshot").csv(path)

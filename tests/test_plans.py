@@ -39,3 +39,42 @@ def test_series_windows_are_split(spark, key):
     assert windows or key in ("anomaly_timeline", "rule_book")  # written before they are read again
     for w in windows:
         assert "_chunk" in w or "_home" in w, w
+
+
+@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test data not present")
+def test_trailing_windows_read_the_days_of_a_fact_table(spark, tmp_path):
+    """Operators over a table that append_transactions wrote bound its days and stamps."""
+    from pulsewatch.operators import policy, series, windows
+    from pulsewatch.sources import files
+
+    path = str(tmp_path / "tx")
+    assert files.append_transactions(A.shop_transactions(spark, SMOKE), path, keys=["shop"]) > 0
+    tx, newest = spark.read.parquet(path), files.newest_stamps(spark, path, ["shop"])
+    frames = {"summary": windows.status_summary(tx, 24, "HOUR"), "detect": policy.policy_detect(tx, unit="HOUR"),
+              "status": policy.current_status(tx, unit="HOUR"), "history": series.history_window(tx, 24, "HOUR"),
+              "keyed summary": windows.status_summary(tx, 24, "HOUR", ["shop"], newest),
+              "keyed detect": policy.policy_detect(tx, unit="HOUR", keys=["shop"], newest=newest)}
+    for name, df in frames.items():
+        text = plan_text(df)
+        scans = [x for x in text.split("\n\n") if "Scan parquet" in x and "/tx]" in x and "Location" in x]
+        assert scans, name
+        for scan in scans:
+            assert re.search(r"PartitionFilters: \[[^\]]*date#\d+ >= ", scan), (name, scan)
+            assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,", scan), (name, scan)
+    plain = windows.status_summary(tx.drop("date"), 24, "HOUR", ["shop"])
+    assert sorted(map(tuple, frames["keyed summary"].collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_quiet_series_and_empty_tables_keep_their_window(spark):
+    import datetime as dt
+
+    from pulsewatch.operators import policy, windows
+
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [(1, t0 + dt.timedelta(minutes=m), "denied", 1) for m in range(5)] + [(2, t0 + dt.timedelta(days=9), "denied", 7)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, status string, cnt long").selectExpr("*", "to_date(ts) AS date")
+    got = {(r.k, r.total, r.data_points) for r in windows.status_summary(df, 3, keys=["k"]).collect()}
+    assert got == {(1, 4, 4), (2, 7, 1)}
+    none = df.limit(0)
+    assert windows.status_summary(none, 3).collect() == [] and windows.status_summary(none, 3, keys=["k"]).collect() == []
+    assert windows.latest_stamp(none) is None and policy.current_status(none).first().eval_ts is None
