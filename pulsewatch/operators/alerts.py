@@ -16,10 +16,11 @@ The cooldown is a sequential fold, computed exactly without one task per key:
    or after ``t + cooldown`` (sorted windows per (key, time chunk), with a
    second small pass for answers that lie in a later chunk);
 3. the fired alerts are exactly the nodes reachable from the bursts' first
-   candidates.  One table per round holds ``J = successor^(2^k)`` and a
-   ``reached`` mark: each round marks the J-targets of reached nodes and squares
-   J by a self-join; rounds end when no mark is new, so they follow the log2 of
-   the longest burst.
+   candidates.  A node is live while its ``J = successor^(2^k)`` lies in its own burst;
+   each round gives out the J-targets of reached live nodes and squares J by a
+   self-join of the live ones.  Candidates that fire alone or end a chain drop out at
+   once; rounds end when no target is left, so they follow the log2 of the longest
+   burst and carry only what is undecided.
 
 Times are in microseconds.  Every step is a join or a window per chunk, so a
 hot key is spread by the shuffle (and by AQE's skew-join split).
@@ -99,26 +100,26 @@ def cooldown_filter(cands: DataFrame, keys: Sequence[str] = ("status", "severity
     one = F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(F.xxhash64(*cands.columns)))
     cands = cands.withColumn("_t", _micros(ts)).withColumn("_one", one).filter("_one = 1").drop("_one").checkpoint()
     nodes = cands.select(*keys, F.col("_t").alias("t"))
-    first = burst_starts(nodes, keys, gap).withColumn("_first", F.lit(True))
-    table = (successor(nodes, keys, gap).join(first, [*keys, "t"], "left")
-             .select(*keys, "t", "nxt", F.coalesce("_first", F.lit(False)).alias("reached")).checkpoint())
-    reached = table.filter("reached").count()
+    first = burst_starts(nodes, keys, gap).checkpoint()
+    # The next burst's start fires anyway: a chain is followed inside its burst only.
+    jumps = (successor(nodes, keys, gap).filter(F.col("nxt").isNotNull())
+             .join(first.withColumnRenamed("t", "nxt"), [*keys, "nxt"], "left_anti"))
+    live = (jumps.join(first.withColumn("_first", F.lit(True)), [*keys, "t"], "left")
+            .select(*keys, "t", "nxt", F.coalesce("_first", F.lit(False)).alias("reached")).checkpoint())
+    fired = first
     while True:
-        marks = (table.filter(F.col("reached") & F.col("nxt").isNotNull())
-                 .select(*keys, F.col("nxt").alias("t"), F.lit(True).alias("_hit")).distinct())
-        a, b = table.alias("a"), table.alias("b")
+        hits = live.filter("reached").select(*keys, F.col("nxt").alias("t")).distinct().checkpoint()
+        if hits.isEmpty():
+            break
+        fired = fired.unionByName(hits)
+        a, b = live.alias("a"), live.alias("b")
         cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.nxt") == F.col("b.t")]
-        squared = a.join(b, cond, "left").select(
+        squared = a.join(b, cond).select(
             *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.t").alias("t"),
             F.col("b.nxt").alias("nxt"), F.col("a.reached").alias("reached"))
-        table = (squared.join(marks, [*keys, "t"], "left")
-                 .select(*keys, "t", "nxt", (F.col("reached") | F.coalesce("_hit", F.lit(False))).alias("reached"))
-                 .checkpoint())
-        now = table.filter("reached").count()
-        if now == reached:
-            break
-        reached = now
-    fired = table.filter("reached").select(*keys, F.col("t").alias("_t"))
+        live = (squared.join(hits.withColumn("_hit", F.lit(True)), [*keys, "t"], "left")
+                .select(*keys, "t", "nxt", (F.col("reached") | F.coalesce("_hit", F.lit(False))).alias("reached")).checkpoint())
+    fired = fired.withColumnRenamed("t", "_t")
     return cands.join(fired, [*keys, "_t"], "left_semi").select(*[c for c in cands.columns if c != "_t"])
 
 
