@@ -3,14 +3,17 @@
 A page is cut into blocks at block-level tags.  Pass one decides each block
 from what it holds and where it stands: blocks in page furniture (menus,
 headers, footers, asides, forms, adverts, notices, comments: by tag, role, or
-words of class and id) and blocks dense in links are out; long blocks dense in
-stop words are in, shorter ones probably; short blocks stay ambiguous.  Words of
-class and id don't count on an element that holds the article, or on a page
-without one most of the text.  Where a page's stop words are of none of the
-languages known here, the length of a block decides.  Pass two
-gives ambiguous blocks the label of their nearest decided neighbours in the
-same region.  Regions are the article (or main) element and the rest; where a
-page has an article, its stop-word thresholds are waived and the rest is out.
+names of class and id) and blocks dense in links are out; long blocks dense in
+stop words are in, shorter ones probably; short blocks stay ambiguous.  A name of a
+class or id counts where it ends in a word of furniture, or begins with one that
+words of place follow.  It doesn't on an element that holds the article, or (but for
+readers' comments) most of the text of its region.  Where a region's stop words are of
+none of the languages known here, the length of a block decides.  Pass two gives
+ambiguous blocks the label of their nearest decided neighbours in the same region.
+Regions are the article and the main element and the rest.  That a block stands in
+an article or main element is a prior for it: with few stop words it is out only
+between blocks that are.  The article's text is the page's, unless the main element
+has more than twice as much beside it; the rest counts on pages without either.
 
 Defined results: a NULL or empty page, or one without main text, gives an empty
 text; repeated rows get a row each; an empty table gives no rows; extra columns
@@ -23,6 +26,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +57,7 @@ CONTAINERS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 FURNITURE_TAGS = frozenset("aside button dialog footer form menu nav fieldset".split())
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-# Words of class or id: always furniture, and furniture unless in the article.
+# Words of class or id: always furniture, readers' comments, and furniture unless in the article.
 FURNITURE = frozenset(
     "ad ads adv advert advertisement adverts advertising adslot aside banner breadcrumb breadcrumbs comment commentlist "
     "comments consent cookie cookies disclaimer discussion disqus dropdown footer gdpr hidden login menu modal nav navbar "
@@ -61,6 +65,15 @@ FURNITURE = frozenset(
     "reply respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
 FURNITURE_OUTSIDE = frozenset("alert bar copyright header legal links masthead meta search skip tags top".split())
 
+COMMENTS = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
+# Words that tell the place or shape of furniture, and those that tell of a state.
+PLACES = frozenset(
+    "area articles author bar block body bottom box btn button buttons cell column container content copyright desktop "
+    "entry form global group heading holder icon icons image inner item items label left link links list main meta "
+    "mobile module outer panel position posts primary region right row secondary section site slot sticky stories text "
+    "thread title toggle top unit view wrap wrapper zone".split())
+STATES = frozenset("allow can enable has hide is js no not show with without".split())
+
 _RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video"
 _MARKUP = re.compile(
     rf"""<!--.*?(?:-->|\Z)
@@ -87,6 +100,12 @@ class Block:
     region: str  # "article", "main" or "page"
     label: str = ""
 
+    @cached_property
+    def stops(self) -> tuple[int, int]:
+        """How many stop words, of how many words."""
+        w = _WORD.findall(self.text.lower())
+        return sum(x in STOP_WORDS for x in w), len(w)
+
 
 @dataclass
 class _Element:
@@ -95,31 +114,42 @@ class _Element:
     above: int
     tag: str
     sure: bool  # furniture by tag, role or style
-    named: bool  # by words of class or id
+    named: bool  # by names of class or id
+    readers: bool  # of which comments
     depth: int  # elements above that are furniture by such words
     chars: int = 0
 
 
-def _furniture(tag: str, attr: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture, by tag, role or style, and by words of
-    class or id."""
+def _names(value: str, words: frozenset[str]) -> bool:
+    """Whether a class or id names furniture of these words."""
+    for token in value.split():
+        parts = [p.lower() for p in _PART.findall(token)]
+        if parts and parts[0] not in STATES and (parts[-1] in words or (parts[0] in words and all(
+                len(p) == 1 or p in PLACES or p in words for p in parts[1:]))):
+            return True
+    return False
+
+
+def _furniture(tag: str, attr: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture, by tag, role or style, by names of class
+    or id, and by such of comments."""
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True, False
+        return True, False, False
     if not attr or tag in ("html", "body", "main"):
-        return False, False
-    named = False
+        return False, False, False
+    named = readers = False
     for name, value in _ATTR.findall(attr):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            named |= bool(parts & FURNITURE or (not in_article and tag != "article" and parts & FURNITURE_OUTSIDE))
+            named |= _names(value, FURNITURE) or (not in_article and tag != "article" and _names(value, FURNITURE_OUTSIDE))
+            readers |= _names(value, COMMENTS)
         elif name == "role" and value.lower() in FURNITURE_ROLES:
-            return True, named
+            return True, named, readers
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, named
+            return True, named, readers
         elif (name == "hidden" and attr) or (name == "aria-hidden" and value.lower() == "true"):
-            return True, named
-    return False, named
+            return True, named, readers
+    return False, named, readers
 
 
 def _out(found: list[Block], held: list[int], elements: list[_Element]) -> None:
@@ -129,19 +159,20 @@ def _out(found: list[Block], held: list[int], elements: list[_Element]) -> None:
     for e in elements[:0:-1]:
         if not e.sure:
             elements[e.above].chars += e.chars
-    sure, exempt, out = [False], set(), [False]
-    for e in elements[1:]:
+    sure, region, exempt, out = [False], [0], set(), [False]
+    for k, e in enumerate(elements[1:], 1):
         sure.append(e.sure or sure[e.above])
-    mains = []
+        region.append(k if e.tag in ("article", "main") else region[e.above])
+    mains = [k for k, e in enumerate(elements) if e.tag in ("article", "main") and e.chars and not sure[k]]
+    for k, e in enumerate(elements):
+        if (region[k] or not mains) and not e.readers and 2 * e.chars > elements[region[k]].chars:
+            exempt.add(k)
     for tag in ("article", "main"):  # the one least inside such furniture, then with most text
-        mains = mains or [k for k, e in enumerate(elements) if e.tag == tag and e.chars and not sure[k]]
-    if mains:
-        k = min(mains, key=lambda k: (elements[k].depth, -elements[k].chars))
+        of_tag = [k for k in mains if elements[k].tag == tag]
+        k = min(of_tag, key=lambda k: (elements[k].depth, -elements[k].chars), default=0)
         while k:
             exempt.add(k)
             k = elements[k].above
-    else:
-        exempt = {k for k, e in enumerate(elements) if 2 * e.chars > elements[0].chars}
     for k, e in enumerate(elements[1:], 1):
         out.append(out[e.above] or e.sure or (e.named and k not in exempt))
     for b, k in zip(found, held):
@@ -151,7 +182,7 @@ def _out(found: list[Block], held: list[int], elements: list[_Element]) -> None:
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     names: list[str] = []
-    elements, held = [_Element(0, "", False, False, 0)], []
+    elements, held = [_Element(0, "", False, False, False, 0)], []
     state: list[tuple[int, str]] = [(0, "page")]  # innermost of the elements, region
     parts: list[str] = []
     links = anchors = breaks = 0
@@ -209,10 +240,10 @@ def blocks(page: str) -> list[Block]:
                 inside, region = state[-1]
             bad, above = inside, elements[inside]
             if not above.sure:
-                sure, named = _furniture(tag, m["attr"], region == "article")
+                sure, named, readers = _furniture(tag, m["attr"], region == "article")
                 if sure or named or tag in ("article", "main"):
                     bad = len(elements)
-                    elements.append(_Element(inside, tag, sure, named, above.depth + above.named))
+                    elements.append(_Element(inside, tag, sure, named, readers, above.depth + above.named))
             if tag == "article" or (tag == "main" and region == "page"):
                 region = tag
             if tag == "a":
@@ -230,14 +261,9 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _stops(text: str) -> tuple[int, int]:
-    w = _WORD.findall(text.lower())
-    return sum(x in STOP_WORDS for x in w), len(w)
-
-
 def language_known(found: list[Block]) -> bool:
     """Whether the longer blocks hold the stop words of a language known here."""
-    counts = [_stops(b.text) for b in found
+    counts = [b.stops for b in found
               if not b.furniture and len(b.text) >= SHORT and b.link_chars <= LINKS_MOST * len(b.text)]
     return sum(s for s, _ in counts) >= STOPS_LOW * sum(n for _, n in counts)
 
@@ -248,17 +274,16 @@ def decide(b: Block, known: bool = True) -> str:
         return BAD
     if "©" in b.text and b.region != "article" and len(b.text) < LONG:
         return BAD
-    if b.region != "page":
-        return AMBIGUOUS if len(b.text) < SHORT else GOOD
+    inside = b.region != "page"
     if len(b.text) < SHORT:
-        return BAD if b.link_chars else AMBIGUOUS
+        return BAD if b.link_chars and not inside else AMBIGUOUS
     if not known:
-        return GOOD if len(b.text) > LONG else NEAR
-    stops, words = _stops(b.text)
+        return GOOD if inside or len(b.text) > LONG else NEAR
+    stops, words = b.stops
     density = stops / max(1, words)
-    if density >= STOPS_HIGH:
-        return GOOD if len(b.text) > LONG else NEAR
-    return NEAR if density >= STOPS_LOW else BAD
+    if density >= (STOPS_LOW if inside else STOPS_HIGH):
+        return GOOD if inside or len(b.text) > LONG else NEAR
+    return NEAR if inside or density >= STOPS_LOW else BAD
 
 
 def _nearest(found: list[Block], undecided: str) -> None:
@@ -292,16 +317,18 @@ def settle(found: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by an empty line."""
     found = blocks(page or "")
-    for region in ("article", "main", "page"):
+
+    def kept(region: str) -> list[str]:
         part = [b for b in found if b.region == region]
-        known = region != "page" or language_known(part)
+        known = language_known(part)
         for b in part:
             b.label = decide(b, known)
         settle(part)
-        kept = [b.text for b in part if b.label == GOOD]
-        if kept:
-            return "\n\n".join(kept)
-    return ""
+        return [b.text for b in part if b.label == GOOD]
+
+    article, main = kept("article"), kept("main")
+    best = main if sum(map(len, main)) > 2 * sum(map(len, article)) else article
+    return "\n\n".join(best or kept("page"))
 
 
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:

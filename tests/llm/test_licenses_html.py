@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import unicodedata
 
@@ -152,6 +153,88 @@ def test_names_of_what_holds_the_article_do_not_count():
     assert html.main_text(f"<div style='display:none'>{inside}</div>") == html.main_text(f"<form>{inside}</form>") == ""
 
 
+def test_a_name_in_an_article_does_not_drop_its_text():
+    p = PROSE.strip()
+    for name in ("entry-content social-ready", "has-share", "reply-to-critics", "no-ads", "share", "post-share"):
+        assert html.main_text(f'<article><div class="{name}"><p>{PROSE}</p><p>{PROSE}</p></div></article>') == f"{p}\n\n{p}", name
+    for name in ("reply-to-critics", "no-ads", "socialist", "is-hidden-gem"):
+        assert html.main_text(f'<article><p>{PROSE * 3}</p><section class="{name}">{PROSE}</section></article>').endswith(f"\n\n{p}")
+    for name in ("share", "share-buttons", "post-share", "widget area", "relatedPosts", "newsletter-signup", "ad-300x250", "comment-list"):
+        assert html.main_text(f'<article><p>{PROSE * 3}</p><section class="{name}">{PROSE}</section></article>') == " ".join([p] * 3), name
+    readers = f"<div class=comments><p>{PROSE * 9}</p></div>"
+    assert html.main_text(f"<article><p>{PROSE}</p>{readers}</article>") == p
+
+
+def test_region_goes_by_its_text():
+    p = PROSE.strip()
+    teaser = "<article><p>A teaser of another page that is long enough to be taken for the text of this one</p></article>"
+    main = f"<main><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></main>"
+    want = f"Title\n\n{p}\n\n{p}"
+    assert html.main_text(teaser + main) == html.main_text(main + teaser) == want
+    assert html.main_text(f"<main><p>{PROSE}</p><article><p>{PROSE}</p></article></main>") == p
+
+
+def test_density_decides_in_an_article_too():
+    listed = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi omikron pi rho sigma tau"
+    links = "<p><a href=x>Another page of this site about something else</a></p>"
+    p = PROSE.strip()
+    page = f"<article><p>{PROSE}</p><p>{listed}</p><p>{PROSE}</p>{links}<p>{listed}</p>{links}<p>{PROSE}</p></article>"
+    assert html.main_text(page) == "\n\n".join([p, listed, p, p])
+
+
+def plain_passes(given, known):
+    """The two passes as they are stated: (label) of (text, link characters, furniture, region)."""
+    def first(text, links, out, region):
+        if out or links > 0.3 * len(text) or ("©" in text and region != "article" and len(text) < 200):
+            return "bad"
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        density = sum(w in html.STOP_WORDS for w in words) / max(1, len(words))
+        if len(text) < 70:
+            return "bad" if links and region == "page" else "ambiguous"
+        if region != "page":
+            return "good" if not known or density >= 0.12 else "near"
+        if known and density < 0.12:
+            return "bad"
+        return "good" if len(text) > 200 and (not known or density >= 0.2) else "near"
+
+    labels = [first(*b) for b in given]
+    for kind in ("near", "ambiguous"):
+        before = list(labels)
+        fixed = [i for i, b in enumerate(given) if before[i] in ("good", "bad") and not b[2]]
+        for i, label in enumerate(before):
+            if label == kind:
+                up = max((j for j in fixed if j < i), default=None)
+                down = min((j for j in fixed if j > i), default=None)
+                near = [(abs(i - j), before[j]) for j in (up, down) if j is not None]
+                if not near:
+                    labels[i] = "good" if given[i][3] != "page" or kind == "near" else "bad"
+                elif kind == "near":
+                    labels[i] = "bad" if [x for _, x in near] == ["bad", "bad"] else "good"
+                else:
+                    least = min(d for d, _ in near)
+                    labels[i] = "good" if (least, "good") in near else "bad"
+    return labels
+
+
+@pytest.mark.parametrize("region", ["article", "main", "page"])
+def test_passes_match_their_plain_statement(region):
+    r = random.Random(4)
+    words = "the of and in that house tree river stone window garden paper market".split()
+    for _ in range(400):
+        given = []
+        for _ in range(r.randint(1, 12)):
+            bias = r.choice([0, 3, 8, 13])
+            text = " ".join(r.choice(words[:5]) if r.randint(0, 12) < bias else r.choice(words[5:]) for _ in range(r.choice([2, 14, 60])))
+            text += r.choice(["", "", "", " ©"])
+            given.append((text, r.choice([0, 0, 0, len(text), len(text) // 5]), r.random() < 0.1, region))
+        known = r.random() < 0.8
+        found = [html.Block(*b) for b in given]
+        for b in found:
+            b.label = html.decide(b, known)
+        html.settle(found)
+        assert [b.label for b in found] == plain_passes(given, known)
+
+
 def test_head_without_an_end():
     p = PROSE.strip()
     for head in ("<head><title>T</title><meta charset=utf-8><script>x()</script>", "<head><title>T", "<head><link rel=x><style>p{}</style>",
