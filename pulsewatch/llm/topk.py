@@ -1,10 +1,11 @@
 """Exact top-k by inner product (operator 8).
 
-Candidates are dealt to shards of about ``shard_rows`` rows by a hash of their
-id, and the queries go to every shard as one more side of the same group.  A
-task multiplies query tiles with its shard and keeps each query's k best per
-tile; per-query lists are then merged in a tree of ``fan_in`` lists a step, so
-no task sees more than ``fan_in * k`` rows of a query at once.
+Candidates are dealt to shards of about ``shard_rows`` rows and queries to tiles
+of about ``tile_rows``, row by row, so that a repeated id is spread like any other.
+A group is one tile and one shard: its memory doesn't grow with the table or with the
+queries.  A task multiplies the two and keeps each query's k best; per-query
+lists are then merged in a tree of ``fan_in`` lists a step, so no task sees more
+than ``fan_in * k`` rows of a query at once.
 
 Scores are integer: products run in single or double precision where every
 partial sum is exactly representable, and in 64-bit integers otherwise.
@@ -90,29 +91,33 @@ def _shard(k: int):
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
-          scale: int = 256, shard_rows: int = 8192, fan_in: int = 32) -> DataFrame:
+          scale: int = 256, shard_rows: int = 8192, fan_in: int = 32, tile_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest of each query row.
 
-    ``is_query``: condition on the columns of ``vectors``.
+    ``is_query``: condition on the columns of ``vectors``.  Larger ``shard_rows`` and
+    ``tile_rows`` send a row to fewer groups and hold more of them at once.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(vectors[vec_id].cast("bigint").alias("id"), vectors[embedding].alias("e"),
                           F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & finite(F.col("e"))).select(
         "id", quantised(F.col("e"), scale).alias("v"), F.size("e").alias("dim"), "asks")
-    shards = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
-    dealt = rows.join(shards, "dim")
-    # Repeated query rows stay apart: a row number within the rows of one id.
-    asking = dealt.where("asks").withColumn("row", F.row_number().over(
-        Window.partitionBy("id", "dim").orderBy(F.xxhash64("v"))).cast("bigint"))
-    candidates = dealt.select("dim", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard"),
-                              F.lit(False).alias("is_query"), F.lit(0).cast("bigint").alias("row"), "id", "v")
-    queries = asking.select("dim", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"),
-                            F.lit(True).alias("is_query"), "row", "id", "v")
-    lists = candidates.unionByName(queries).groupBy("dim", "shard").applyInArrow(
+    # Rows are numbered: repeated ones stay apart as queries, and none makes a shard hot.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    sizes = rows.groupBy("dim").agg(
+        F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"),
+        F.greatest(F.ceil(F.count_if("asks") / tile_rows), F.lit(1)).cast("int").alias("tiles"))
+    dealt = rows.join(sizes, "dim")
+    place = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    candidates = dealt.select("dim", place("shards").alias("shard"), every("tiles").alias("tile"),
+                              F.lit(False).alias("is_query"), "row", "id", "v")
+    queries = dealt.where("asks").select("dim", every("shards").alias("shard"), place("tiles").alias("tile"),
+                                         F.lit(True).alias("is_query"), "row", "id", "v")
+    lists = candidates.unionByName(queries).groupBy("dim", "shard", "tile").applyInArrow(
         _shard(k), "dim int, row bigint, query_id bigint, vec_id bigint, score bigint")
     best_first = [F.desc("score"), F.asc("vec_id")]
-    most = shards.agg(F.max("shards")).first()[0] or 1
+    most = sizes.agg(F.max("shards")).first()[0] or 1
     lists = lists.withColumn("part", F.pmod(F.xxhash64("vec_id", "score"), F.lit(most)))
     while most > fan_in:  # tree merge
         most = -(-most // fan_in)

@@ -71,11 +71,12 @@ def test_a_pair_is_counted_in_one_block(spark):
     assert {r.n_links for r in got} == {49} and {r.component_id for r in got} == {0}
 
 
-@pytest.mark.parametrize("shard_rows,fan_in,big", [(8192, 32, 1), (10, 2, 1), (16, 3, 2.0 ** 20), (16, 3, 2.0 ** 24)])
-def test_top_k_matches_brute_force(spark, shard_rows, fan_in, big):
+@pytest.mark.parametrize("shard_rows,fan_in,big,tile_rows", [
+    (8192, 32, 1, 16384), (10, 2, 1, 3), (16, 3, 2.0 ** 20, 1), (16, 3, 2.0 ** 24, 5)])
+def test_top_k_matches_brute_force(spark, shard_rows, fan_in, big, tile_rows):
     data = [(i, None if v is None else [None if x is None else x * big for x in v]) for i, v in rows(n=120) if i != 5]
     df = frame(spark, data)
-    got = topk.top_k(df, F.pmod(df["vec_id"], F.lit(10)) == 0, k=5, scale=4, shard_rows=shard_rows, fan_in=fan_in)
+    got = topk.top_k(df, F.pmod(df["vec_id"], F.lit(10)) == 0, k=5, scale=4, shard_rows=shard_rows, fan_in=fan_in, tile_rows=tile_rows)
     want = []
     fine = [(i, [math.floor(4 * x) for x in v]) for i, v in data
             if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
@@ -86,6 +87,28 @@ def test_top_k_matches_brute_force(spark, shard_rows, fan_in, big):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_groups_do_not_grow_with_the_queries(spark, monkeypatch, tmp_path):
+    """Fifty times more queries, and one id that a third of the rows repeat: no group holds more."""
+    def most(n):
+        seen = tmp_path / str(n)
+        seen.mkdir()
+        def watched(k):
+            def run(t):
+                (seen / f"{t['dim'][0]}-{t['v'].nbytes}-{t['row'][0]}-{len(t)}").touch()
+                return shard(t)
+            return run
+
+        shard = topk._shard(5) if not hasattr(topk._shard, "plain") else topk._shard.plain
+        watched.plain = shard
+        monkeypatch.setattr(topk, "_shard", watched)
+        df = frame(spark, [(i if i % 3 else 7, [float(i % 11), 1.0]) for i in range(n)])
+        got = topk.top_k(df, F.lit(True), shard_rows=100, tile_rows=100)
+        assert got.count() == 5 * n
+        return max(int(f.name.rsplit("-", 1)[1]) for f in seen.iterdir())
+
+    assert most(60) <= 120 and most(3000) <= 2 * 100 * 1.5
+
+
 def test_top_k_ties_and_few_candidates(spark):
     data = [(i, [1.0, 1.0]) for i in range(4)]
     df = frame(spark, data)
