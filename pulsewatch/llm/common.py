@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,24 @@ def hash128(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)
 
 
+def packed(df: DataFrame, without: Sequence[str] = ()) -> Column:
+    """The columns of a table, but those named, as one struct: an operator's own columns
+    beside it can't meet theirs."""
+    return F.struct(*[df[f"`{c}`"] for c in names(df, without)])
+
+
+def names(df: DataFrame, without: Sequence[str] = ()) -> list[str]:
+    """The columns of a table but those named, whatever their case."""
+    drop = {w.lower() for w in without}
+    return [c for c in df.columns if c.lower() not in drop]
+
+
+def unpacked(row: str, columns: Sequence[str], instead: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of a struct of ``packed``, some with another value."""
+    other = {k.lower(): v for k, v in (instead or {}).items()}
+    return [other.get(c.lower(), F.col(row).getField(c)).alias(c) for c in columns]
+
+
 def crc32_mod(col: Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 

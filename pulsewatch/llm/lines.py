@@ -13,8 +13,8 @@ the bitmap once.
 Defined results: a NULL or empty text is one empty line; repeated rows of one
 doc_id and text share a bitmap, and rows of one doc_id with other texts are the
 same document; a NULL doc_id is one document that comes after all others; an
-empty table gives no rows; extra columns are kept, and the columns that the
-operator adds replace those of the same name.
+empty table gives no rows; extra columns are kept whatever their names, and the
+columns that the operator adds replace those of the same name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash128
+from .common import hash128, names, packed, unpacked
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -82,11 +82,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """
     bitmaps = keep_bitmaps(docs, text, doc_id, min_chars, salts)
     added = ["n_lines", "n_dropped", "keep"]
-    base = docs.drop(*[c for c in added if c in docs.columns])
-    doc = F.coalesce(base[doc_id].cast("bigint"), F.lit((1 << 63) - 1))
-    joined = base.withColumn("_d", doc).withColumn("_t", F.xxhash64(base[text])).join(
-        bitmaps, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_text_hash")), "left")
-    lines = split_lines(F.col(text))
+    kept_columns = names(docs, added)
+    doc = F.coalesce(docs[doc_id].cast("bigint"), F.lit((1 << 63) - 1))
+    base = docs.select(packed(docs, [*added, text]).alias("_row"), docs[text].cast("string").alias("_text"), doc.alias("_d"),
+                       F.xxhash64(docs[text]).alias("_t"))
+    joined = base.join(bitmaps, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_text_hash")), "left")
+    lines = split_lines(F.col("_text"))
     flags = F.expr("""flatten(transform(sequence(0, cast((_n - 1) div 64 as int)),
         w -> transform(sequence(0, 63), b -> getbit(coalesce(keep[w], -1L), b) = 1)))""")
     kept = F.filter(F.zip_with(lines, flags, lambda x, f: F.when(f, x)), lambda x: x.isNotNull())
@@ -95,6 +96,6 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
            .withColumn("n_lines", F.col("_n").cast("bigint"))
            .withColumn("n_dropped", F.when(F.col("keep").isNull(), F.lit(0).cast("bigint"))
                        .otherwise(F.col("_n") - F.size("_kept")).cast("bigint"))
-           .withColumn(text, F.when(F.col("keep").isNull(), F.coalesce(F.col(text), F.lit("")))
+           .withColumn("_shown", F.when(F.col("keep").isNull(), F.coalesce(F.col("_text"), F.lit("")))
                        .otherwise(F.array_join("_kept", "\n"))))
-    return out.select(*base.columns, *added)
+    return out.select(*unpacked("_row", kept_columns, {text: F.col("_shown")}), *added)

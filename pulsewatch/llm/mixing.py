@@ -22,8 +22,8 @@ What the driver holds is one row of figures and the stretches per source.
 
 Defined results: a NULL or empty text has size 0 and is never short of its
 target; a NULL source is a source that comes last; repeated rows are rows each,
-a NULL doc_id is allowed; an empty table gives no rows; all columns are kept, and
-those that the operator adds replace columns of the same name.
+a NULL doc_id is allowed; an empty table gives no rows; all columns are kept whatever their
+names, and those that the operator adds replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, ship
+from .common import WORD, names, packed, saved, ship, unpacked
 
 #: Up to so many sources their table (about 100 bytes a row) is broadcast.
 BROADCAST_SOURCES = 50_000
@@ -88,6 +88,21 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     return out
 
 
+def split(q: np.ndarray, n: int, rng: np.random.Generator, limit: int = 10 ** 9) -> np.ndarray:
+    """``n`` of the blocks ``q``, drawn by a multivariate hypergeometric.  numpy draws from
+    fewer than ``limit``; of more, most go in units of several blocks of a source,
+    and what is left of the units by blocks, so that the numbers are exact."""
+    total = int(q.sum())
+    if total < limit:
+        return rng.multivariate_hypergeometric(q, n, method="marginals")
+    unit = -(-total // (limit // 2))
+    units = np.maximum(q // unit - 1, 0)  # one unit of a source is dealt by blocks
+    rest, whole = q - units * unit, int(units.sum())
+    left = total - whole * unit
+    drawn = min(max(n * whole // total, -(-(n - left) // unit), 0), n // unit, whole)
+    return split(units, drawn, rng, limit) * unit + split(rest, n - drawn * unit, rng, limit)
+
+
 def leaf(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(first position, number) of each source's blocks in a shard: the path from
     the root, where each node splits its quotas between two halves."""
@@ -97,7 +112,7 @@ def leaf(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.nda
         mid = (lo + hi) // 2
         total = int(q.sum())
         rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(q, total * (mid - lo) // (hi - lo), method="marginals") if total else q
+        left = split(q, total * (mid - lo) // (hi - lo), rng) if total else q
         if shard < mid:
             q, hi = left, mid
         else:
@@ -141,13 +156,21 @@ def _figures(rows: DataFrame, found: list[Source], source: str) -> DataFrame:
     return rows.join(table, rows[source].cast("string").eqNullSafe(F.col("_name"))).drop("_name")
 
 
-def _fitting(size: np.ndarray, mix: np.ndarray, left: int) -> np.ndarray:
-    """Which rows are taken, one by one by hash, each that still fits."""
-    fits = np.zeros(len(size), dtype=bool)
+def _fitting(size: np.ndarray, mix: np.ndarray, copies: np.ndarray, left: int) -> np.ndarray:
+    """How many of the ``copies`` of each row are taken, one by one by hash, each
+    that still fits."""
+    takes = np.zeros(len(size), dtype=np.int64)
     for i in np.lexsort((size, mix)).tolist():
         if size[i] <= left:
-            fits[i], left = True, left - size[i]
-    return fits
+            takes[i] = min(int(copies[i]), left // int(size[i])) if size[i] else copies[i]
+            left -= int(takes[i] * size[i])
+    return takes
+
+
+def _copies(rows: DataFrame, *keys: str) -> DataFrame:
+    """Equal rows (same hash and size) as one with their number: a block holds
+    few different ones, however often they are repeated."""
+    return rows.groupBy(*keys, "_mix", "size").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _stretch(by: DataFrame, missing: dict[int, tuple[int, int]]) -> dict[int, tuple[int | None, int, int]]:
@@ -182,11 +205,11 @@ def _stretch(by: DataFrame, missing: dict[int, tuple[int, int]]) -> dict[int, tu
     def fill(t: pa.Table) -> pa.Table:
         from pulsewatch.llm import mixing as M
         size, left = t["size"].to_numpy(), t["_left"][0].as_py()
-        after = left - int(size[M._fitting(size, t["_mix"].to_numpy(), left)].sum())
+        after = left - int((size * M._fitting(size, t["_mix"].to_numpy(), t["copies"].to_numpy(), left)).sum())
         return pa.table({"_s": t["_s"][:1], "_b": t["_b"][:1], "left": [left], "after": [after]})
 
     inside = by.join(table, (F.col("_s") == F.col("s1")) & (F.col("_b") == F.col("b1"))).select("_s", "_b", "size", "_mix", "_left")
-    for r in inside.groupBy("_s").applyInArrow(fill, "_s bigint, _b bigint, left bigint, after bigint").toLocalIterator():
+    for r in _copies(inside, "_s", "_b", "_left").groupBy("_s").applyInArrow(fill, "_s bigint, _b bigint, left bigint, after bigint").toLocalIterator():
         found[r["_s"]] = (r["_b"], r["left"], r["after"])
     return found
 
@@ -228,8 +251,10 @@ def _shards_of_blocks(rows: DataFrame, found: list[Source], shards: int, seed: i
             for shard in batch.column(0).to_pylist():
                 first, n = M.leaf(quotas[live], shard, shards, seed)
                 which = np.repeat(np.arange(len(live)), n)
-                position = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[which]
-                drawn = position * steps[which] % quotas[live][which]
+                # The first of a run of positions exactly, the others from it: no overflow.
+                start = np.array([f * s % q for f, s, q in zip(first.tolist(), step, quotas[live].tolist())], dtype=np.int64)
+                onward = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                drawn = (start[which] + onward * steps[which]) % quotas[live][which]
                 b, epoch = drawn % of_pass[which], drawn // of_pass[which]
                 to = np.where(epoch == passes[which], np.maximum(b, ends[which]), b)
                 yield pa.RecordBatch.from_arrays(
@@ -253,14 +278,17 @@ def mix(rows: DataFrame, source: str = "source", weights: tuple[float, ...] = (3
     if not 0 < share <= most:
         raise ValueError("share must lie in (0, most]")
     ship(rows.sparkSession)
-    rows = rows.drop(*[c for c in ("source_size", "target", "taken", "draws") if c in rows.columns])
-    slim = saved(rows.select(source, "size", "_mix"))
+    added = ["source_size", "target", "taken", "draws"]
+    columns = names(rows, added)
+    slim = saved(rows.select(rows[source].alias("_source"), "size", "_mix"))
+    rows = rows.select(packed(rows, added).alias("_row"), rows[source].alias("_source"), "size", "_mix")
+    source = "_source"
     found = _sources(slim, source, list(weights), share, most, block_rows)
     if any(s.rest for s in found):
         _draw_rest(slim, found, source)
     shards = max(1, ceil(sum(s.target for s in found) / shard_words))
     blocks = saved(_shards_of_blocks(rows, found, shards, seed))
-    numbered = _figures(rows, found, source).withColumn("_at", _block()).withColumnRenamed("_s", "_number")
+    numbered = _figures(rows, found, source).withColumn("_at", _block()).withColumnRenamed("_s", "_number").drop("_source")
     marked = numbered.join(blocks, (F.col("_number") == F.col("_s")) & (F.col("_at") == F.col("_b")), "left").drop("_s", "_b")
     marked = marked.withColumn("draws", F.coalesce("draws", F.array().cast(dict(blocks.dtypes)["draws"])))
     stretch = F.expr("filter(_walk, x -> x.hi >= _at)")  # the first of them is the block's own
@@ -268,22 +296,48 @@ def mix(rows: DataFrame, source: str = "source", weights: tuple[float, ...] = (3
         {"_last": F.coalesce(F.col("_in.hi") == F.col("_at"), F.lit(False)), "_left": F.col("_in.left"),
          "_most": F.col("_in.most")}).drop("_in", "_walk")
     whole = marked.where("not _last").withColumn("_fits", F.coalesce(F.col("size") <= F.col("_most"), F.lit(False)))
-    columns = marked.columns
+    out = whole.unionByName(_last_blocks(marked.where("_last"), _takes(slim, found, source)))
+    out = out.withColumn("draws", F.expr("if(_fits, draws, filter(draws, x -> x.epoch != _passes))"))
+    out = out.withColumn("taken", (F.size("draws") * F.col("size")).cast("bigint"))
+    return out.select(*unpacked("_row", columns), *added)
+
+
+def _takes(slim: DataFrame, found: list[Source], source: str) -> DataFrame:
+    """(n, m, z, copies, takes): of the rows of a source's last blocks by hash
+    and size, how many there are and how many are taken."""
+    at = _figures(slim, found, source).withColumn("_b", _block())
+    at = at.withColumn("_in", F.get(F.expr("filter(_walk, x -> x.hi >= _b)"), F.lit(0))).where("_in.hi = _b")
 
     def fit(t: pa.Table) -> pa.Table:
         from pulsewatch.llm import mixing as M
-        fits = M._fitting(t["size"].to_numpy(), t["_mix"].to_numpy(), t["_left"][0].as_py())
-        return t.select(columns).append_column("_fits", pa.array(fits))
-
-    part = marked.where("_last").groupBy("_number", "_at").applyInArrow(fit, whole.schema)
-    out = whole.unionByName(part).withColumn("draws", F.expr("if(_fits, draws, filter(draws, x -> x.epoch != _passes))"))
-    out = out.withColumn("taken", (F.size("draws") * F.col("size")).cast("bigint"))
-    return out.select(*rows.columns, "source_size", "target", "taken", "draws")
+        takes = M._fitting(t["size"].to_numpy(), t["_mix"].to_numpy(), t["copies"].to_numpy(), t["_left"][0].as_py())
+        return pa.table({"n": t["_s"], "m": t["_mix"], "z": t["size"], "copies": t["copies"], "takes": pa.array(takes)})
+
+    rows = _copies(at.withColumn("_left", F.col("_in.left")), "_s", "_b", "_left")
+    return saved(rows.groupBy("_s", "_b").applyInArrow(fit, "n bigint, m bigint, z bigint, copies bigint, takes bigint"))
+
+
+def _last_blocks(rows: DataFrame, takes: DataFrame) -> DataFrame:
+    """The rows of last blocks with ``_fits``.  Of equal rows that are taken in
+    part the first are, counted in two levels so that many don't meet in a task."""
+    known = rows.join(takes, (F.col("_number") == F.col("n")) & (F.col("_mix") == F.col("m")) & (F.col("size") == F.col("z")))
+    partly = "takes > 0 and takes < copies"
+    out = known.withColumn("_fits", F.col("takes") > 0)
+    if not takes.where(partly).isEmpty():
+        some = saved(known.where(partly).withColumn("_nr", F.monotonically_increasing_id()))
+        some = some.withColumn("_salt", F.col("_nr") % 256)
+        keys = ["n", "m", "z", "_salt"]
+        before = Window.partitionBy("n", "m", "z").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+        counts = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_nr"))
+        some = some.join(counts.drop("_c"), keys).withColumn("_fits", F.col("_before") + place <= F.col("takes"))
+        out = out.where(f"not ({partly})").unionByName(some.drop("_salt", "_before", "_nr"))
+    return out.drop("n", "m", "z", "copies", "takes")
 
 
 def drawn_rows(mixed: DataFrame, columns: list[str], doc_id: str = "doc_id", seed: int = 7) -> DataFrame:
     """One row per draw, dealt to the output shards and shuffled within each."""
-    each = mixed.select(*columns, F.explode("draws").alias("_draw"))
-    order = F.xxhash64(F.lit(seed), F.col("_draw.shard"), F.col("_draw.epoch"), F.col(doc_id))
+    each = mixed.select(packed(mixed.select(*columns)).alias("_row"), mixed[doc_id].alias("_id"), F.explode("draws").alias("_draw"))
+    order = F.xxhash64(F.lit(seed), F.col("_draw.shard"), F.col("_draw.epoch"), F.col("_id"))
     return each.withColumn("_order", order).withColumn("_shard", F.col("_draw.shard")).repartition("_shard") \
-        .sortWithinPartitions("_shard", "_order").select(*columns)
+        .sortWithinPartitions("_shard", "_order").select(*unpacked("_row", columns))

@@ -7,9 +7,11 @@ SHA-256.  Equal values get equal pseudonyms in every document and different ones
 stay different, without a shared table or a shuffle; a row is rewritten from
 itself alone.
 
-  card   13-19 digits, alone or grouped: all but the last digit are permuted, and
-         the last keeps its distance to the Luhn digit, so valid numbers map to
-         valid and others (accounts) to others
+  card   13-19 digits, alone or grouped, with a valid Luhn digit: all but the last
+         are permuted, and the last is computed anew
+  account  such digits without a valid one, behind a word that says so (account,
+         card, customer number and the like): permuted the same way, the last digit
+         keeping its distance to the Luhn digit
   iban   of the length of its country, or else of any, with a valid remainder of
          97: digits permuted, check digits recomputed
   ssn    valid area, group and serial: permuted within the valid ones
@@ -19,15 +21,17 @@ itself alone.
   email  local part and domain by keyed digest
   secret value of any length after password and the like, of 16 characters or
          more after token, secret or key, or 32-64 hex digits: keyed digest of the
-         same length, also where it looks like another kind but isn't valid
+         same length, also where it looks like another kind but isn't valid.  A
+         word of letters only, not quoted, that a blank parts from "password:" is
+         prose ("password: required") and stays
 
 Numbers keep their separators, dates their order and padding.  Spelling (case of
 an address or secret, separators of a number) doesn't break the link.
 
 Defined results: a NULL text stays NULL with nothing found, an empty one empty;
 values that fail validation stay; repeated rows get equal results; an empty
-table gives no rows; all columns are kept, and n_values and kinds replace
-columns of the same name.
+table gives no rows; all columns are kept whatever their names, and n_values and
+kinds replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import names, packed, unpacked
+
 ROUNDS = 8
 _ALNUM = r"\p{L}\p{N}"
 _EDGE, _STOP = rf"(?<![{_ALNUM}])", rf"(?![{_ALNUM}])"
@@ -62,7 +68,7 @@ _PASSWORD = r"(?:password|passphrase|passwd|pwd)"
 NAMED = rf"(?i:token|secret|key|{_PASSWORD})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
 _AFTER = rf"(?i:{_PASSWORD})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}"
 SECRET = (rf"(?<={_AFTER}\")[^\"\r\n]++(?=\")|(?<={_AFTER}')[^'\r\n]++(?=')"
-          rf"|(?<={_AFTER}[\"']?)[^\s\"'<>]*[^\s\"'<>.,;:)\]}}]"
+          rf"|(?<={_AFTER}[\"']?)(?!(?<=:[ \t]{{1,3}})\p{{L}}+(?:[^\p{{L}}\p{{N}}]?(?:\s|$)))[^\s\"'<>]*[^\s\"'<>.,;:)\]}}]"
           rf"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{{16}})(?<={NAMED})[A-Za-z0-9+/_=-]++"
           rf"|{_EDGE}[0-9A-Fa-f]{{32,64}}{_STOP}")
 # Groups \1 to \5 are numbered through the union, in this order.
@@ -71,6 +77,9 @@ _KINDS = (("email", r"^[^@]+@"), ("ip", r"^(\d{1,3}\.){3}\d{1,3}$"), ("ssn", r"^
           ("date", r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})$"),
           ("iban", r"^[A-Z]{2}\d{2}( ?[A-Z0-9]{1,4})+$"),
           ("phone", r"^([+(][\d ().+-]+|\d{3}[ .-]\d{3}[ .-]\d{4})$"), ("card", r"^(\d{13,19}|[\d -]{15,24})$"))
+# What makes a long number without a check digit personal: it stands before it.
+ACCOUNT = (r"(?i)(?<!\p{L})(?:accounts?|acct|a/c|konto|kontonummer|compte|cuenta|card|customer|kunden(?:nummer|nr)?|client|cliente)"
+           r"(?:[ \t.:#=-]{0,3}(?:number|num|no|nr|nummer|numéro|número|id|n°|is|ist))?[ \t.:#=°-]{0,3}$")
 DAY_ZERO, DAY_PARTS = "1900-01-01", (271, 270)  # 271 * 270 days
 
 
@@ -263,41 +272,47 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(m == F.upper(m), F.upper(same)).otherwise(same)
 
 
-def pseudonym(m: Column, key: str, named: Column) -> Column:
+def pseudonym(m: Column, key: str, named: Column, account: Column) -> Column:
     """struct(kind, out) of a matched value; out is NULL where it isn't valid.
-    ``named``: whether the name of a secret stands before it."""
+    ``named``, ``account``: whether the name of a secret or account stands before it."""
     kind = F.lit("secret")
+    digits = F.regexp_replace(m, r"\D", "")
+    unchecked = F.substring(digits, -1, 1).cast("int") != luhn_digit(F.substring(digits, F.lit(1), F.length(digits) - 1))
     for name, pattern in reversed(_KINDS):
         kind = F.when(m.rlike(pattern), F.lit(name)).otherwise(kind)
     make = {"email": _email, "ip": _ip, "ssn": _ssn, "date": _date, "iban": _iban, "phone": _phone, "card": _card}
 
     def of(k: Column) -> Column:
-        out = _secret(m, key)
+        out = F.when(k != "number", _secret(m, key))
         for name, f in make.items():
-            out = F.when(k == name, f(m, key)).otherwise(out)
+            out = F.when(k.isin("card", "account") if name == "card" else k == name, f(m, key)).otherwise(out)
         return F.struct(k.alias("kind"), out.alias("out"))
 
+    def checked(k: Column) -> Column:
+        return F.when((k == "card") & unchecked, F.when(account, "account").otherwise("number")).otherwise(k)
+
     def else_secret(x: Column) -> Column:
         secret = x["out"].isNull() & (named | m.rlike("^[0-9A-Fa-f]{32,64}$"))
         return F.when(secret, F.struct(F.lit("secret").alias("kind"), _secret(m, key).alias("out"))).otherwise(x)
 
-    return _let(_let(kind, of), else_secret)
+    return _let(_let(_let(kind, checked), of), else_secret)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The rows with pseudonyms in the text, n_values (replaced) and kinds (the
     sorted distinct kinds of them).  ``key``: secret of the permutations."""
-    base = docs.drop(*[c for c in ("n_values", "kinds") if c in docs.columns])
-    t = base[text].cast("string")
+    added = ["n_values", "kinds"]
     none = F.array().cast("array<string>")
-    # A value holds a digit or an address sign; other texts are left as they are.
-    found = F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none)
+    base = docs.select(packed(docs, [*added, text]).alias("_row"), docs[text].cast("string").alias("_text"))
+    t = base["_text"]
+    # A value holds a digit or a sign, or is of hex letters; other texts are left as they are.
+    found = F.when(t.rlike("[0-9@=:]|[A-Fa-f]{32}"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none)
     seen = base.withColumn("_found", found)
     seen = seen.withColumn("_pieces", F.when(F.size("_found") > 0, F.split(t, ANY, -1)).otherwise(none))
 
     def value(m: Column, before: Column) -> Column:
-        named = F.right(before, F.lit(40)).rlike(f"{NAMED}$")
-        return _let(pseudonym(m, key, named), lambda p: F.struct(
+        end = F.right(before, F.lit(40))
+        return _let(pseudonym(m, key, end.rlike(f"{NAMED}$"), end.rlike(ACCOUNT)), lambda p: F.struct(
             F.when(p["out"].isNotNull(), p["kind"]).alias("kind"), F.coalesce(p["out"], m).alias("out")))
 
     # Each value with the piece before it; one more piece follows the last.
@@ -306,6 +321,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     shown = F.array_join(F.flatten(F.zip_with(F.col("_pieces"), F.col("_values"), lambda p, v: F.array(
         F.coalesce(p, F.lit("")), F.coalesce(v["out"], F.lit(""))))), "")
     kinds = F.filter(F.transform("_values", lambda v: v["kind"]), lambda k: k.isNotNull())
-    out = seen.withColumn(text, F.when(F.size("_found") > 0, shown).otherwise(t))
-    return out.select(*base.columns, F.size(kinds).cast("bigint").alias("n_values"),
+    out = F.when(F.size("_found") > 0, shown).otherwise(t)
+    return seen.select(*unpacked("_row", names(docs, added), {text: out}), F.size(kinds).cast("bigint").alias("n_values"),
                       F.sort_array(F.array_distinct(kinds)).alias("kinds"))

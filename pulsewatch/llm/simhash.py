@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, saved, ship, written
+from .common import give_back, packed, saved, ship, unpacked, written
 from .graph import components
 
 SEED = 42
@@ -209,13 +209,15 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
              max_bits: int = 3, tile: int = 2048) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id, and
     of rows that repeat it the first by a hash of the text.  Rows without an id
-    stay where their group has no other."""
+    stay where their group has no other.  All columns are kept, whatever their names."""
     # Rows are numbered and written: a row is known by its number whatever its
     # id, and a number that is kept meets one row.
-    rows = written(docs.sparkSession, docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    fps = saved(fingerprints(rows, text, doc_id, shingle, {"h": F.xxhash64(rows[text]), "_row": rows["_row"]}))
+    rows = docs.select(packed(docs).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    rows = written(docs.sparkSession, rows, "numbered")
+    asked = rows.select(F.col("_doc").getField(text).alias("text"), F.col("_doc").getField(doc_id).alias("doc_id"), "_row")
+    fps = saved(fingerprints(asked, "text", "doc_id", shingle, {"h": F.xxhash64(asked["text"]), "_row": asked["_row"]}))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "_row")
     one = fps.groupBy("fp").agg(F.min(first).alias("one"))
     found = one.join(_members(fps, max_bits, tile), F.col("fp") == F.col("_fp"))
     kept = found.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one._row").alias("_kept"))
-    return rows.join(kept, rows["_row"] == kept["_kept"]).select(*docs.columns)
+    return rows.join(kept, rows["_row"] == kept["_kept"]).select(*unpacked("_doc", docs.columns))

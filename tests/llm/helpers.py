@@ -5,6 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, pos int, keep string"
+#: Names that operators use inside: columns of the caller that have them are kept.
+INTERNAL = ("_doc _text_hash _n _d _t _kept _row _text _shown _found _pieces _values _s _name _number _b _at _in _last "
+            "_left _most _fits _passes _blocks _walk _salt _nr _before _draw _order _shard _of fp h root one p n m z _id").split()
 
 
 def docs(spark, texts, sources=None, parts=3):
@@ -41,3 +44,16 @@ def same_rows(df, expected):
 
 def lit_hash(spark, value):
     return spark.range(1).select(F.xxhash64(F.lit(value))).first()[0]
+
+
+def clashing(df):
+    """The frame with a column of every internal name."""
+    return df.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in INTERNAL})
+
+
+def clashes_kept(df):
+    """Every row has the columns of ``clashing`` as they were."""
+    for r in df.collect():
+        for c in INTERNAL:
+            assert r[c] == f"{c}:{'none' if r.doc_id is None else r.doc_id}", c
+    return df

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsewatch.llm import mixing
 
-from .helpers import docs, empty_docs, hard_texts
+from .helpers import clashes_kept, clashing, docs, empty_docs, hard_texts
 
 
 def brute_targets(sizes, weights, share=1.5):
@@ -51,6 +51,50 @@ def test_tree_leaves_are_disjoint_and_cover_the_quotas():
     assert [sorted(held[s]) for s in range(4)] == [list(range(q)) for q in quotas]
 
 
+def test_quotas_beyond_what_numpy_draws_from():
+    quotas = np.array([2_000_000_000, 7, 30_000_000_000, 0, 999])
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 12_345_678_901, int(quotas.sum()) - 1, int(quotas.sum())):
+        got = mixing.split(quotas, n, rng)
+        assert got.sum() == n and (got >= 0).all() and (got <= quotas).all()
+    half = mixing.split(quotas, int(quotas.sum()) // 2, rng)
+    assert abs(half[2] / 15e9 - 1) < 0.001
+    shards, last = 10_000_000, np.zeros(5, dtype=np.int64)
+    for shard in (0, 1, 4_999_999, 5_000_000, shards - 1):
+        first, n = mixing.leaf(quotas, shard, shards, seed=5)
+        assert (first >= last).all() and abs(n.sum() - quotas.sum() / shards) <= 30
+        last = first + n
+    assert (last == quotas).all()
+
+
+def test_units_cover_the_quotas_as_single_draws_do():
+    quotas, rng = np.array([170, 0, 400, 3, 55]), np.random.default_rng(9)
+    for n in range(0, 629, 37):
+        got = mixing.split(quotas, n, rng, limit=100)
+        assert got.sum() == n and (got >= 0).all() and (got <= quotas).all()
+    many = np.mean([mixing.split(quotas, 314, rng, limit=100) for _ in range(400)], axis=0)
+    assert np.allclose(many, quotas / 2, rtol=0.1, atol=0.7)
+
+
+def test_rows_repeated_very_often(spark):
+    texts = [(7, "a b c")] * 3000 + [(i, "w " * 5) for i in range(100, 160)]
+    out = mixed(spark, texts, ["s"] * 3000 + ["s"] * 30 + ["t"] * 30, block_rows=4, shard_words=500).collect()
+    assert len(out) == len(texts)
+    mine = [r for r in out if r.source == "s"]
+    assert mine[0].target - 5 <= sum(r.taken for r in mine) <= mine[0].target + 0.5
+    assert len({len(r.draws) for r in mine if r.doc_id == 7}) == 2  # taken in part
+
+
+def test_columns_of_any_name_are_kept(spark):
+    texts = [(i, "w " * (3 + i % 9)) for i in range(200)] + [(None, None)]
+    df = clashing(docs(spark, texts, [f"s{i % 3}" for i in range(201)]))
+    out = mixing.mix(mixing.with_sizes(df), block_rows=4, shard_words=100)
+    assert clashes_kept(out).count() == 201
+    assert set(df.columns) | {"target", "taken", "draws"} <= set(out.columns)
+    drawn = clashes_kept(mixing.drawn_rows(out, df.columns))
+    assert drawn.columns == df.columns and drawn.count() == sum(len(r.draws) for r in out.collect())
+
+
 def mixed(spark, texts, sources, **options):
     return mixing.mix(mixing.with_sizes(docs(spark, texts, sources)), **options)
 

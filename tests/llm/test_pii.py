@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsewatch.llm import pii
 
-from .helpers import docs, empty_docs
+from .helpers import clashes_kept, clashing, docs, empty_docs
 
 KEY = "k"
 
@@ -48,14 +48,14 @@ def one(spark, *texts):
 
 
 def test_numbers_equal_the_plain_network(spark):
-    got = one(spark, "4111111111111111", "4111-1111-1111-1111", "9807915762804490", "+1 (017) 555-7713", "017.555.7713",
+    got = one(spark, "4111111111111111", "4111-1111-1111-1111", "account no. 9807915762804490", "+1 (017) 555-7713", "017.555.7713",
               "97.51.17.173", "2020-05-17")
     a = card("4111111111111111")
     phone = digits("0175557713", "phone")
     ip = feistel(97 * 256 + 51, 17 * 256 + 173, 65536, 65536, "ip")
     assert got[0] == a and luhn(a[:-1]) == int(a[-1])
     assert got[1] == "-".join(a[i:i + 4] for i in range(0, 16, 4))
-    assert got[2] == card("9807915762804490")
+    assert got[2] == "account no. " + card("9807915762804490")
     assert got[3] == f"+1 ({phone[:3]}) {phone[3:6]}-{phone[6:]}" and got[4] == f"{phone[:3]}.{phone[3:6]}.{phone[6:]}"
     assert got[5] == f"{ip[0] // 256}.{ip[0] % 256}.{ip[1] // 256}.{ip[1] % 256}"
     assert re.fullmatch(r"\d{4}-\d\d-\d\d", got[6]) and got[6] != "2020-05-17"
@@ -112,6 +112,29 @@ def test_what_is_not_valid_stays(spark):
     assert one(spark, *given) == given
 
 
+def test_numbers_without_a_check_digit_or_a_name_stay(spark):
+    given = ["at 1718000000000 ms", "ISBN 9780306406158", "id 9807915762804490.", "discard 9807915762804490", "Password: required",
+             "forgot password: click here", "Enter your password: then press OK", "a key: value"]
+    assert one(spark, *given) == given
+    for name in ("Konto ", "account: ", "Card number ", "acct #", "Compte n° ", "customer id = "):
+        assert one(spark, f"{name}9807915762804490") == [name + card("9807915762804490")]
+    assert luhn(card("9807915762804490")[:-1]) != int(card("9807915762804490")[-1])
+    kinds = pii.pseudonymise(docs(spark, [(1, "account 9807915762804490, 4111111111111111")]), KEY).first().kinds
+    assert kinds == ["account", "card"]
+
+
+def test_secrets_of_hex_letters_only(spark):
+    given = "see abcdefabcdefabcdefabcdefabcdefab here"
+    assert one(spark, given)[0] != given
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = clashing(docs(spark, [(1, "call +1 (017) 555-7713"), (2, None), (None, "x")]))
+    out = pii.pseudonymise(df, KEY)
+    assert clashes_kept(out).columns == [*df.columns, "n_values", "kinds"]
+    assert {r.doc_id: r.n_values for r in out.collect()} == {1: 1, 2: 0, None: 0}
+
+
 def test_links_across_documents_and_spelling(spark):
     got = one(spark, "to bob.s@mail7.example.com!!", "BOB.S@MAIL7.EXAMPLE.COM###", "x éa.12@mail7.example.com.",
               'token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"', 'TOKEN = "0B96A8C8D79C4A5085C919698889F59B72AB7BB6"!!',

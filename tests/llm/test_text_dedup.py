@@ -10,7 +10,7 @@ import xxhash
 
 from pulsewatch.llm import lines, simhash
 
-from .helpers import docs, empty_docs, hard_texts
+from .helpers import clashes_kept, clashing, docs, empty_docs, hard_texts
 
 
 def low(s):
@@ -54,6 +54,17 @@ def test_line_dedup_of_one_id_with_two_texts_and_none(spark):
     assert lines.dedup_lines(empty_docs(spark)).count() == 0
 
 
+def test_columns_of_any_name_are_kept(spark):
+    texts = hard_texts() + [(None, "no id\nat all here")]
+    df = clashing(docs(spark, texts))
+    out = clashes_kept(lines.dedup_lines(df))
+    assert out.columns == [c for c in df.columns if c != "keep"] + ["n_lines", "n_dropped", "keep"] and out.count() == len(texts)
+    kept = clashes_kept(simhash.keep_one(df))
+    assert kept.columns == df.columns
+    plain = simhash.keep_one(docs(spark, texts))
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted([(r.doc_id, r.text) for r in plain.collect()], key=repr)
+
+
 def brute_print(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
     if not w:
