@@ -115,6 +115,9 @@ def headers() -> list[tuple[str, str]]:
     out += [("MPL-2.0", _MPL_HEAD), ("MPL-2.0", _MPL_HEAD.replace("http://", "http://www."))]
     for licence, name, version in (("GPL-2.0", "GNU General Public License", 2), ("GPL-3.0", "GNU General Public License", 3),
                                    ("LGPL-3.0", "GNU Lesser General Public License", 3),
+                                   ("LGPL-2.1", "GNU Lesser General Public License", 2.1),
+                                   ("LGPL-2.0", "GNU Library General Public License", 2),
+                                   ("GPL-1.0", "GNU General Public License", 1),
                                    ("AGPL-3.0", "GNU Affero General Public License", 3)):
         by = " as published by the Free Software Foundation"
         for what in ("program", "library", "software", "file"):
@@ -144,6 +147,9 @@ def statements() -> list[tuple[str, str]]:
         "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2"],
         "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3"],
         "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3"],
+        "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1"],
+        "MPL-1.1": ["Mozilla Public License, version 1.1", "Mozilla Public License 1.1"],
+        "GFDL-1.3": ["GNU Free Documentation License, version 1.3"],
         "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3"],
         "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
         "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"],
@@ -208,6 +214,44 @@ DIGESTS = (
     ("MPL-2.0", "mozilla", "a11b27981d78130ab3f14c870f52d4a72cfca4c91846b373aee7266074ddb9a2"),
     ("CC0-1.0", "creative", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
     ("CC0-1.0", "creative", "1651920f0c900f846b9305ee6da641be0057c3edded63157353e0d2d60a2cfa9"),
+    ("LGPL-2.1", "gnu", "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e"),
+    ("LGPL-2.1", "gnu", "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd"),
+    ("LGPL-2.1", "gnu", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"),
+    ("LGPL-2.1", "gnu", "6d05f602d7a9f9950f9537100bd504a7fdab92cfe89f4f94b0d15721ee014b1f"),
+    ("LGPL-2.1", "gnu", "98ee2ec068a51049ed400919bcc9b031bd9fcb4141726f51e23b5f0196a2d37a"),
+    ("LGPL-2.1", "gnu", "9c8aea52ac2706a35452528904b5cef7c0aa4140e5ec04d54ba60f53c4a5c78b"),
+    ("LGPL-2.0", "gnu", "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c"),
+    ("LGPL-2.0", "gnu", "e0de5033b5ad2a24c0a1a8b04f09e33038ffa62d2bef7178de2a3c6f5d56f499"),
+    ("LGPL-2.0", "gnu", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"),
+    ("LGPL-2.0", "gnu", "e7ecb08f240f58455c2c9090ab912b4bb92385869e21cf6d5eddcdcfc74a1731"),
+    ("LGPL-2.0", "gnu", "f51728eb856e51e6247d4a023256f9cb9322abe784bdb65ecb82131ef29bfcee"),
+    ("LGPL-2.0", "gnu", "052bf540c98a4842bad8d9f2b372e7225b1eb1d38da3916a60bc288db5e37152"),
+    ("GPL-1.0", "gnu", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-1.0", "gnu", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-1.0", "gnu", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0", "gnu", "175f511abd0d3fd5f48cd40e0aaac24652ada233ca289e42f8ffdc9dd5eb8a0e"),
+    ("GPL-1.0", "gnu", "37a8d6ceffb74a4cd60be1028e4d7d9cc0b1682c4aa3c1d9efd628dc5460f60b"),
+    ("GPL-1.0", "gnu", "9679cb8f8a7c25e849b925136d793d1bec010b8b9270e6ba898e2cefcb3e1f6d"),
+    ("GFDL-1.2", "gnu", "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
+    ("GFDL-1.2", "gnu", "75839ab241e1cbb20f99e8ad354d337c5a681dbe5ea8922b9c6bbd1ae80f89f1"),
+    ("GFDL-1.2", "gnu", "24984a15a79852251f41674cbf7d55bce4ae838d119f0d6948fa83a46585ab5d"),
+    ("GFDL-1.2", "gnu", "62637ac5e6f0bf25816fc99878f2a15681a53cf097fe676c0cf6c0ceae7da289"),
+    ("GFDL-1.3", "gnu", "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("GFDL-1.3", "gnu", "413bceb4913dcabd3c7f903efac90d7bd89056bb797c366e98a16be9f25dc4dc"),
+    ("GFDL-1.3", "gnu", "bc882955885bd3e89f2ef05a0446e40db189a071714b8f691921a6f55721269c"),
+    ("GFDL-1.3", "gnu", "f06a3f640506b30b4b36aece853af150ddd2e233f4197d966c5be0b0d616b5ac"),
+    ("Artistic-1.0-Perl", "the", "ddb49d591ecc4f65a223b9f53f330918100c323532a653c090d21b38e35a3a42"),
+    ("Artistic-1.0-Perl", "the", "b915346f30aaec58ea904cecc639de26ca8bb0d073e155827b6369a92ac52fae"),
+    ("Artistic-1.0-Perl", "the", "64caa863a014ced5a19878968026b7ed048dade5f4100313d358f6c3072f1cd1"),
+    ("Artistic-1.0-Perl", "the", "9356b256dad0db187b0763f85291d43356937b7cfc98d7b797aa062417fa97db"),
+    ("MPL-1.1", "mozilla", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-1.1", "mozilla", "e004ad18098cefd61a8ed2b436a81b5cba8b5f8d6f22a108d2e5e19e95feebec"),
+    ("MPL-1.1", "mozilla", "286531471d44d2304f376f72d62a3573a9a54a8693a2d7cc3c3ed45fd567e8c5"),
+    ("MPL-1.1", "mozilla", "7b0a65e493840d161bca54ae9f5ee753fdf65ee8755b10739c4a6e4e657644cc"),
+    ("BSD-3-Clause", "all", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("BSD-3-Clause", "all", "c75be4fc49847c1a69bbd3e322553219ac85f45bc9f48607bc7764b82b05e838"),
+    ("BSD-3-Clause", "redistribution", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("BSD-3-Clause", "redistribution", "4672342e7dea62ff9f3d60290a74a2e3d232de6d1b323d0b3172aa70dc5439ae"),
 )
 
 
