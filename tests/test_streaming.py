@@ -194,6 +194,49 @@ def test_traces_link_once_in_batch_and_stream(spark):
     assert sorted(streamed, key=key)[1:] == [w[:2] for w in want][1:] and len(streamed) == len(want)
 
 
+def test_trace_stream_holds_buckets_not_rows(spark):
+    """Two micro-batches with ids in both, repeats, records without ids or stamp: the links of
+    the batch operator, from a state of a row per bucket."""
+    b = _base()
+    s = lambda n: T0 + dt.timedelta(seconds=n)
+    halves = ([], []), ([], [])
+    for i in range(600):
+        k = i // 300
+        halves[k][0].append((f"t{i}", f"s{i}", s(20 * i)))
+        if i % 7 == 0:  # an at-least-once producer
+            halves[k][0].append((f"t{i}", f"s{i}", s(20 * i + 1)))
+        for j in range(i % 4):
+            at = s(20 * i + 40 * j) if i < 597 else s(20 * i)
+            halves[int(at >= s(6000))][1].append((10 * i + j, f"t{i}", f"s{i}", at))
+        halves[k][1].append((10 * i + 9, None, None, s(20 * i)))
+    halves[1][0].append((None, None, s(7000)))
+    halves[1][1].extend([(8001, "t7", None, s(7000)), (8002, "t7", "s7", None), (None, "t8", "s8", s(7000))])
+    ps, cs = "trace_id string, span_id string, ts timestamp", "consumer_id bigint, producer_trace_id string, producer_span_id string, ts timestamp"
+    held = []
+    for k, (p, c) in enumerate(halves):
+        end = [("x", "x", s(90000))], [(-1, "y", "y", s(90000))]
+        spark.createDataFrame(p + (end[0] if k else []), ps).write.mode("append").parquet(f"{b}/p")
+        spark.createDataFrame(c + (end[1] if k else []), cs).write.mode("append").parquet(f"{b}/c")
+        src = [spark.readStream.schema(spark.read.parquet(f"{b}/{n}").schema).parquet(f"{b}/{n}") for n in ("p", "c")]
+        q = monitor.run_to_parquet(tracing.link_stream(*src, 60, buckets=16), f"{b}/out", f"{b}/ck")
+        q.awaitTermination()
+        held += [sum(o["numRowsTotal"] for o in r["stateOperators"]) for r in q.recentProgress]
+    assert max(held) <= 16
+    batch = tracing.link_traces(spark.createDataFrame(halves[0][0] + halves[1][0], ps), spark.createDataFrame(halves[0][1] + halves[1][1], cs), 60)
+    want = sorted(map(tuple, batch.collect()), key=repr)
+    assert sorted(map(tuple, spark.read.parquet(f"{b}/out").collect()), key=repr) == want
+    assert {r[-1] for r in want} == {"linked", "no producer", "no consumer"}
+
+
+def test_trace_headers_of_several_keys(spark):
+    tp = b"00-" + b"a" * 32 + b"-" + b"b" * 16 + b"-01"
+    rows = [(0, [("k", b"v"), ("traceparent", tp)]), (1, [("k", None), ("k", b"v"), ("traceparent", tp)]), (2, [("traceparent", None)]),
+            (3, [("traceparent", None), ("traceparent", tp)]), (4, [("traceparent", tp + b"\n")]), (5, [("k", tp)]), (6, None), (7, [(None, None), ("traceparent", tp)])]
+    df = spark.createDataFrame(rows, "i int, headers array<struct<key:string, value:binary>>")
+    got = {r.i: r.trace_id for r in tracing.with_trace(df).collect()}
+    assert got == {i: "a" * 32 if i in (0, 1, 3, 7) else None for i in range(8)}
+
+
 def test_trace_headers_without_ids_are_no_links(spark):
     tp = ["00-" + "a" * 32 + "-" + "b" * 16 + "-01", "00-" + "0" * 32 + "-" + "b" * 16 + "-01", "00-xyz-1-01", None]
     rows = [(i, [("traceparent", t.encode() if t else None)]) for i, t in enumerate(tp)] + [(9, [])]
